@@ -36,6 +36,7 @@ PY_NODES_SCHEMA = StructType([
     StructField("text", StringType()), StructField("n_values", IntegerType()),
     StructField("attrs", MapType(StringType(), StringType())),
     StructField("anc", ANC_TYPE),
+    StructField("scope", IntegerType()),
 ])
 
 # node roles whose source text is reported (annotations, return types,
@@ -75,12 +76,13 @@ def _unparse(node):
 def _flatten_one(content: str):
     """Yield node tuples of one file in pre-order (iter_child_nodes order)."""
     tree = ast.parse(content)
-    # stack items: (node, parent_pre, depth, field, ord, parent_kind, anc)
-    stack = [(tree, None, 0, None, None, None, ())]
+    # stack items: (node, parent_pre, depth, field, ord, parent_kind, anc, scope)
+    # scope = innermost def whose *body* (not signature) holds the node
+    stack = [(tree, None, 0, None, None, None, (), None)]
     pre = 0
     imp_level = "0"
     while stack:
-        node, parent, depth, field, ordn, pkind, anc = stack.pop()
+        node, parent, depth, field, ordn, pkind, anc, scope = stack.pop()
         kind = type(node).__name__
         name = _name_of(node)
         attrs = None
@@ -106,7 +108,7 @@ def _flatten_one(content: str):
                getattr(node, "lineno", None), getattr(node, "end_lineno", None),
                getattr(node, "col_offset", None), getattr(node, "end_col_offset", None),
                text, len(node.values) if isinstance(node, ast.BoolOp) else None,
-               attrs, anc)
+               attrs, anc, scope)
         if isinstance(node, ast.ImportFrom):
             imp_level = str(node.level or 0)
         my_anc = anc + ((pre, kind, name, getattr(node, "lineno", None)),)
@@ -119,8 +121,10 @@ def _flatten_one(content: str):
                 for i, item in enumerate(value):
                     if isinstance(item, ast.AST) and not isinstance(item, _SKIP):
                         children.append((item, fname, i))
+        is_def = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
         for child, fname, i in reversed(children):
-            stack.append((child, pre, depth + 1, fname, i, kind, my_anc))
+            stack.append((child, pre, depth + 1, fname, i, kind, my_anc,
+                          pre if is_def and fname == "body" else scope))
         pre += 1
 
 
@@ -133,6 +137,7 @@ _ARROW_SCHEMA = pa.schema([
     ("attrs", pa.map_(pa.string(), pa.string())),
     ("anc", pa.list_(pa.struct([("pre", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
                                  ("lineno", pa.int32())]))),
+    ("scope", pa.int32()),
 ])
 _COLS = [f.name for f in _ARROW_SCHEMA]
 
@@ -147,6 +152,7 @@ class _Columns:
         self.attr_valid = []
         self.anc = [[], [], [], []]
         self.anc_off = [0]
+        self.scope = []
         self.n = 0
 
     def add(self, repo, path, t):
@@ -167,6 +173,7 @@ class _Columns:
             for j in range(4):
                 self.anc[j].append(a[j])
         self.anc_off.append(len(self.anc[0]))
+        self.scope.append(t[16])
         self.n += 1
 
     def batch(self):
@@ -180,7 +187,8 @@ class _Columns:
              pa.array(self.anc[2], type=pa.string()), pa.array(self.anc[3], type=pa.int32())],
             fields=list(_ARROW_SCHEMA.field("anc").type.value_type))
         anc = pa.ListArray.from_arrays(pa.array(self.anc_off, type=pa.int32()), st)
-        return pa.RecordBatch.from_arrays(arrays + [attrs, anc], schema=_ARROW_SCHEMA)
+        scope = pa.array(self.scope, type=pa.int32())
+        return pa.RecordBatch.from_arrays(arrays + [attrs, anc, scope], schema=_ARROW_SCHEMA)
 
 
 def _flatten_batches(batches, flush_rows: int = 50_000):
@@ -196,7 +204,7 @@ def _flatten_batches(batches, flush_rows: int = 50_000):
                 rows = list(_flatten_one(content))
             except Exception as e:  # noqa: BLE001 - one bad file never fails the job
                 rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
-                         getattr(e, "lineno", None), None, None, None, str(e), None, None, ())]
+                         getattr(e, "lineno", None), None, None, None, str(e), None, None, (), None)]
             for t in rows:
                 out.add(repo, path, t)
             if out.n >= flush_rows:

@@ -44,20 +44,20 @@ def py_imports(nodes: DataFrame) -> DataFrame:
         is_from.alias("is_from_import"),
         parent().lineno.alias("line_no"),
         parent().pre.alias("stmt_pre"),
+        "ord",
     )
 
 
 def py_raw_dependencies(imports: DataFrame) -> DataFrame:
     """Module names a file depends on, as the reference lists them (C8):
     plain imports cut to the first dotted part; relative from-imports get
-    their leading dots back; from-imports without a module are skipped."""
-    plain = imports.filter(~F.col("is_from_import")).select(
-        "repo", "path", F.split_part(F.col("module"), F.lit("."), F.lit(1)).alias("dependency"), "stmt_pre")
-    frm = (imports.filter(F.col("is_from_import") & (F.col("module") != ""))
-                  .select("repo", "path", F.concat(F.repeat(F.lit("."), F.col("level")), F.col("module"))
-                          .alias("dependency"), "stmt_pre")
-                  .dropDuplicates(["repo", "path", "stmt_pre"]))
-    return plain.unionByName(frm).drop("stmt_pre")
+    their leading dots back; from-imports give one entry per statement (its
+    first name row) and are skipped without a module.  Single pass."""
+    frm = F.col("is_from_import")
+    return (imports.filter(~frm | ((F.col("ord") == 0) & (F.col("module") != "")))
+                   .select("repo", "path",
+                           F.when(frm, F.concat(F.repeat(F.lit("."), F.col("level")), F.col("module")))
+                            .otherwise(F.split_part(F.col("module"), F.lit("."), F.lit(1))).alias("dependency")))
 
 
 # ---------------------------------------------------------------- definitions
@@ -67,65 +67,66 @@ def py_functions(nodes: DataFrame) -> DataFrame:
 
     ``owner_class`` is set for methods directly in a class body (C5 /
     ledger Q5); ``args`` are the positional parameters with annotations.
+
+    Single pass: the def row and its parameter, annotation, return and
+    decorator rows all carry the def's position (through ``anc``), so one
+    group-by assembles each function -- one parse, one shuffle, no join.
     """
-    defs = nodes.filter(F.col("kind").isin(DEF_KINDS)).select(
-        "repo", "path", F.col("pre").alias("def_pre"), "name",
-        F.when((parent().kind == "ClassDef") & (F.col("field") == "body"), parent()["name"]).alias("owner_class"),
-        (F.col("kind") == "AsyncFunctionDef").alias("is_async"),
+    kind, field = F.col("kind"), F.col("field")
+    p1, p2, p3 = parent(1), parent(2), parent(3)
+    is_def = kind.isin(DEF_KINDS)
+    is_arg = (kind == "arg") & (field == "args") & (p1.kind == "arguments") & p2.kind.isin(DEF_KINDS)
+    is_ann = (field == "annotation") & (p1.kind == "arg") & (p2.kind == "arguments") & p3.kind.isin(DEF_KINDS)
+    is_ret = (field == "returns") & p1.kind.isin(DEF_KINDS)
+    is_dec = (field == "decorator_list") & p1.kind.isin(DEF_KINDS)
+    key = F.when(is_def, F.col("pre")).when(is_arg, p2.pre).when(is_ann, p3.pre).otherwise(p1.pre)
+    d = F.struct(
+        F.col("name").alias("name"),
+        F.when((p1.kind == "ClassDef") & (field == "body"), p1["name"]).alias("owner_class"),
+        (kind == "AsyncFunctionDef").alias("is_async"),
         F.col("attrs")["docstring"].alias("docstring"),
         F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end"),
         F.col("col").alias("col_start"), F.col("end_col").alias("col_end"))
-
-    # positional args: arg rows under arguments.args; annotation text is the
-    # arg's child in field 'annotation'
-    arg = nodes.filter((F.col("kind") == "arg") & (F.col("field") == "args") &
-                       (parent().kind == "arguments") & parent(2).kind.isin(DEF_KINDS))
-    ann = nodes.filter((F.col("field") == "annotation") & (parent().kind == "arg")).select(
-        "repo", "path", F.col("parent").alias("arg_pre"), F.col("text").alias("type"))
-    args = (arg.select("repo", "path", F.col("pre").alias("arg_pre"), parent(2).pre.alias("def_pre"),
-                       "ord", "name")
-               .join(ann, ["repo", "path", "arg_pre"], "left")
-               .groupBy("repo", "path", "def_pre")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name", "type"))),
-                                lambda s: F.struct(s["name"].alias("name"), s["type"].alias("type")))
-                    .alias("args")))
-    # return annotation and decorators are direct children of the def
-    extra = (nodes.filter(F.col("field").isin("returns", "decorator_list") & parent().kind.isin(DEF_KINDS))
-                  .groupBy("repo", "path", F.col("parent").alias("def_pre"))
-                  .agg(F.max(F.when(F.col("field") == "returns", F.col("text"))).alias("returns"),
-                       F.transform(F.array_sort(F.collect_list(
-                           F.when(F.col("field") == "decorator_list", F.struct("ord", "text")))),
-                           lambda s: s["text"]).alias("decorators")))
-    empty = F.array().cast("array<struct<name:string,type:string>>")
-    return (defs.join(args, ["repo", "path", "def_pre"], "left")
-                .join(extra, ["repo", "path", "def_pre"], "left")
-                .select("repo", "path", "def_pre", "owner_class", "name",
-                        F.coalesce("args", empty).alias("args"), "returns", "docstring",
-                        F.coalesce("decorators", F.array().cast("array<string>")).alias("decorators"),
-                        "is_async", "line_start", "line_end", "col_start", "col_end"))
+    g = (nodes.filter(is_def | is_arg | is_ann | is_ret | is_dec)
+              .groupBy("repo", "path", key.alias("def_pre"))
+              .agg(F.first(F.when(is_def, d), ignorenulls=True).alias("d"),
+                   F.array_sort(F.collect_list(F.when(is_arg, F.struct("pre", "name")))).alias("arg_rows"),
+                   F.map_from_entries(F.collect_list(F.when(is_ann, F.struct(p1.pre, F.col("text"))))).alias("ann"),
+                   F.max(F.when(is_ret, F.col("text"))).alias("returns"),
+                   F.array_sort(F.collect_list(F.when(is_dec, F.struct("ord", "text")))).alias("decs")))
+    args = F.transform("arg_rows", lambda a: F.struct(a["name"].alias("name"),
+                                                      F.element_at(F.col("ann"), a["pre"]).alias("type")))
+    return (g.filter(F.col("d").isNotNull())
+             .select("repo", "path", "def_pre", F.col("d.owner_class").alias("owner_class"),
+                     F.col("d.name").alias("name"), args.alias("args"), "returns",
+                     F.col("d.docstring").alias("docstring"),
+                     F.transform("decs", lambda x: x["text"]).alias("decorators"),
+                     F.col("d.is_async").alias("is_async"), F.col("d.line_start").alias("line_start"),
+                     F.col("d.line_end").alias("line_end"), F.col("d.col_start").alias("col_start"),
+                     F.col("d.col_end").alias("col_end")))
 
 
 def py_classes(nodes: DataFrame) -> DataFrame:
-    """Every class with bases, decorators, docstring and span (C4)."""
-    cls = nodes.filter(F.col("kind") == "ClassDef").select(
-        "repo", "path", F.col("pre").alias("class_pre"), "name",
-        F.col("attrs")["docstring"].alias("docstring"),
-        F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end"),
-        F.col("col").alias("col_start"), F.col("end_col").alias("col_end"))
-    kids = (nodes.filter(F.col("field").isin("bases", "decorator_list") & (parent().kind == "ClassDef"))
-                 .groupBy("repo", "path", F.col("parent").alias("class_pre"))
-                 .agg(F.transform(F.array_sort(F.collect_list(
-                          F.when(F.col("field") == "bases", F.struct("ord", "text")))),
-                          lambda s: s["text"]).alias("base_classes"),
-                      F.transform(F.array_sort(F.collect_list(
-                          F.when(F.col("field") == "decorator_list", F.struct("ord", "text")))),
-                          lambda s: s["text"]).alias("decorators")))
-    e = F.array().cast("array<string>")
-    return (cls.join(kids, ["repo", "path", "class_pre"], "left")
-               .select("repo", "path", "class_pre", "name",
-                       F.coalesce("base_classes", e).alias("base_classes"), "docstring",
-                       F.coalesce("decorators", e).alias("decorators"),
-                       "line_start", "line_end", "col_start", "col_end"))
+    """Every class with bases, decorators, docstring and span (C4), in one
+    group-by keyed by the class position."""
+    kind, field = F.col("kind"), F.col("field")
+    is_cls = kind == "ClassDef"
+    is_kid = field.isin("bases", "decorator_list") & (parent().kind == "ClassDef")
+    c = F.struct(F.col("name").alias("name"), F.col("attrs")["docstring"].alias("docstring"),
+                 F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end"),
+                 F.col("col").alias("col_start"), F.col("end_col").alias("col_end"))
+    g = (nodes.filter(is_cls | is_kid)
+              .groupBy("repo", "path", F.when(is_cls, F.col("pre")).otherwise(parent().pre).alias("class_pre"))
+              .agg(F.first(F.when(is_cls, c), ignorenulls=True).alias("c"),
+                   F.array_sort(F.collect_list(F.when(field == "bases", F.struct("ord", "text")))).alias("b"),
+                   F.array_sort(F.collect_list(F.when(field == "decorator_list", F.struct("ord", "text"))))
+                   .alias("dd")))
+    return (g.filter(F.col("c").isNotNull())
+             .select("repo", "path", "class_pre", F.col("c.name").alias("name"),
+                     F.transform("b", lambda x: x["text"]).alias("base_classes"),
+                     F.col("c.docstring").alias("docstring"),
+                     F.transform("dd", lambda x: x["text"]).alias("decorators"),
+                     *[F.col("c." + k).alias(k) for k in ("line_start", "line_end", "col_start", "col_end")]))
 
 
 def py_variables(nodes: DataFrame) -> DataFrame:
@@ -170,19 +171,26 @@ def py_file_calls(nodes: DataFrame) -> DataFrame:
 def py_complexity(nodes: DataFrame) -> DataFrame:
     """Cyclomatic complexity per def (I4): 1 + branches + extra boolean
     operands over every descendant, nested defs included (as the reference
-    walks them)."""
-    w = (F.when(F.col("kind").isin("If", "While", "For", "Match", "ExceptHandler"), F.lit(1))
-          .when(F.col("kind") == "BoolOp", F.col("n_values") - 1).otherwise(F.lit(0)))
-    contrib = (nodes.select("repo", "path", w.alias("w"), "anc").filter("w > 0")
-                    .select("repo", "path", "w",
-                            F.explode(F.filter("anc", lambda a: a.kind.isin(DEF_KINDS))).alias("d"))
-                    .groupBy("repo", "path", F.col("d").pre.alias("def_pre"))
-                    .agg(F.sum("w").alias("w")))
-    defs = nodes.filter(F.col("kind").isin(DEF_KINDS)).select(
-        "repo", "path", F.col("pre").alias("def_pre"), "name", F.col("lineno").alias("line_start"))
-    return (defs.join(contrib, ["repo", "path", "def_pre"], "left")
+    walks them).  Each weighted node is credited to all of its enclosing
+    defs through ``anc``; def rows carry name and line -- one group-by."""
+    kind = F.col("kind")
+    is_def = kind.isin(DEF_KINDS)
+    w = (F.when(kind.isin("If", "While", "For", "Match", "ExceptHandler"), F.lit(1))
+          .when(kind == "BoolOp", F.col("n_values") - 1).otherwise(F.lit(0)))
+    me = F.array(F.struct(F.col("pre").alias("k"), F.col("name").alias("name"),
+                          F.col("lineno").alias("line"), F.lit(0).alias("w")))
+    up = F.transform(F.filter("anc", lambda a: a.kind.isin(DEF_KINDS)),
+                     lambda a: F.struct(a.pre.alias("k"), F.lit(None).cast("string").alias("name"),
+                                        F.lit(None).cast("int").alias("line"), w.alias("w")))
+    rows = (nodes.filter(is_def | (w > 0))
+                 .select("repo", "path", F.explode(F.when(is_def, me).otherwise(up)).alias("e")))
+    return (rows.groupBy("repo", "path", F.col("e.k").alias("def_pre"))
+                .agg(F.first("e.name", ignorenulls=True).alias("name"),
+                     F.first("e.line", ignorenulls=True).alias("line_start"),
+                     F.sum("e.w").alias("w"))
+                .filter(F.col("name").isNotNull())
                 .select("repo", "path", "def_pre", "name", "line_start",
-                        (F.lit(1) + F.coalesce("w", F.lit(0))).cast("int").alias("complexity")))
+                        (F.lit(1) + F.col("w")).cast("int").alias("complexity")))
 
 
 def py_nesting(nodes: DataFrame) -> DataFrame:
@@ -194,11 +202,14 @@ def py_nesting(nodes: DataFrame) -> DataFrame:
                          (F.size(F.filter("anc", lambda a: a.kind.isin(loops))) + 1).alias("depth")))
 
 
-def file_definition_counts(files: DataFrame, functions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Functions (outside classes) and classes per file, zero-filled."""
-    fn = functions.filter(F.col("owner_class").isNull()).groupBy("repo", "path").agg(
-        F.count(F.lit(1)).alias("n_functions"))
-    cl = classes.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("n_classes"))
-    return (files.select("repo", "path").join(fn, ["repo", "path"], "left").join(cl, ["repo", "path"], "left")
+def file_definition_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Functions (outside class bodies) and classes per file, zero-filled (I3):
+    one group-by over the node rows, left-joined to the file list."""
+    kind = F.col("kind")
+    is_fn = kind.isin(DEF_KINDS) & ~((parent().kind == "ClassDef") & (F.col("field") == "body"))
+    cnt = (nodes.filter(kind.isin(DEF_KINDS + ["ClassDef"]))
+                .groupBy("repo", "path")
+                .agg(F.count_if(is_fn).alias("n_functions"), F.count_if(kind == "ClassDef").alias("n_classes")))
+    return (files.select("repo", "path").join(cnt, ["repo", "path"], "left")
                  .select("repo", "path", F.coalesce("n_functions", F.lit(0)).cast("bigint").alias("n_functions"),
                          F.coalesce("n_classes", F.lit(0)).cast("bigint").alias("n_classes")))

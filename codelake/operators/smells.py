@@ -70,9 +70,43 @@ def smell_deep_nesting(nodes: DataFrame, max_depth: int = _t("max_nesting_depth"
 
 
 def python_smells(nodes: DataFrame) -> DataFrame:
-    """All Python smells (K3 union of L1-L4)."""
-    return (smell_long_method(nodes).unionByName(smell_too_many_parameters(nodes))
-            .unionByName(smell_deep_nesting(nodes)).unionByName(smell_large_class(nodes)))
+    """All Python smells (L1-L4) in one pass: def, class and loop rows plus
+    the non-``self`` parameter rows keyed to their def; one group-by, then
+    each group emits the smells it has."""
+    kind, field = F.col("kind"), F.col("field")
+    loops = ["If", "For", "While"]
+    is_def, is_cls, is_loop = kind.isin(P.DEF_KINDS), kind == "ClassDef", kind.isin(loops)
+    is_arg = ((kind == "arg") & (field == "args") & (P.parent().kind == "arguments") &
+              P.parent(2).kind.isin(P.DEF_KINDS) & (F.col("name") != "self"))
+    key = F.when(is_arg, P.parent(2).pre).otherwise(F.col("pre"))
+    own = F.struct(F.col("kind").alias("kind"), F.col("name").alias("name"), F.col("lineno").alias("line"),
+                   (F.col("end_lineno") - F.col("lineno")).alias("length"),
+                   (F.size(F.filter("anc", lambda a: a.kind.isin(loops))) + 1).alias("depth"))
+    g = (nodes.filter(is_def | is_cls | is_loop | is_arg)
+              .groupBy("repo", "path", key.alias("k"))
+              .agg(F.first(F.when(~is_arg, own), ignorenulls=True).alias("o"),
+                   F.count_if(is_arg).alias("n_args")))
+    o = F.col("o")
+    t = K.SMELL_THRESHOLDS
+    none = F.lit(None).cast("string")
+
+    def smell(cond, typ, name, message):
+        return F.when(cond, F.struct(F.lit(typ).alias("type"), name.alias("name"), message.alias("message")))
+
+    cands = F.array(
+        smell(o.kind.isin(P.DEF_KINDS) & (o.length > t["max_function_length"]), "Long Method", o["name"],
+              _fmt(K.MSG_LONG_METHOD, n=o.length, m=F.lit(t["max_function_length"]))),
+        smell(o.kind.isin(P.DEF_KINDS) & (F.col("n_args") > t["max_parameters"]), "Too Many Parameters",
+              o["name"], _fmt(K.MSG_TOO_MANY_PARAMS, n=F.col("n_args"), m=F.lit(t["max_parameters"]))),
+        smell(o.kind.isin(loops) & (o.depth > t["max_nesting_depth"]), "Deep Nesting", none,
+              _fmt(K.MSG_DEEP_NESTING, n=o.depth, m=F.lit(t["max_nesting_depth"]))),
+        smell((o.kind == "ClassDef") & (o.length > t["max_class_length"]), "Large Class", o["name"],
+              _fmt(K.MSG_LARGE_CLASS, n=o.length, m=F.lit(t["max_class_length"]))))
+    return (g.filter(o.isNotNull())
+             .select("repo", "path", F.col("o.line").alias("line"),
+                     F.explode(F.filter(cands, lambda x: x.isNotNull())).alias("s"))
+             .select("repo", "path", F.col("s.type").alias("type"), F.col("s.name").alias("name"), "line",
+                     F.col("s.message").alias("message")))
 
 
 # ---------------------------------------------------------------- line smells

@@ -135,7 +135,7 @@ select repo, concat('sup/s_', k, '.py'), concat('s_', k + 8), 'go', null, 1, tru
 
 @register("py_imports", ORACLE_IMPORTS)
 def q_py_imports(spark, sf):
-    return P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel")).drop("stmt_pre")
+    return P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel")).drop("stmt_pre", "ord")
 
 
 ORACLE_RAW_DEPS = with_(KNOBS_PY, KNOBS_SUP) + """
@@ -210,7 +210,7 @@ def q_file_definition_counts(spark, sf):
     files = files_of(spark, sf, "corpus_py", "corpus_nations")
     from codelake.operators.pyast import py_nodes
     nodes = py_nodes(files)
-    return P.file_definition_counts(files, P.py_functions(nodes), P.py_classes(nodes))
+    return P.file_definition_counts(files, nodes)
 
 
 ORACLE_PY_PATTERNS = with_(KNOBS_PY) + """
