@@ -87,3 +87,4 @@ def with_(*parts: str) -> str:
 # import the query modules so their @register calls run
 from codelake.plans import q_python  # noqa: E402,F401
 from codelake.plans import q_link  # noqa: E402,F401
+from codelake.plans import q_lines  # noqa: E402,F401

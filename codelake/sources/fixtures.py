@@ -144,6 +144,17 @@ CORPORA = {
 }
 
 
+def _escape(text: str, tables) -> str:
+    """Double literal braces so only ``{table}`` placeholders are formatted."""
+    out = text.replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        out = out.replace("{{" + t + "}}", "{" + t + "}")
+    return out
+
+
+CORPORA = {k: (_escape(v[0], v[1]), v[1]) for k, v in CORPORA.items()}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
