@@ -56,7 +56,7 @@ def structure_nodes(files: DataFrame) -> DataFrame:
     """A4: every directory and file as an adjacency row.
 
     ``parts[1..i]`` for i = 1..n gives each prefix; directories repeat
-    across files, so rows are de-duplicated per ``(repo, path)`` -- a
+    across files, so rows are de-duplicated per ``(repo, path, is_dir)`` -- a
     shuffle keyed on the node path, with map-side partial dedup.  The repo
     root is level 0 with an empty path.
     """
@@ -80,7 +80,10 @@ def structure_nodes(files: DataFrame) -> DataFrame:
                                           lambda p: F.concat(F.lit("0"), p, F.lit("\u0001"))), ""),
                  F.when(is_file, F.lit("1")).otherwise(F.lit("0")),
                  F.element_at("parts", F.col("i")), F.lit("\u0001")).alias("tree_key"))
-    nodes = nodes.dropDuplicates(["repo", "path"])
+    # a path can name both a file and a directory (URL-derived trees):
+    # the node identity is (repo, path, is_dir), which keeps the result
+    # deterministic
+    nodes = nodes.dropDuplicates(["repo", "path", "is_dir"])
     roots = files.select("repo").distinct().select(
         "repo", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_path"),
         F.col("repo").alias("name"), F.lit(True).alias("is_dir"), F.lit(0).alias("level"),

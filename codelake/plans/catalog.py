@@ -88,3 +88,4 @@ def with_(*parts: str) -> str:
 from codelake.plans import q_python  # noqa: E402,F401
 from codelake.plans import q_link  # noqa: E402,F401
 from codelake.plans import q_lines  # noqa: E402,F401
+from codelake.plans import q_structure  # noqa: E402,F401
