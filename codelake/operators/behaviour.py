@@ -158,7 +158,10 @@ def _var_level(rows: DataFrame) -> DataFrame:
 
 def analyse(nodes: DataFrame):
     """Return ``(behaviour, variable_flow, control_flow)`` DataFrames."""
-    rows = _rows(nodes)
+    # the fact stream feeds three branches: write it once to the shared
+    # checkpoint folder (it stays hash-partitioned by file)
+    from codelake.session import materialize
+    rows = materialize(_rows(nodes))
     vars_ = _var_level(rows)
     per_def_vars = (vars_.groupBy("repo", "path", "def")
                          .agg(F.flatten(F.collect_list("se")).alias("var_se"),

@@ -19,6 +19,8 @@ _DEFAULTS = {
     # rows of the flatten job carry whole files: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
+    # checkpoint files of tables that went out of scope are removed
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -60,3 +62,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Write a table that several branches of one plan read to the shared
+    checkpoint folder (reliable ``checkpoint``; never a machine-local
+    cache), so its producer -- e.g. the syntax-tree flatten -- runs once and
+    a lost executor re-reads files instead of re-parsing."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
