@@ -1,0 +1,2 @@
+"""Streaming: the analysed tool has no streaming, watermark or incremental
+code, so nothing is owed here (SURVEY §2.O)."""
