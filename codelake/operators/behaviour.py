@@ -3,7 +3,7 @@
 The owner of a node is the innermost def whose body holds it (``scope``,
 ledger Q18).  Facts that the analysed tool gathers by walking the whole def
 subtree (generators, recursion, exit points) are credited to every enclosing
-def through ``anc``.
+def through ``defs``.
 
 Plan shape: the relevant node rows are hash-partitioned once on
 ``(repo, path)``; every later group-by / window / join is keyed by a superset
@@ -26,7 +26,7 @@ def _rows(nodes: DataFrame) -> DataFrame:
     """One stream of keyed facts: ``(repo, path, def, var, <fact structs>)``."""
     kind, field, name, scope = F.col("kind"), F.col("field"), F.col("name"), F.col("scope")
     p1, p2, p3 = parent(1), parent(2), parent(3)
-    defs_up = F.filter("anc", lambda a: a.kind.isin(DEF_KINDS))
+    defs_up = F.col("defs")
     nul = F.lit(None)
 
     name_ev = (kind == "Name") & scope.isNotNull()

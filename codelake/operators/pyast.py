@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, IntegerType, MapType, StringType, StructField,
                                StructType)
 
-ANC_TYPE = ArrayType(StructType([
+ANC_TYPE = StructType([
     StructField("pre", IntegerType()), StructField("kind", StringType()),
-    StructField("name", StringType()), StructField("lineno", IntegerType())]))
+    StructField("name", StringType()), StructField("lineno", IntegerType())])
+DEFS_TYPE = ArrayType(StructType([StructField("pre", IntegerType()), StructField("name", StringType())]))
 
 PY_NODES_SCHEMA = StructType([
     StructField("repo", StringType()), StructField("path", StringType()),
@@ -35,35 +36,45 @@ PY_NODES_SCHEMA = StructType([
     StructField("col", IntegerType()), StructField("end_col", IntegerType()),
     StructField("text", StringType()), StructField("n_values", IntegerType()),
     StructField("attrs", MapType(StringType(), StringType())),
-    StructField("anc", ANC_TYPE),
+    StructField("p1", ANC_TYPE), StructField("p2", ANC_TYPE), StructField("p3", ANC_TYPE),
+    StructField("defs", DEFS_TYPE),
+    StructField("n_loops", IntegerType()), StructField("n_scopes", IntegerType()),
     StructField("scope", IntegerType()),
 ])
 
 # node roles whose source text is reported (annotations, return types,
 # decorators, bases, conditions, loop heads, assigned values)
-_TEXT_FIELDS = {"annotation", "returns", "decorator_list", "bases", "test", "iter"}
-_SKIP = (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)
-_DOC_KINDS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Module)
-
-
-def _name_of(node):
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-        return node.name
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        return node.attr
-    if isinstance(node, ast.alias):
-        return node.name
-    if isinstance(node, (ast.arg, ast.keyword)):
-        return node.arg
-    if isinstance(node, ast.ImportFrom):
-        return node.module or ""
-    if isinstance(node, (ast.Global, ast.Nonlocal)):
-        return ",".join(node.names)
-    if isinstance(node, ast.ExceptHandler):
-        return node.name
-    return None
+_TEXT_FIELDS = frozenset({"annotation", "returns", "decorator_list", "bases", "test", "iter"})
+
+
+def _all_subclasses(cls):
+    out = set()
+    for c in cls.__subclasses__():
+        out.add(c)
+        out |= _all_subclasses(c)
+    return out
+
+
+# context / operator singletons carry no facts: not emitted
+_SKIP = frozenset().union(*[_all_subclasses(c) for c in
+                            (ast.expr_context, ast.operator, ast.boolop, ast.cmpop, ast.unaryop)])
+_DOC_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef", "ClassDef", "Module"})
+_DEF_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef"})
+# node kinds the operators read as rows; other expression nodes (constants,
+# calls, operators, ``arguments``...) are still walked -- their facts reach
+# their children through p1-p3 -- but only emitted when they carry reported
+# text or sit in a statement list
+KEEP_KINDS = frozenset({
+    "Name", "Attribute", "arg", "alias", "FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda",
+    "If", "For", "AsyncFor", "While", "With", "AsyncWith", "Match", "Try", "TryStar", "ExceptHandler",
+    "BoolOp", "Return", "Yield", "YieldFrom", "Await", "Global", "Nonlocal", "Import", "ImportFrom",
+    "Assign", "AnnAssign", "AugAssign"})
+_STMT_FIELDS = frozenset({"body", "orelse", "handlers", "finalbody"})
+_LOOP_KINDS = frozenset({"If", "For", "While"})
+_SCOPE_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda"})
+_NAME_ATTR = {"FunctionDef": "name", "AsyncFunctionDef": "name", "ClassDef": "name", "Name": "id",
+              "Attribute": "attr", "alias": "name", "arg": "arg", "keyword": "arg", "ExceptHandler": "name"}
+_CTX_NAME = {c: c.__name__ for c in _all_subclasses(ast.expr_context)}
 
 
 def _unparse(node):
@@ -73,61 +84,91 @@ def _unparse(node):
         return None
 
 
-def _flatten_one(content: str):
-    """Yield node tuples of one file in pre-order (iter_child_nodes order)."""
+def _flatten_one(content: str, all_nodes: bool = False):
+    """Node tuples of one file in pre-order (``iter_child_nodes`` order).
+
+    Tuple layout: pre, parent, depth, field, ord, kind, name, ctx, lineno,
+    end_lineno, col, end_col, text, n_values, attrs, up, defs, n_loops,
+    n_scopes, scope.  ``up`` holds the nearest three ancestors as
+    (pre, kind, name, lineno), nearest last; ``defs`` the enclosing defs as
+    (pre, name), outermost first; ``n_loops`` / ``n_scopes`` count enclosing
+    if/for/while and def/class/lambda nodes.
+    """
     tree = ast.parse(content)
-    # stack items: (node, parent_pre, depth, field, ord, parent_kind, anc, scope)
-    # scope = innermost def whose *body* (not signature) holds the node
-    stack = [(tree, None, 0, None, None, None, (), None)]
+    out = []
+    append = out.append
+    # stack items: (node, parent_pre, depth, field, ord, parent_kind, up, defs,
+    # n_loops, n_scopes, scope); scope = innermost def whose *body* (not
+    # signature) holds the node
+    stack = [(tree, None, 0, None, None, None, (), (), 0, 0, None)]
+    pop, push = stack.pop, stack.append
     pre = 0
     imp_level = "0"
+    skip = _SKIP
     while stack:
-        node, parent, depth, field, ordn, pkind, anc, scope = stack.pop()
+        node, parent, depth, field, ordn, pkind, up, defs, n_loops, n_scopes, scope = pop()
         kind = type(node).__name__
-        name = _name_of(node)
+        na = _NAME_ATTR.get(kind)
+        if na is not None:
+            name = getattr(node, na)
+        elif kind == "ImportFrom":
+            name = node.module or ""
+            imp_level = str(node.level or 0)
+        elif kind == "Global" or kind == "Nonlocal":
+            name = ",".join(node.names)
+        else:
+            name = None
         attrs = None
-        if isinstance(node, _DOC_KINDS):
+        if kind in _DOC_KINDS:
             doc = ast.get_docstring(node)
             if doc is not None:
                 attrs = {"docstring": doc}
-        if isinstance(node, ast.alias):
+        elif kind == "alias":
             attrs = {"asname": node.asname} if node.asname else {}
             if pkind == "ImportFrom":
-                attrs["module"] = anc[-1][2]
+                attrs["module"] = up[-1][2]
                 attrs["level"] = imp_level
             attrs = attrs or None
-        elif isinstance(node, ast.ImportFrom):
-            attrs = {"level": str(node.level or 0)}
+        elif kind == "ImportFrom":
+            attrs = {"level": imp_level}
         text = None
-        if field in _TEXT_FIELDS or (field == "value" and pkind in ("Assign", "AnnAssign")) or \
-                (field == "target" and pkind in ("For", "AsyncFor")):
+        if field in _TEXT_FIELDS or (field == "value" and (pkind == "Assign" or pkind == "AnnAssign")) or \
+                (field == "target" and (pkind == "For" or pkind == "AsyncFor")):
             text = _unparse(node)
         ctx = getattr(node, "ctx", None)
-        yield (pre, parent, depth, field, ordn, kind, name,
-               type(ctx).__name__ if ctx is not None else None,
-               getattr(node, "lineno", None), getattr(node, "end_lineno", None),
-               getattr(node, "col_offset", None), getattr(node, "end_col_offset", None),
-               text, len(node.values) if isinstance(node, ast.BoolOp) else None,
-               attrs, anc, scope)
-        if isinstance(node, ast.ImportFrom):
-            imp_level = str(node.level or 0)
-        my_anc = anc + ((pre, kind, name, getattr(node, "lineno", None)),)
+        lineno = getattr(node, "lineno", None)
+        if all_nodes or kind in KEEP_KINDS or text is not None or field in _STMT_FIELDS:
+            append((pre, parent, depth, field, ordn, kind, name,
+                    _CTX_NAME.get(type(ctx)) if ctx is not None else None,
+                    lineno, getattr(node, "end_lineno", None),
+                    getattr(node, "col_offset", None), getattr(node, "end_col_offset", None),
+                    text, len(node.values) if kind == "BoolOp" else None, attrs, up, defs, n_loops,
+                    n_scopes, scope))
+        my_up = (up + ((pre, kind, name, lineno),))[-3:]
+        is_def = kind in _DEF_KINDS
+        my_defs = defs + ((pre, name),) if is_def else defs
+        my_loops = n_loops + 1 if kind in _LOOP_KINDS else n_loops
+        my_scopes = n_scopes + 1 if kind in _SCOPE_KINDS else n_scopes
         children = []
-        for fname, value in ast.iter_fields(node):
-            if isinstance(value, ast.AST):
-                if not isinstance(value, _SKIP):
-                    children.append((value, fname, 0))
-            elif isinstance(value, list):
+        for fname in node._fields:
+            value = getattr(node, fname, None)
+            if value is None:
+                continue
+            if type(value) is list:
                 for i, item in enumerate(value):
-                    if isinstance(item, ast.AST) and not isinstance(item, _SKIP):
+                    if isinstance(item, ast.AST) and type(item) not in skip:
                         children.append((item, fname, i))
-        is_def = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef))
+            elif isinstance(value, ast.AST) and type(value) not in skip:
+                children.append((value, fname, 0))
+        d1 = depth + 1
         for child, fname, i in reversed(children):
-            stack.append((child, pre, depth + 1, fname, i, kind, my_anc,
-                          pre if is_def and fname == "body" else scope))
+            push((child, pre, d1, fname, i, kind, my_up, my_defs, my_loops, my_scopes,
+                  pre if is_def and fname == "body" else scope))
         pre += 1
+    return out
 
 
+_P_ARROW = pa.struct([("pre", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("lineno", pa.int32())])
 _ARROW_SCHEMA = pa.schema([
     ("repo", pa.string()), ("path", pa.string()), ("pre", pa.int32()), ("parent", pa.int32()),
     ("depth", pa.int32()), ("field", pa.string()), ("ord", pa.int32()), ("kind", pa.string()),
@@ -135,86 +176,77 @@ _ARROW_SCHEMA = pa.schema([
     ("end_lineno", pa.int32()), ("col", pa.int32()), ("end_col", pa.int32()),
     ("text", pa.string()), ("n_values", pa.int32()),
     ("attrs", pa.map_(pa.string(), pa.string())),
-    ("anc", pa.list_(pa.struct([("pre", pa.int32()), ("kind", pa.string()), ("name", pa.string()),
-                                 ("lineno", pa.int32())]))),
+    ("p1", _P_ARROW), ("p2", _P_ARROW), ("p3", _P_ARROW),
+    ("defs", pa.list_(pa.struct([("pre", pa.int32()), ("name", pa.string())]))),
+    ("n_loops", pa.int32()), ("n_scopes", pa.int32()),
     ("scope", pa.int32()),
 ])
 _COLS = [f.name for f in _ARROW_SCHEMA]
 
 
-class _Columns:
-    """Column buffers for one output batch; the ancestor chains are kept
-    flat (values + offsets) so no per-node Python objects are built."""
-
-    def __init__(self):
-        self.cols = [[] for _ in _COLS[:16]]
-        self.attr_keys, self.attr_vals, self.attr_off = [], [], [0]
-        self.attr_valid = []
-        self.anc = [[], [], [], []]
-        self.anc_off = [0]
-        self.scope = []
-        self.n = 0
-
-    def add(self, repo, path, t):
-        c = self.cols
-        c[0].append(repo)
-        c[1].append(path)
-        for i in range(14):
-            c[i + 2].append(t[i])
-        attrs = t[14]
-        if attrs:
-            self.attr_keys.extend(attrs.keys())
-            self.attr_vals.extend(attrs.values())
-            self.attr_valid.append(True)
-        else:
-            self.attr_valid.append(False)
-        self.attr_off.append(len(self.attr_keys))
-        for a in t[15]:
-            for j in range(4):
-                self.anc[j].append(a[j])
-        self.anc_off.append(len(self.anc[0]))
-        self.scope.append(t[16])
-        self.n += 1
-
-    def batch(self):
-        arrays = [pa.array(self.cols[i], type=_ARROW_SCHEMA.field(i).type) for i in range(16)]
-        mask = pa.array([not v for v in self.attr_valid], type=pa.bool_())
-        attrs = pa.MapArray.from_arrays(pa.array(self.attr_off, type=pa.int32()),
-                                        pa.array(self.attr_keys, type=pa.string()),
-                                        pa.array(self.attr_vals, type=pa.string()), mask=mask)
-        st = pa.StructArray.from_arrays(
-            [pa.array(self.anc[0], type=pa.int32()), pa.array(self.anc[1], type=pa.string()),
-             pa.array(self.anc[2], type=pa.string()), pa.array(self.anc[3], type=pa.int32())],
-            fields=list(_ARROW_SCHEMA.field("anc").type.value_type))
-        anc = pa.ListArray.from_arrays(pa.array(self.anc_off, type=pa.int32()), st)
-        scope = pa.array(self.scope, type=pa.int32())
-        return pa.RecordBatch.from_arrays(arrays + [attrs, anc, scope], schema=_ARROW_SCHEMA)
-
-
-def _flatten_batches(batches, flush_rows: int = 50_000):
+def _batch(repos, paths, rows):
+    """Transpose node tuples into one Arrow batch with C-level loops; the
+    ancestor chains become flat child arrays plus offsets."""
+    from itertools import accumulate, chain
+    cols = list(zip(*rows))
+    arrays = [pa.array(repos, type=pa.string()), pa.array(paths, type=pa.string())]
+    for i in range(14):
+        arrays.append(pa.array(cols[i], type=_ARROW_SCHEMA.field(i + 2).type))
+    attrs = cols[14]
+    valid = [a is not None for a in attrs]
+    keys = list(chain.from_iterable(a.keys() for a in attrs if a))
+    vals = list(chain.from_iterable(a.values() for a in attrs if a))
+    aoff = [0, *accumulate(len(a) if a else 0 for a in attrs)]
+    arrays.append(pa.MapArray.from_arrays(pa.array(aoff, type=pa.int32()), pa.array(keys, type=pa.string()),
+                                          pa.array(vals, type=pa.string()),
+                                          mask=pa.array([not v for v in valid], type=pa.bool_())))
+    ups = cols[15]
+    none4 = (None, None, None, None)
+    for k in (1, 2, 3):
+        ps = [u[-k] if len(u) >= k else none4 for u in ups]
+        f = list(zip(*ps))
+        arrays.append(pa.StructArray.from_arrays(
+            [pa.array(f[0], type=pa.int32()), pa.array(f[1], type=pa.string()),
+             pa.array(f[2], type=pa.string()), pa.array(f[3], type=pa.int32())],
+            fields=list(_P_ARROW), mask=pa.array([len(u) < k for u in ups], type=pa.bool_())))
+    defs = cols[16]
+    flat = list(chain.from_iterable(defs))
+    f = list(zip(*flat)) if flat else [[], []]
+    st = pa.StructArray.from_arrays([pa.array(f[0], type=pa.int32()), pa.array(f[1], type=pa.string())],
+                                    fields=list(_ARROW_SCHEMA.field("defs").type.value_type))
+    arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, defs))], type=pa.int32()), st))
+    arrays.append(pa.array(cols[17], type=pa.int32()))
+    arrays.append(pa.array(cols[18], type=pa.int32()))
+    arrays.append(pa.array(cols[19], type=pa.int32()))
+    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
+
+
+def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False):
     for batch in batches:
         repos = batch.column("repo").to_pylist()
         paths = batch.column("path").to_pylist()
         contents = batch.column("content").to_pylist()
-        out = _Columns()
+        r_out, p_out, rows = [], [], []
         for repo, path, content in zip(repos, paths, contents):
             if content is None:
                 continue
             try:
-                rows = list(_flatten_one(content))
+                file_rows = _flatten_one(content, all_nodes)
             except Exception as e:  # noqa: BLE001 - one bad file never fails the job
-                rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
-                         getattr(e, "lineno", None), None, None, None, str(e), None, None, (), None)]
-            for t in rows:
-                out.add(repo, path, t)
-            if out.n >= flush_rows:
-                yield out.batch()
-                out = _Columns()
-        if out.n:
-            yield out.batch()
-
-
-def py_nodes(files: DataFrame) -> DataFrame:
+                file_rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
+                              getattr(e, "lineno", None), None, None, None, str(e), None, None, (), (), 0, 0,
+                              None)]
+            rows.extend(file_rows)
+            r_out.extend([repo] * len(file_rows))
+            p_out.extend([path] * len(file_rows))
+            if len(rows) >= flush_rows:
+                yield _batch(r_out, p_out, rows)
+                r_out, p_out, rows = [], [], []
+        if rows:
+            yield _batch(r_out, p_out, rows)
+
+
+def py_nodes(files: DataFrame, all_nodes: bool = False) -> DataFrame:
     """Flatten every Python file of ``files`` into syntax-node rows.
 
     The flatten is a narrow ``mapInArrow`` stage over the scan splits: no
@@ -222,6 +254,8 @@ def py_nodes(files: DataFrame) -> DataFrame:
     """
     src = (files.filter((F.col("language") == "python") & F.col("content").isNotNull())
                 .select("repo", "path", "content"))
+    if all_nodes:
+        return src.mapInArrow(lambda it: _flatten_batches(it, all_nodes=True), PY_NODES_SCHEMA)
     return src.mapInArrow(_flatten_batches, PY_NODES_SCHEMA)
 
 

@@ -1,7 +1,7 @@
 """Python facts over ``py_nodes`` (C1-C9, I3, I4, J7) -- all DataFrame code.
 
-Conventions: ``anc`` is the ancestor chain root -> parent, so
-``try_element_at(anc, -1)`` is the parent and ``-2`` the grandparent.  A
+Conventions: ``p1``/``p2``/``p3`` are the parent, grandparent and
+great-grandparent structs of a node, ``defs`` its enclosing defs.  A
 definition is keyed by ``(repo, path, def_pre)``: node position, not name
 (ledger Q3), so same-named functions never collide.
 """
@@ -16,8 +16,8 @@ SCOPE_KINDS = ["FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda"]
 
 
 def parent(i: int = 1):
-    """Ancestor ``i`` levels up (1 = parent) as a struct column."""
-    return F.try_element_at(F.col("anc"), F.lit(-i))
+    """Ancestor ``i`` levels up (1 = parent, up to 3) as a struct column."""
+    return F.col(f"p{i}")
 
 
 def _ordered_texts(col_ord, col_text):
@@ -69,7 +69,7 @@ def py_functions(nodes: DataFrame) -> DataFrame:
     ledger Q5); ``args`` are the positional parameters with annotations.
 
     Single pass: the def row and its parameter, annotation, return and
-    decorator rows all carry the def's position (through ``anc``), so one
+    decorator rows all carry the def's position (``p1``-``p3``), so one
     group-by assembles each function -- one parse, one shuffle, no join.
     """
     kind, field = F.col("kind"), F.col("field")
@@ -137,7 +137,6 @@ def py_variables(nodes: DataFrame) -> DataFrame:
     def/class/lambda (ledger Q5).
     """
     kids = nodes.filter((parent().kind == "Assign") & F.col("field").isin("targets", "value"))
-    outer = F.slice(F.col("anc"), 1, F.size("anc") - 1)  # the Assign's own ancestors
     agg = (kids.groupBy("repo", "path", F.col("parent").alias("assign_pre"))
                .agg(F.min_by(F.when((F.col("field") == "targets") & (F.col("kind") == "Name"), F.col("name")),
                              F.when((F.col("field") == "targets") & (F.col("kind") == "Name"), F.col("ord")))
@@ -145,13 +144,14 @@ def py_variables(nodes: DataFrame) -> DataFrame:
                     F.max(F.when(F.col("field") == "value", F.col("text"))).alias("value"),
                     F.first(parent().lineno).alias("line_start"),
                     F.max(F.when(F.col("field") == "value", F.col("end_lineno"))).alias("line_end"),
-                    F.first(outer).alias("outer")))
-    scope = (F.when(F.try_element_at("outer", F.lit(-1)).kind == "ClassDef", F.lit("class"))
-              .when(~F.exists("outer", lambda a: a.kind.isin(SCOPE_KINDS)), F.lit("module")))
+                    F.first(parent(2)).alias("outer"), F.first("n_scopes").alias("n_scopes")))
+    # the Assign's parent is the child's grandparent; Assign itself is no scope
+    scope = (F.when(F.col("outer").kind == "ClassDef", F.lit("class"))
+              .when(F.col("n_scopes") == 0, F.lit("module")))
     return (agg.filter(F.col("name").isNotNull())
                .select("repo", "path", "assign_pre", "name", F.lit(None).cast("string").alias("type_hint"),
                        "value", scope.alias("scope"),
-                       F.when(scope == "class", F.try_element_at("outer", F.lit(-1))["name"]).alias("owner_class"),
+                       F.when(scope == "class", F.col("outer")["name"]).alias("owner_class"),
                        "line_start", "line_end")
                .filter(F.col("scope").isNotNull()))
 
@@ -172,14 +172,14 @@ def py_complexity(nodes: DataFrame) -> DataFrame:
     """Cyclomatic complexity per def (I4): 1 + branches + extra boolean
     operands over every descendant, nested defs included (as the reference
     walks them).  Each weighted node is credited to all of its enclosing
-    defs through ``anc``; def rows carry name and line -- one group-by."""
+    defs through ``defs``; def rows carry name and line -- one group-by."""
     kind = F.col("kind")
     is_def = kind.isin(DEF_KINDS)
     w = (F.when(kind.isin("If", "While", "For", "Match", "ExceptHandler"), F.lit(1))
           .when(kind == "BoolOp", F.col("n_values") - 1).otherwise(F.lit(0)))
     me = F.array(F.struct(F.col("pre").alias("k"), F.col("name").alias("name"),
                           F.col("lineno").alias("line"), F.lit(0).alias("w")))
-    up = F.transform(F.filter("anc", lambda a: a.kind.isin(DEF_KINDS)),
+    up = F.transform("defs",
                      lambda a: F.struct(a.pre.alias("k"), F.lit(None).cast("string").alias("name"),
                                         F.lit(None).cast("int").alias("line"), w.alias("w")))
     rows = (nodes.filter(is_def | (w > 0))
@@ -199,7 +199,7 @@ def py_nesting(nodes: DataFrame) -> DataFrame:
     loops = ["If", "For", "While"]
     return (nodes.filter(F.col("kind").isin(loops))
                  .select("repo", "path", "pre", "kind", F.col("lineno").alias("line"),
-                         (F.size(F.filter("anc", lambda a: a.kind.isin(loops))) + 1).alias("depth")))
+                         (F.col("n_loops") + 1).alias("depth")))
 
 
 def file_definition_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -81,7 +81,7 @@ def python_smells(nodes: DataFrame) -> DataFrame:
     key = F.when(is_arg, P.parent(2).pre).otherwise(F.col("pre"))
     own = F.struct(F.col("kind").alias("kind"), F.col("name").alias("name"), F.col("lineno").alias("line"),
                    (F.col("end_lineno") - F.col("lineno")).alias("length"),
-                   (F.size(F.filter("anc", lambda a: a.kind.isin(loops))) + 1).alias("depth"))
+                   (F.col("n_loops") + 1).alias("depth"))
     g = (nodes.filter(is_def | is_cls | is_loop | is_arg)
               .groupBy("repo", "path", key.alias("k"))
               .agg(F.first(F.when(~is_arg, own), ignorenulls=True).alias("o"),
