@@ -14,8 +14,12 @@ FILE = ["repo", "path"]
 
 
 def by_file(lines: DataFrame) -> DataFrame:
-    """Hash-partition a line table by file once; later windows reuse it."""
-    return lines.repartition(*FILE)
+    """Hash-partition a line table by file once and write it to the shared
+    checkpoint folder.  The checkpoint keeps the partitioning, so every
+    later window, group-by and join keyed by file reads it without another
+    exchange, however many branches the extractor has."""
+    from codelake.session import materialize
+    return materialize(lines.repartition(*FILE))
 
 
 def brace_tokens(lines: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ _DEFAULTS = {
     # rows of the flatten job carry whole files: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     "spark.ui.enabled": "false",
+    # joins / aggregates keyed by (repo, path, x) reuse a (repo, path)
+    # hash partitioning instead of re-shuffling: per-file data is bounded
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     # checkpoint files of tables that went out of scope are removed
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
@@ -69,5 +72,15 @@ def materialize(df):
     checkpoint folder (reliable ``checkpoint``; never a machine-local
     cache), so its producer -- e.g. the syntax-tree flatten -- runs once and
     a lost executor re-reads files instead of re-parsing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    # the checkpoint records the producer's output partitioning only when
+    # the producer is planned without AQE (AQE reports it as unknown); keep
+    # it, so consumers keyed by the same columns need no new exchange
+    key = "spark.sql.adaptive.enabled"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, prev)
