@@ -9,7 +9,7 @@ from codelake.operators import graph as G
 from codelake.operators import pyfacts as P
 from codelake.operators.pyast import py_nodes
 from codelake.plans.catalog import KNOBS_BEH, KNOBS_PY, KNOBS_SUP, files_of, nodes_of, register, with_
-from codelake.session import materialize
+from codelake.session import stage_parquet
 
 LINK_CORPORA = ("corpus_py", "corpus_nations", "corpus_rel")
 
@@ -72,7 +72,7 @@ union all select repo, path, concat('helper_', k % 11), '' from kp
 
 @register("function_calls_attach", CALLS_ATTACH_SQL)
 def q_function_calls_attach(spark, sf):
-    nodes = materialize(nodes_of(spark, sf, "corpus_py"))
+    nodes = stage_parquet(nodes_of(spark, sf, "corpus_py"))
     fns = P.py_functions(nodes).select("repo", "path", "def_pre", "name")
     return G.function_calls_attach(fns, P.py_file_calls(nodes)).select(
         "repo", "path", "name", F.array_join("calls", ",").alias("calls"))
@@ -89,7 +89,7 @@ from kp join cnt on cnt.repo = kp.repo and cnt.h = kp.k % 11
 
 @register("called_by", CALLED_BY_SQL)
 def q_called_by(spark, sf):
-    nodes = materialize(nodes_of(spark, sf, "corpus_py"))
+    nodes = stage_parquet(nodes_of(spark, sf, "corpus_py"))
     fns = P.py_functions(nodes).select("repo", "path", "def_pre", "name")
     return G.called_by_counts(fns, P.py_file_calls(nodes)).select("repo", "path", "name", "n_called_by")
 
@@ -197,7 +197,7 @@ union all select repo, path, concat('fn_', k), concat('fn_', k) from kb where k
 
 @register("function_callers", CALLERS_SQL)
 def q_function_callers(spark, sf):
-    nodes = materialize(nodes_of(spark, sf, "corpus_py", "corpus_behaviour"))
+    nodes = stage_parquet(nodes_of(spark, sf, "corpus_py", "corpus_behaviour"))
     calls = B.function_callers(nodes)
     defs = nodes.filter(F.col("kind").isin(P.DEF_KINDS)).select(
         "repo", "path", F.col("pre").alias("caller_pre"), F.col("name").alias("caller"))

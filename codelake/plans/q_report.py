@@ -11,7 +11,7 @@ from codelake.operators import report as R
 from codelake.operators import smells as S
 from codelake.operators.pyast import py_nodes
 from codelake.plans.catalog import KNOBS_PY, files_of, register, with_
-from codelake.session import materialize
+from codelake.session import stage_parquet
 
 PAT_OF_K = """case k % 7 when 0 then 'Singleton' when 1 then 'Observer' when 2 then 'Factory'
               when 3 then 'Strategy' when 4 then 'Observer' when 5 then 'Decorator' end"""
@@ -29,7 +29,7 @@ SMELLS_K = """
 
 def _py(spark, sf):
     files = files_of(spark, sf, "corpus_py")
-    nodes = materialize(py_nodes(files))
+    nodes = stage_parquet(py_nodes(files), "py_nodes")
     return files, nodes
 
 

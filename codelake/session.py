@@ -84,3 +84,15 @@ def materialize(df):
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set(key, prev)
+
+
+def stage_parquet(df, name: str = "table"):
+    """Write ``df`` as a Parquet table under the shared checkpoint folder and
+    read it back: lineage is cut, a lost executor re-reads files, and later
+    scans get column pruning and row-group filtering on what they select.
+    Used for the syntax-node table, which every Python operator filters."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
