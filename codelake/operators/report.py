@@ -97,3 +97,111 @@ def export_json(tables: dict, out_dir: str, mode: str = "overwrite") -> None:
     (one record per row, distributed writes; no driver-side document)."""
     for name, df in tables.items():
         df.write.mode(mode).json(f"{out_dir.rstrip('/')}/{name}")
+
+
+# ---------------------------------------------------------------- text sections as ordered lines
+
+def _lines(df, section, key, line):
+    return df.select("repo", F.lit(section).alias("section"), key.alias("key"), line.alias("line"))
+
+
+def _header(repos: DataFrame, section: str, texts) -> DataFrame:
+    """Fixed header lines for each repo that has the section."""
+    arr = F.array(*[F.struct(F.lit(f"0{i:02d}").alias("k"), F.lit(t).alias("t")) for i, t in enumerate(texts)])
+    return (repos.select("repo").distinct().select("repo", F.explode(arr).alias("h"))
+                 .select("repo", F.lit(section).alias("section"), F.col("h.k").alias("key"), F.col("h.t").alias("line")))
+
+
+def report_patterns(patterns: DataFrame) -> DataFrame:
+    """``Design Patterns:`` then per file ``\\n<path>:`` and ``  - <pattern>``
+    (only repos with patterns, ledger Q25)."""
+    fk = F.concat(F.lit("1"), F.col("path"), F.lit("\u0001"))
+    files = _lines(patterns.select("repo", "path").distinct(), "design_patterns",
+                   F.concat(fk, F.lit("0")), F.concat(F.lit("\n"), F.col("path"), F.lit(":")))
+    items = _lines(patterns, "design_patterns", F.concat(fk, F.lit("1"), F.lpad(F.col("ord").cast("string"), 3, "0")),
+                   F.concat(F.lit("  - "), F.col("pattern")))
+    return _header(patterns, "design_patterns", ["Design Patterns:", "-----------------"]) \
+        .unionByName(files).unionByName(items)
+
+
+def _yes(c):
+    return F.when(c, F.lit("Yes")).otherwise(F.lit("No"))
+
+
+def function_lines(functions: DataFrame, behaviour: DataFrame, flow: DataFrame, indent: str = "") -> DataFrame:
+    """The per-function text block (signature, documentation, behaviour
+    flags, variables) as rows ``(repo, path, def_pre, sub, line)``; the
+    variable list is ordered by name."""
+    k = ["repo", "path", "def_pre"]
+    args = F.array_join(F.transform("args", lambda a: F.when(a["type"].isNotNull(),
+                                                             F.concat(a["name"], F.lit(": "), a["type"]))
+                                    .otherwise(a["name"])), ", ")
+    f = functions.select(*k, "name", "args", "returns", "docstring").join(behaviour.select(*k, "is_pure", "side_effects", "handled_exceptions", "is_async",
+                                        "is_generator", "is_recursive", F.lit(True).alias("_b")), k, "left")
+
+    def none_if_empty(arr):
+        return F.when(F.size(arr) > 0, F.array_join(arr, ", ")).otherwise(F.lit("None"))
+    p = indent + "  "
+    rows = F.array(
+        F.struct(F.lit("0").alias("s"), F.concat(F.lit(p), F.col("name"), F.lit("("), args, F.lit(") -> "),
+                                               F.coalesce(F.col("returns"), F.lit("None"))).alias("t")),
+        F.struct(F.lit("1").alias("s"), F.concat(F.lit(p + "Documentation: "),
+                                               F.coalesce(F.when(F.col("docstring") != "", F.col("docstring")),
+                                                          F.lit("None"))).alias("t")),
+        F.when(F.col("_b"), F.struct(F.lit("2").alias("s"), F.concat(F.lit(p + "Pure Function: "), _yes(F.col("is_pure"))).alias("t"))),
+        F.when(F.col("_b"), F.struct(F.lit("3").alias("s"), F.concat(F.lit(p + "Side Effects: "), none_if_empty(F.col("side_effects"))).alias("t"))),
+        F.when(F.col("_b"), F.struct(F.lit("4").alias("s"), F.concat(F.lit(p + "Raises: "), none_if_empty(F.col("handled_exceptions"))).alias("t"))),
+        F.when(F.col("_b"), F.struct(F.lit("5").alias("s"), F.concat(F.lit(p + "Async: "), _yes(F.col("is_async"))).alias("t"))),
+        F.when(F.col("_b"), F.struct(F.lit("6").alias("s"), F.concat(F.lit(p + "Generator: "), _yes(F.col("is_generator"))).alias("t"))),
+        F.when(F.col("_b"), F.struct(F.lit("7").alias("s"), F.concat(F.lit(p + "Recursive: "), _yes(F.col("is_recursive"))).alias("t"))))
+    main = (f.select(*k, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r"))
+             .select(*k, F.col("r.s").alias("sub"), F.col("r.t").alias("line")))
+    v = flow.select(*k, F.concat(F.lit("9"), F.col("name")).alias("sub"),
+                    F.concat(F.lit(p + "  - "), F.col("name"), F.lit(" ("), F.col("scope"), F.lit("): assigned "),
+                             F.size("assignments").cast("string"), F.lit(" times, read "),
+                             F.size("reads").cast("string"), F.lit(" times")).alias("line"))
+    vh = flow.select(*k).distinct().select(*k, F.lit("8").alias("sub"), F.lit(p + "Variables:").alias("line"))
+    return main.unionByName(vh).unionByName(v)
+
+
+def report_functions(functions: DataFrame, behaviour: DataFrame, flow: DataFrame) -> DataFrame:
+    """``Function Analysis:`` then per file ``File: <path>`` and each
+    file-level function's block (methods go to the classes section)."""
+    fns = functions.filter(F.col("owner_class").isNull())
+    body = function_lines(fns, behaviour, flow.join(fns.select("repo", "path", "def_pre"), ["repo", "path", "def_pre"]))
+    fk = F.concat(F.lit("1"), F.col("path"), F.lit("\u0001"))
+    lines = _lines(body, "functions", F.concat(fk, F.lpad(F.col("def_pre").cast("string"), 10, "0"), F.lit("\u0001"),
+                                              F.col("sub")), F.col("line"))
+    heads = fns.select("repo", "path").distinct()
+    file_lines = (_lines(heads, "functions", F.concat(fk, F.lit("0")), F.lit(""))
+                  .unionByName(_lines(heads, "functions", F.concat(fk, F.lit("00")),
+                                      F.concat(F.lit("File: "), F.col("path")))))
+    tail = _lines(heads.select("repo").distinct(), "functions", F.lit("2"), F.lit(""))
+    return (_header(fns, "functions", ["", "Function Analysis:", "-----------------"])
+            .unionByName(file_lines).unionByName(lines).unionByName(tail))
+
+
+def function_flow(functions: DataFrame, behaviour: DataFrame, flow: DataFrame, control: DataFrame,
+                  callers: DataFrame) -> DataFrame:
+    """Per function the number of functions calling it (entry points,
+    L30: name-level counts pre-aggregated per repo), its exit points, and
+    its variable and control-flow summaries (bounded by the function)."""
+    k = ["repo", "path", "def_pre"]
+    n_callers = (callers.select("repo", "path", "caller_pre", "callee").distinct()
+                        .groupBy("repo", F.col("callee").alias("name")).agg(F.count(F.lit(1)).alias("n_callers")))
+    vars_ = (flow.groupBy(*k).agg(F.array_join(F.array_sort(F.collect_list(F.concat(
+        F.col("name"), F.lit(" ("), F.col("scope"), F.lit(" assigned:"), F.size("assignments").cast("string"),
+        F.lit(" read:"), F.size("reads").cast("string"), F.lit(")")))), "\n").alias("variables")))
+    cf = (control.groupBy(*k).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "line_no", F.when(F.col("condition").isNotNull(), F.concat(F.col("node_type"), F.lit(": "), F.col("condition")))
+        .otherwise(F.col("node_type")).alias("t")))), lambda x: x["t"]), "\n").alias("control_flow")))
+    return (functions.select(*k, "owner_class", "name")
+                     .join(behaviour.select(*k, "exit_points"), k, "left")
+                     .join(n_callers, ["repo", "name"], "left")
+                     .join(vars_, k, "left").join(cf, k, "left")
+                     .select(*k, F.concat(F.coalesce(F.concat(F.col("owner_class"), F.lit(".")), F.lit("")),
+                                          F.col("name")).alias("function"),
+                             F.coalesce("n_callers", F.lit(0)).cast("bigint").alias("n_entry_points"),
+                             F.coalesce(F.array_join("exit_points", "\n"), F.lit("")).alias("exit_points"),
+                             F.coalesce("variables", F.lit("")).alias("variables"),
+                             F.coalesce("control_flow", F.lit("")).alias("control_flow")))

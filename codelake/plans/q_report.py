@@ -10,7 +10,7 @@ from codelake.operators import pyfacts as P
 from codelake.operators import report as R
 from codelake.operators import smells as S
 from codelake.operators.pyast import py_nodes
-from codelake.plans.catalog import KNOBS_PY, files_of, register, with_
+from codelake.plans.catalog import KNOBS_BEH, KNOBS_PY, files_of, register, with_
 from codelake.session import stage_parquet
 
 PAT_OF_K = """case k % 7 when 0 then 'Singleton' when 1 then 'Observer' when 2 then 'Factory'
@@ -115,3 +115,78 @@ def q_function_metrics(spark, sf):
     return m.select("repo", "path", "function", "complexity", "is_pure",
                     F.array_join("side_effects", ", ").alias("side_effects"),
                     F.array_join("handled_exceptions", ",").alias("handled_exceptions"))
+
+
+@register("report_patterns", with_(KNOBS_PY) + f"""
+select distinct repo, 'design_patterns' as section, '000' as key, 'Design Patterns:' as line from kp
+union all select distinct repo, 'design_patterns', '001', '-----------------' from kp
+union all select repo, 'design_patterns', concat('1', path, chr(1), '0'), concat(chr(10), path, ':') from kp where k % 7 <> 6
+union all select repo, 'design_patterns',
+       concat('1', path, chr(1), '1', lpad(cast(case k % 7 when 0 then 0 when 2 then 1 when 1 then 2 when 4 then 2
+                                                   when 3 then 3 else 4 end as varchar), 3, '0')),
+       concat('  - ', {PAT_OF_K}) from kp where k % 7 <> 6
+""")
+def q_report_patterns(spark, sf):
+    _, nodes = _py(spark, sf)
+    return R.report_patterns(PT.python_patterns(nodes))
+
+
+FLOW_VARS = """
+  select k, 'p' as name, 'parameter' as scope, 1 as na, 1 as nr from kb
+  union all select k, 'y', 'local', 1 + 2 * (k % 2 = 0)::int,
+         (k % 3 = 0)::int + (k % 4 = 0)::int + (k % 5 = 2)::int + 1 from kb
+  union all select k, 'LIMIT', 'global', 1, 0 from kb where k % 4 = 0
+  union all select k, 'print', 'global', 0, 1 from kb where k % 3 = 0
+  union all select k, 'ValueError', 'global', 0, 1 from kb where k % 2 = 0
+  union all select k, 'KeyError', 'global', 0, 1 from kb where k % 2 = 0
+  union all select k, concat('fn_', k), 'global', 0, 1 from kb where k % 6 = 0
+"""
+
+
+@register("function_flow", with_(KNOBS_BEH) + f""",
+v as ({FLOW_VARS}),
+vs as (select k, string_agg(concat(name, ' (', scope, ' assigned:', na, ' read:', nr, ')'), chr(10) order by name) s
+       from v group by k)
+select kb.repo, kb.path, concat('fn_', kb.k) as function,
+       cast(case when kb.k % 6 = 0 then 1 else 0 end as bigint) as n_entry_points,
+       case when kb.k % 6 = 0 then concat('fn_', kb.k) else '' end as exit_points,
+       vs.s as variables, 'return' as control_flow
+from kb join vs on vs.k = kb.k
+""")
+def q_function_flow(spark, sf):
+    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
+    beh, flow, _ = B.analyse(nodes)
+    return R.function_flow(P.py_functions(nodes), beh, flow, B.control_flow(nodes),
+                           B.function_callers(nodes)).drop("def_pre")
+
+
+@register("report_functions", with_(KNOBS_BEH) + f""",
+v as ({FLOW_VARS}),
+fn as (select repo, path, k, concat('1', path, chr(1)) fk from kb),
+lines as (
+  select distinct repo, '000' as key, '' as line from kb
+  union all select distinct repo, '001', 'Function Analysis:' from kb
+  union all select distinct repo, '002', '-----------------' from kb
+  union all select distinct repo, '2', '' from kb
+  union all select repo, concat(fk, '0'), '' from fn
+  union all select repo, concat(fk, '00'), concat('File: ', path) from fn
+  union all select repo, concat(fk, '0000000004', chr(1), s), t from fn, (
+    select kb.k kk, '0' s, concat('  fn_', kb.k, '(p) -> None') t from kb
+    union all select kb.k, '1', '  Documentation: None' from kb
+    union all select kb.k, '2', concat('  Pure Function: ', case when kb.k % 4 = 0 or kb.k % 3 = 0 then 'No' else 'Yes' end) from kb
+    union all select kb.k, '3', concat('  Side Effects: ', coalesce(nullif(concat_ws(', ',
+        case when kb.k % 4 = 0 then 'Uses global variable LIMIT' end, case when kb.k % 3 = 0 then 'Calls print' end), ''), 'None')) from kb
+    union all select kb.k, '4', concat('  Raises: ', case when kb.k % 2 = 0 then 'KeyError, ValueError' else 'None' end) from kb
+    union all select kb.k, '5', concat('  Async: ', case when kb.k % 5 = 1 then 'Yes' else 'No' end) from kb
+    union all select kb.k, '6', concat('  Generator: ', case when kb.k % 5 = 2 then 'Yes' else 'No' end) from kb
+    union all select kb.k, '7', concat('  Recursive: ', case when kb.k % 6 = 0 then 'Yes' else 'No' end) from kb
+    union all select kb.k, '8', '  Variables:' from kb
+    union all select v.k, concat('9', v.name), concat('    - ', v.name, ' (', v.scope, '): assigned ', v.na,
+                                                  ' times, read ', v.nr, ' times') from v) b
+    where b.kk = fn.k)
+select repo, 'functions' as section, key, line from lines
+""")
+def q_report_functions(spark, sf):
+    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
+    beh, flow, _ = B.analyse(nodes)
+    return R.report_functions(P.py_functions(nodes), beh, flow)
