@@ -205,3 +205,125 @@ def function_flow(functions: DataFrame, behaviour: DataFrame, flow: DataFrame, c
                              F.coalesce(F.array_join("exit_points", "\n"), F.lit("")).alias("exit_points"),
                              F.coalesce("variables", F.lit("")).alias("variables"),
                              F.coalesce("control_flow", F.lit("")).alias("control_flow")))
+
+
+def report_classes(classes: DataFrame, functions: DataFrame, variables: DataFrame, behaviour: DataFrame,
+                   flow: DataFrame) -> DataFrame:
+    """``Class Analysis:`` then per file ``File: <path>`` and per class
+    its signature, documentation, class variables and methods (each method
+    rendered like a function, indented)."""
+    ck = ["repo", "path", "class_pre"]
+    fk = F.concat(F.lit("1"), F.col("path"), F.lit("\u0001"))
+    ckey = F.concat(fk, F.lpad(F.col("class_pre").cast("string"), 10, "0"), F.lit("\u0001"))
+    c = classes.select(*ck, "name", "base_classes", "docstring")
+    head = c.select("repo", "path", "class_pre", F.explode(F.array(
+        F.struct(F.lit("0").alias("s"), F.concat(F.lit("  "), F.col("name"), F.lit("("),
+                                                 F.array_join("base_classes", ", "), F.lit(")")).alias("t")),
+        F.struct(F.lit("1").alias("s"), F.concat(F.lit("  Documentation: "), F.coalesce(
+            F.when(F.col("docstring") != "", F.col("docstring")), F.lit("None"))).alias("t")))).alias("r"))
+    head = _lines(head, "classes", F.concat(ckey, F.col("r.s")), F.col("r.t"))
+    cv = variables.filter(F.col("scope") == "class").join(
+        c.select("repo", "path", "class_pre", F.col("name").alias("owner_class")), ["repo", "path", "owner_class"])
+    cv_lines = _lines(cv, "classes", F.concat(ckey, F.lit("3"), F.lpad(F.col("assign_pre").cast("string"), 10, "0")),
+                      F.concat(F.lit("    - "), F.col("name"), F.lit(": "),
+                               F.coalesce(F.col("type_hint"), F.lit("Unknown type"))))
+    cv_head = _lines(cv.select(*ck).distinct(), "classes", F.concat(ckey, F.lit("2")), F.lit("  Class Variables:"))
+    # methods: defs directly in a class body; the class is found by name + file
+    meth = functions.filter(F.col("owner_class").isNotNull())
+    mk = ["repo", "path", "def_pre"]
+    mlines = function_lines(meth, behaviour, flow.join(meth.select(*mk), mk), indent="    ")
+    owner = (meth.select(*mk, F.col("owner_class").alias("name"), F.col("line_start"))
+                 .join(c.select(*ck, "name", F.col("name").alias("_n")), ["repo", "path", "name"])
+                 .select(*mk, "class_pre"))
+    m = mlines.join(owner, mk)
+    m_lines = _lines(m, "classes", F.concat(ckey, F.lit("5"), F.lpad(F.col("def_pre").cast("string"), 10, "0"),
+                                            F.lit("\u0001"), F.col("sub")), F.col("line"))
+    m_head = _lines(owner.select(*ck).distinct(), "classes", F.concat(ckey, F.lit("4")), F.lit("  Methods:"))
+    files = c.select("repo", "path").distinct()
+    file_lines = (_lines(files, "classes", F.concat(fk, F.lit("0")), F.lit(""))
+                  .unionByName(_lines(files, "classes", F.concat(fk, F.lit("00")),
+                                      F.concat(F.lit("File: "), F.col("path")))))
+    tail = _lines(files.select("repo").distinct(), "classes", F.lit("2"), F.lit(""))
+    return (_header(c, "classes", ["", "Class Analysis:", "--------------"])
+            .unionByName(file_lines).unionByName(head).unionByName(cv_head).unionByName(cv_lines)
+            .unionByName(m_head).unionByName(m_lines).unionByName(tail))
+
+
+def report_overview(files: DataFrame, structure: DataFrame) -> DataFrame:
+    """Name, file total, languages (``lang (n files)``, by name; the
+    list is bounded by the language table), entry points -- one line each
+    (``- path``), or ``None identified`` -- and the indented tree (K2/L38)
+    keyed by ``tree_key``."""
+    from codelake.operators.classify import entry_points, language_counts, tree_text
+    langs = (language_counts(files).groupBy("repo").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("language", "n_files"))),
+        lambda x: F.concat(x["language"], F.lit(" ("), x["n_files"].cast("string"), F.lit(" files)"))), ", ")
+        .alias("langs"), F.sum("n_files").alias("n")))
+    eps = entry_points(files)
+    has_ep = eps.select("repo").distinct().withColumn("has_ep", F.lit(True))
+    top = langs.join(has_ep, "repo", "left").select("repo", F.explode(F.array(
+        F.struct(F.lit("000").alias("k"), F.lit("").alias("t")),
+        F.struct(F.lit("001").alias("k"), F.lit("Project Overview:").alias("t")),
+        F.struct(F.lit("002").alias("k"), F.lit("----------------").alias("t")),
+        F.struct(F.lit("003").alias("k"), F.concat(F.lit("Name: "), F.col("repo")).alias("t")),
+        F.struct(F.lit("004").alias("k"), F.concat(F.lit("Total Files: "), F.col("n").cast("string")).alias("t")),
+        F.struct(F.lit("005").alias("k"), F.concat(F.lit("Languages: "), F.col("langs")).alias("t")),
+        F.struct(F.lit("006").alias("k"), F.when(F.col("has_ep"), F.lit("Entry Points:"))
+                 .otherwise(F.lit("Entry Points: None identified")).alias("t")),
+        F.struct(F.lit("008").alias("k"), F.lit("").alias("t")),
+        F.struct(F.lit("009").alias("k"), F.lit("Key Files:").alias("t")),
+        F.struct(F.lit("3").alias("k"), F.lit("").alias("t")))).alias("h"))
+    top = _lines(top, "project_overview", F.col("h.k"), F.col("h.t"))
+    ep_lines = _lines(eps, "project_overview", F.concat(F.lit("007"), F.col("path")),
+                      F.concat(F.lit("- "), F.col("path")))
+    tree = _lines(tree_text(structure), "project_overview", F.concat(F.lit("2"), F.col("tree_key")), F.col("line"))
+    return top.unionByName(ep_lines).unionByName(tree)
+
+
+def report_architecture(files: DataFrame, structure: DataFrame, functions: DataFrame, classes: DataFrame,
+                        edges: DataFrame) -> DataFrame:
+    """Project structure (tree), entry points, per-file functions and
+    classes, and per-file dependencies / dependents -- all as keyed lines.
+    Blocks: 0 header, 1 tree, 2 entry points, 3 files, 4 dependencies."""
+    from codelake.operators.classify import entry_points, tree_text
+    repos = files.select("repo").distinct()
+    eps = entry_points(files)
+    has_ep = eps.select("repo").distinct().withColumn("has_ep", F.lit(True))
+    fixed = repos.join(has_ep, "repo", "left").select("repo", F.explode(F.array(
+        F.struct(F.lit("00").alias("k"), F.lit("Project Structure:").alias("t")),
+        F.struct(F.lit("01").alias("k"), F.lit("-----------------").alias("t")),
+        F.struct(F.lit("20").alias("k"), F.lit("\nEntry Points:").alias("t")),
+        F.struct(F.lit("21").alias("k"), F.lit("-----------------").alias("t")),
+        F.when(~F.coalesce(F.col("has_ep"), F.lit(False)),
+               F.struct(F.lit("22").alias("k"), F.lit("No entry points identified").alias("t"))),
+        F.struct(F.lit("30").alias("k"), F.lit("\nFile Organization:").alias("t")),
+        F.struct(F.lit("31").alias("k"), F.lit("-----------------").alias("t")),
+        F.struct(F.lit("40").alias("k"), F.lit("\nDependencies and Relationships:").alias("t")),
+        F.struct(F.lit("41").alias("k"), F.lit("-----------------").alias("t")))).alias("h"))
+    fixed = _lines(fixed.filter(F.col("h").isNotNull()), "architecture", F.col("h.k"), F.col("h.t"))
+    tree = _lines(tree_text(structure), "architecture", F.concat(F.lit("1"), F.col("tree_key")), F.col("line"))
+    ep = _lines(eps, "architecture", F.concat(F.lit("23"), F.col("path")), F.concat(F.lit("- "), F.col("path")))
+    fk = F.concat(F.lit("32"), F.col("path"), F.lit("\u0001"))
+    org = _lines(files.select("repo", "path"), "architecture", F.concat(fk, F.lit("0")),
+                 F.concat(F.lit("\n"), F.col("path"), F.lit(":")))
+    fns = functions.filter(F.col("owner_class").isNull())
+    fn_h = _lines(fns.select("repo", "path").distinct(), "architecture", F.concat(fk, F.lit("1")), F.lit("  Functions:"))
+    fn_l = _lines(fns, "architecture", F.concat(fk, F.lit("2"), F.lpad(F.col("line_start").cast("string"), 10, "0"),
+                                                F.lit("\u0001"), F.col("name")),
+                  F.concat(F.lit("    - "), F.col("name")))
+    cl_h = _lines(classes.select("repo", "path").distinct(), "architecture", F.concat(fk, F.lit("3")), F.lit("  Classes:"))
+    cl_l = _lines(classes, "architecture", F.concat(fk, F.lit("4"), F.lpad(F.col("line_start").cast("string"), 10, "0"),
+                                                    F.lit("\u0001"), F.col("name")),
+                  F.concat(F.lit("    - "), F.col("name")))
+    dk_src = F.concat(F.lit("42"), F.col("src"), F.lit("\u0001"))
+    dk_dst = F.concat(F.lit("42"), F.col("dst"), F.lit("\u0001"))
+    dep_h = _lines(edges.select("repo", "src").distinct(), "architecture", F.concat(dk_src, F.lit("0")),
+                   F.concat(F.lit("\n"), F.col("src"), F.lit(" depends on:")))
+    dep_l = _lines(edges, "architecture", F.concat(dk_src, F.lit("1"), F.col("dst")), F.concat(F.lit("  - "), F.col("dst")))
+    use_h = _lines(edges.select("repo", "dst").distinct(), "architecture", F.concat(dk_dst, F.lit("2")),
+                   F.concat(F.lit("\n"), F.col("dst"), F.lit(" is used by:")))
+    use_l = _lines(edges, "architecture", F.concat(dk_dst, F.lit("3"), F.col("src")), F.concat(F.lit("  - "), F.col("src")))
+    out = fixed
+    for d in (tree, ep, org, fn_h, fn_l, cl_h, cl_l, dep_h, dep_l, use_h, use_l):
+        out = out.unionByName(d)
+    return out

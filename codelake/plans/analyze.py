@@ -105,4 +105,12 @@ def analyze(files: DataFrame) -> dict[str, DataFrame]:
     out["function_metrics"] = R.function_metrics(functions, complexity, behaviour)
     out["report_suggestions"] = R.report_suggestions(files, functions, classes, smells, patterns)
     out["report_smells"] = R.report_smells(smells)
+    out["report_patterns"] = R.report_patterns(patterns)
+    out["report_functions"] = R.report_functions(functions, behaviour, flow)
+    out["report_classes"] = R.report_classes(classes, functions, out["py_variables"], behaviour, flow)
+    out["report_overview"] = R.report_overview(files, out["structure_nodes"])
+    out["report_architecture"] = R.report_architecture(code.select("repo", "path", "language", "name"),
+                                                       out["structure_nodes"], functions, classes, edges)
+    out["function_flow"] = R.function_flow(functions, behaviour, flow, out["control_flow"],
+                                           out["function_callers"])
     return out

@@ -202,3 +202,56 @@ def q_function_callers(spark, sf):
     defs = nodes.filter(F.col("kind").isin(P.DEF_KINDS)).select(
         "repo", "path", F.col("pre").alias("caller_pre"), F.col("name").alias("caller"))
     return calls.join(defs, ["repo", "path", "caller_pre"]).select("repo", "path", "caller", "callee")
+
+
+ARCH_SQL = EDGES_SQL + """,
+allf as (
+  select repo, path from kp
+  union all select repo, concat('sup/s_', k, '.py') from ks
+  union all select concat('r', r), concat('nations/n_', n_nationkey,
+                 case when n_nationkey % 2 = 0 then '.py' else '/__init__.py' end)
+            from nation cross join (values (0),(1),(2),(3),(4),(5),(6),(7)) v(r)),
+parts as (select repo, string_split(path, '/') p from allf),
+pref as (select repo, p, i, len(p) n from parts, range(1, len(p) + 1) t(i)),
+tree as (
+  select distinct repo, concat('1', coalesce(array_to_string(list_transform(p[1:i - 1], lambda x: concat('0', x, chr(1))), ''), ''),
+         case when i < n then '0' else '1' end, p[i], chr(1)) as key,
+         concat(repeat('  ', cast(i as bigint)), p[i], case when i < n then '/' else '' end) as line from pref
+  union all select distinct repo, '1', concat(repo, '/') from allf),
+fixed as (
+  select distinct repo, '00' as key, 'Project Structure:' as line from allf
+  union all select distinct repo, '01', '-----------------' from allf
+  union all select distinct repo, '20', chr(10) || 'Entry Points:' from allf
+  union all select distinct repo, '21', '-----------------' from allf
+  union all select distinct repo, '22', 'No entry points identified' from allf
+  union all select distinct repo, '30', chr(10) || 'File Organization:' from allf
+  union all select distinct repo, '31', '-----------------' from allf
+  union all select distinct repo, '40', chr(10) || 'Dependencies and Relationships:' from allf
+  union all select distinct repo, '41', '-----------------' from allf),
+org as (
+  select repo, concat('32', path, chr(1), '0') as key, concat(chr(10), path, ':') as line from allf
+  union all select repo, concat('32', path, chr(1), '1'), '  Functions:' from kp
+  union all select repo, concat('32', path, chr(1), '2', lpad(cast(8 + depth + pad as varchar), 10, '0'), chr(1), 'helper_', k % 11),
+            concat('    - helper_', k % 11) from kp
+  union all select repo, concat('32', path, chr(1), '3'), '  Classes:' from kp
+  union all select repo, concat('32', path, chr(1), '4', '0000000002', chr(1), cls, k), concat('    - ', cls, k) from kp
+  union all select repo, concat('32sup/s_', k, '.py', chr(1), '1'), '  Functions:' from ks
+  union all select repo, concat('32sup/s_', k, '.py', chr(1), '2', '0000000003', chr(1), 'go'), '    - go' from ks),
+deps as (
+  select distinct repo, concat('42', src, chr(1), '0') as key, concat(chr(10), src, ' depends on:') as line from edges
+  union all select repo, concat('42', src, chr(1), '1', dst), concat('  - ', dst) from edges
+  union all select distinct repo, concat('42', dst, chr(1), '2'), concat(chr(10), dst, ' is used by:') from edges
+  union all select repo, concat('42', dst, chr(1), '3', src), concat('  - ', src) from edges)
+select repo, 'architecture' as section, key, line from (
+  select * from fixed union all select * from tree union all select * from org union all select * from deps) a
+"""
+
+
+@register("report_architecture", ARCH_SQL)
+def q_report_architecture(spark, sf):
+    from codelake.operators import classify as CL
+    from codelake.operators import report as R
+    files = files_of(spark, sf, *LINK_CORPORA)
+    nodes = stage_parquet(py_nodes(files), "py_nodes")
+    edges = G.py_dependency_edges(P.py_imports(nodes), files)
+    return R.report_architecture(files, CL.structure_nodes(files), P.py_functions(nodes), P.py_classes(nodes), edges)

@@ -190,3 +190,43 @@ def q_report_functions(spark, sf):
     nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
     beh, flow, _ = B.analyse(nodes)
     return R.report_functions(P.py_functions(nodes), beh, flow)
+
+
+@register("report_classes", with_(KNOBS_PY) + """,
+fk as (select repo, path, k, depth, pad, np, cls, meth, concat('1', path, chr(1)) f from kp),
+mv as (
+  select k, 'self' as name, 'parameter' as scope, 1 as na, 0 as nr from kp
+  union all select k, concat('a', j), 'parameter', 1, 0 from kp, (select unnest(range(1, 9)) j) g where j <= np
+  union all select k, 'x', 'local', pad + 2, depth + 1 from kp
+  union all select k, concat('helper_', k % 11), 'global', 0, 1 from kp),
+sub as (
+  select k, '0' s, concat('      ', meth, '(self', substr(', a1, a2, a3, a4, a5, a6, a7, a8', 1, 4 * np), ') -> None') t
+  from kp
+  union all select k, '1', '      Documentation: None' from kp
+  union all select k, '2', '      Pure Function: Yes' from kp
+  union all select k, '3', '      Side Effects: None' from kp
+  union all select k, '4', '      Raises: None' from kp
+  union all select k, '5', '      Async: No' from kp
+  union all select k, '6', '      Generator: No' from kp
+  union all select k, '7', '      Recursive: No' from kp
+  union all select k, '8', '      Variables:' from kp
+  union all select k, concat('9', name), concat('        - ', name, ' (', scope, '): assigned ', na, ' times, read ', nr, ' times') from mv),
+lines as (
+  select distinct repo, '000' as key, '' as line from kp
+  union all select distinct repo, '001', 'Class Analysis:' from kp
+  union all select distinct repo, '002', '--------------' from kp
+  union all select distinct repo, '2', '' from kp
+  union all select repo, concat(f, '0'), '' from fk
+  union all select repo, concat(f, '00'), concat('File: ', path) from fk
+  union all select repo, concat(f, '0000000003', chr(1), '0'), concat('  ', cls, k, '()') from fk
+  union all select repo, concat(f, '0000000003', chr(1), '1'), '  Documentation: None' from fk
+  union all select repo, concat(f, '0000000003', chr(1), '4'), '  Methods:' from fk
+  union all select fk.repo, concat(f, '0000000003', chr(1), '5', '0000000008',
+                                   chr(1), sub.s), sub.t
+            from fk join sub on sub.k = fk.k)
+select repo, 'classes' as section, key, line from lines
+""")
+def q_report_classes(spark, sf):
+    _, nodes = _py(spark, sf)
+    beh, flow, _ = B.analyse(nodes)
+    return R.report_classes(P.py_classes(nodes), P.py_functions(nodes), P.py_variables(nodes), beh, flow)

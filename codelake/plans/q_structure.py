@@ -130,3 +130,28 @@ select repo, path, cast(i as integer) as line_no, cast(strlen(l) as bigint) as n
 def q_document_lines(spark, sf):
     return src_lines(files_of(spark, sf, "documents_tree")).select(
         "repo", "path", "line_no", F.octet_length("line").cast("bigint").alias("n_bytes"))
+
+
+@register("report_overview", STRUCT_SQL + """,
+lc as (select repo, language, count(*) n from files group by repo, language),
+langs as (select repo, string_agg(concat(language, ' (', n, ' files)'), ', ' order by language) s, sum(n) total
+          from lc group by repo),
+top as (
+  select repo, '000' as key, '' as line from langs
+  union all select repo, '001', 'Project Overview:' from langs
+  union all select repo, '002', '----------------' from langs
+  union all select repo, '003', concat('Name: ', repo) from langs
+  union all select repo, '004', concat('Total Files: ', cast(total as bigint)) from langs
+  union all select repo, '005', concat('Languages: ', s) from langs
+  union all select repo, '006', 'Entry Points: None identified' from langs
+  union all select repo, '008', '' from langs
+  union all select repo, '009', 'Key Files:' from langs
+  union all select repo, '3', '' from langs
+  union all select repo, concat('2', tree_key), concat(repeat('  ', level), name, case when is_dir then '/' else '' end)
+            from nodes)
+select repo, 'project_overview' as section, key, line from top
+""")
+def q_report_overview(spark, sf):
+    from codelake.operators.report import report_overview
+    files = files_of(spark, sf, "pages_tree")
+    return report_overview(files, CL.structure_nodes(files))
