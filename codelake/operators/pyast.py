@@ -132,8 +132,10 @@ def _flatten_one(content: str, all_nodes: bool = False):
         elif kind == "ImportFrom":
             attrs = {"level": imp_level}
         text = None
-        if field in _TEXT_FIELDS or (field == "value" and (pkind == "Assign" or pkind == "AnnAssign")) or \
-                (field == "target" and (pkind == "For" or pkind == "AsyncFor")):
+        # assigned-value text is reported for module / class-body variables only
+        if field in _TEXT_FIELDS or (field == "target" and (pkind == "For" or pkind == "AsyncFor")) or \
+                (field == "value" and (pkind == "Assign" or pkind == "AnnAssign") and
+                 (n_scopes == 0 or (len(up) >= 2 and up[-2][1] == "ClassDef"))):
             text = _unparse(node)
         ctx = getattr(node, "ctx", None)
         lineno = getattr(node, "lineno", None)
