@@ -111,6 +111,7 @@ def analyze(files: DataFrame) -> dict[str, DataFrame]:
     out["report_overview"] = R.report_overview(files, out["structure_nodes"])
     out["report_architecture"] = R.report_architecture(code.select("repo", "path", "language", "name"),
                                                        out["structure_nodes"], functions, classes, edges)
+    out["file_summary"] = R.file_summary(code, nodes, patterns, smells, edges)
     out["function_flow"] = R.function_flow(functions, behaviour, flow, out["control_flow"],
                                            out["function_callers"])
     return out

@@ -255,3 +255,40 @@ def q_report_architecture(spark, sf):
     nodes = stage_parquet(py_nodes(files), "py_nodes")
     edges = G.py_dependency_edges(P.py_imports(nodes), files)
     return R.report_architecture(files, CL.structure_nodes(files), P.py_functions(nodes), P.py_classes(nodes), edges)
+
+
+SUMMARY_SQL = ADJ_SQL.rsplit("select f.repo", 1)[0] + """,
+adj as (select f.repo, f.path, coalesce(string_agg(e.dst, ',' order by e.dst), '') as dependencies
+        from allfiles f left join edges e on e.repo = f.repo and e.src = f.path group by f.repo, f.path),
+nd as (select repo, dst as path, count(distinct src) n from edges group by repo, dst),
+sm as (select path, count(*) n from (
+  select path from kp where 3 + depth + pad > 50
+  union all select path from kp where np > 5
+  union all select path from kp, (select unnest(range(4, 6)) j) g where j <= depth
+  union all select path from kp where 5 + depth + pad > 200) s group by path),
+facts as (
+  select repo, path, 1 as nf, 1 as nc,
+         coalesce(case k % 7 when 0 then 'Singleton' when 1 then 'Observer' when 2 then 'Factory'
+                             when 3 then 'Strategy' when 4 then 'Observer' when 5 then 'Decorator' end, '') as pats
+  from kp
+  union all select repo, concat('sup/s_', k, '.py'), 1, 0, '' from ks)
+select a.repo, a.path, 'python' as language, cast(coalesce(f.nf, 0) as bigint) as n_functions,
+       cast(coalesce(f.nc, 0) as bigint) as n_classes, coalesce(f.pats, '') as design_patterns,
+       cast(coalesce(sm.n, 0) as bigint) as n_smells, a.dependencies, cast(coalesce(nd.n, 0) as bigint) as n_dependents
+from adj a left join facts f on f.repo = a.repo and f.path = a.path
+left join sm on sm.path = a.path left join nd on nd.repo = a.repo and nd.path = a.path
+"""
+
+
+@register("file_summary", SUMMARY_SQL)
+def q_file_summary(spark, sf):
+    from codelake.operators import patterns as PT
+    from codelake.operators import report as R
+    from codelake.operators import smells as S
+    files = files_of(spark, sf, *LINK_CORPORA)
+    nodes = stage_parquet(py_nodes(files), "py_nodes")
+    edges = G.py_dependency_edges(P.py_imports(nodes), files)
+    s = R.file_summary(files, nodes, PT.python_patterns(nodes), S.python_smells(nodes), edges)
+    return s.select("repo", "path", "language", "n_functions", "n_classes",
+                    F.array_join("design_patterns", ",").alias("design_patterns"), "n_smells",
+                    F.array_join("dependencies", ",").alias("dependencies"), "n_dependents")
