@@ -213,3 +213,33 @@ def file_definition_counts(files: DataFrame, nodes: DataFrame) -> DataFrame:
     return (files.select("repo", "path").join(cnt, ["repo", "path"], "left")
                  .select("repo", "path", F.coalesce("n_functions", F.lit(0)).cast("bigint").alias("n_functions"),
                          F.coalesce("n_classes", F.lit(0)).cast("bigint").alias("n_classes")))
+
+
+def distinct_return_calls(nodes: DataFrame) -> DataFrame:
+    """Per method (def directly in a class body), the number of
+    distinct plain-name callees of ``return f(...)`` anywhere in its subtree;
+    more than one means it creates different objects (the strict factory
+    test of L10).  Return-call rows are credited to every enclosing def."""
+    kind = F.col("kind")
+    is_method = kind.isin(DEF_KINDS) & (parent().kind == "ClassDef") & (F.col("field") == "body")
+    ret_call = (kind == "Name") & (F.col("field") == "func") & (parent(1).kind == "Call") & (parent(2).kind == "Return")
+    rows = (nodes.filter(is_method | ret_call)
+                 .select("repo", "path", F.explode(F.when(is_method, F.array(F.struct(
+                     F.col("pre").alias("k"), F.col("name").alias("method"), F.lit(None).cast("string").alias("callee"))))
+                     .otherwise(F.transform("defs", lambda d: F.struct(d.pre.alias("k"),
+                                                                      F.lit(None).cast("string").alias("method"),
+                                                                      F.col("name").alias("callee"))))).alias("e")))
+    return (rows.groupBy("repo", "path", F.col("e.k").alias("def_pre"))
+                .agg(F.first("e.method", ignorenulls=True).alias("name"),
+                     F.countDistinct("e.callee").alias("n_return_calls"))
+                .filter(F.col("name").isNotNull())
+                .withColumn("creates_objects", F.col("n_return_calls") > 1))
+
+
+def dedupe_by_name(defs: DataFrame) -> DataFrame:
+    """The analysed tool keys some per-function results by bare name, so
+    a later definition overwrites an earlier one; this keeps the last
+    definition per (repo, path, name) -- a window per file, no global sort."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("repo", "path", "name").orderBy(F.col("def_pre").desc())
+    return defs.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

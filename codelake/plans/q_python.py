@@ -233,3 +233,15 @@ def q_parse_errors(spark, sf):
     from codelake.operators.pyast import parse_errors
     return parse_errors(nodes_of(spark, sf, "corpus_py", "corpus_nations", "corpus_rel",
                                  "corpus_behaviour")).select("repo", "path")
+
+
+@register("distinct_return_calls", with_(KNOBS_PY) + """
+select repo, path, meth as name, cast(1 as bigint) as n_return_calls, false as creates_objects from kp
+""")
+def q_distinct_return_calls(spark, sf):
+    return P.distinct_return_calls(nodes_of(spark, sf, "corpus_py")).drop("def_pre")
+
+
+@register("functions_by_name", ORACLE_FUNCTIONS)
+def q_functions_by_name(spark, sf):
+    return _fn_out(P.dedupe_by_name(P.py_functions(nodes_of(spark, sf, "corpus_py", "corpus_nations"))))

@@ -155,3 +155,9 @@ def q_report_overview(spark, sf):
     from codelake.operators.report import report_overview
     files = files_of(spark, sf, "pages_tree")
     return report_overview(files, CL.structure_nodes(files))
+
+
+@register("files_by_language", files_sql(*WEB) + "select repo, path from files where language = 'html'")
+def q_files_by_language(spark, sf):
+    from codelake.sources.corpus import files_by_language
+    return files_by_language(files_of(spark, sf, *WEB), "html").select("repo", "path")

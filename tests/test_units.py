@@ -168,3 +168,21 @@ def test_smells_single_pass_equals_detectors(spark):
     each = sorted(map(tuple, S.smell_long_method(nodes).unionByName(S.smell_too_many_parameters(nodes))
                       .unionByName(S.smell_deep_nesting(nodes)).unionByName(S.smell_large_class(nodes)).collect()))
     assert one == each and any(t[2] == "Deep Nesting" for t in one)
+
+
+def test_factory_creates_objects_and_last_definition_wins(spark):
+    src = ("class Maker:\n    def create(self, k):\n        if k:\n            return Alpha()\n"
+           "        return Beta(k)\n    def one(self):\n        return Alpha()\n"
+           "def f():\n    return 1\ndef f():\n    return 2\n")
+    nodes = py_nodes(files_df(spark, [("r", "m.py", src)]))
+    got = {r.name: (r.n_return_calls, r.creates_objects) for r in P.distinct_return_calls(nodes).collect()}
+    assert got == {"create": (2, True), "one": (1, False)}
+    last = [(r.name, r.line_start) for r in P.dedupe_by_name(P.py_functions(nodes)).collect() if r.name == "f"]
+    assert last == [("f", 10)]
+
+
+def test_class_variables_and_module_scope(spark):
+    src = "X = 1\nclass K:\n    a = [1, 2]\n    b: int = 3\n    def m(self):\n        y = 4\nif X:\n    Z = 'z'\n"
+    nodes = py_nodes(files_df(spark, [("r", "v.py", src)]))
+    got = sorted((r.name, r.value, r.scope, r.owner_class) for r in P.py_variables(nodes).collect())
+    assert got == [("X", "1", "module", None), ("Z", "'z'", "module", None), ("a", "[1, 2]", "class", "K")]
