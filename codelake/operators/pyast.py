@@ -224,28 +224,39 @@ def _batch(repos, paths, rows):
 
 
 def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False):
+    import gc
     for batch in batches:
         repos = batch.column("repo").to_pylist()
         paths = batch.column("path").to_pylist()
         contents = batch.column("content").to_pylist()
-        r_out, p_out, rows = [], [], []
-        for repo, path, content in zip(repos, paths, contents):
-            if content is None:
-                continue
-            try:
-                file_rows = _flatten_one(content, all_nodes)
-            except Exception as e:  # noqa: BLE001 - one bad file never fails the job
-                file_rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
-                              getattr(e, "lineno", None), None, None, None, str(e), None, None, (), (), 0, 0,
-                              None)]
-            rows.extend(file_rows)
-            r_out.extend([repo] * len(file_rows))
-            p_out.extend([path] * len(file_rows))
-            if len(rows) >= flush_rows:
-                yield _batch(r_out, p_out, rows)
-                r_out, p_out, rows = [], [], []
-        if rows:
-            yield _batch(r_out, p_out, rows)
+        ready = []
+        # the walk allocates millions of short-lived, cycle-free tuples:
+        # pause the cyclic collector for the batch (refcounting frees them)
+        gc_on = gc.isenabled()
+        gc.disable()
+        try:
+            r_out, p_out, rows = [], [], []
+            for repo, path, content in zip(repos, paths, contents):
+                if content is None:
+                    continue
+                try:
+                    file_rows = _flatten_one(content, all_nodes)
+                except Exception as e:  # noqa: BLE001 - one bad file never fails the job
+                    file_rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
+                                  getattr(e, "lineno", None), None, None, None, str(e), None, None, (), (), 0, 0,
+                                  None)]
+                rows.extend(file_rows)
+                r_out.extend([repo] * len(file_rows))
+                p_out.extend([path] * len(file_rows))
+                if len(rows) >= flush_rows:
+                    ready.append(_batch(r_out, p_out, rows))
+                    r_out, p_out, rows = [], [], []
+            if rows:
+                ready.append(_batch(r_out, p_out, rows))
+        finally:
+            if gc_on:
+                gc.enable()
+        yield from ready
 
 
 def py_nodes(files: DataFrame, all_nodes: bool = False) -> DataFrame:
