@@ -69,7 +69,7 @@ def smell_deep_nesting(nodes: DataFrame, max_depth: int = _t("max_nesting_depth"
                      _fmt(K.MSG_DEEP_NESTING, n=F.col("depth"), m=F.lit(max_depth)).alias("message")))
 
 
-def python_smells(nodes: DataFrame) -> DataFrame:
+def python_smells(nodes: DataFrame, thresholds: dict | None = None) -> DataFrame:
     """All Python smells (L1-L4) in one pass: def, class and loop rows plus
     the non-``self`` parameter rows keyed to their def; one group-by, then
     each group emits the smells it has."""
@@ -87,7 +87,7 @@ def python_smells(nodes: DataFrame) -> DataFrame:
               .agg(F.first(F.when(~is_arg, own), ignorenulls=True).alias("o"),
                    F.count_if(is_arg).alias("n_args")))
     o = F.col("o")
-    t = K.SMELL_THRESHOLDS
+    t = {**K.SMELL_THRESHOLDS, **(thresholds or {})}  # P3: thresholds are keyword config
     none = F.lit(None).cast("string")
 
     def smell(cond, typ, name, message):

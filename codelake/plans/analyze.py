@@ -30,8 +30,19 @@ from codelake.operators.pyast import parse_errors, py_nodes
 from codelake.session import stage_parquet
 
 
-def analyze(files: DataFrame) -> dict[str, DataFrame]:
-    """``files`` is an ingested corpus (``codelake.sources.corpus.ingest``).
+# Language plug-ins.  Each entry maps a name to a function
+# ``(code_files, lines) -> {table: DataFrame}`` run by ``analyze``; register
+# another language by adding an entry (its tables join the result).
+EXTRACTORS: dict = {}
+
+
+def register_extractor(name: str, fn) -> None:
+    EXTRACTORS[name] = fn
+
+
+def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataFrame]:
+    """``files`` is an ingested corpus (``codelake.sources.corpus.ingest``);
+    ``thresholds`` overrides the smell limits (P3).
 
     Returns a dict of lazily defined DataFrames keyed by table name; only
     the node and line tables are materialised here.
@@ -95,7 +106,7 @@ def analyze(files: DataFrame) -> dict[str, DataFrame]:
     out["dependency_adjacency"] = G.dependency_adjacency(code.select("repo", "path"), edges)
 
     # quality
-    smells = S.python_smells(nodes).unionByName(S.line_smells(code, lines))
+    smells = S.python_smells(nodes, thresholds).unionByName(S.line_smells(code, lines))
     patterns = PT.python_patterns(nodes).unionByName(PT.text_patterns(code))
     out["smells"], out["patterns"] = smells, patterns
     out["smell_counts"] = S.smell_counts(smells)
@@ -112,6 +123,9 @@ def analyze(files: DataFrame) -> dict[str, DataFrame]:
     out["report_architecture"] = R.report_architecture(code.select("repo", "path", "language", "name"),
                                                        out["structure_nodes"], functions, classes, edges)
     out["file_summary"] = R.file_summary(code, nodes, patterns, smells, edges)
+    for name, fn in EXTRACTORS.items():
+        for table, df in fn(code, lines).items():
+            out[f"{name}_{table}"] = df
     out["function_flow"] = R.function_flow(functions, behaviour, flow, out["control_flow"],
                                            out["function_callers"])
     return out

@@ -186,3 +186,10 @@ def test_class_variables_and_module_scope(spark):
     nodes = py_nodes(files_df(spark, [("r", "v.py", src)]))
     got = sorted((r.name, r.value, r.scope, r.owner_class) for r in P.py_variables(nodes).collect())
     assert got == [("X", "1", "module", None), ("Z", "'z'", "module", None), ("a", "[1, 2]", "class", "K")]
+
+
+def test_smell_thresholds_are_configurable(spark):
+    nodes = py_nodes(files_df(spark, [("r", "m.py", SRC)]))
+    default = {r.type for r in S.python_smells(nodes).collect()}
+    strict = {r.type for r in S.python_smells(nodes, {"max_function_length": 2, "max_parameters": 1}).collect()}
+    assert "Long Method" not in default and {"Long Method", "Too Many Parameters"} <= strict
