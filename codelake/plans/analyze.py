@@ -61,15 +61,18 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
 
     # Python
     imports = P.py_imports(nodes)
-    functions = P.py_functions(nodes)
-    classes = P.py_classes(nodes)
+    # intermediates that several output tables read are written once
+    functions = stage_parquet(P.py_functions(nodes), "functions")
+    classes = stage_parquet(P.py_classes(nodes), "classes")
     out["py_imports"] = imports.drop("stmt_pre", "ord")
     out["py_raw_dependencies"] = P.py_raw_dependencies(imports)
     out["py_variables"] = P.py_variables(nodes)
-    out["py_file_calls"] = calls = P.py_file_calls(nodes)
-    out["py_complexity"] = complexity = P.py_complexity(nodes)
+    out["py_file_calls"] = calls = stage_parquet(P.py_file_calls(nodes), "file_calls")
+    out["py_complexity"] = complexity = stage_parquet(P.py_complexity(nodes), "complexity")
     behaviour, flow, control = B.analyse(nodes)
-    out["function_behavior"], out["variable_flow"], out["control_flow"] = behaviour, flow, B.control_flow(nodes)
+    behaviour, flow = stage_parquet(behaviour, "behaviour"), stage_parquet(flow, "variable_flow")
+    out["function_behavior"], out["variable_flow"] = behaviour, flow
+    out["control_flow"] = stage_parquet(B.control_flow(nodes), "control_flow")
     out["return_paths"] = B.return_paths(nodes)
     out["function_callers"] = B.function_callers(nodes)
     out["py_functions"] = G.function_calls_attach(functions, calls).join(
@@ -101,13 +104,13 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     # linking
     py_edges = G.py_dependency_edges(imports, files)
     js_edges = G.js_dependency_edges(js_deps.withColumn("imp", F.col("line_no")), files)
-    out["dep_edges"] = edges = py_edges.unionByName(js_edges).distinct()
+    out["dep_edges"] = edges = stage_parquet(py_edges.unionByName(js_edges).distinct(), "dep_edges")
     out["dependents"] = G.dependents(edges)
     out["dependency_adjacency"] = G.dependency_adjacency(code.select("repo", "path"), edges)
 
     # quality
-    smells = S.python_smells(nodes, thresholds).unionByName(S.line_smells(code, lines))
-    patterns = PT.python_patterns(nodes).unionByName(PT.text_patterns(code))
+    smells = stage_parquet(S.python_smells(nodes, thresholds).unionByName(S.line_smells(code, lines)), "smells")
+    patterns = stage_parquet(PT.python_patterns(nodes).unionByName(PT.text_patterns(code)), "patterns")
     out["smells"], out["patterns"] = smells, patterns
     out["smell_counts"] = S.smell_counts(smells)
     out["missing_patterns"] = PT.missing_patterns(files, patterns)
