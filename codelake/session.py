@@ -95,4 +95,22 @@ def stage_parquet(df, name: str = "table"):
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    _STAGED.append(path)
     return spark.read.parquet(path)
+
+
+_STAGED: list[str] = []
+
+
+def drop_staged(spark) -> int:
+    """Delete the Parquet tables this process staged (through the Hadoop
+    FileSystem of each path, so shared cluster storage works too).  Call
+    when the results are written; returns the number of tables removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGED:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n

@@ -193,3 +193,12 @@ def test_smell_thresholds_are_configurable(spark):
     default = {r.type for r in S.python_smells(nodes).collect()}
     strict = {r.type for r in S.python_smells(nodes, {"max_function_length": 2, "max_parameters": 1}).collect()}
     assert "Long Method" not in default and {"Long Method", "Too Many Parameters"} <= strict
+
+
+def test_staged_tables_are_dropped(spark):
+    import os
+    from codelake.session import drop_staged, stage_parquet
+    df = stage_parquet(spark.range(5), "t")
+    path = df.inputFiles()[0].split("/part-")[0].replace("file:", "")
+    assert df.count() == 5 and os.path.exists(path)
+    assert drop_staged(spark) >= 1 and not os.path.exists(path)
