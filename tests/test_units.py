@@ -202,3 +202,39 @@ def test_staged_tables_are_dropped(spark):
     path = df.inputFiles()[0].split("/part-")[0].replace("file:", "")
     assert df.count() == 5 and os.path.exists(path)
     assert drop_staged(spark) >= 1 and not os.path.exists(path)
+
+
+def _render_tree(root, paths):
+    """Independent recursive rendering: directories first, then by name."""
+    tree = {}
+    for p in paths:
+        node = tree
+        parts = p.split("/")
+        for d in parts[:-1]:
+            node = node.setdefault(d, {})
+        node.setdefault(parts[-1], None)
+    out = [root + "/"]
+
+    def walk(node, level):
+        for name, child in sorted(node.items(), key=lambda kv: (kv[1] is None, kv[0])):
+            if child is None:
+                out.append("  " * (level + 1) + name)
+            else:
+                out.append("  " * (level + 1) + name + "/")
+                walk(child, level + 1)
+    walk(tree, 0)
+    return out
+
+
+def test_tree_text_order_matches_recursive_rendering(spark):
+    import random
+    from codelake.operators.classify import structure_nodes, tree_text
+    rnd = random.Random(3)
+    names = ["a", "B", "c.py", "Zeta", "a_b", "a.b", "x-1", "é"]
+    paths = sorted({"/".join(rnd.choice(names) + str(rnd.randint(0, 2)) for _ in range(rnd.randint(1, 4)))
+                    for _ in range(120)})
+    # a prefix cannot be both a file and a directory in a real tree
+    paths = [p for p in paths if not any(q.startswith(p + "/") for q in paths)]
+    f = files_df(spark, [("proj", p, "x") for p in paths])
+    got = [r.line for r in tree_text(structure_nodes(f)).orderBy("tree_key").collect()]
+    assert got == _render_tree("proj", paths)
