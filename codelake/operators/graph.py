@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelake.functions import constants as K
 from codelake.functions import text as T
 
 PY_SUFFIXES = [".py", "/__init__.py"]
@@ -116,6 +115,3 @@ def called_by_counts(functions: DataFrame, file_calls: DataFrame) -> DataFrame:
                                  .cast("bigint"))
                      .drop("n_files", "own"))
 
-
-__all__ = ["py_dependency_edges", "js_dependency_edges", "dependents", "dependency_adjacency",
-           "function_calls_attach", "called_by_counts", "normalise_path", "K"]

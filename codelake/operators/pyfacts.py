@@ -20,12 +20,6 @@ def parent(i: int = 1):
     return F.col(f"p{i}")
 
 
-def _ordered_texts(col_ord, col_text):
-    """array of texts ordered by ``ord`` from a collected struct list."""
-    return F.transform(F.array_sort(F.collect_list(F.struct(col_ord.alias("o"), col_text.alias("t")))),
-                       lambda s: s["t"])
-
-
 # ---------------------------------------------------------------- imports
 
 def py_imports(nodes: DataFrame) -> DataFrame:

@@ -39,16 +39,6 @@ def nodes_of(spark: SparkSession, sf: str, *corpora: str) -> DataFrame:
     return py_nodes(files_of(spark, sf, *corpora))
 
 
-def lines_of(spark: SparkSession, sf: str, *corpora: str) -> DataFrame:
-    from codelake.operators.lines import src_lines
-    return src_lines(files_of(spark, sf, *corpora))
-
-
-def arr_text(c, sep=","):
-    """array<string> -> joined string (NULL-free, order kept)."""
-    return F.array_join(c, sep)
-
-
 # knob tables the oracles derive expected facts from -------------------------
 
 KNOBS_PY = """
