@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,20 +52,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
     Read from ``spark.checkpoint.dir`` (the cluster names a shared folder
-    there).  Only when it is unset -- local runs and tests -- a fresh
-    scratch folder is created and registered.
+    there).  Where it is unset, a local master gets a scratch folder of its
+    own; on a cluster there is no safe default, so that raises.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or _SCRATCH.get(sc.applicationId) or sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="codelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", d)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="codelake-ckpt-")
+        _SCRATCH[sc.applicationId] = d
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
 
 
+# scratch folder by application, for local sessions without a setting
+_SCRATCH: dict[str, str] = {}
+
+
 def materialize(df):
     """Write a table that several branches of one plan read to the shared
     checkpoint folder (reliable ``checkpoint``; never a machine-local
