@@ -161,3 +161,23 @@ def list_column(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> p
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
+
+
+class Memo(dict):
+    """A bounded cache of a pure function for one worker process: two
+    generations of at most ``size`` entries; what is still used moves on."""
+
+    def __init__(self, compute, size: int = 250_000):
+        super().__init__()
+        self.compute, self.size, self.old = compute, size, {}
+
+    def __missing__(self, key):
+        v = self.old.get(key)
+        return self.put(key, self.compute(key) if v is None else v)
+
+    def put(self, key, value):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
