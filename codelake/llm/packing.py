@@ -34,6 +34,7 @@ MERGE_GROUP = 64      # partitions whose leftovers one task merges
 END_ID = 2            # closes every document
 VOCABULARY = "word_bpe_49k.json"
 _CACHED_WORD = 64
+_MARKS = "!#$%&*+,-./:;=?@|"  # not of special tokens, nor of "'s" and the like
 
 _SPLIT_MORE = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 
@@ -54,18 +55,35 @@ class WordIds:
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember new words: letters with marks behind them are encoded
+        apart (the vocabulary never joins the two), ASCII letters in lower case."""
+        known, parts = self.words, {}
+        for w in words:
+            stem = w.rstrip(_MARKS)
+            if stem and stem.isalpha():
+                parts[w] = (stem.lower() if stem.isascii() else stem), w[len(stem):]
+            else:
+                parts[w] = "", w
+        new = [p for p in {p for both in parts.values() for p in both} if p and known.get(p) is None and p not in known.old]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known.put(p, np.array(e.ids, dtype="<u4").tobytes())
+        for w, (stem, rest) in parts.items():
+            if known.get(w) is None:
+                known.put(w, (known[stem] if stem else b"") + (known[rest] if rest else b""))
+
     def encode(self, text: str) -> bytes:
         # str.split() also parts at four control characters that are no white space here
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         words = _SPLIT_MORE.findall(text) if odd else text.split()
         known = self.words
-        new = [w for w in set(words) if w not in known and w not in known.old and len(w) <= _CACHED_WORD]
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known.put(w, np.array(e.ids, dtype="<u4").tobytes())
-        if words and len(max(words, key=len)) > _CACHED_WORD:
-            return b"".join([known[w] if len(w) <= _CACHED_WORD else self._one(w) for w in words])
-        return b"".join(map(known.__getitem__, words))
+        found = list(map(known.get, words))
+        if None in found:
+            new = {w for w, v in zip(words, found, strict=True) if v is None}
+            self._learn({w for w in new if len(w) <= _CACHED_WORD and w not in known.old})
+            found = [(known[w] if len(w) <= _CACHED_WORD else self._one(w)) if v is None else v
+                     for w, v in zip(words, found, strict=True)]
+        return b"".join(found)
 
 
 _LOADED: dict[str, WordIds] = {}
