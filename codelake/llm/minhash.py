@@ -173,36 +173,50 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(b, "b").join(a, "a").select(
         "a", "b", "ma", "mb", ((F.length("ma") + F.length("mb")) / 8).cast("long").alias("total"))
     got = both.mapInArrow(_intersections, "a long, b long, total long, shared long")
-    return (got.filter(F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared")))
-            .select("a", "b").distinct())
+    return got.filter(F.col("shared") * 100 >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
+# a table of this many (node, label) rows at most is sent to every task of a join
+BROADCAST_ROWS = 1 << 18
+
+
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node reachable over the undirected edges
     (a, b).  Minimum of the neighbours' labels, then a jump to the label's own
-    label, until nothing changes; all tables stay distributed."""
+    label, until nothing changes; all tables stay distributed.  Labels are
+    broadcast only where their counted rows allow it."""
     e = stage(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
               .union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = stage(e.groupBy("u").agg(F.min("v").alias("m")).select(
         F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels")
-    while True:
-        near = e.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        hop = stage(labels.join(near, labels.node == near.u).select(
+    rows = labels.count()
+    while rows:
+        near = (e.join(_side(labels.select(F.col("node").alias("v"), "label"), rows), "v")
+                .groupBy("u").agg(F.min("label").alias("m")))
+        hop = stage(near.join(_side(labels, rows), F.col("u") == F.col("node")).select(
             "node", F.least("label", "m").alias("label"), F.col("label").alias("old")), "hop")
-        up = hop.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        up = _side(hop.select(F.col("node").alias("label"), F.col("label").alias("top")), rows)
         labels = stage(hop.join(up, "label").select("node", F.col("top").alias("label"), "old"), "labels")
-        if labels.filter("label != old").isEmpty():
-            return labels.select("node", "label")
+        done = labels.filter("label != old").isEmpty()
         labels = labels.select("node", "label")
+        if done:
+            break
+    return labels
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     """Components ``comp`` after further links between their nodes."""
+    rows = comp.count()
     label = comp.select(F.col("node").alias("a"), F.col("label").alias("la"))
     other = comp.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    between = links.join(label, "a", "left").join(other, "b", "left").select(
+    between = links.join(_side(label, rows), "a", "left").join(_side(other, rows), "b", "left").select(
         F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).filter("a != b").distinct()
-    up = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    top = components(between)
+    up = _side(top.select(F.col("node").alias("label"), F.col("label").alias("top")), top.count())
     nodes = comp.select("node", "label").union(
         links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
         .join(comp, "node", "left_anti").select("node", F.col("node").alias("label")))
@@ -210,12 +224,17 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text",
-                    star_rounds: int = 3) -> DataFrame:
+                    star_rounds: int = 3, pairs_per_row: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs``.
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their
     sets of distinct 5-word shingles (words lower-cased in A-Z).
 
+    A bucket's members are compared with its centre first.  While the pairs
+    that are still in different components of a bucket are more than
+    ``pairs_per_row`` times the bucket rows, up to ``star_rounds`` further
+    centres are tried; then all those pairs are compared.
+
     Defined cases: null or empty text, or text without words: an empty set,
     linked with nothing.  Under five words: the whole sequence is one shingle.
     Rows of a null doc_id take no part (component_id null, kept true).
@@ -227,35 +246,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = stage(full.groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rid")), "classes")
     words = [f"s{i}" for i in range(PACKED)]
-    reps = full.join(classes.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi")
-    reps = reps.select(F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), *words, F.explode("bands").alias("key"))
-    # buckets with more than one member, each with its smallest as centre
-    shared = stage(reps.groupBy("key").agg(F.min("rid").alias("centre"), F.max("rid").alias("last"))
-                   .filter("centre < last").select("key", "centre"), "buckets")
-    members = stage(reps.join(shared, "key"), "members")
-    wanted = members.select(F.col("rid").alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_set_rows, "rid long, members binary")
-                 .filter(F.length("members") > 0), "sets")
-
-    floor = estimate_floor(percent)
-    info = members.select("rid", "n", *words).distinct()
+    reps = stage(full.join(classes.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), *words, "bands"), "reps")
+    reps = reps.select("rid", "n", *words, "bands", F.explode("bands").alias("key"))
 
     def in_reach(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
         return ((F.least(na, nb) * 100 >= percent * F.greatest(na, nb))
-                & (estimated_similarity(a, b) >= floor))
+                & (estimated_similarity(a, b) >= estimate_floor(percent)))
+
+    # buckets with more than one member, each with its smallest as centre
+    me = F.struct("rid", "n", *words)
+    shared = stage(reps.groupBy("key").agg(F.min(me).alias("centre"), F.max("rid").alias("last"))
+                   .filter("centre.rid < last").select("key", "centre"), "buckets")
+    members = stage(reps.join(shared, "key").withColumn("me", me).select(
+        "key", "rid", "n", *words, "bands", F.col("centre.rid").alias("centre"), in_reach("me", "centre").alias("reach")), "members")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    sets = stage(texts.join(members.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi")
+                 .mapInArrow(_set_rows, "rid long, members binary").filter(F.length("members") > 0), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """Estimate, then confirm, distinct pairs (a, b)."""
-        near = (pairs.distinct().join(info.select(F.col("rid").alias("a"), F.struct("n", *words).alias("x")), "a")
-                .join(info.select(F.col("rid").alias("b"), F.struct("n", *words).alias("y")), "b")
-                .filter(in_reach("x", "y")).select("a", "b"))
-        return stage(_confirm(near, sets, percent), "links")
+        return stage(_confirm(pairs.distinct(), sets, percent), "links")
 
-    comp = components(linked(members.filter("rid != centre").select(F.col("centre").alias("a"), F.col("rid").alias("b"))))
+    comp = components(linked(members.filter("reach and rid != centre").select(F.col("centre").alias("a"), F.col("rid").alias("b"))))
     for turn in range(star_rounds + 1):
-        now = stage(members.drop("centre").join(comp.withColumnRenamed("node", "rid"), "rid", "left")
+        now = stage(members.select("key", "rid", "n", *words, "bands")
+                    .join(_side(comp.withColumnRenamed("node", "rid"), comp.count()), "rid", "left")
                     .withColumn("label", F.coalesce("label", "rid")), "placed")
         sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         left = sizes.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"),
@@ -264,24 +280,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         n_open, n_rows = left.agg(F.sum("open"), F.sum("s")).first()
         if not n_open:
             break
-        if n_open <= 32 * n_rows or turn == star_rounds:
-            # all pairs that are still in different components of a bucket
-            part = now.join(left.select("key"), "key", "left_semi")
+        part = now.join(left.select("key"), "key", "left_semi")
+        if n_open <= pairs_per_row * n_rows or turn == star_rounds:
+            # all pairs that are still in different components of a bucket,
+            # each in the first of the buckets that it shares
+            once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
             pairs = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                                         & (F.col("x.rid") < F.col("y.rid")) & in_reach("x", "y"))
-            found = stage(_confirm(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct(),
-                                   sets, percent), "links")
-            comp = _merge(comp, found)
+                                         & (F.col("x.rid") < F.col("y.rid")) & in_reach("x", "y") & once)
+            comp = _merge(comp, linked(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))))
             break
         # another centre for each bucket
         order = F.xxhash64(F.col("rid"), F.lit(turn))
-        centre = stage(now.join(left.select("key"), "key", "left_semi").groupBy("key")
-                       .agg(F.min(F.struct(order.alias("o"), F.col("rid"), F.col("label"))).alias("c")), "centre")
-        pairs = now.join(centre, "key").filter("label != c.label").select(
-            F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b"))
-        comp = _merge(comp, linked(pairs))
+        centre = stage(part.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rid", "n", *words, "label")).alias("c")), "centre")
+        pairs = part.withColumn("me", me).join(centre, "key").filter((F.col("label") != F.col("c.label")) & in_reach("me", "c"))
+        comp = _merge(comp, linked(pairs.select(F.least("rid", "c.rid").alias("a"), F.greatest("rid", "c.rid").alias("b"))))
 
-    of_class = stage(classes.join(comp, F.col("rid") == F.col("node"), "left")
+    of_class = stage(classes.join(_side(comp, comp.count()), F.col("rid") == F.col("node"), "left")
                      .select("fp1", "fp2", F.coalesce("label", "rid").alias("component")), "placed")
     out = signed.select("doc_id", "n_shingles", "fp1", "fp2").join(of_class, ["fp1", "fp2"], "left")
     # an empty set's fingerprint is 0, 0: never a class of its own
