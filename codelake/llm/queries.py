@@ -1,10 +1,17 @@
 """The registered queries of the subpackage and their DuckDB oracles."""
 
-from codelake.llm import ann, chat, minhash
+from codelake.llm import ann, bpe, chat, classifier, langid, maxent, minhash, packing, rules, tokens
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_chat_format": chat.op2_chat_format,
+    "op3_token_counts": tokens.op3_token_counts,
+    "op4_lm_score": maxent.op4_lm_score,
+    "op5_language_id": langid.op5_language_id,
+    "op6_quality_rules": rules.op6_quality_rules,
+    "op7_quality_classifier": classifier.op7_quality_classifier,
+    "op8_bpe": bpe.op8_bpe,
+    "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
 }
 

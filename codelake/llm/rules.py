@@ -60,10 +60,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
     grams = flagged.select("trusted", F.explode(F.concat(single_buckets(), pair_buckets())).alias("bucket"))
     counted = stage(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")), "buckets")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")
-    total = counted.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("n_raw"), F.coalesce(F.sum("target"), F.lit(0)).alias("n_target"))
-    raw = (F.coalesce("raw", F.lit(0)) + 1) / (F.col("n_raw") + BUCKETS)
-    target = (F.coalesce("target", F.lit(0)) + SMOOTHING * BUCKETS * raw) / (F.col("n_target") + SMOOTHING * BUCKETS)
-    return every.join(F.broadcast(total)).select("bucket", F.log(target / raw).alias("ratio"))
+    n_raw, n_target = (counted.agg(F.coalesce(F.sum(c), F.lit(0))).scalar() for c in ("raw", "target"))
+    raw = (F.coalesce("raw", F.lit(0)) + 1) / (n_raw + BUCKETS)
+    target = (F.coalesce("target", F.lit(0)) + SMOOTHING * BUCKETS * raw) / (n_target + SMOOTHING * BUCKETS)
+    return every.select("bucket", F.log(target / raw).alias("ratio"))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
