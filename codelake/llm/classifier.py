@@ -150,6 +150,15 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
     return np.frombuffer(got[0].edges, np.float64).reshape(BINS - 1, STATS), np.frombuffer(got[0].weights, np.float64)
 
 
+def text_scores(col: pa.Array, model) -> np.ndarray:
+    """Scores of a text column."""
+    if model is None:
+        return np.full(len(col), 0.5)
+    edges, w = model
+    return np.concatenate([sigmoid(design(*features(col.slice(lo, hi - lo)), edges) @ w)
+                           for lo, hi in slices(col, 1 << 20)] or [np.zeros(0)])
+
+
 def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 if score >= 0.5) of every row.
 
@@ -161,26 +170,30 @@ def classify(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for b in batches:
-            if model is None:
-                score = np.full(b.num_rows, 0.5)
-            else:
-                edges, w = model
-                score = np.concatenate([sigmoid(design(*features(b.column(1).slice(lo, hi - lo)), edges) @ w)
-                                        for lo, hi in slices(b.column(1), 1 << 20)] or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], names=["doc_id", "score"])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text_scores(b.column(1), model))], names=["doc_id", "score"])
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return (rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, train_docs: DataFrame) -> DataFrame:
-    """Scores of ``docs``, learned from the texts of ``train_docs`` and the
-    rows of ``labels`` (doc_id, quality) that are given."""
+def keep_quality(docs: DataFrame, model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, whole, whose text scores ``least`` or more."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(text_scores(b.column(at), model) >= least))
+    return docs.mapInArrow(run, docs.schema)
+
+
+def train(docs: DataFrame, labels: DataFrame):
+    """The model of the texts of ``docs`` (unlabelled) and the rows of
+    ``labels`` (doc_id, quality) that may be learned from."""
     small_batches(docs.sparkSession)
     share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     # away from 0 and 1, where the risk says nothing
-    prior = min(max(share or 0.5, 0.02), 0.98)
-    return classify(docs, learn(train_docs, labels.filter("quality = 1"), prior))
+    return learn(docs, labels.filter("quality = 1"), min(max(share or 0.5, 0.02), 0.98))
 
 
 def training(rows: DataFrame) -> DataFrame:
@@ -192,4 +205,4 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
     held_out = F.coalesce(id_remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    return quality(docs, training(labels), training(docs)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return classify(docs, train(training(docs), training(labels))).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelake.llm.common import (hash_spans, list_column, mix64, read, slices, small_batches, stage, stream64,
@@ -304,6 +304,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, whole, that stay if one document of each class of
+    near-duplicates does: that of the least doc_id.  Of rows that share a
+    doc_id one stays, the least by text and then the other columns; rows of a
+    null doc_id all stay."""
+    kept = near_duplicates(docs, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    order = ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]
+    least = Window.partitionBy("doc_id").orderBy(*order)
+    chosen = docs.join(kept, "doc_id", "left_semi").select(*docs.columns, F.row_number().over(least).alias("rank of row"))
+    return chosen.filter(F.col("rank of row") == 1).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), percent=85)
 
