@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracle import TABLES, _norm
+from codelake.plans.catalog import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
 def test_entry(spark):
@@ -29,12 +31,12 @@ def test_entry(spark):
     assert df.columns == ["repo", "type", "n"]
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = E.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = Counter(tuple(_norm(r[c]) for c in cols) for r in df.collect())
-    rel = con.sql(E.oracle_sql()[name])
+    rel = con.sql(ORACLE[name])
     dcols = list(rel.columns)
     assert sorted(dcols) == cols
     idx = [dcols.index(c) for c in cols]
