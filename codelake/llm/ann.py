@@ -210,7 +210,8 @@ WITH v AS (
     AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
     AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
 d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.x, c.x) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(
+    list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda s, e: s + e)) AS score
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.x) = len(c.x)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10

@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     words = [f"s{i}" for i in range(PACKED)]
     reps = stage(full.join(classes.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi").select(
         F.col("doc_id").alias("rid"), F.col("n_shingles").alias("n"), *words, "bands"), "reps")
-    reps = reps.select("rid", "n", *words, "bands", F.explode("bands").alias("key"))
+    placed = reps.select("rid", F.explode("bands").alias("key"))
 
     def in_reach(a: str, b: str):
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     # buckets with more than one member, each with its smallest as centre
     me = F.struct("rid", "n", *words)
-    shared = stage(reps.groupBy("key").agg(F.min(me).alias("centre"), F.max("rid").alias("last"))
-                   .filter("centre.rid < last").select("key", "centre"), "buckets")
-    members = stage(reps.join(shared, "key").withColumn("me", me).select(
-        "key", "rid", "n", *words, "bands", F.col("centre.rid").alias("centre"), in_reach("me", "centre").alias("reach")), "members")
+    shared = stage(placed.groupBy("key").agg(F.min("rid").alias("centre"), F.max("rid").alias("last"))
+                   .filter("centre < last").select("key", "centre"), "buckets")
+    of_centre = reps.select(F.col("rid").alias("centre"), me.alias("c"))
+    members = stage(placed.join(shared, "key").join(reps.drop("bands"), "rid").withColumn("me", me).join(of_centre, "centre").select(
+        "key", "rid", "n", *words, "centre", in_reach("me", "c").alias("reach")), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = stage(texts.join(members.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi")
                  .mapInArrow(_set_rows, "rid long, members binary").filter(F.length("members") > 0), "sets")
@@ -270,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     comp = components(linked(members.filter("reach and rid != centre").select(F.col("centre").alias("a"), F.col("rid").alias("b"))))
     for turn in range(star_rounds + 1):
-        now = stage(members.select("key", "rid", "n", *words, "bands")
+        now = stage(members.select("key", "rid", "n", *words)
                     .join(_side(comp.withColumnRenamed("node", "rid"), comp.count()), "rid", "left")
                     .withColumn("label", F.coalesce("label", "rid")), "placed")
         sizes = now.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
@@ -284,6 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if n_open <= pairs_per_row * n_rows or turn == star_rounds:
             # all pairs that are still in different components of a bucket,
             # each in the first of the buckets that it shares
+            part = part.join(reps.select("rid", "bands"), "rid")
             once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
             pairs = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
                                          & (F.col("x.rid") < F.col("y.rid")) & in_reach("x", "y") & once)

@@ -56,7 +56,7 @@ def _stable(text: str, at: int) -> bool:
     """Whether a token boundary before the space text[at] is independent of
     either side, and text[at + 1:] encodes as the rest does (the model puts a
     space before a text, which stands for the one at ``at``)."""
-    return text[at] == " " and text[at - 1] not in (" ", _MARK)
+    return text[at] == " " and text[at - 1] not in (" ", _MARK) and at + 1 < len(text)  # an empty rest has no space put before it
 
 
 def _offsets(model, text: str, start: int) -> np.ndarray:
