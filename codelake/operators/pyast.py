@@ -68,20 +68,23 @@ KEEP_KINDS = frozenset({
     "Name", "Attribute", "arg", "alias", "FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda",
     "If", "For", "AsyncFor", "While", "With", "AsyncWith", "Match", "Try", "TryStar", "ExceptHandler",
     "BoolOp", "Return", "Yield", "YieldFrom", "Await", "Global", "Nonlocal", "Import", "ImportFrom",
-    "Assign", "AnnAssign", "AugAssign"})
+    "Assign", "AnnAssign", "AugAssign", "MatchAs", "MatchStar", "MatchMapping"})
 _STMT_FIELDS = frozenset({"body", "orelse", "handlers", "finalbody"})
 _LOOP_KINDS = frozenset({"If", "For", "While"})
 _SCOPE_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda"})
 _NAME_ATTR = {"FunctionDef": "name", "AsyncFunctionDef": "name", "ClassDef": "name", "Name": "id",
-              "Attribute": "attr", "alias": "name", "arg": "arg", "keyword": "arg", "ExceptHandler": "name"}
+              "Attribute": "attr", "alias": "name", "arg": "arg", "keyword": "arg", "ExceptHandler": "name",
+              "MatchAs": "name", "MatchStar": "name", "MatchMapping": "rest"}
 _CTX_NAME = {c: c.__name__ for c in _all_subclasses(ast.expr_context)}
 
 
-def _unparse(node):
+def _unparse(node, content):
+    """Source text of a node; where the tree cannot be written back (nesting
+    beyond the interpreter's limit), the node's own source segment."""
     try:
         return ast.unparse(node)
-    except Exception:  # noqa: BLE001 - text is best effort
-        return None
+    except (RecursionError, ValueError):
+        return ast.get_source_segment(content, node) or type(node).__name__
 
 
 def _flatten_one(content: str, all_nodes: bool = False):
@@ -136,7 +139,7 @@ def _flatten_one(content: str, all_nodes: bool = False):
         if field in _TEXT_FIELDS or (field == "target" and (pkind == "For" or pkind == "AsyncFor")) or \
                 (field == "value" and (pkind == "Assign" or pkind == "AnnAssign") and
                  (n_scopes == 0 or (len(up) >= 2 and up[-2][1] == "ClassDef"))):
-            text = _unparse(node)
+            text = _unparse(node, content)
         ctx = getattr(node, "ctx", None)
         lineno = getattr(node, "lineno", None)
         if all_nodes or kind in KEEP_KINDS or text is not None or field in _STMT_FIELDS:
@@ -183,7 +186,15 @@ _ARROW_SCHEMA = pa.schema([
     ("n_loops", pa.int32()), ("n_scopes", pa.int32()),
     ("scope", pa.int32()),
 ])
-_COLS = [f.name for f in _ARROW_SCHEMA]
+
+
+def _strings(values):
+    """A string column; lone surrogates (legal in Python literals, not in
+    UTF-8) are written as backslash escapes."""
+    try:
+        return pa.array(values, type=pa.string())
+    except UnicodeEncodeError:
+        return pa.array([v if v is None else v.encode("utf-8", "backslashreplace").decode() for v in values], type=pa.string())
 
 
 def _batch(repos, paths, rows):
@@ -191,16 +202,17 @@ def _batch(repos, paths, rows):
     ancestor chains become flat child arrays plus offsets."""
     from itertools import accumulate, chain
     cols = list(zip(*rows))
-    arrays = [pa.array(repos, type=pa.string()), pa.array(paths, type=pa.string())]
+    arrays = [_strings(repos), _strings(paths)]
     for i in range(14):
-        arrays.append(pa.array(cols[i], type=_ARROW_SCHEMA.field(i + 2).type))
+        kind = _ARROW_SCHEMA.field(i + 2).type
+        arrays.append(_strings(cols[i]) if kind == pa.string() else pa.array(cols[i], type=kind))
     attrs = cols[14]
     valid = [a is not None for a in attrs]
     keys = list(chain.from_iterable(a.keys() for a in attrs if a))
     vals = list(chain.from_iterable(a.values() for a in attrs if a))
     aoff = [0, *accumulate(len(a) if a else 0 for a in attrs)]
-    arrays.append(pa.MapArray.from_arrays(pa.array(aoff, type=pa.int32()), pa.array(keys, type=pa.string()),
-                                          pa.array(vals, type=pa.string()),
+    arrays.append(pa.MapArray.from_arrays(pa.array(aoff, type=pa.int32()), _strings(keys),
+                                          _strings(vals),
                                           mask=pa.array([not v for v in valid], type=pa.bool_())))
     ups = cols[15]
     none4 = (None, None, None, None)
@@ -208,13 +220,12 @@ def _batch(repos, paths, rows):
         ps = [u[-k] if len(u) >= k else none4 for u in ups]
         f = list(zip(*ps))
         arrays.append(pa.StructArray.from_arrays(
-            [pa.array(f[0], type=pa.int32()), pa.array(f[1], type=pa.string()),
-             pa.array(f[2], type=pa.string()), pa.array(f[3], type=pa.int32())],
+            [pa.array(f[0], type=pa.int32()), _strings(f[1]), _strings(f[2]), pa.array(f[3], type=pa.int32())],
             fields=list(_P_ARROW), mask=pa.array([len(u) < k for u in ups], type=pa.bool_())))
     defs = cols[16]
     flat = list(chain.from_iterable(defs))
     f = list(zip(*flat)) if flat else [[], []]
-    st = pa.StructArray.from_arrays([pa.array(f[0], type=pa.int32()), pa.array(f[1], type=pa.string())],
+    st = pa.StructArray.from_arrays([pa.array(f[0], type=pa.int32()), _strings(f[1])],
                                     fields=list(_ARROW_SCHEMA.field("defs").type.value_type))
     arrays.append(pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, defs))], type=pa.int32()), st))
     arrays.append(pa.array(cols[17], type=pa.int32()))
@@ -223,40 +234,53 @@ def _batch(repos, paths, rows):
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
+def _error_row(e: Exception):
+    return (0, None, 0, None, None, "__error__", type(e).__name__, None, getattr(e, "lineno", None), None, None, None,
+            str(e), None, None, (), (), 0, 0, None)
+
+
+def _emit(held):
+    """The batch of (repo, path, rows) files.  If the conversion fails, file
+    by file, so that only the file at fault becomes an error row."""
+    try:
+        repos = [r for r, _, rows in held for _ in rows]
+        paths = [p for _, p, rows in held for _ in rows]
+        yield _batch(repos, paths, [row for _, _, rows in held for row in rows])
+    except Exception as e:  # noqa: BLE001 - one bad file never fails the job
+        if len(held) > 1:
+            for one in held:
+                yield from _emit([one])
+        else:
+            yield _batch([held[0][0]], [held[0][1]], [_error_row(e)])
+
+
 def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False):
     import gc
     for batch in batches:
-        repos = batch.column("repo").to_pylist()
-        paths = batch.column("path").to_pylist()
-        contents = batch.column("content").to_pylist()
-        ready = []
+        held, size = [], 0
         # the walk allocates millions of short-lived, cycle-free tuples:
         # pause the cyclic collector for the batch (refcounting frees them)
         gc_on = gc.isenabled()
         gc.disable()
         try:
-            r_out, p_out, rows = [], [], []
-            for repo, path, content in zip(repos, paths, contents):
+            for repo, path, content in zip(*(batch.column(c) for c in ("repo", "path", "content"))):
+                content = content.as_py()
                 if content is None:
                     continue
                 try:
-                    file_rows = _flatten_one(content, all_nodes)
+                    rows = _flatten_one(content, all_nodes)
                 except Exception as e:  # noqa: BLE001 - one bad file never fails the job
-                    file_rows = [(0, None, 0, None, None, "__error__", type(e).__name__, None,
-                                  getattr(e, "lineno", None), None, None, None, str(e), None, None, (), (), 0, 0,
-                                  None)]
-                rows.extend(file_rows)
-                r_out.extend([repo] * len(file_rows))
-                p_out.extend([path] * len(file_rows))
-                if len(rows) >= flush_rows:
-                    ready.append(_batch(r_out, p_out, rows))
-                    r_out, p_out, rows = [], [], []
-            if rows:
-                ready.append(_batch(r_out, p_out, rows))
+                    rows = [_error_row(e)]
+                held.append((repo.as_py(), path.as_py(), rows))
+                size += len(rows)
+                if size >= flush_rows:
+                    yield from _emit(held)
+                    held, size = [], 0
+            if held:
+                yield from _emit(held)
         finally:
             if gc_on:
                 gc.enable()
-        yield from ready
 
 
 def py_nodes(files: DataFrame, all_nodes: bool = False) -> DataFrame:
