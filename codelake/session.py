@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,7 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # rows of the flatten job carry whole files: keep Arrow batches small
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
     "spark.ui.enabled": "false",
     # joins / aggregates keyed by (repo, path, x) reuse a (repo, path)
     # hash partitioning instead of re-shuffling: per-file data is bounded
@@ -45,9 +48,32 @@ def get_spark(master: str | None = None, app: str = "codelake", shuffle_partitio
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors, so that their Python workers find it
+    from any working directory (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="codelake-pkg-")
+    with zipfile.PyZipFile(os.path.join(folder, "codelake.zip"), "w") as z:
+        for d, dirs, names in os.walk(root):
+            dirs[:] = [x for x in dirs if x != "__pycache__"]
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(d, n)
+                    z.write(full, os.path.join("codelake", os.path.relpath(full, root)))
+    sc.addPyFile(os.path.join(folder, "codelake.zip"))
+    _SHIPPED.add(sc.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and materialised tables.
 
@@ -71,25 +97,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _SCRATCH: dict[str, str] = {}
 
 
-def materialize(df):
-    """Write a table that several branches of one plan read to the shared
-    checkpoint folder (reliable ``checkpoint``; never a machine-local
-    cache), so its producer -- e.g. the syntax-tree flatten -- runs once and
-    a lost executor re-reads files instead of re-parsing."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    # the checkpoint records the producer's output partitioning only when
-    # the producer is planned without AQE (AQE reports it as unknown); keep
-    # it, so consumers keyed by the same columns need no new exchange
-    key = "spark.sql.adaptive.enabled"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, prev)
-
-
 def stage_parquet(df, name: str = "table"):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: lineage is cut, a lost executor re-reads files, and later
