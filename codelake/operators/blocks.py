@@ -14,12 +14,9 @@ FILE = ["repo", "path"]
 
 
 def by_file(lines: DataFrame) -> DataFrame:
-    """Hash-partition a line table by file once and write it to the shared
-    checkpoint folder.  The checkpoint keeps the partitioning, so every
-    later window, group-by and join keyed by file reads it without another
-    exchange, however many branches the extractor has."""
-    from codelake.session import materialize
-    return materialize(lines.repartition(*FILE))
+    """Hash-partition a line table by file once: the one exchange of an
+    extractor, sized and split by AQE and reused by all its branches."""
+    return lines.repartition(*FILE)
 
 
 def brace_tokens(lines: DataFrame) -> DataFrame:
@@ -28,42 +25,47 @@ def brace_tokens(lines: DataFrame) -> DataFrame:
     Running depth = cumulative +1/-1 in text order; an opening brace at
     depth d and its closing brace share level d, so the partner of a ``{`` is
     the next token of its level (``lead``).  No self-join.  An unterminated
-    block ends at the file's last line (ledger Q11).
+    block ends at the file's last line (ledger Q11), with or without tokens
+    there.
     """
-    t = lines.select(*FILE, "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(r"[{}]"), 0))
-                     .alias("pos", "tok"))
+    t = (lines.withColumn("last_line", F.max("line_no").over(Window.partitionBy(*FILE)))
+              .select(*FILE, "line_no", "last_line", F.posexplode(F.regexp_extract_all("line", F.lit(r"[{}]"), 0))
+                      .alias("pos", "tok")))
     order = Window.partitionBy(*FILE).orderBy("line_no", "pos")
     d = F.sum(F.when(F.col("tok") == "{", 1).otherwise(-1)).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = t.withColumn("depth", d).withColumn(
         "lvl", F.when(F.col("tok") == "{", F.col("depth")).otherwise(F.col("depth") + 1))
     nxt = F.lead(F.struct("tok", "line_no")).over(Window.partitionBy(*FILE, "lvl").orderBy("line_no", "pos"))
-    last_line = F.max("line_no").over(Window.partitionBy(*FILE))
-    return (t.withColumn("nxt", nxt).withColumn("last_line", last_line)
+    return (t.withColumn("nxt", nxt)
              .withColumn("end_line", F.when(F.col("tok") == "{", F.when(F.col("nxt.tok") == "}", F.col("nxt.line_no"))
                                            .otherwise(F.col("last_line"))))
              .drop("nxt", "last_line"))
 
 
-def attach_block(defs: DataFrame, tokens: DataFrame, stop_on_semicolon: bool = True) -> DataFrame:
+def attach_block(defs: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
     """Span of each definition row: the block opened by the first ``{`` at or
-    after its line.  A definition line without ``{`` that ends in ``;`` is a
-    declaration and spans its own line (ledger Q11).
+    after its line.  A ``;`` that comes before that brace, on the definition's
+    line or a later one, makes it a declaration, which spans its own line
+    (ledger Q11).
 
-    One merged stream per file, ordered by (line, kind); the block of a def
-    is the first following opening token (``first(..., ignorenulls)``).
+    One merged stream per file, ordered by (line, kind); what follows a def
+    first, an opening brace or a ``;``, decides (``first(..., ignorenulls)``).
     """
     opens = tokens.filter(F.col("tok") == "{").select(
         *FILE, "line_no", F.lit(1).alias("_k"), F.col("pos").alias("_p"),
         F.struct("line_no", "end_line").alias("_blk"))
+    # lines whose first ``;`` stands before any brace
+    ends = lines.filter(F.col("stripped").rlike("^[^{;]*;")).select(
+        *FILE, "line_no", F.lit(1).alias("_k"), F.lit(-1).alias("_p"),
+        F.struct("line_no", F.lit(None).cast("int").alias("end_line")).alias("_blk"))
     d = defs.withColumn("_k", F.lit(0)).withColumn("_p", F.lit(-1)).withColumn(
         "_blk", F.lit(None).cast("struct<line_no:int,end_line:int>"))
-    allc = d.unionByName(opens, allowMissingColumns=True)
+    allc = d.unionByName(opens, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
     w = (Window.partitionBy(*FILE).orderBy("line_no", "_k", "_p")
                .rowsBetween(Window.currentRow, Window.unboundedFollowing))
     out = allc.withColumn("_next", F.first("_blk", ignorenulls=True).over(w)).filter(F.col("_k") == 0)
-    decl = ~F.col("stripped").contains("{") & F.col("stripped").endswith(";") if stop_on_semicolon else F.lit(False)
-    end = (F.when(decl | F.col("_next").isNull(), F.col("line_no")).otherwise(F.col("_next.end_line")))
+    end = F.coalesce(F.col("_next.end_line"), F.col("line_no"))
     return out.withColumn("line_end", end).drop("_k", "_p", "_blk", "_next")
 
 

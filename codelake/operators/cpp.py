@@ -15,7 +15,6 @@ RX_NAMESPACE = r"^namespace\s+(\w+)\s*\{?"
 RX_TEMPLATE = r"^template\s*<(.+)>"
 RX_CLASS = r"^(class|struct)\s+(\w+)(?:\s*:\s*(.+))?"
 RX_FUNCTION = r"^(?:virtual\s+)?(?:static\s+)?([\w:~<>]+)\s+([\w:~]+)\s*\((.*?)\)(?:\s*const)?(?:\s*=\s*0)?"
-RX_IS_FUNCTION = r"^(?:virtual\s+)?(?:static\s+)?[\w:~<>]+\s+[\w:~]+\s*\("
 RX_VARIABLE = r"^(?:static\s+)?(?:const\s+)?([\w:]+)\s+(\w+)(?:\s*=\s*(.+))?;"
 RX_ACCESS = r"(public|private|protected)\s+"
 # control keywords that the function pattern would otherwise take as a
@@ -37,7 +36,7 @@ def cpp_scan(lines: DataFrame):
               .when(s.startswith("namespace"), F.when(s.rlike(RX_NAMESPACE), F.lit("namespace")))
               .when(s.startswith("template"), F.lit(None))  # the class on the next line carries it
               .when(s.startswith("class ") | s.startswith("struct "), F.when(is_cls_line, F.lit("class")))
-              .when(s.rlike(RX_IS_FUNCTION) & ~F.regexp_extract(s, RX_FUNCTION, 1).isin(CONTROL_WORDS),
+              .when(s.rlike(RX_FUNCTION) & ~F.regexp_extract(s, RX_FUNCTION, 1).isin(CONTROL_WORDS),
                     F.lit("function"))
               .when(s.rlike(RX_VARIABLE), F.lit("variable")))
     # a class line right after a template line is found through the template
@@ -46,7 +45,7 @@ def cpp_scan(lines: DataFrame):
     c = c.withColumn("template", F.when((F.col("ckind") == "class") & tpl_prev,
                                         F.regexp_extract("_prev", RX_TEMPLATE, 1)))
     tokens = BL.brace_tokens(x)
-    spanned = BL.attach_block(c, tokens)
+    spanned = BL.attach_block(c, tokens, x)
     # includes and variables are one-line facts
     spanned = spanned.withColumn("line_end", F.when(F.col("ckind").isin("include", "variable"), F.col("line_no"))
                                  .otherwise(F.col("line_end")))

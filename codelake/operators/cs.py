@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelake.functions import text as T
@@ -20,28 +20,36 @@ RX_METHOD = r"^(?:[\w\s]+\s+)?([\w<>\[\],\s]+)\s+(\w+)\s*\((.*?)\)"
 RX_IS_MEMBER = r"^(?:public |private |protected |internal |static |readonly |const )*[\w<>\[\],\s]+\s+\w+\s*[{;=]"
 RX_MEMBER = r"^(?:[\w\s]+\s+)?([\w<>\[\],\s]+)\s+(\w+)\s*(?:=\s*(.+))?[;{]"
 
+RX_MODIFIER = r"^(?:ref|out|in)\s+"
+# statement keywords that the method and member patterns would otherwise take
+# as a type (ledger Q11)
+STATEMENT_WORDS = ["return", "throw", "await", "yield", "new", "else", "if", "for", "foreach", "while", "do",
+                   "switch", "case", "lock", "goto", "catch", "try", "finally", "var", "fixed", "checked", "unchecked",
+                   "break", "continue", "default", "base", "this"]
+
 
 def cs_scan(lines: DataFrame) -> DataFrame:
-    """Classify C# lines, attach spans and attributes; methods consume their
-    bodies, type bodies are scanned so members and methods inside them are
+    """Classify C# lines, attach spans and attributes; methods and members
+    (properties) consume their bodies, type bodies are scanned so members and methods inside them are
     reported with their owner type (ledger Q12)."""
     x = BL.by_file(lines.filter(F.col("language") == "c#"))
     s = F.col("stripped")
     ckind = (F.when(s.startswith("using "), F.lit("using"))
               .when(s.startswith("namespace "), F.when(s.rlike(RX_NAMESPACE), F.lit("namespace")))
               .when(s.rlike(RX_IS_TYPE), F.lit("type"))
-              .when(s.rlike(RX_IS_METHOD), F.lit("method"))
-              .when(s.rlike(RX_IS_MEMBER), F.lit("member")))
+              .when(F.regexp_extract(s, r"^(\w+)", 1).isin(STATEMENT_WORDS), F.lit(None))
+              .when(s.rlike(RX_IS_METHOD) & s.rlike(RX_METHOD), F.lit("method"))
+              .when(s.rlike(RX_IS_MEMBER) & s.rlike(RX_MEMBER), F.lit("member")))
     c = x.withColumn("ckind", ckind).filter(F.col("ckind").isNotNull())
     tokens = BL.brace_tokens(x)
-    spanned = BL.attach_block(c, tokens)
+    spanned = BL.attach_block(c, tokens, x)
     # file-scoped namespace (`namespace X;`) covers the rest of the file
-    last = F.max("line_no").over(__import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy(*FILE))
+    last = F.max("line_no").over(Window.partitionBy(*FILE))
     spanned = (spanned.withColumn("_last", last)
                       .withColumn("line_end", F.when((F.col("ckind") == "namespace") & s.endswith(";"), F.col("_last"))
-                                  .when(F.col("ckind").isin("using", "member"), F.col("line_no"))
+                                  .when(F.col("ckind") == "using", F.col("line_no"))
                                   .otherwise(F.col("line_end"))).drop("_last"))
-    acc = BL.not_consumed(spanned, F.col("ckind") == "method")
+    acc = BL.not_consumed(spanned, F.col("ckind").isin("method", "member"))
     ns = acc.filter(F.col("ckind") == "namespace").withColumn("ns_name", F.regexp_extract("stripped", RX_NAMESPACE, 1))
     acc = BL.enclosing(acc, ns, "ns_name", ".", "namespace")
     types = acc.filter(F.col("ckind") == "type").withColumn("t_name", F.regexp_extract("stripped", RX_TYPE, 2))
@@ -98,7 +106,7 @@ def cs_methods(acc: DataFrame) -> DataFrame:
     m = acc.filter(F.col("ckind") == "method")
     s = F.col("stripped")
     params = F.filter(F.transform(F.split(F.regexp_extract(s, RX_METHOD, 3), ","),
-                                  lambda p: F.regexp_replace(T.py_strip(p), r"^(?:ref|out|in)\s+", "")),
+                                  lambda p: F.regexp_replace(T.py_strip(p), RX_MODIFIER, "")),
                       lambda p: F.size(F.split(p, r"\s+")) >= 2)
 
     def one(p):
