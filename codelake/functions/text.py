@@ -72,6 +72,17 @@ def is_ignored(path) -> Column:
         F.exists(parts, lambda p: p.startswith("."))
 
 
+# --- FIXED VALUE: the line ends of Python's ``str.splitlines()`` besides CR
+LINE_ENDS = "[\\n\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
+
+
+def split_lines(c) -> Column:
+    """``str.splitlines()`` after newline normalisation: no line follows the
+    last line end."""
+    parts = F.split(col(c), LINE_ENDS, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
 def newline_normalise(c) -> Column:
     """Text-mode reading: CRLF and lone CR become LF (A2)."""
     return F.regexp_replace(col(c), "\r\n?", "\n")
@@ -82,7 +93,3 @@ def count_sub(c, literal: str) -> Column:
     import re
     return F.regexp_count(col(c), F.lit(re.escape(literal)))
 
-
-def sorted_join(arr, sep: str = ",") -> Column:
-    """Array rendered as a sorted, separator-joined string (stable compare form)."""
-    return F.array_join(F.array_sort(col(arr)), sep)

@@ -43,13 +43,21 @@ def _rows(nodes: DataFrame) -> DataFrame:
     is_def = kind.isin(DEF_KINDS)
     ctrl = kind.isin("Return", "If", "While", "For") & scope.isNotNull()
     # module-level bindings that are not "global variable" reads (ledger Q13)
-    mod_def = (kind.isin(DEF_KINDS + ["ClassDef"])) & (p1.kind == "Module")
-    mod_imp = (kind == "alias") & p1.kind.isin("Import", "ImportFrom") & (p2.kind == "Module")
+    # -- at any depth outside defs and classes, e.g. an import under ``try:``
+    outside = F.col("n_scopes") == 0
+    mod_def = kind.isin(DEF_KINDS + ["ClassDef"]) & outside
+    mod_imp = (kind == "alias") & p1.kind.isin("Import", "ImportFrom") & outside
+    # local bindings that are no Name of a Store: except aliases, imports,
+    # nested defs and classes, lambda parameters, match captures
+    local_imp = (kind == "alias") & p1.kind.isin("Import", "ImportFrom") & scope.isNotNull()
+    local_name = scope.isNotNull() & name.isNotNull() & (
+        kind.isin(DEF_KINDS + ["ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping"])
+        | ((kind == "arg") & (p1.kind == "arguments") & (p2.kind == "Lambda")))
     bound = F.coalesce(F.col("attrs")["asname"],
                        F.when(p1.kind == "Import", F.split_part(name, F.lit("."), F.lit(1))).otherwise(name))
 
     rel = (name_ev | param | hint | decl | se_call | exc | exit_pt | is_yield | is_def | ctrl |
-           mod_def | mod_imp | call_name)
+           mod_def | mod_imp | local_imp | local_name | call_name)
     base = nodes.filter(rel)
 
     def rec(def_key, var, **facts):
@@ -59,7 +67,7 @@ def _rows(nodes: DataFrame) -> DataFrame:
 
     ev = F.struct(F.col("pre").alias("pre"), F.col("ctx").alias("ctx"), F.col("lineno").alias("line"),
                   F.when(comp_target, F.lit(-1)).otherwise(F.col("pre")).alias("okey"))
-    fields = ["ev", "param_line", "hint", "decl", "se", "exc", "exit", "yield_", "recur", "d", "cf", "modname"]
+    fields = ["ev", "param_line", "hint", "decl", "se", "exc", "exit", "yield_", "recur", "d", "cf", "modname", "bind"]
     facts = [
         (name_ev, rec(scope, name, ev=ev)),
         (param, rec(p2.pre, name, param_line=p2.lineno)),
@@ -73,6 +81,8 @@ def _rows(nodes: DataFrame) -> DataFrame:
                                            F.col("lineno").alias("line")))),
         (mod_def, rec(F.lit(-1), name, modname=F.lit(True))),
         (mod_imp, rec(F.lit(-1), bound, modname=F.lit(True))),
+        (local_imp, rec(scope, bound, bind=F.lit(True))),
+        (local_name, rec(scope, name, bind=F.lit(True))),
     ]
     exploded = [
         # Global/Nonlocal: one row per declared name
@@ -93,7 +103,7 @@ def _rows(nodes: DataFrame) -> DataFrame:
         "decl": "struct<pre:int,kind:string>", "se": "struct<pre:int,msg:string>", "exc": "string",
         "exit": "struct<depth:int,pre:int,name:string>", "yield_": "boolean", "recur": "boolean",
         "d": "struct<name:string,is_async:boolean,line:int>", "cf": "struct<pre:int,node_type:string,line:int>",
-        "modname": "boolean",
+        "modname": "boolean", "bind": "boolean",
     }
     # one row per (node, fact): a single explode over an array of candidate facts
     cands = []
@@ -130,19 +140,22 @@ def _var_level(rows: DataFrame) -> DataFrame:
                .alias("stores"),
                F.array_sort(F.collect_list(F.when(F.col("ev.ctx") == "Load", F.struct("ev.pre", "ev.line"))))
                .alias("loads"),
-               F.bool_or(F.coalesce("modname", F.lit(False))).alias("is_mod")))
+               F.bool_or(F.coalesce("modname", F.lit(False))).alias("is_mod"),
+               F.bool_or(F.coalesce("bind", F.lit(False))).alias("bound")))
     # module-level bindings live under def = -1; spread them to the file's defs
     w = Window.partitionBy("repo", "path", "var")
     g = g.withColumn("module_bound", F.max("is_mod").over(w)).filter(F.col("def") >= 0)
+    # a bare binding is no variable of the flow
+    g = g.filter(F.col("first_ctx").isNotNull() | F.col("param_line").isNotNull() | (F.size("decls") > 0))
     is_param = F.col("param_line").isNotNull()
     scope = (F.when(F.col("decl_kind") == "Global", F.lit("global"))
               .when(F.col("decl_kind") == "Nonlocal", F.lit("nonlocal"))
               .when(is_param, F.lit("parameter"))
-              .when(F.col("first_ctx") == "Load", F.lit("global"))
+              .when((F.col("first_ctx") == "Load") & ~F.col("bound"), F.lit("global"))
               .otherwise(F.lit("local")))
     builtin = F.col("var").isin(K.PY_BUILTINS)
     undeclared_read = ((~is_param) & (F.size("decls") == 0) & (F.col("first_ctx") == "Load") &
-                       ~builtin & ~F.col("module_bound"))
+                       ~builtin & ~F.col("module_bound") & ~F.col("bound"))
     decl_msgs = F.transform("decls", lambda d: F.struct(d.pre.alias("pre"), F.concat(
         F.when(d.kind == "Global", F.lit("Uses global variable ")).otherwise(F.lit("Uses nonlocal variable ")),
         F.col("var")).alias("msg")))
@@ -158,10 +171,8 @@ def _var_level(rows: DataFrame) -> DataFrame:
 
 def analyse(nodes: DataFrame):
     """Return ``(behaviour, variable_flow, control_flow)`` DataFrames."""
-    # the fact stream feeds three branches: write it once to the shared
-    # checkpoint folder (it stays hash-partitioned by file)
-    from codelake.session import materialize
-    rows = materialize(_rows(nodes))
+    # one exchange by file, reused by the three branches
+    rows = _rows(nodes)
     vars_ = _var_level(rows)
     per_def_vars = (vars_.groupBy("repo", "path", "def")
                          .agg(F.flatten(F.collect_list("se")).alias("var_se"),

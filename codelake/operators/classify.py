@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions import constants as K
+from codelake.functions import text as T
 
 
 def analysable(files: DataFrame) -> DataFrame:
@@ -37,9 +38,7 @@ def language_counts(files: DataFrame) -> DataFrame:
 def line_count(content) -> F.Column:
     """``len(text.splitlines())`` after newline normalisation."""
     c = F.col(content) if isinstance(content, str) else content
-    n = F.size(F.split(c, "\n", -1))
-    return (F.when(c.isNull() | (c == ""), F.lit(0))
-             .when(c.endswith("\n"), n - 1).otherwise(n)).cast("bigint")
+    return F.coalesce(F.size(T.split_lines(c)), F.lit(0)).cast("bigint")
 
 
 def total_lines(files: DataFrame) -> DataFrame:
@@ -83,7 +82,10 @@ def structure_nodes(files: DataFrame) -> DataFrame:
     # a path can name both a file and a directory (URL-derived trees):
     # the node identity is (repo, path, is_dir), which keeps the result
     # deterministic
-    nodes = nodes.dropDuplicates(["repo", "path", "is_dir"])
+    same = ["parent_path", "name", "level", "tree_key"]  # functions of the key
+    nodes = (nodes.groupBy("repo", "path", "is_dir")
+                  .agg(*(F.max(c).alias(c) for c in (*same, "size_bytes", "last_modified")))
+                  .select(*nodes.columns))
     roots = files.select("repo").distinct().select(
         "repo", F.lit("").alias("path"), F.lit(None).cast("string").alias("parent_path"),
         F.col("repo").alias("name"), F.lit(True).alias("is_dir"), F.lit(0).alias("level"),

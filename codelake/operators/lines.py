@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from codelake.functions import text as T
 
 
-def src_lines(files: DataFrame, languages=None) -> DataFrame:
+def src_lines(files: DataFrame, languages=None, splitlines: bool = False) -> DataFrame:
     """Explode readable files into ``(repo, path, language, line_no, line, stripped)``.
 
     ``split(content, '\\n', -1)`` keeps trailing empty strings like Python's
-    ``str.split('\\n')``; line numbers are 1-based (ledger Q9).  The file
+    ``str.split('\\n')``; line numbers are 1-based (ledger Q9).  With
+    ``splitlines`` the lines are those of ``str.splitlines()``, by which line
+    smells are numbered.  The file
     text is dropped right after the explode, so downstream stages never
     carry it.
     """
@@ -20,6 +22,6 @@ def src_lines(files: DataFrame, languages=None) -> DataFrame:
     if languages is not None:
         f = f.filter(F.col("language").isin(list(languages)))
     return (f.select("repo", "path", "language",
-                     F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+                     F.posexplode(T.split_lines("content") if splitlines else F.split("content", "\n", -1)).alias("pos", "line"))
              .select("repo", "path", "language", (F.col("pos") + 1).cast("int").alias("line_no"), "line",
                      T.py_strip("line").alias("stripped")))

@@ -77,6 +77,7 @@ def py_functions(nodes: DataFrame) -> DataFrame:
     d = F.struct(
         F.col("name").alias("name"),
         F.when((p1.kind == "ClassDef") & (field == "body"), p1["name"]).alias("owner_class"),
+        F.when((p1.kind == "ClassDef") & (field == "body"), p1.pre).alias("owner_pre"),
         (kind == "AsyncFunctionDef").alias("is_async"),
         F.col("attrs")["docstring"].alias("docstring"),
         F.col("lineno").alias("line_start"), F.col("end_lineno").alias("line_end"),
@@ -91,7 +92,7 @@ def py_functions(nodes: DataFrame) -> DataFrame:
     args = F.transform("arg_rows", lambda a: F.struct(a["name"].alias("name"),
                                                       F.element_at(F.col("ann"), a["pre"]).alias("type")))
     return (g.filter(F.col("d").isNotNull())
-             .select("repo", "path", "def_pre", F.col("d.owner_class").alias("owner_class"),
+             .select("repo", "path", "def_pre", F.col("d.owner_class").alias("owner_class"), F.col("d.owner_pre").alias("owner_pre"),
                      F.col("d.name").alias("name"), args.alias("args"), "returns",
                      F.col("d.docstring").alias("docstring"),
                      F.transform("decs", lambda x: x["text"]).alias("decorators"),
@@ -146,6 +147,7 @@ def py_variables(nodes: DataFrame) -> DataFrame:
                .select("repo", "path", "assign_pre", "name", F.lit(None).cast("string").alias("type_hint"),
                        "value", scope.alias("scope"),
                        F.when(scope == "class", F.col("outer")["name"]).alias("owner_class"),
+                       F.when(scope == "class", F.col("outer")["pre"]).alias("owner_pre"),
                        "line_start", "line_end")
                .filter(F.col("scope").isNotNull()))
 

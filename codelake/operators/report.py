@@ -223,18 +223,16 @@ def report_classes(classes: DataFrame, functions: DataFrame, variables: DataFram
             F.when(F.col("docstring") != "", F.col("docstring")), F.lit("None"))).alias("t")))).alias("r"))
     head = _lines(head, "classes", F.concat(ckey, F.col("r.s")), F.col("r.t"))
     cv = variables.filter(F.col("scope") == "class").join(
-        c.select("repo", "path", "class_pre", F.col("name").alias("owner_class")), ["repo", "path", "owner_class"])
+        c.select("repo", "path", "class_pre", F.col("class_pre").alias("owner_pre")), ["repo", "path", "owner_pre"])
     cv_lines = _lines(cv, "classes", F.concat(ckey, F.lit("3"), F.lpad(F.col("assign_pre").cast("string"), 10, "0")),
                       F.concat(F.lit("    - "), F.col("name"), F.lit(": "),
                                F.coalesce(F.col("type_hint"), F.lit("Unknown type"))))
     cv_head = _lines(cv.select(*ck).distinct(), "classes", F.concat(ckey, F.lit("2")), F.lit("  Class Variables:"))
-    # methods: defs directly in a class body; the class is found by name + file
+    # methods: defs directly in a class body; the class is found by position (ledger Q3)
     meth = functions.filter(F.col("owner_class").isNotNull())
     mk = ["repo", "path", "def_pre"]
     mlines = function_lines(meth, behaviour, flow.join(meth.select(*mk), mk), indent="    ")
-    owner = (meth.select(*mk, F.col("owner_class").alias("name"), F.col("line_start"))
-                 .join(c.select(*ck, "name", F.col("name").alias("_n")), ["repo", "path", "name"])
-                 .select(*mk, "class_pre"))
+    owner = meth.select(*mk, F.col("owner_pre").alias("class_pre"))
     m = mlines.join(owner, mk)
     m_lines = _lines(m, "classes", F.concat(ckey, F.lit("5"), F.lpad(F.col("def_pre").cast("string"), 10, "0"),
                                             F.lit("\u0001"), F.col("sub")), F.col("line"))

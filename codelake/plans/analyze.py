@@ -109,7 +109,8 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["dependency_adjacency"] = G.dependency_adjacency(code.select("repo", "path"), edges)
 
     # quality
-    smells = stage_parquet(S.python_smells(nodes, thresholds).unionByName(S.line_smells(code, lines)), "smells")
+    smell_lines = src_lines(code.filter(F.col("language") != "python"), splitlines=True)
+    smells = stage_parquet(S.python_smells(nodes, thresholds).unionByName(S.line_smells(code, smell_lines)), "smells")
     patterns = stage_parquet(PT.python_patterns(nodes).unionByName(PT.text_patterns(code)), "patterns")
     out["smells"], out["patterns"] = smells, patterns
     out["smell_counts"] = S.smell_counts(smells)

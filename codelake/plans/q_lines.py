@@ -97,7 +97,7 @@ select repo, path, 'Long Line' as type, cast(null as varchar) as name, 13 as lin
        'Line exceeds 120 characters' as message from kj where 3 + k % 200 > 120
 """)
 def q_smell_long_line(spark, sf):
-    return S.smell_long_line(src_lines(files_of(spark, sf, "corpus_js")))
+    return S.smell_long_line(src_lines(files_of(spark, sf, "corpus_js"), splitlines=True))
 
 
 @register("smell_complex_condition", with_(KNOBS_JS) + """
@@ -105,7 +105,7 @@ select repo, path, 'Complex Condition' as type, cast(null as varchar) as name, 9
        'Condition is too complex' as message from kj where k % 6 > 3
 """)
 def q_smell_complex_condition(spark, sf):
-    return S.smell_complex_condition(src_lines(files_of(spark, sf, "corpus_js")))
+    return S.smell_complex_condition(src_lines(files_of(spark, sf, "corpus_js"), splitlines=True))
 
 
 # ---------------------------------------------------------------- C / C++
@@ -159,7 +159,7 @@ select repo, path, 'Nested Blocks' as type, cast(null as varchar) as name, 13 +
        'Too many nested blocks' as message from kc where k % 6 > 3
 """)
 def q_smell_nested_blocks(spark, sf):
-    return S.smell_nested_blocks(src_lines(files_of(spark, sf, "corpus_cpp")))
+    return S.smell_nested_blocks(src_lines(files_of(spark, sf, "corpus_cpp"), splitlines=True))
 
 
 # ---------------------------------------------------------------- C#
