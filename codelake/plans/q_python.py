@@ -225,14 +225,25 @@ def q_python_patterns(spark, sf):
     return PT.python_patterns(nodes_of(spark, sf, "corpus_py", "corpus_nations")).drop("ord")
 
 
-ORACLE_PARSE_ERRORS = with_(KNOBS_PY) + "select repo, path from kp where false"
+BAD_FILES = """with kb as (select cast(p_partkey as int) k, concat('r', cast(p_partkey as int) % 8) repo,
+  concat('bad/b_', cast(p_partkey as int), '.py') path from part)
+"""
+ORACLE_PARSE_ERRORS = BAD_FILES + "select repo, path from kb where k % 7 = 0 or k % 13 = 0"
 
 
 @register("parse_errors", ORACLE_PARSE_ERRORS)
 def q_parse_errors(spark, sf):
     from codelake.operators.pyast import parse_errors
     return parse_errors(nodes_of(spark, sf, "corpus_py", "corpus_nations", "corpus_rel",
-                                 "corpus_behaviour")).select("repo", "path")
+                                 "corpus_behaviour", "corpus_bad")).select("repo", "path")
+
+
+@register("isolated_functions", BAD_FILES + """
+select repo, path, concat('good_', k) as name from kb where k % 7 <> 0 and k % 13 <> 0
+""")
+def q_isolated_functions(spark, sf):
+    """The good neighbours of bad files keep their functions."""
+    return P.py_functions(nodes_of(spark, sf, "corpus_bad")).select("repo", "path", "name")
 
 
 @register("distinct_return_calls", with_(KNOBS_PY) + """

@@ -130,8 +130,20 @@ DOCUMENTS_TREE = """
 select lang repo, concat(source, '/', doc_id, '.md') path, text content from {documents}
 """
 
+# files that a parser must survive: every 7th a syntax error, every 13th nested
+# beyond the parser's limit, every 11th with a lone surrogate in a docstring
+CORPUS_BAD = """
+select concat('r', k % 8) repo, concat('bad/b_', k, '.py') path,
+  concat(case when k % 11 = 0 then concat(repeat(chr(34), 3), chr(92), 'ud800 x', repeat(chr(34), 3), chr(10)) else '' end,
+    'def good_', k, '():', chr(10), '    return ', k, chr(10),
+    case when k % 7 = 0 then concat('def (:', chr(10)) else '' end,
+    case when k % 13 = 0 then concat('x = ', repeat('(', 300), '1', repeat(')', 300), chr(10)) else '' end) content
+from (select cast(p_partkey as int) k from {part}) z
+"""
+
 CORPORA = {
     "corpus_py": (CORPUS_PY, ["part"]),
+    "corpus_bad": (CORPUS_BAD, ["part"]),
     "corpus_nations": (CORPUS_NATIONS, ["nation"]),
     "corpus_rel": (CORPUS_REL, ["supplier"]),
     "corpus_behaviour": (CORPUS_BEHAVIOUR, ["supplier"]),
