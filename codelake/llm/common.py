@@ -47,8 +47,8 @@ def id_remainder(doc_id, divisor: int):
 # ---------------------------------------------------------------- hashing
 
 _U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 SEP = np.zeros(256, dtype=bool)
 SEP[[32, 9, 10, 11, 12, 13]] = True
 
@@ -66,7 +66,7 @@ def stream64(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = stream64(11, 256)
-_BYTE_LOWER = _BYTE[_LOWER]
+_BYTE_LOWER = _BYTE[LOWER]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 19

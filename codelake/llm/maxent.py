@@ -9,8 +9,8 @@ token's class from its history and then the token within the class:
   within one, it has its smoothed share of the training counts.
 
 Both softmaxes are linear in hashed features of the history: the last token,
-the last two together, and skips to the second and third last.  So the
-probabilities of all tokens, with one for everything unseen in a class, sum to 1.
+the last two together, and a skip to the second last.  So the probabilities of
+all tokens, with one for everything unseen in a class, sum to 1.
 
 Training: learners, one per task, take gradient steps (AdaGrad, by rows of the
 tables) over all their training texts; their tables are averaged, each row
@@ -31,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelake.llm.common import hash_spans, id_remainder, mix64, read, slices, small_batches, stage, stream64, text_buffer, word_spans
+from codelake.llm.common import LOWER, hash_spans, id_remainder, mix64, read, slices, small_batches, stage, stream64, text_buffer, word_spans
 
-HEAD_CLASSES, SLOTS, SUFFIX_CLASSES = 64, 64, 64
+HEAD_CLASSES, SLOTS, SUFFIX_CLASSES = 32, 64, 32
 HEAD = HEAD_CLASSES * SLOTS
 CLASSES = HEAD_CLASSES + SUFFIX_CLASSES
 CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
-FEATURES = 4
+FEATURES = 3
 BLOCK_ROWS = 128               # rows of a table that travel together
-BATCH = 4096                   # tokens of a gradient step
+BATCH = 8192                   # tokens of a gradient step
 RATE = 0.2
 HEAVY = 1 << 20                # tokens whose counts are broadcast, at most
 SHARD_TOKENS = 1 << 22         # looked-up tokens of a shard, about
@@ -51,6 +51,8 @@ _U = np.uint64
 END, START = stream64(201, 2)
 _KEY = stream64(202, FEATURES + 2) | _U(1)
 _LOG10 = np.log(10.0)
+# class of every pair of last bytes
+_SUFFIX = (mix64(np.arange(1, (1 << 16) + 1, dtype=np.uint64)) % _U(SUFFIX_CLASSES)).astype(np.int64)
 
 
 # ------------------------------------------------------------------ tokens
@@ -65,12 +67,10 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(n) + np.repeat(np.arange(rows), np.diff(first))
     out = np.full(n + rows, END, dtype=np.uint64)
     out[place] = hash_spans(buf, starts, ends)
-    low = buf.astype(np.uint64)
-    low[(buf >= 65) & (buf <= 90)] += _U(32)
-    tail = low[ends - 1] if n else low[:0]
-    tail = tail + _U(256) * np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)] if n else low[:0], _U(0))
     suffix = np.zeros(n + rows, dtype=np.int64)
-    suffix[place] = (mix64(tail + _U(1)) % _U(SUFFIX_CLASSES)).astype(np.int64)
+    if n:
+        before = np.where(ends - starts > 1, LOWER[buf[np.maximum(ends - 2, 0)]].astype(np.int64), 0)
+        suffix[place] = _SUFFIX[LOWER[buf[ends - 1]].astype(np.int64) + 256 * before]
     return out, suffix, ahead
 
 
@@ -78,12 +78,12 @@ def history(t: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Feature hashes (tokens x FEATURES) of the history of every token."""
     at = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
     before = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         p = np.full(len(t), START, dtype=np.uint64)
         p[k:] = np.where(at[k:] >= k, t[:-k], START) if len(t) > k else p[k:]
         before.append(p)
-    p1, p2, p3 = before
-    return mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2), p3 * _KEY[4] + _U(3)], axis=1))
+    p1, p2 = before
+    return mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2)], axis=1))
 
 
 # ------------------------------------------------------------------ counts
@@ -188,7 +188,7 @@ class Model:
 
     @staticmethod
     def word_rows(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return (mix64(h + cls.astype(np.uint64)[:, None] * _KEY[5]) % _U(WORD_ROWS)).astype(np.int64)
+        return (mix64(h + cls.astype(np.uint64)[:, None] * _KEY[4]) % _U(WORD_ROWS)).astype(np.int64)
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -212,8 +212,8 @@ class Model:
         """Natural log of the class, and for head tokens (slot >= 0) also of
         the slot."""
         out = np.empty(len(h))
-        for lo in range(0, len(h), 2 * BATCH):
-            part = slice(lo, lo + 2 * BATCH)
+        for lo in range(0, len(h), BATCH):
+            part = slice(lo, lo + BATCH)
             c, s, x = cls[part], slot[part], h[part]
             got = self.class_scores(self.class_rows(x))[np.arange(len(c)), c].astype(float)
             head = np.flatnonzero(s >= 0)
@@ -240,9 +240,20 @@ class Learner(Model):
         ordered = flat[order]
         begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         row = ordered[begin]
-        total = np.add.reduceat(grad[order // FEATURES], begin, axis=0)
-        times = np.diff(np.append(begin, len(flat))).astype(np.float32)
-        self.seen[which][row] += times
+        times = np.diff(np.append(begin, len(flat)))
+        # sums of the runs, by halves: of a run's members those at even places
+        # take in their neighbours, then those at every fourth place, and so on
+        parts = grad[order // FEATURES]
+        place = np.arange(len(flat)) - np.repeat(begin, times)
+        left = np.repeat(times, times) - place
+        at, step = np.flatnonzero(left > 1), 1
+        while len(at):
+            at = at[place[at] % (2 * step) == 0]
+            parts[at] += parts[at + step]
+            step *= 2
+            at = at[left[at] > step]
+        total = parts[begin]
+        self.seen[which][row] += times.astype(np.float32)
         self.power[which][row] += (total * total).mean(axis=1)
         table[row] -= (RATE / np.sqrt(self.power[which][row]))[:, None] * total
 
