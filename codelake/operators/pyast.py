@@ -69,6 +69,17 @@ KEEP_KINDS = frozenset({
     "If", "For", "AsyncFor", "While", "With", "AsyncWith", "Match", "Try", "TryStar", "ExceptHandler",
     "BoolOp", "Return", "Yield", "YieldFrom", "Await", "Global", "Nonlocal", "Import", "ImportFrom",
     "Assign", "AnnAssign", "AugAssign", "MatchAs", "MatchStar", "MatchMapping"})
+_DEFS = {"FunctionDef", "AsyncFunctionDef", "ClassDef"}
+# what one group of operators reads: node kinds, child roles whose nodes are
+# emitted whatever their kind, whether expressions are walked, whether texts
+# and docstrings are written
+FACTS = {
+    "imports": (frozenset({"Import", "ImportFrom", "alias"}), frozenset(), False, False),
+    "defs": (frozenset(_DEFS | {"arg"}), frozenset({"annotation", "returns", "decorator_list", "bases"}), False, True),
+    "smells": (frozenset(_DEFS | {"arg", "If", "For", "While"}), frozenset(), False, False),
+    "patterns": (frozenset(_DEFS), frozenset({"decorator_list", "bases", "target"}), False, False),
+    "complexity": (frozenset(_DEFS | {"If", "For", "While", "Match", "ExceptHandler", "BoolOp"}), frozenset(), True, False),
+}
 _STMT_FIELDS = frozenset({"body", "orelse", "handlers", "finalbody"})
 _LOOP_KINDS = frozenset({"If", "For", "While"})
 _SCOPE_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda"})
@@ -87,7 +98,7 @@ def _unparse(node, content):
         return ast.get_source_segment(content, node) or type(node).__name__
 
 
-def _flatten_one(content: str, all_nodes: bool = False):
+def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None):
     """Node tuples of one file in pre-order (``iter_child_nodes`` order).
 
     Tuple layout: pre, parent, depth, field, ord, kind, name, ctx, lineno,
@@ -96,8 +107,15 @@ def _flatten_one(content: str, all_nodes: bool = False):
     (pre, kind, name, lineno), nearest last; ``defs`` the enclosing defs as
     (pre, name), outermost first; ``n_loops`` / ``n_scopes`` count enclosing
     if/for/while and def/class/lambda nodes.
+
+    With ``facts`` only what that group of operators reads is emitted, and
+    expressions that cannot hold any of it are not walked; positions then
+    number the walked nodes.
     """
     tree = ast.parse(content)
+    some = facts is not None
+    keep, roles, deep, texts = FACTS[facts] if some else (KEEP_KINDS, _STMT_FIELDS, True, True)
+    expr = ast.expr
     out = []
     append = out.append
     # stack items: (node, parent_pre, depth, field, ord, parent_kind, up, defs,
@@ -122,7 +140,7 @@ def _flatten_one(content: str, all_nodes: bool = False):
         else:
             name = None
         attrs = None
-        if kind in _DOC_KINDS:
+        if kind in _DOC_KINDS and texts:
             doc = ast.get_docstring(node)
             if doc is not None:
                 attrs = {"docstring": doc}
@@ -136,13 +154,16 @@ def _flatten_one(content: str, all_nodes: bool = False):
             attrs = {"level": imp_level}
         text = None
         # assigned-value text is reported for module / class-body variables only
-        if field in _TEXT_FIELDS or (field == "target" and (pkind == "For" or pkind == "AsyncFor")) or \
+        if some:
+            if texts and field in roles:
+                text = _unparse(node, content)
+        elif field in _TEXT_FIELDS or (field == "target" and (pkind == "For" or pkind == "AsyncFor")) or \
                 (field == "value" and (pkind == "Assign" or pkind == "AnnAssign") and
                  (n_scopes == 0 or (len(up) >= 2 and up[-2][1] == "ClassDef"))):
             text = _unparse(node, content)
         ctx = getattr(node, "ctx", None)
         lineno = getattr(node, "lineno", None)
-        if all_nodes or kind in KEEP_KINDS or text is not None or field in _STMT_FIELDS:
+        if all_nodes or kind in keep or text is not None or field in roles:
             append((pre, parent, depth, field, ordn, kind, name,
                     _CTX_NAME.get(type(ctx)) if ctx is not None else None,
                     lineno, getattr(node, "end_lineno", None),
@@ -154,6 +175,9 @@ def _flatten_one(content: str, all_nodes: bool = False):
         my_defs = defs + ((pre, name),) if is_def else defs
         my_loops = n_loops + 1 if kind in _LOOP_KINDS else n_loops
         my_scopes = n_scopes + 1 if kind in _SCOPE_KINDS else n_scopes
+        if not deep and isinstance(node, expr):
+            pre += 1
+            continue
         children = []
         for fname in node._fields:
             value = getattr(node, fname, None)
@@ -161,9 +185,9 @@ def _flatten_one(content: str, all_nodes: bool = False):
                 continue
             if type(value) is list:
                 for i, item in enumerate(value):
-                    if isinstance(item, ast.AST) and type(item) not in skip:
+                    if isinstance(item, ast.AST) and type(item) not in skip and (deep or fname in roles or not isinstance(item, expr)):
                         children.append((item, fname, i))
-            elif isinstance(value, ast.AST) and type(value) not in skip:
+            elif isinstance(value, ast.AST) and type(value) not in skip and (deep or fname in roles or not isinstance(value, expr)):
                 children.append((value, fname, 0))
         d1 = depth + 1
         for child, fname, i in reversed(children):
@@ -254,7 +278,7 @@ def _emit(held):
             yield _batch([held[0][0]], [held[0][1]], [_error_row(e)])
 
 
-def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False):
+def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False, facts: str | None = None):
     import gc
     for batch in batches:
         held, size = [], 0
@@ -268,7 +292,7 @@ def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False)
                 if content is None:
                     continue
                 try:
-                    rows = _flatten_one(content, all_nodes)
+                    rows = _flatten_one(content, all_nodes, facts)
                 except Exception as e:  # noqa: BLE001 - one bad file never fails the job
                     rows = [_error_row(e)]
                 held.append((repo.as_py(), path.as_py(), rows))
@@ -283,17 +307,18 @@ def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False)
                 gc.enable()
 
 
-def py_nodes(files: DataFrame, all_nodes: bool = False) -> DataFrame:
+def py_nodes(files: DataFrame, all_nodes: bool = False, facts: str | None = None) -> DataFrame:
     """Flatten every Python file of ``files`` into syntax-node rows.
 
     The flatten is a narrow ``mapInArrow`` stage over the scan splits: no
     shuffle of file text.  All rows of one file come out of one task.
+
+    ``facts`` names a group of ``FACTS`` if only its operators read the table:
+    "imports", "defs", "smells", "patterns" or "complexity".
     """
     src = (files.filter((F.col("language") == "python") & F.col("content").isNotNull())
                 .select("repo", "path", "content"))
-    if all_nodes:
-        return src.mapInArrow(lambda it: _flatten_batches(it, all_nodes=True), PY_NODES_SCHEMA)
-    return src.mapInArrow(_flatten_batches, PY_NODES_SCHEMA)
+    return src.mapInArrow(lambda it: _flatten_batches(it, all_nodes=all_nodes, facts=facts), PY_NODES_SCHEMA)
 
 
 def parse_errors(nodes: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def files_of(spark: SparkSession, sf: str, *corpora: str) -> DataFrame:
     return ingest(X.render_many(spark, sf, *corpora))
 
 
-def nodes_of(spark: SparkSession, sf: str, *corpora: str) -> DataFrame:
+def nodes_of(spark: SparkSession, sf: str, *corpora: str, facts: str | None = None) -> DataFrame:
     from codelake.operators.pyast import py_nodes
-    return py_nodes(files_of(spark, sf, *corpora))
+    return py_nodes(files_of(spark, sf, *corpora), facts=facts)
 
 
 # knob tables the oracles derive expected facts from -------------------------

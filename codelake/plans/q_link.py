@@ -16,7 +16,7 @@ LINK_CORPORA = ("corpus_py", "corpus_nations", "corpus_rel")
 
 def _edges(spark, sf):
     files = files_of(spark, sf, *LINK_CORPORA)
-    nodes = py_nodes(files)
+    nodes = py_nodes(files, facts="imports")
     return files, G.py_dependency_edges(P.py_imports(nodes), files)
 
 

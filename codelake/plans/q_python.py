@@ -38,22 +38,22 @@ from kp where 5 + depth + pad > 200
 
 @register("smell_long_method", ORACLE_LONG_METHOD)
 def q_smell_long_method(spark, sf):
-    return S.smell_long_method(nodes_of(spark, sf, "corpus_py")).select(*SMELL_COLS)
+    return S.smell_long_method(nodes_of(spark, sf, "corpus_py", facts="smells")).select(*SMELL_COLS)
 
 
 @register("smell_too_many_parameters", ORACLE_TOO_MANY)
 def q_smell_too_many_parameters(spark, sf):
-    return S.smell_too_many_parameters(nodes_of(spark, sf, "corpus_py")).select(*SMELL_COLS)
+    return S.smell_too_many_parameters(nodes_of(spark, sf, "corpus_py", facts="smells")).select(*SMELL_COLS)
 
 
 @register("smell_deep_nesting", ORACLE_DEEP)
 def q_smell_deep_nesting(spark, sf):
-    return S.smell_deep_nesting(nodes_of(spark, sf, "corpus_py")).select(*SMELL_COLS)
+    return S.smell_deep_nesting(nodes_of(spark, sf, "corpus_py", facts="smells")).select(*SMELL_COLS)
 
 
 @register("smell_large_class", ORACLE_LARGE)
 def q_smell_large_class(spark, sf):
-    return S.smell_large_class(nodes_of(spark, sf, "corpus_py")).select(*SMELL_COLS)
+    return S.smell_large_class(nodes_of(spark, sf, "corpus_py", facts="smells")).select(*SMELL_COLS)
 
 
 ORACLE_SMELL_COUNTS = with_(KNOBS_PY) + """
@@ -68,12 +68,12 @@ group by repo, type
 
 @register("smell_counts", ORACLE_SMELL_COUNTS)
 def q_smell_counts(spark, sf):
-    return S.smell_counts(S.python_smells(nodes_of(spark, sf, "corpus_py")))
+    return S.smell_counts(S.python_smells(nodes_of(spark, sf, "corpus_py", facts="smells")))
 
 
 @register("recurring_smells", ORACLE_SMELL_COUNTS.replace("group by repo, type", "group by repo, type having count(*) > 3"))
 def q_recurring_smells(spark, sf):
-    return S.recurring_smells(S.python_smells(nodes_of(spark, sf, "corpus_py")))
+    return S.recurring_smells(S.python_smells(nodes_of(spark, sf, "corpus_py", facts="smells")))
 
 
 # ---------------------------------------------------------------- definitions
@@ -100,12 +100,12 @@ def _fn_out(fns):
 
 @register("py_functions", ORACLE_FUNCTIONS)
 def q_py_functions(spark, sf):
-    return _fn_out(P.py_functions(nodes_of(spark, sf, "corpus_py", "corpus_nations")))
+    return _fn_out(P.py_functions(nodes_of(spark, sf, "corpus_py", "corpus_nations", facts="defs")))
 
 
 @register("py_methods", ORACLE_FUNCTIONS.split("union all")[0])
 def q_py_methods(spark, sf):
-    return _fn_out(P.py_functions(nodes_of(spark, sf, "corpus_py")).filter(F.col("owner_class").isNotNull()))
+    return _fn_out(P.py_functions(nodes_of(spark, sf, "corpus_py", facts="defs")).filter(F.col("owner_class").isNotNull()))
 
 
 ORACLE_CLASSES = with_(KNOBS_PY) + """
@@ -117,7 +117,7 @@ from kp
 
 @register("py_classes", ORACLE_CLASSES)
 def q_py_classes(spark, sf):
-    return P.py_classes(nodes_of(spark, sf, "corpus_py", "corpus_nations")).select(
+    return P.py_classes(nodes_of(spark, sf, "corpus_py", "corpus_nations", facts="defs")).select(
         "repo", "path", "name", F.array_join("base_classes", ",").alias("base_classes"), "docstring",
         "line_start", "line_end")
 
@@ -135,7 +135,7 @@ select repo, concat('sup/s_', k, '.py'), concat('s_', k + 8), 'go', null, 1, tru
 
 @register("py_imports", ORACLE_IMPORTS)
 def q_py_imports(spark, sf):
-    return P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel")).drop("stmt_pre", "ord")
+    return P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel", facts="imports")).drop("stmt_pre", "ord")
 
 
 ORACLE_RAW_DEPS = with_(KNOBS_PY, KNOBS_SUP) + """
@@ -147,7 +147,7 @@ union all select repo, concat('sup/s_', k, '.py'), concat('.s_', k + 8) from ks
 
 @register("py_raw_dependencies", ORACLE_RAW_DEPS)
 def q_py_raw_dependencies(spark, sf):
-    return P.py_raw_dependencies(P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel")))
+    return P.py_raw_dependencies(P.py_imports(nodes_of(spark, sf, "corpus_py", "corpus_rel", facts="imports")))
 
 
 ORACLE_VARIABLES = with_(KNOBS_NAT, KNOBS_BEH) + """
@@ -185,7 +185,7 @@ union all select repo, path, concat('fn_', k), 2, case when k % 2 = 0 then 2 els
 
 @register("py_complexity", ORACLE_COMPLEXITY)
 def q_py_complexity(spark, sf):
-    return P.py_complexity(nodes_of(spark, sf, "corpus_py", "corpus_behaviour")).drop("def_pre")
+    return P.py_complexity(nodes_of(spark, sf, "corpus_py", "corpus_behaviour", facts="complexity")).drop("def_pre")
 
 
 ORACLE_NESTING = with_(KNOBS_PY) + """
@@ -196,7 +196,7 @@ from kp, (select unnest(range(1, 6)) j) g where j <= depth
 
 @register("py_nesting", ORACLE_NESTING)
 def q_py_nesting(spark, sf):
-    return P.py_nesting(nodes_of(spark, sf, "corpus_py")).drop("pre")
+    return P.py_nesting(nodes_of(spark, sf, "corpus_py", facts="smells")).drop("pre")
 
 
 ORACLE_DEF_COUNTS = with_(KNOBS_PY, KNOBS_NAT) + """
@@ -222,7 +222,7 @@ from kp where k % 7 <> 6
 
 @register("python_patterns", ORACLE_PY_PATTERNS)
 def q_python_patterns(spark, sf):
-    return PT.python_patterns(nodes_of(spark, sf, "corpus_py", "corpus_nations")).drop("ord")
+    return PT.python_patterns(nodes_of(spark, sf, "corpus_py", "corpus_nations", facts="patterns")).drop("ord")
 
 
 BAD_FILES = """with kb as (select cast(p_partkey as int) k, concat('r', cast(p_partkey as int) % 8) repo,
@@ -235,7 +235,7 @@ ORACLE_PARSE_ERRORS = BAD_FILES + "select repo, path from kb where k % 7 = 0 or
 def q_parse_errors(spark, sf):
     from codelake.operators.pyast import parse_errors
     return parse_errors(nodes_of(spark, sf, "corpus_py", "corpus_nations", "corpus_rel",
-                                 "corpus_behaviour", "corpus_bad")).select("repo", "path")
+                                 "corpus_behaviour", "corpus_bad", facts="imports")).select("repo", "path")
 
 
 @register("isolated_functions", BAD_FILES + """
@@ -243,7 +243,7 @@ select repo, path, concat('good_', k) as name from kb where k % 7 <> 0 and k % 1
 """)
 def q_isolated_functions(spark, sf):
     """The good neighbours of bad files keep their functions."""
-    return P.py_functions(nodes_of(spark, sf, "corpus_bad")).select("repo", "path", "name")
+    return P.py_functions(nodes_of(spark, sf, "corpus_bad", facts="defs")).select("repo", "path", "name")
 
 
 @register("distinct_return_calls", with_(KNOBS_PY) + """
@@ -255,4 +255,4 @@ def q_distinct_return_calls(spark, sf):
 
 @register("functions_by_name", ORACLE_FUNCTIONS)
 def q_functions_by_name(spark, sf):
-    return _fn_out(P.dedupe_by_name(P.py_functions(nodes_of(spark, sf, "corpus_py", "corpus_nations"))))
+    return _fn_out(P.dedupe_by_name(P.py_functions(nodes_of(spark, sf, "corpus_py", "corpus_nations", facts="defs"))))

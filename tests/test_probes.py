@@ -155,3 +155,21 @@ def test_splitlines_and_repeated_paths(spark):
 def test_checkpoint_folder_without_a_setting(spark):
     from codelake.session import checkpoint_dir
     assert checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_fact_groups_give_what_the_whole_table_gives(spark):
+    from codelake.operators import patterns, smells
+    more = ("import a.b as c\nfrom . import d, e as f\n@deco(1)\nclass W(Base, mixin.M):\n    '''doc'''\n    observers: list = []\n"
+            "    @private\n    def __init__(self, a: int, *b, k: str = 'x') -> None:\n        if a and k or b:\n            for i in b:\n"
+            "                while i:\n                    if i:\n                        i = [x for x in b if x and a]\n"
+            "        lambda q: q\n\n    async def create(self):\n        try:\n            import zlib\n        except E as e:\n            match e:\n"
+            "                case 1:\n                    def deep(z): return z and e\n")
+    files = files_df(spark, [("r", "a.py", BEHAVIOUR), ("r", "b.py", more), ("r", "c.py", "def (")])
+    whole = py_nodes(files)
+    from codelake.operators.pyfacts import py_classes, py_complexity, py_functions, py_imports, py_nesting
+    for op, group, drop in ((py_functions, "defs", ("def_pre", "owner_pre")), (py_classes, "defs", ("class_pre",)), (py_imports, "imports", ("stmt_pre",)),
+                            (py_complexity, "complexity", ("def_pre",)), (py_nesting, "smells", ("pre",)), (smells.python_smells, "smells", ()),
+                            (patterns.python_patterns, "patterns", ()), (parse_errors, "imports", ())):
+        want = sorted(map(str, op(whole).drop(*drop).collect()))
+        got = sorted(map(str, op(py_nodes(files, facts=group)).drop(*drop).collect()))
+        assert got == want and (want or op is smells.python_smells), op.__name__
