@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 CACHED_WORD = 64  # longer words are encoded without being remembered
 
 # FIXED VALUES: white space as the pattern means it, and the pattern
-_WS = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
+_WS = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 
 
