@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from codelake.functions import constants as K
 
-# whitespace that Python's str.strip() removes (Unicode White_Space plus the
-# ASCII separators \x1c-\x1f)
-_WS = r"[\s\x1c-\x1f]"
+# --- FIXED VALUE: the characters that Python's str.strip() removes
+PY_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+            "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def col(c) -> Column:
@@ -18,27 +18,22 @@ def col(c) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()`` with Python's whitespace set."""
-    return F.regexp_replace(col(c), rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.btrim(col(c), F.lit(PY_SPACE))
 
 
 def py_lstrip_chars(c, chars: str) -> Column:
     """``str.lstrip(chars)``."""
-    return F.regexp_replace(col(c), "^[" + _rx_class(chars) + "]+", "")
+    return F.ltrim(col(c), F.lit(chars))
 
 
 def py_rstrip_chars(c, chars: str) -> Column:
     """``str.rstrip(chars)``."""
-    return F.regexp_replace(col(c), "[" + _rx_class(chars) + "]+$", "")
+    return F.rtrim(col(c), F.lit(chars))
 
 
 def py_strip_chars(c, chars: str) -> Column:
     """``str.strip(chars)``."""
-    cls = _rx_class(chars)
-    return F.regexp_replace(col(c), f"^[{cls}]+|[{cls}]+$", "")
-
-
-def _rx_class(chars: str) -> str:
-    return "".join("\\" + ch if ch in "\\^]-[" else ch for ch in chars)
+    return F.btrim(col(c), F.lit(chars))
 
 
 def base_name(path) -> Column:

@@ -26,7 +26,7 @@ def decode_text(df: DataFrame, content: str = "content") -> DataFrame:
     if isinstance(df.schema[content].dataType, BinaryType):
         c = c.cast("string")
     ok = F.is_valid_utf8(c)
-    return (df.withColumn("is_binary", ~ok)
+    return (df.withColumn("is_binary", F.coalesce(~ok, F.lit(False)))
               .withColumn(content, F.when(ok, T.newline_normalise(c))))
 
 

@@ -173,12 +173,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _spread(df: DataFrame) -> DataFrame:
     """Rendering expands each small input row into a whole file, and the
-    parse job after it is CPU-bound; when the scan yields fewer splits than
-    task slots, spread the *input rows* (not the rendered text) round-robin."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    parse job after it is CPU-bound: spread the *input rows* (not the rendered
+    text) over the task slots, round-robin."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def render(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,8 @@ read by this Python data source instead:
 
 Directories that the ignore rule drops anyway (B2) are not descended into.
 Output columns match ``codelake.sources.corpus.ingest``:
-``repo, path, content BINARY, size_bytes, last_modified``.
+``repo, path, content BINARY, size_bytes, last_modified``, and ``error``, which
+names why a file could not be read (its content is then NULL).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from codelake.functions.constants import IGNORE_NAMES
 
-SCHEMA = "repo string, path string, content binary, size_bytes bigint, last_modified timestamp"
+SCHEMA = "repo string, path string, content binary, size_bytes bigint, last_modified timestamp, error string"
 
 
 class _Batch(InputPartition):
@@ -66,10 +67,11 @@ class SourceTreeReader(DataSourceReader):
                 st = os.stat(full)
                 with open(full, "rb") as fh:
                     data = fh.read()
-            except OSError:  # vanished or unreadable: skipped, as the reference does
+            except OSError as e:  # vanished or unreadable: a row that says so, without content
+                yield (partition.repo, rel, None, None, None, f"{type(e).__name__}: {e.strerror}")
                 continue
             yield (partition.repo, rel, data, st.st_size,
-                   datetime.fromtimestamp(st.st_mtime, tz=timezone.utc))
+                   datetime.fromtimestamp(st.st_mtime, tz=timezone.utc), None)
 
 
 class SourceTreeDataSource(DataSource):
@@ -84,6 +86,11 @@ class SourceTreeDataSource(DataSource):
         return SourceTreeReader(self.options)
 
 
+def read_errors(tree):
+    """The files of a tree that could not be read, and why."""
+    return tree.filter("error is not null").select("repo", "path", "error")
+
+
 def register(spark) -> None:
     """Make ``spark.read.format("codelake_tree")`` available."""
     spark.dataSource.register(SourceTreeDataSource)

@@ -68,3 +68,14 @@ def test_analyze_end_to_end_and_export(spark, tmp_path):
     rows = [json.loads(line) for f in os.listdir(out + "/dep_edges") if f.endswith(".json")
             for line in open(os.path.join(out, "dep_edges", f))]
     assert {(r["src"], r["dst"]) for r in rows} == edges
+
+
+def test_unreadable_files_are_reported(spark, tmp_path):
+    from codelake.sources.tree import read_errors
+    root = tmp_path / "broken"
+    root.mkdir()
+    (root / "ok.py").write_text("x = 1\n")
+    os.symlink(str(root / "gone.py"), str(root / "link.py"))
+    df = read_tree(spark, str(root))
+    assert [(r.path, r.error.split(":")[0]) for r in read_errors(df).collect()] == [("link.py", "FileNotFoundError")]
+    assert {r.path: r.content is None for r in ingest(df).collect()} == {"ok.py": False, "link.py": True}
