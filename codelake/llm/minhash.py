@@ -34,6 +34,8 @@ PACKED = PERMS * BITS // 64
 # standard deviations that the estimate may lie below the threshold: a linked
 # pair is lost with a chance of about 1e-9
 SLACK = 6.0
+# sets of so many shingles at most travel with the open pairs' rows
+SHORT = 256
 
 _U = np.uint64
 _MULT = (stream64(101, PERMS) >> _U(32)).astype(np.uint32) | np.uint32(1)
@@ -147,8 +149,9 @@ def estimate_floor(percent: int) -> float:
 def _set_rows(batches):
     for b in batches:
         sets = list(_sets(b.column(1)))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary())],
-                                         names=["rid", "members"])
+        short = [s.view(np.int64) if len(s) <= SHORT else None for s in sets]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], type=pa.binary()),
+                                          pa.array(short, type=pa.list_(pa.int64()))], names=["rid", "members", "short"])
 
 
 def _intersections(batches):
@@ -263,8 +266,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     members = stage(placed.join(shared, "key").join(reps.drop("bands"), "rid").withColumn("me", me).join(of_centre, "centre").select(
         "key", "rid", "n", *words, "centre", in_reach("me", "c").alias("reach")), "members")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(texts.join(members.select(F.col("rid").alias("doc_id")), "doc_id", "left_semi")
-                 .mapInArrow(_set_rows, "rid long, members binary").filter(F.length("members") > 0), "sets")
+    # the texts are always shuffled, whatever the size of the other side
+    sets = stage(texts.join(members.select(F.col("rid").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+                 .mapInArrow(_set_rows, "rid long, members binary, short array<long>").filter(F.length("members") > 0), "sets")
 
     def linked(pairs: DataFrame) -> DataFrame:
         return stage(_confirm(pairs.distinct(), sets, percent), "links")
@@ -285,10 +289,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         if n_open <= pairs_per_row * n_rows or turn == star_rounds:
             # all pairs that are still in different components of a bucket,
             # each in the first of the buckets that it shares
-            part = part.join(reps.select("rid", "bands"), "rid")
+            part = part.join(reps.select("rid", "bands"), "rid").join(sets.select("rid", "short"), "rid")
             once = F.get(F.array_intersect("x.bands", "y.bands"), F.lit(0)) == F.col("x.key")
+            # short sets are compared on the spot
+            both = F.size(F.array_intersect("x.short", "y.short"))
+            short_linked = F.when(F.col("x.short").isNotNull() & F.col("y.short").isNotNull(),
+                                  100 * both >= percent * (F.col("x.n") + F.col("y.n") - both)).otherwise(F.lit(True))
             pairs = part.alias("x").join(part.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                                         & (F.col("x.rid") < F.col("y.rid")) & in_reach("x", "y") & once)
+                                         & (F.col("x.rid") < F.col("y.rid")) & in_reach("x", "y") & once & short_linked)
             comp = _merge(comp, linked(pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b"))))
             break
         # another centre for each bucket
