@@ -263,3 +263,16 @@ def function_callers(nodes: DataFrame) -> DataFrame:
     return (nodes.filter(call)
                  .select("repo", "path", F.col("scope").alias("caller_pre"), F.col("name").alias("callee"))
                  .distinct())
+
+
+def function_caller_edges(nodes: DataFrame) -> DataFrame:
+    """L30 over the repo: for every function that calls one of the repo's
+    functions by name, the callee's name and how many functions bear it.  Rows
+    stay keyed by the caller; a hot name is met by one pre-aggregated row, so
+    its callers and its bearers are never paired."""
+    defs = nodes.filter(F.col("kind").isin(DEF_KINDS))
+    bearers = defs.groupBy("repo", F.col("name").alias("callee")).agg(F.count(F.lit(1)).alias("n_targets"))
+    names = defs.select("repo", "path", F.col("pre").alias("caller_pre"), F.col("name").alias("function"))
+    return (function_callers(nodes).join(bearers, ["repo", "callee"])
+            .join(names, ["repo", "path", "caller_pre"])
+            .select("repo", "path", "caller_pre", "function", "callee", "n_targets"))

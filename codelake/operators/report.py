@@ -327,18 +327,22 @@ def report_architecture(files: DataFrame, structure: DataFrame, functions: DataF
     return out
 
 
+_SMELLS = "array<struct<line:int,type:string,name:string,message:string>>"
+
+
 def file_summary(files: DataFrame, nodes: DataFrame, patterns: DataFrame, smells: DataFrame,
                  edges: DataFrame) -> DataFrame:
     """One row per file, like the analysed tool's ``File``:
-    definition counts, design patterns (bounded per file), smell count,
-    successors (bounded by the file's imports) and the number of dependents
+    definition counts, design patterns and smell records (bounded per file),
+    smell count, successors (bounded by the file's imports) and the number of dependents
     (a count, so a hot module never gathers its importers into one row)."""
     from codelake.operators.graph import dependency_adjacency
     from codelake.operators.pyfacts import file_definition_counts
     k = ["repo", "path"]
     pats = patterns.groupBy(*k).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pattern"))),
                                                 lambda x: x["pattern"]).alias("design_patterns"))
-    sm = smells.groupBy(*k).agg(F.count(F.lit(1)).alias("n_smells"))
+    sm = smells.groupBy(*k).agg(F.count(F.lit(1)).alias("n_smells"), F.sort_array(F.collect_list(
+        F.struct("line", "type", "name", "message"))).alias("smells"))
     dep = edges.groupBy("repo", F.col("dst").alias("path")).agg(F.countDistinct("src").alias("n_dependents"))
     return (file_definition_counts(files, nodes)
             .join(files.select(*k, "language"), k)
@@ -346,5 +350,6 @@ def file_summary(files: DataFrame, nodes: DataFrame, patterns: DataFrame, smells
             .join(pats, k, "left").join(sm, k, "left").join(dep, k, "left")
             .select(*k, "language", "n_functions", "n_classes",
                     F.coalesce("design_patterns", F.array().cast("array<string>")).alias("design_patterns"),
-                    F.coalesce("n_smells", F.lit(0)).cast("bigint").alias("n_smells"), "dependencies",
+                    F.coalesce("n_smells", F.lit(0)).cast("bigint").alias("n_smells"),
+                    F.coalesce("smells", F.array().cast(_SMELLS)).alias("smells"), "dependencies",
                     F.coalesce("n_dependents", F.lit(0)).cast("bigint").alias("n_dependents")))

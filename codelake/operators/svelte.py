@@ -101,6 +101,13 @@ def svelte_imports(files: DataFrame) -> DataFrame:
     return J.js_imports(J.js_lines(sl))
 
 
+def svelte_definitions(files: DataFrame):
+    """Documented functions and classes of the script block, at real file
+    lines."""
+    sl = script_lines(files.filter(F.col("language") == "svelte"))
+    return J.js_definitions(J.js_lines(sl))
+
+
 def svelte_raw_dependencies(files: DataFrame) -> DataFrame:
     """Script-block dependencies plus ``import X from './...'`` on any
     line; offered de-duplicated per file."""

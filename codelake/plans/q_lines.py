@@ -294,3 +294,26 @@ union all select repo, path, 'Template Method' from kcs
 """)
 def q_text_patterns(spark, sf):
     return PT.text_patterns(files_of(spark, sf, "corpus_svelte", "corpus_cs", "corpus_js", "corpus_cpp")).drop("ord")
+
+
+KNOBS_SD = """with kd as (select cast(c_custkey as int) k, concat('r', cast(c_custkey as int) % 8) repo,
+  concat('ui/D', cast(c_custkey as int), '.svelte') path from customer)
+"""
+
+
+@register("svelte_functions", KNOBS_SD + """
+select repo, path, concat('add_', k) as name, concat('/**', chr(10), 'Adds ', k, '.') as docstring, 'a:number,b:' as args,
+       cast(6 + k % 5 as int) as line_start from kd
+""")
+def q_svelte_functions(spark, sf):
+    f = SV.svelte_definitions(files_of(spark, sf, "corpus_svelte_defs"))[0]
+    args = F.array_join(F.transform("args", lambda a: F.concat(a["name"], F.lit(":"), F.coalesce(a["type"], F.lit("")))), ",")
+    return f.select("repo", "path", "name", F.trim(F.col("docstring"), F.lit(chr(10))).alias("docstring"), args.alias("args"), "line_start")
+
+
+@register("svelte_classes", KNOBS_SD + """
+select repo, path, concat('Box_', k) as name, 'Base' as bases, cast(9 + k % 5 as int) as line_start from kd where k % 3 = 0
+""")
+def q_svelte_classes(spark, sf):
+    c = SV.svelte_definitions(files_of(spark, sf, "corpus_svelte_defs"))[1]
+    return c.select("repo", "path", "name", F.array_join("base_classes", ",").alias("bases"), "line_start")

@@ -292,3 +292,33 @@ def q_file_summary(spark, sf):
     return s.select("repo", "path", "language", "n_functions", "n_classes",
                     F.array_join("design_patterns", ",").alias("design_patterns"), "n_smells",
                     F.array_join("dependencies", ",").alias("dependencies"), "n_dependents")
+
+
+@register("function_caller_edges", with_(KNOBS_PY) + """,
+h as (select repo, concat('helper_', k % 11) as callee, count(*) as n_targets from kp group by all)
+select kp.repo, kp.path, kp.meth as "function", h.callee, h.n_targets
+from kp join h on h.repo = kp.repo and h.callee = concat('helper_', kp.k % 11)
+""")
+def q_function_caller_edges(spark, sf):
+    nodes = stage_parquet(nodes_of(spark, sf, "corpus_py"))
+    return B.function_caller_edges(nodes).drop("caller_pre")
+
+
+def _smells_sql():
+    from codelake.plans import q_python as Q
+    every = " union all ".join(f"select repo, path, type, line from ({x}) t{i}" for i, x in enumerate(
+        (Q.ORACLE_LONG_METHOD, Q.ORACLE_TOO_MANY, Q.ORACLE_DEEP, Q.ORACLE_LARGE)))
+    return f"""select repo, path, count(*) as n_smells, string_agg(type || '@' || line, ',' order by line, type) as smells
+from ({every}) s group by repo, path"""
+
+
+@register("file_smells", _smells_sql())
+def q_file_smells(spark, sf):
+    from codelake.operators import patterns as PT
+    from codelake.operators import report as R
+    from codelake.operators import smells as S
+    files = files_of(spark, sf, "corpus_py")
+    nodes = stage_parquet(py_nodes(files), "py_nodes")
+    s = R.file_summary(files, nodes, PT.python_patterns(nodes), S.python_smells(nodes), G.py_dependency_edges(P.py_imports(nodes), files))
+    text = F.array_join(F.transform("smells", lambda x: F.concat(x["type"], F.lit("@"), x["line"])), ",")
+    return s.filter("n_smells > 0").select("repo", "path", "n_smells", text.alias("smells"))

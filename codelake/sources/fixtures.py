@@ -130,6 +130,16 @@ DOCUMENTS_TREE = """
 select lang repo, concat(source, '/', doc_id, '.md') path, text content from {documents}
 """
 
+# components whose script block holds a documented function and class
+CORPUS_SVELTE_DEFS = """
+select concat('r', k % 8) repo, concat('ui/D', k, '.svelte') path,
+  concat(repeat(chr(10), k % 5), '<script>', chr(10), '/**', chr(10), ' * Adds ', k, '.', chr(10),
+    ' * @param {number} a first', chr(10), ' */', chr(10), 'function add_', k, '(a, b) {', chr(10), '}', chr(10),
+    case when k % 3 = 0 then concat('/** A box. */', chr(10), 'class Box_', k, ' extends Base {', chr(10), '}', chr(10)) else '' end,
+    '</script>', chr(10), '<p>', k, '</p>', chr(10)) content
+from (select cast(c_custkey as int) k from {customer}) z
+"""
+
 # files that a parser must survive: every 7th a syntax error, every 13th nested
 # beyond the parser's limit, every 11th with a lone surrogate in a docstring
 CORPUS_BAD = """
@@ -144,6 +154,7 @@ from (select cast(p_partkey as int) k from {part}) z
 CORPORA = {
     "corpus_py": (CORPUS_PY, ["part"]),
     "corpus_bad": (CORPUS_BAD, ["part"]),
+    "corpus_svelte_defs": (CORPUS_SVELTE_DEFS, ["customer"]),
     "corpus_nations": (CORPUS_NATIONS, ["nation"]),
     "corpus_rel": (CORPUS_REL, ["supplier"]),
     "corpus_behaviour": (CORPUS_BEHAVIOUR, ["supplier"]),
