@@ -381,19 +381,32 @@ def _score(shared, n_shards: int, kind: pa.DataType):
     return run
 
 
-def _look_up(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-    """Sums of the logs of the counts, by row, for one shard."""
+_SUMS = "row long, rows binary, logs binary, hits binary"
+
+
+def _look_up(key, asked, known):
+    """For one shard: the sums of the logs of the counts and the known tokens
+    of every text asked for, packed as the question was."""
     keys = known.column("token").to_numpy().view(np.uint64)
     order = np.argsort(keys)
     keys, values = keys[order], known.column("n").to_numpy()[order]
     out = []
     for row, rows, hashes in zip(*(asked.column(c).to_pylist() for c in ("row", "rows", "hashes")), strict=True):
         n = _lookup(keys, values, np.frombuffer(hashes, np.uint64), 0)
-        at = np.frombuffer(rows, "<u4").astype(np.int64)
-        here, back = np.unique(at, return_inverse=True)
-        out.append((here + row, np.bincount(back, np.log10(n + ADD), len(here)), np.bincount(back, n > 0, len(here)).astype(np.int64)))
-    rows, logs, hits = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
-    return pa.table({"row": rows, "logs": logs, "n_known": hits})
+        here, back = np.unique(np.frombuffer(rows, "<u4"), return_inverse=True)
+        out.append((row, here.tobytes(), np.bincount(back, np.log10(n + ADD), len(here)).tobytes(),
+                    np.bincount(back, n > 0, len(here)).tobytes()))
+    row, *packed = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table({"row": pa.array(row, pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("rows", "logs", "hits"), packed, strict=True)}})
+
+
+def _add_up(key, table):
+    """The sums of all shards, by text, for one slice of texts."""
+    at, logs, hits = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+                      for c, kind in (("rows", "<u4"), ("logs", np.float64), ("hits", np.float64)))
+    here, back = np.unique(at, return_inverse=True)
+    return pa.table({"row": here.astype(np.int64) + key[0].as_py(), "logs": np.bincount(back, logs, len(here)),
+                     "more": np.bincount(back, hits, len(here)).astype(np.int64)})
 
 
 def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,8 +435,8 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     asked = scored.filter("shard is not null").select("shard", "row", "rows", "hashes")
     least = counts.total // HEAVY + 1
     light = table.filter(F.col("n") < least).select(F.pmod("token", F.lit(n_shards)).cast("int").alias("shard"), "token", "n")
-    found = asked.groupBy("shard").cogroup(light.groupBy("shard")).applyInArrow(_look_up, "row long, logs double, n_known long")
-    extra = found.groupBy("row").agg(F.sum("logs").alias("logs"), F.sum("n_known").alias("more"))
+    found = asked.groupBy("shard").cogroup(light.groupBy("shard")).applyInArrow(_look_up, _SUMS)
+    extra = found.groupBy("row").applyInArrow(_add_up, "row long, logs double, more long")
     out = whole.join(extra, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
