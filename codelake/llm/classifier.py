@@ -25,7 +25,7 @@ POSITIVES = UNLABELLED = 8192   # bound of the training sample
 HASHED = 1024                   # buckets of words
 BINS = 10                       # of each statistic
 STATS = 12
-STEPS, RATE, DECAY = 400, 0.05, 1e-4
+STEPS, RATE, DECAY = 300, 0.05, 1e-4
 
 _UPPER, _DIGIT, _SYMBOL, _STOP = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -93,8 +93,9 @@ def fit(x_pos: np.ndarray, x_any: np.ndarray, prior: float, steps: int = STEPS)
     w = np.zeros(x_pos.shape[1])
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        zp, zu = x_pos @ w, x_any @ w
-        sp, su = sigmoid(zp), sigmoid(zu)
+        w_x = w.astype(x_pos.dtype)  # as the rows, which would else be converted at every step
+        zp, zu = (x_pos @ w_x).astype(float), (x_any @ w_x).astype(float)
+        sp, su = sigmoid(zp).astype(x_pos.dtype), sigmoid(zu).astype(x_pos.dtype)
         pos_part = x_pos.T @ (sp - 1) * (prior / len(zp))           # of p P[l(g)]
         neg_part = x_any.T @ su / len(zu) - x_pos.T @ sp * (prior / len(zp))
         neg_risk = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
