@@ -43,7 +43,8 @@ def test_stages(spark, tmp_path):
     model = classifier.train(classifier.training(first), classifier.training(labels))
     want = [r.doc_id for r in classifier.classify(first, model).collect() if r.score >= 0.5]
     assert sorted(map(str, (r.doc_id for r in a))) == sorted(map(str, want)) and len(b) == len(rows)
-    assert sum("!!" in (r.text or "") for r in a) <= 3
+    clean = {r[0] for r in rows if r[2] and "!!" not in r[1]}
+    assert len(clean & {r.doc_id for r in a}) >= 0.9 * len(clean)
     b, a = kept["language_id"]
     assert {r.doc_id for r in b} - {r.doc_id for r in a} == {r.doc_id for r in b if not langid._LETTER.search(r.text or "")}
     b, a = kept["minhash_dedup"]
