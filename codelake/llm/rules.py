@@ -8,9 +8,10 @@ trusted multinomial is smoothed towards the raw one, so that buckets without
 evidence say nothing, however small the trusted set.
 
 Scale: a document's n-grams never leave its row but as bucket counts, combined
-before the only shuffle (``BUCKETS`` rows a task at most).  Repeated windows
-are found by sorting packed hashes inside the row.  The trusted ids are the only
-broadcast, at most ``TRUSTED`` of them.
+before their shuffle (``BUCKETS`` rows a task at most).  Repeated windows
+are found by sorting packed hashes inside the row.  All trusted ids count: they
+are joined by id, which Spark does by broadcast while they are few, and else by
+shuffling the texts once.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from codelake.llm.common import WORD_SEP, WORD_SEP_CHARS, read, stage
 
 BUCKETS = 1 << 14
-TRUSTED = 1 << 16       # trusted documents used, those of the least id hash
 SMOOTHING = 20.0        # pseudo-counts of the raw distribution per bucket
 THRESHOLD = -0.05       # least mean log ratio of a kept document
 
@@ -32,9 +32,9 @@ def pin(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
-def words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text (null: empty), w (its words)."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def words(docs: DataFrame, id_col: str, text_col: str, *others: str) -> DataFrame:
+    """doc_id, text (null: empty), the other columns, w (its words)."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *others)
     trimmed = F.btrim("text", F.lit(WORD_SEP_CHARS))
     return pin(rows, w=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_SEP + "+")))
 
@@ -54,9 +54,12 @@ def pair_buckets() -> Column:
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, ratio: the log ratio of every bucket.  ``trusted`` has the ids
-    of trusted documents in its column doc_id; at most ``TRUSTED`` are used."""
-    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    flagged = words(docs, id_col, text_col).join(F.broadcast(ids.withColumn("trusted", F.lit(1))), "doc_id", "left")
+    of trusted documents in its column doc_id."""
+    # staged, so that its size is known when the join is planned
+    ids = stage(trusted.select("doc_id").filter("doc_id is not null").distinct(), "trusted").withColumn("trusted", F.lit(1))
+    # joined before the words are cut, so that a shuffle has the texts alone
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left")
+    flagged = words(rows, "doc_id", "text", "trusted")
     grams = flagged.select("trusted", F.explode(F.concat(single_buckets(), pair_buckets())).alias("bucket"))
     counted = stage(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")), "buckets")
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counted, "bucket", "left")

@@ -176,6 +176,17 @@ def test_ratios_tell_trusted_text_from_junk(spark):
     assert all(got[i] for i in range(900)) and not any(got[i] for i in range(900, 1050))
 
 
+def test_every_trusted_document_is_counted(spark):
+    n, names = 70_000, [f"w{k}" for k in range(7)]
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id") % 7).alias("text"))
+    buckets = {r.b for r in spark.createDataFrame([(x,) for x in names], "x string").select(rules._bucket(F.col("x")).alias("b")).collect()}
+    assert len(buckets) == 7
+    smooth, raw = rules.SMOOTHING * rules.BUCKETS, (n / 7 + 1) / (n + rules.BUCKETS)
+    want = math.log((n / 7 + smooth * raw) / (n + smooth) / raw)
+    got = {r.bucket: r.ratio for r in rules.log_ratios(df, df.select("doc_id")).collect()}
+    assert all(got[b] == pytest.approx(want, rel=1e-9) for b in buckets)
+
+
 def test_quality_rules_odd_tables(spark):
     df = spark.createDataFrame([(1, None, *([None] * 11)), (None, "a b", *([None] * 11)), (1, None, *([None] * 11))], CLASHING)
     got = rules.quality_rules(df, df.limit(0).select("doc_id")).collect()
