@@ -9,7 +9,8 @@ evidence say nothing, however small the trusted set.
 
 Scale: a document's n-grams never leave its row but as bucket counts, combined
 before their shuffle (``BUCKETS`` rows a task at most).  Repeated windows
-are found by sorting packed hashes inside the row.  All trusted ids count: they
+are found by sorting packed hashes inside the row, whose bits get fewer as the
+text gets longer, and confirmed on their words.  All trusted ids count: they
 are joined by id, which Spark does by broadcast while they are few, and else by
 shuffling the texts once.
 """
@@ -93,7 +94,13 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", t
     twice = F.filter("keys", lambda x, i: (shift(x) == shift(F.get("keys", i - 1))) | (shift(x) == shift(F.get("keys", i + 1))))
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1
     t = pin(t, mask=mask, twice=twice)
-    places = F.sort_array(F.transform("twice", lambda x: x.bitwiseAND(F.col("mask"))))
+    # equal bits are only candidates: their words decide
+    windows = F.sort_array(F.transform(F.transform("twice", lambda x: x.bitwiseAND(F.col("mask")).cast("int")), lambda p: F.struct(
+        F.get("w", p).alias("a"), F.get("w", p + 1).alias("b"), F.get("w", p + 2).alias("c"), p.cast("long").alias("at"))))
+    t = pin(t, windows=windows)
+    same = lambda x, i: F.struct(x["a"], x["b"], x["c"]) == F.struct(*(F.get("windows", i)[c] for c in "abc"))
+    equal = F.filter("windows", lambda x, i: same(x, i - 1) | same(x, i + 1))
+    places = F.sort_array(F.transform(equal, lambda x: x["at"]))
     covered = F.aggregate(places, F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n")),
                           lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(p - a["last"], F.lit(3).cast("long"))).alias("n")),
                           lambda a: a["n"])

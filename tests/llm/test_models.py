@@ -168,6 +168,14 @@ def test_base_rules(spark):
         assert r.kept == (not r.base_failed and r.score >= rules.THRESHOLD)
 
 
+def test_windows_of_equal_hash_bits_are_no_repeats(spark):
+    # these two windows agree in the 44 bits that a text of this length leaves
+    text = " ".join(["a4236559 b c", *map(str, range(530_000)), "a4779771 b c"])
+    df = frame(spark, [text, text + " 7 8 9"])
+    got = {r.doc_id: r.n_repeat_words for r in rules.quality_rules(df, df.limit(0)).collect()}
+    assert got == {0: 0, 1: 6}
+
+
 def test_ratios_tell_trusted_text_from_junk(spark):
     rnd = random.Random(2)
     texts = [sentence(rnd, 120, invent=0.1) for _ in range(900)] + [sentence(rnd, 120, [w.upper() + "!!" for w in EN], 0.1) for _ in range(150)]
