@@ -6,11 +6,13 @@ token's class from its history and then the token within the class:
 * the ``HEAD`` most frequent training tokens form classes of ``SLOTS`` by
   frequency; within one, a second softmax gives the token;
 * every other token, seen or not, belongs to the class of its last two bytes;
-  within one, it has its smoothed share of the training counts.
+  within one, softmaxes give the digits of its hash (base ``SLOTS``, as many as
+  the distinct tokens ask for, ``DEPTH`` at most), and tokens of the same digits
+  (a leaf) have their smoothed shares of the training counts.
 
-Both softmaxes are linear in hashed features of the history: the last token,
-the last two together, and a skip to the second last.  So the probabilities of
-all tokens, with one for everything unseen in a class, sum to 1.
+All softmaxes are linear in hashed features of the history: the last token,
+the last two together, and skips to the second and third last.  So the
+probabilities of all tokens, with one for everything unseen in a leaf, sum to 1.
 
 Training: learners, one per task, take gradient steps (AdaGrad, by rows of the
 tables) over all their training texts; their tables are averaged, each row
@@ -33,11 +35,12 @@ from pyspark.sql import functions as F
 
 from codelake.llm.common import LOWER, hash_spans, id_remainder, mix64, read, slices, small_batches, stage, stream64, text_buffer, word_spans
 
-HEAD_CLASSES, SLOTS, SUFFIX_CLASSES = 32, 64, 32
+HEAD_CLASSES, SLOTS, SUFFIX_CLASSES = 64, 64, 64
 HEAD = HEAD_CLASSES * SLOTS
 CLASSES = HEAD_CLASSES + SUFFIX_CLASSES
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 15
-FEATURES = 3
+DEPTH = 2                      # digits of the tokens outside the head, at most
+CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
+FEATURES = 4
 BLOCK_ROWS = 128               # rows of a table that travel together
 BATCH = 8192                   # tokens of a gradient step
 RATE = 0.2
@@ -78,12 +81,12 @@ def history(t: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Feature hashes (tokens x FEATURES) of the history of every token."""
     at = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
     before = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         p = np.full(len(t), START, dtype=np.uint64)
         p[k:] = np.where(at[k:] >= k, t[:-k], START) if len(t) > k else p[k:]
         before.append(p)
-    p1, p2 = before
-    return mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2)], axis=1))
+    p1, p2, p3 = before
+    return mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2), p3 * _KEY[4] + _U(3)], axis=1))
 
 
 # ------------------------------------------------------------------ counts
@@ -125,19 +128,38 @@ class Counts:
     rank_n: np.ndarray       # counts by rank
     rest_n: np.ndarray       # by suffix class: training tokens outside the head
     rest_v: np.ndarray       # and distinct ones
+    leaf_n: np.ndarray | None = None  # the same by leaf (none: no such tokens)
+    leaf_v: np.ndarray | None = None
+
+    def __post_init__(self):
+        if self.leaf_n is None:
+            self.leaf_n, self.leaf_v = np.zeros((2, SUFFIX_CLASSES * SLOTS))
+
+    @property
+    def digits(self) -> int:
+        """Values of the digits of a token outside the head."""
+        return len(self.leaf_n) // SUFFIX_CLASSES
+
+    def leaf_share(self) -> np.ndarray:
+        """By leaf, the smoothed count that its tokens share."""
+        return self.leaf_n + ADD * (self.leaf_v + 1)
 
     def rank(self, t: np.ndarray) -> np.ndarray:
         """Rank of head tokens, -1 for others."""
         return _lookup(self.head, self.head_rank, t, -1)
 
     def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities without a history: of classes, of slots."""
+        """Log probabilities without a history: of classes, and of the slots of
+        classes and then of the second digits by class and first one."""
         slots = np.zeros(HEAD)
         slots[:len(self.rank_n)] = self.rank_n
         slots = slots.reshape(HEAD_CLASSES, SLOTS)
         classes = np.concatenate([slots.sum(axis=1), self.rest_n]) + ADD
-        return (np.log(classes / classes.sum()).astype(np.float32),
-                np.log((slots + 1e-3) / (slots + 1e-3).sum(axis=1, keepdims=True)).astype(np.float32))
+        leaves = self.leaf_share().reshape(SUFFIX_CLASSES, -1, SLOTS)  # class, second digit, first digit
+        slots = np.concatenate([slots + 1e-3, leaves.sum(axis=1)])
+        if leaves.shape[1] > 1:
+            slots = np.concatenate([slots, leaves.transpose(0, 2, 1).reshape(-1, SLOTS)])
+        return np.log(classes / classes.sum()).astype(np.float32), np.log(slots / slots.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, t: np.ndarray, other) -> np.ndarray:
@@ -152,8 +174,13 @@ def count_tokens(train: DataFrame) -> tuple[DataFrame, Counts]:
     """The table of training counts (token, suffix, n), and its digest."""
     counted = train.select("text").mapInArrow(_count, "token long, suffix long, n long")
     table = stage(counted.groupBy("token").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n")), "counts")
-    by_class = table.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
-    total, distinct = sum(r.n for r in by_class), sum(r.v for r in by_class)
+    sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    total, distinct = sums.n, sums.v
+    digits = SLOTS
+    while digits < SLOTS ** DEPTH and digits * SUFFIX_CLASSES < distinct:
+        digits *= SLOTS
+    leaf = F.col("suffix") * digits + F.col("token").bitwiseAND(F.lit(digits - 1))
+    leaves = table.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     # at most total / least tokens can have so high a count
     least = total // HEAVY + 1
     heavy = table.filter(F.col("n") >= least).toArrow()
@@ -163,12 +190,14 @@ def count_tokens(train: DataFrame) -> tuple[DataFrame, Counts]:
     t, n, s = t[order], n[order], s[order]
     top = np.lexsort((t, -n))[:HEAD]
     by_hash = np.argsort(t[top])
-    rest_n, rest_v = np.zeros(SUFFIX_CLASSES), np.zeros(SUFFIX_CLASSES)
-    for r in by_class:
-        rest_n[r.suffix], rest_v[r.suffix] = r.n, r.v
-    np.subtract.at(rest_n, s[top], n[top])
-    np.subtract.at(rest_v, s[top], 1)
-    return table, Counts(total, distinct, t, n, t[top][by_hash], by_hash, n[top], rest_n, rest_v)
+    leaf_n, leaf_v = np.zeros((2, SUFFIX_CLASSES * digits))
+    at = leaves.column("leaf").to_numpy()
+    leaf_n[at], leaf_v[at] = leaves.column("n").to_numpy(), leaves.column("v").to_numpy()
+    at = s[top] * digits + (t[top] % _U(digits)).astype(np.int64)
+    np.subtract.at(leaf_n, at, n[top])
+    np.subtract.at(leaf_v, at, 1)
+    rest_n, rest_v = (x.reshape(SUFFIX_CLASSES, -1).sum(axis=1) for x in (leaf_n, leaf_v))
+    return table, Counts(total, distinct, t, n, t[top][by_hash], by_hash, n[top], rest_n, rest_v, leaf_n, leaf_v)
 
 
 # ------------------------------------------------------------------- model
@@ -188,7 +217,15 @@ class Model:
 
     @staticmethod
     def word_rows(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return (mix64(h + cls.astype(np.uint64)[:, None] * _KEY[4]) % _U(WORD_ROWS)).astype(np.int64)
+        return (mix64(h + cls.astype(np.uint64)[:, None] * _KEY[5]) % _U(WORD_ROWS)).astype(np.int64)
+
+    def levels(self, cls: np.ndarray, slot: np.ndarray):
+        """The choices within the class: which tokens, their nodes, what they
+        choose."""
+        yield np.arange(len(cls)), cls, slot % SLOTS
+        deep = np.flatnonzero(cls >= HEAD_CLASSES) if len(self.slot_bias) > CLASSES else ()
+        if len(deep):
+            yield deep, CLASSES + (cls[deep] - HEAD_CLASSES) * SLOTS + slot[deep] % SLOTS, slot[deep] // SLOTS
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -209,16 +246,14 @@ class Model:
         return self._log_softmax(self._sum(self.words, rows, self.slot_bias[cls]))
 
     def log_probability(self, h: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Natural log of the class, and for head tokens (slot >= 0) also of
-        the slot."""
+        """Natural log of the class and of the slot or the digits in it."""
         out = np.empty(len(h))
         for lo in range(0, len(h), BATCH):
             part = slice(lo, lo + BATCH)
             c, s, x = cls[part], slot[part], h[part]
             got = self.class_scores(self.class_rows(x))[np.arange(len(c)), c].astype(float)
-            head = np.flatnonzero(s >= 0)
-            if len(head):
-                got[head] += self.slot_scores(self.word_rows(x[head], c[head]), c[head])[np.arange(len(head)), s[head]]
+            for at, node, digit in self.levels(c, s):
+                got[at] += self.slot_scores(self.word_rows(x[at], node), node)[np.arange(len(at)), digit]
             out[part] = got
         return out
 
@@ -263,15 +298,15 @@ class Learner(Model):
             c, s, x = cls[part], slot[part], h[part]
             rows = self.class_rows(x)
             self._step(0, self.classes, rows, self.class_scores(rows), c)
-            head = np.flatnonzero(s >= 0)
-            if len(head):
-                rows = self.word_rows(x[head], c[head])
-                self._step(1, self.words, rows, self.slot_scores(rows, c[head]), s[head])
+            for at, node, digit in self.levels(c, s):
+                rows = self.word_rows(x[at], node)
+                self._step(1, self.words, rows, self.slot_scores(rows, node), digit)
 
 
 def _targets(counts: Counts, t: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rank = counts.rank(t)
-    return np.where(rank >= 0, rank // SLOTS, HEAD_CLASSES + suffix), np.where(rank >= 0, rank % SLOTS, -1)
+    digits = (t % _U(counts.digits)).astype(np.int64)
+    return np.where(rank >= 0, rank // SLOTS, HEAD_CLASSES + suffix), np.where(rank >= 0, rank % SLOTS, digits)
 
 
 _TABLE = "part int, block int, learner int, weights binary, seen binary"
@@ -318,7 +353,7 @@ def train_model(train: DataFrame, counts: Counts) -> Model:
     The sums are formed in two levels, so that no task gets the blocks of
     more than about the square root of the learners."""
     spark = train.sparkSession
-    learners = max(1, min(counts.total // LEARNER_TOKENS, 4 * spark.sparkContext.defaultParallelism))
+    learners = max(1, counts.total // LEARNER_TOKENS)
     shared = spark.sparkContext.broadcast(counts)
     learned = stage(train.select("text").coalesce(int(learners)).mapInArrow(_learn(shared), _TABLE), "learned")
     fan = int(learners ** 0.5) + 1
@@ -348,7 +383,7 @@ def _score(shared, n_shards: int, kind: pa.DataType):
         counts, classes, words = shared.value
         model, row0 = Model(counts, classes, words), TaskContext.get().partitionId() << 32
         scale = np.log10(counts.total + ADD * (counts.distinct + 1))
-        rest = np.log10(counts.rest_n + ADD * (counts.rest_v + 1))
+        rest = np.log10(counts.leaf_share())
         for b in batches:
             for lo, hi in slices(b.column(1), 1 << 20):
                 t, suffix, first = tokens(b.column(1).slice(lo, hi - lo))
@@ -358,7 +393,8 @@ def _score(shared, n_shards: int, kind: pa.DataType):
                 n = _lookup(counts.heavy, counts.heavy_n, t, 0)
                 log_n = np.where(n > 0, np.log10(n + ADD), 0.0)  # of the others it comes from the shards
                 p = model.log_probability(history(t, first), cls, slot) / _LOG10
-                p = np.where(slot >= 0, p, p + log_n - rest[suffix])
+                outside = np.flatnonzero(cls >= HEAD_CLASSES)
+                p[outside] += log_n[outside] - rest[suffix[outside] * counts.digits + slot[outside]]
                 by_row = lambda x: np.bincount(doc, x, rows)  # noqa: B023, E731
                 none = lambda m, k: pa.nulls(m, k)
                 yield pa.RecordBatch.from_arrays(

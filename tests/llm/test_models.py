@@ -72,6 +72,20 @@ def test_model_is_a_distribution_and_learns():
     assert np.allclose(np.exp(learner.slot_scores(learner.word_rows(some, c), c).astype(float)).sum(axis=1), 1, atol=1e-5)
 
 
+def test_tokens_outside_the_head_depend_on_their_history():
+    t, suffix, first = maxent.tokens(pa.array(["one xa1zz", "two ya2zz"] * 2000))
+    none = np.zeros(0, np.int64)
+    n = np.bincount(suffix, minlength=maxent.SUFFIX_CLASSES).astype(float)
+    counts = maxent.Counts(len(t), 5, t[:0], none, t[:0], none, none, n, (n > 0).astype(float))
+    cls, slot = maxent._targets(counts, t, suffix)
+    assert suffix[1] == suffix[4] and t[1] != t[4]
+    learner, h = maxent.Learner(counts), maxent.history(t, first)
+    learner.learn(h, cls, slot)
+    # the same token where it was learned, and after the word that has the other
+    here, there = learner.log_probability(h[[1, 4]], cls[[1, 1]], slot[[1, 1]])
+    assert here > there + 0.5
+
+
 def test_held_out_scores_beat_the_base(spark):
     df = maxent.op4_lm_score(spark, SF)
     r = df.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
