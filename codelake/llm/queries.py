@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their DuckDB oracles."""
 
-from codelake.llm import ann, bpe, chat, classifier, langid, maxent, minhash, packing, rules, tokens
+from codelake.llm import ann, bpe, chat, classifier, decontaminate, langid, maxent, minhash, packing, rules, tokens
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
+    "op11_decontaminate": decontaminate.op11_decontaminate,
 }
 
 # operators without an entry cannot be said in SQL; tests/llm compares them by brute force
@@ -20,4 +21,5 @@ ORACLE = {
     "op1_minhash": minhash.OP1_SQL,
     "op2_chat_format": chat.OP2_SQL,
     "op10_ann": ann.OP10_SQL,
+    "op11_decontaminate": decontaminate.OP11_SQL,
 }
