@@ -1,6 +1,6 @@
 """The registered queries of the subpackage and their DuckDB oracles."""
 
-from codelake.llm import ann, bpe, chat, classifier, decontaminate, langid, maxent, minhash, packing, rules, tokens
+from codelake.llm import ann, bpe, chat, classifier, decontaminate, divergence, langid, maxent, minhash, packing, resample, rules, tokens
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,8 @@ QUERIES = {
     "op9_packing": packing.op9_packing,
     "op10_ann": ann.op10_ann,
     "op11_decontaminate": decontaminate.op11_decontaminate,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_target_resampling": resample.op13_target_resampling,
 }
 
 # operators without an entry cannot be said in SQL; tests/llm compares them by brute force
@@ -22,4 +24,5 @@ ORACLE = {
     "op2_chat_format": chat.OP2_SQL,
     "op10_ann": ann.OP10_SQL,
     "op11_decontaminate": decontaminate.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
