@@ -7,8 +7,10 @@ and source text for the few node roles whose text is reported).  Every
 judgement -- complexity, nesting, smells, patterns, scopes, purity -- is
 DataFrame code over this table.
 
-A file that fails to parse yields a single ``kind = '__error__'`` row carrying
-the message (A8 per-file fault isolation).
+Every file yields one ``kind = '__file__'`` row besides: its ``field`` is "ok" or
+"error", and an error's kind, line and message are its ``name``, ``lineno`` and
+``text`` (A8 per-file fault isolation).  So a file without facts and a file that
+could not be parsed are never taken for one another.
 """
 
 from __future__ import annotations
@@ -258,14 +260,21 @@ def _batch(repos, paths, rows):
     return pa.RecordBatch.from_arrays(arrays, schema=_ARROW_SCHEMA)
 
 
-def _error_row(e: Exception):
-    return (0, None, 0, None, None, "__error__", type(e).__name__, None, getattr(e, "lineno", None), None, None, None,
-            str(e), None, None, (), (), 0, 0, None)
+STATUS = "__file__"
+
+
+def _status_row(n_rows: int, e: Exception | None = None):
+    """The status of one file; ``n_values`` is the number of its node rows."""
+    if e is None:
+        return (-1, None, 0, "ok", None, STATUS, None, None, None, None, None, None, None, n_rows, None, (), (), 0, 0, None)
+    return (-1, None, 0, "error", None, STATUS, type(e).__name__, None, getattr(e, "lineno", None), None, None, None,
+            str(e), 0, None, (), (), 0, 0, None)
 
 
 def _emit(held):
-    """The batch of (repo, path, rows) files.  If the conversion fails, file
-    by file, so that only the file at fault becomes an error row."""
+    """The batch of (repo, path, rows) files, each of which has its status row
+    at least.  If the conversion fails, file by file, so that only the file at
+    fault becomes an error."""
     try:
         repos = [r for r, _, rows in held for _ in rows]
         paths = [p for _, p, rows in held for _ in rows]
@@ -275,7 +284,7 @@ def _emit(held):
             for one in held:
                 yield from _emit([one])
         else:
-            yield _batch([held[0][0]], [held[0][1]], [_error_row(e)])
+            yield _batch([held[0][0]], [held[0][1]], [_status_row(0, e)])
 
 
 def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False, facts: str | None = None):
@@ -293,8 +302,9 @@ def _flatten_batches(batches, flush_rows: int = 50_000, all_nodes: bool = False,
                     continue
                 try:
                     rows = _flatten_one(content, all_nodes, facts)
+                    rows.append(_status_row(len(rows)))
                 except Exception as e:  # noqa: BLE001 - one bad file never fails the job
-                    rows = [_error_row(e)]
+                    rows = [_status_row(0, e)]
                 held.append((repo.as_py(), path.as_py(), rows))
                 size += len(rows)
                 if size >= flush_rows:
@@ -323,6 +333,19 @@ def py_nodes(files: DataFrame, all_nodes: bool = False, facts: str | None = None
 
 def parse_errors(nodes: DataFrame) -> DataFrame:
     """Files that could not be parsed (A8), with the error text."""
-    return nodes.filter(F.col("kind") == "__error__").select(
+    return nodes.filter((F.col("kind") == STATUS) & (F.col("field") == "error")).select(
         "repo", "path", F.col("name").alias("error"), F.col("lineno").alias("line"),
         F.col("text").alias("message"))
+
+
+def file_status(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row for every file of the corpus: ``status`` is "undecodable",
+    "unreadable" (no content, though it is no binary), "parse error", "no
+    facts", "parsed", or "not parsed" for other languages; ``error`` names the
+    parser's exception."""
+    status = nodes.filter(F.col("kind") == STATUS).select("repo", "path", F.col("field").alias("state"), F.col("name").alias("error"),
+                                                         F.col("n_values").alias("n_facts"))
+    s = (F.when(F.col("is_binary"), "undecodable").when(~F.col("readable"), "unreadable").when(F.col("language") != "python", "not parsed")
+         .when(F.col("state") == "error", "parse error").when(F.col("n_facts") == 0, "no facts").when(F.col("state") == "ok", "parsed"))
+    return (files.select("repo", "path", "language", "is_binary", F.col("content").isNotNull().alias("readable"))
+            .join(status, ["repo", "path"], "left").select("repo", "path", "language", s.alias("status"), "error"))

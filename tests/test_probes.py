@@ -9,6 +9,7 @@ from codelake.operators.classify import structure_nodes, total_lines
 from codelake.operators.lines import src_lines
 from codelake.operators.pyast import parse_errors, py_nodes
 from codelake.operators.report import report_classes
+from codelake.sources.corpus import ingest
 
 BEHAVIOUR = '''
 import os
@@ -105,6 +106,34 @@ def test_one_bad_file_does_not_fail_the_job(spark):
     assert pyfacts.py_functions(nodes).filter("name = 'f'").first().docstring == "\\udfff"
 
 
+def test_status_of_a_file_does_not_depend_on_its_neighbours(spark):
+    import pyarrow as pa
+
+    from codelake.operators.pyast import _flatten_batches
+    texts = {"empty.py": "", "comment.py": "# nothing\n", "plain.py": "x = 1\n", "imports.py": "import os\n", "bad.py": "def (:\n", "f.py": "def f(): pass\n"}
+    for facts in (None, "imports", "defs", "complexity"):
+        seen = []
+        for size in (1, 2, 256):
+            rows = list(texts.items())
+            batches = [pa.RecordBatch.from_arrays([pa.array(["r"] * len(part)), pa.array([p for p, _ in part]), pa.array([c for _, c in part])],
+                                                  names=["repo", "path", "content"]) for part in (rows[i:i + size] for i in range(0, len(rows), size))]
+            got = [r for b in _flatten_batches(batches, facts=facts) for r in b.to_pylist()]
+            seen.append(sorted((r["path"], r["field"], r["n_values"]) for r in got if r["kind"] == "__file__"))
+        assert seen[0] == seen[1] == seen[2]
+        assert {p for p, state, _ in seen[0] if state == "error"} == {"bad.py"} and len(seen[0]) == len(texts)
+
+
+def test_file_status(spark):
+    from codelake.operators.pyast import file_status
+    files = files_df(spark, [("r", "a.py", "x = 1\n"), ("r", "pkg/__init__.py", ""), ("r", "b.py", "def (:\n"), ("r", "c.js", "var x"), ("r", "d.py", None)])
+    blob = spark.createDataFrame([("r", "e.py", bytearray(b"\xff\xfe"))], "repo string, path string, content binary")
+    files = files.unionByName(ingest(blob))
+    assert {r.path: (r.status, r.error) for r in file_status(files, py_nodes(files)).collect()} == {
+        "a.py": ("parsed", None), "pkg/__init__.py": ("no facts", None), "b.py": ("parse error", "SyntaxError"), "c.js": ("not parsed", None),
+        "d.py": ("unreadable", None), "e.py": ("undecodable", None)}
+    assert [r.path for r in parse_errors(py_nodes(files.filter("path = 'pkg/__init__.py'"))).collect()] == []
+
+
 def test_no_local_binding_is_a_global(spark):
     nodes = py_nodes(files_df(spark, [("r", "m.py", BEHAVIOUR)]))
     got = {r.name: r for r in B.function_behavior(nodes).collect()}
