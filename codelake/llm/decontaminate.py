@@ -94,11 +94,12 @@ def search(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     seconds = plans.filter("length > 1").select(F.col("terms")[1]["term"].alias("term")).distinct()
     alone = found.filter(F.size("second") == 0).drop("second")
     two = _intersect(found.filter(F.size("second") > 0), F.col("second"), places.join(seconds, "term", "left_semi"), slop)
-    two = stage(alone.union(two), "intersected")
+    two = stage(alone.unionByName(two), "intersected")
     # the frequent terms' places are only looked at in texts that are still in
-    still = places.join(two.select("row").distinct(), "row", "left_semi")
+    texts = stage(two.select("row").distinct(), "searched")
+    still = places.join(texts, "row", "left_semi")
     rest = two.join(plans.filter("length > 2").select("window", F.expr("slice(terms, 3, length - 2)").alias("rest")), "window")
-    out = _intersect(rest, F.col("rest"), still, slop).union(two.join(plans.filter("length <= 2"), "window", "left_semi"))
+    out = _intersect(rest, F.col("rest"), still, slop).unionByName(two.join(plans.filter("length <= 2"), "window", "left_semi"))
     return out.join(plans.select("window", "length"), "window").select("row", "window", "start", "length", "exact")
 
 
