@@ -1,17 +1,29 @@
-"""Ordered line operators shared by the brace languages.
+"""Statements, blocks and scopes of the brace languages.
 
-All windows are partitioned by ``(repo, path)`` (or a superset), so after one
-hash partitioning of the line table by file they run without further
-exchanges; a file's lines are bounded by the file size.
+A file's lines become logical statements, these and their braces one ordered
+stream, and the stream carries the stack of open blocks.  Every step is a
+window, or a group of one, keyed by the file, so after one hash partitioning by
+file there is no further exchange but that of the few staged scope rows, and
+the work is linear in the file: no row is ever paired with others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelake.functions import text as T
+from codelake.session import stage_parquet
+
 FILE = ["repo", "path"]
 
+# --- FIXED VALUES: lexical patterns (Java regex dialect)
+RX_STRING_OR_COMMENT = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])+')|//.*$|/\*.*?\*/"""
+RX_STRING = r"""'(?:\\.|[^'\\])+'|"(?:\\.|[^"\\])*\""""
+RX_COMMENT_LINE = r"^(/\*[^{};]*|\*(/.*|\s.*)?)$"
+RX_LABEL = r"^(public|private|protected|default|case\b[^{};]*|\w+)\s*:$"
+RX_MACRO_LINE = r"^[A-Z][A-Z0-9_]*(\s*\([^{};]*\))?$"
+
 
 def by_file(lines: DataFrame) -> DataFrame:
     """Hash-partition a line table by file once: the one exchange of an
@@ -19,97 +31,118 @@ def by_file(lines: DataFrame) -> DataFrame:
     return lines.repartition(*FILE)
 
 
-def brace_tokens(lines: DataFrame) -> DataFrame:
-    """Every ``{``/``}`` with its matching partner.
+def statements(lines: DataFrame, prefix: Column) -> DataFrame:
+    """Logical statements: ``(repo, path, stmt, line_no, last, n_lines, text,
+    prefixes, braces)``.
+
+    A statement goes on from line to line until, outside of parentheses, a line
+    ends in ``;``, ``{``, ``}`` or a label's colon; preprocessor lines and lines
+    of a macro alone are statements of their own.  Lines for which ``prefix``
+    (over ``text``) holds stand before a statement (attributes, template
+    heads): if they are directly above it they are its ``prefixes``, not part
+    of its text.  Comments are left out, and braces inside strings are none.
+    ``braces`` are the statement's braces and ``;``s, as (line, place, token).
+    """
+    text = T.py_strip(F.regexp_replace("stripped", RX_STRING_OR_COMMENT, "$1"))
+    x = (by_file(lines.select(*FILE, "line_no", "n_lines", text.alias("text")).filter((F.col("text") != "") & ~F.col("text").rlike(RX_COMMENT_LINE)))
+         .withColumn("code", F.regexp_replace("text", RX_STRING, "")).withColumn("pre", prefix))
+    order = Window.partitionBy(*FILE).orderBy("line_no")
+    delta = F.regexp_count("code", F.lit(r"\(")) - F.regexp_count("code", F.lit(r"\)"))
+    x = x.withColumn("depth", F.sum(delta).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    flat = F.col("depth") <= 0
+    # a macro line or a preprocessor line ends what stands before it too
+    alone = F.col("text").startswith("#") | (flat & (delta == 0) & F.col("text").rlike(RX_MACRO_LINE))
+    closed = alone | (flat & (F.col("code").rlike("[;{}]$") | F.col("code").rlike(RX_LABEL)))
+    x = x.select("*", alone.alias("alone"), closed.alias("closed"))
+    before = F.lag(F.struct("closed", "pre", "line_no")).over(order)
+    apart = before["pre"] & (F.col("line_no") - before["line_no"] > 1)
+    begins = before.isNull() | before["closed"] | F.col("alone") | apart
+    x = x.withColumn("begins", begins)
+    x = x.withColumnRenamed("line_no", "line").withColumnRenamed("text", "t")
+    order = Window.partitionBy(*FILE).orderBy("line")
+    x = x.withColumn("stmt", F.sum(F.col("begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    own = ~F.col("pre")
+    in_order = lambda c, f: F.transform(F.array_sort(F.collect_list(c)), f)
+    tokens = F.transform(F.regexp_extract_all("code", F.lit("[{};]"), 0), lambda t, i: F.struct(
+        F.col("line"), i.alias("at"), t.alias("tok")))
+    return (x.groupBy(*FILE, "stmt")
+            .agg(F.min(F.when(own, F.col("line"))).alias("line_no"), F.max("line").alias("last"), F.max("n_lines").alias("n_lines"),
+                 F.array_join(in_order(F.when(own, F.struct("line", "t")), lambda s: s["t"]), " ").alias("text"),
+                 in_order(F.when(~own, F.struct("line", "t")), lambda s: s["t"]).alias("prefixes"),
+                 F.array_sort(F.flatten(F.collect_list(tokens))).alias("braces"))
+            .filter(F.col("line_no").isNotNull()))
+
+
+def match_braces(events: DataFrame) -> DataFrame:
+    """``depth`` and ``lvl`` of the rows of a stream (``stmt``, ``pos``,
+    ``tok``, ``line``, ``opens``, ``n_lines``), and ``end_line`` of what opens a
+    block.
 
     Running depth = cumulative +1/-1 in text order; an opening brace at
     depth d and its closing brace share level d, so the partner of a ``{`` is
-    the next token of its level (``lead``).  No self-join.  An unterminated
-    block ends at the file's last line (ledger Q11), with or without tokens
-    there.
+    the next brace of its level.  A head (``opens``) stands before its own
+    ``{`` on the same level.  An unterminated block ends at the file's last
+    line (ledger Q11).
     """
-    t = (lines.withColumn("last_line", F.max("line_no").over(Window.partitionBy(*FILE)))
-              .select(*FILE, "line_no", "last_line", F.posexplode(F.regexp_extract_all("line", F.lit(r"[{}]"), 0))
-                      .alias("pos", "tok")))
-    order = Window.partitionBy(*FILE).orderBy("line_no", "pos")
-    d = F.sum(F.when(F.col("tok") == "{", 1).otherwise(-1)).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = t.withColumn("depth", d).withColumn(
-        "lvl", F.when(F.col("tok") == "{", F.col("depth")).otherwise(F.col("depth") + 1))
-    nxt = F.lead(F.struct("tok", "line_no")).over(Window.partitionBy(*FILE, "lvl").orderBy("line_no", "pos"))
-    return (t.withColumn("nxt", nxt)
-             .withColumn("end_line", F.when(F.col("tok") == "{", F.when(F.col("nxt.tok") == "}", F.col("nxt.line_no"))
-                                           .otherwise(F.col("last_line"))))
-             .drop("nxt", "last_line"))
-
-
-def attach_block(defs: DataFrame, tokens: DataFrame, lines: DataFrame) -> DataFrame:
-    """Span of each definition row: the block opened by the first ``{`` at or
-    after its line.  A ``;`` that comes before that brace, on the definition's
-    line or a later one, makes it a declaration, which spans its own line
-    (ledger Q11).
-
-    One merged stream per file, ordered by (line, kind); what follows a def
-    first, an opening brace or a ``;``, decides (``first(..., ignorenulls)``).
-    """
-    opens = tokens.filter(F.col("tok") == "{").select(
-        *FILE, "line_no", F.lit(1).alias("_k"), F.col("pos").alias("_p"),
-        F.struct("line_no", "end_line").alias("_blk"))
-    # lines whose first ``;`` stands before any brace
-    ends = lines.filter(F.col("stripped").rlike("^[^{;]*;")).select(
-        *FILE, "line_no", F.lit(1).alias("_k"), F.lit(-1).alias("_p"),
-        F.struct("line_no", F.lit(None).cast("int").alias("end_line")).alias("_blk"))
-    d = defs.withColumn("_k", F.lit(0)).withColumn("_p", F.lit(-1)).withColumn(
-        "_blk", F.lit(None).cast("struct<line_no:int,end_line:int>"))
-    allc = d.unionByName(opens, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True)
-    w = (Window.partitionBy(*FILE).orderBy("line_no", "_k", "_p")
-               .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    out = allc.withColumn("_next", F.first("_blk", ignorenulls=True).over(w)).filter(F.col("_k") == 0)
-    end = F.coalesce(F.col("_next.end_line"), F.col("line_no"))
-    return out.withColumn("line_end", end).drop("_k", "_p", "_blk", "_next")
-
-
-def not_consumed(cands: DataFrame, consumes) -> DataFrame:
-    """Keep candidates not inside the span of an earlier consuming
-    candidate (running max of earlier span ends; exact for nested blocks)."""
-    w = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    prev_end = F.max(F.when(consumes, F.col("line_end"))).over(w)
-    return (cands.withColumn("_prev_end", prev_end)
-                 .filter(F.col("_prev_end").isNull() | (F.col("line_no") > F.col("_prev_end")))
-                 .drop("_prev_end"))
-
-
-def enclosing(defs: DataFrame, scopes: DataFrame, name_col: str, sep: str, out_col: str) -> DataFrame:
-    """Names of the scopes (namespaces / types) whose span contains each
-    definition line, outermost first, joined by ``sep`` ('' when none).
-    Equi-join on the file plus a line-range predicate; scopes per file are
-    few, and both sides are already partitioned by file."""
-    s = scopes.select(*FILE, F.col("line_no").alias("_s"), F.col("line_end").alias("_e"),
-                      F.col(name_col).alias("_n"))
-    keys = defs.select(*FILE, "line_no").distinct()
-    inside = (F.col("_s") < F.col("line_no")) & (F.col("line_no") <= F.col("_e"))
-    names = (keys.join(s, FILE).filter(inside)
-                 .groupBy(*FILE, "line_no")
-                 .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_n"))),
-                                               lambda x: x["_n"]), sep).alias(out_col)))
-    return (defs.join(names, FILE + ["line_no"], "left")
-                .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(""))))
-
-
-def attribute_lines(lines: DataFrame) -> DataFrame:
-    """contiguous ``[Attr, ...]`` lines directly above each line.
-
-    Gaps-and-islands: attribute lines get ``line_no - row_number()`` as an
-    island id; the island ending right above a line is its attribute list.
+    order = Window.partitionBy(*FILE).orderBy("stmt", "pos")
+    step = F.when(F.col("tok") == "{", 1).when(F.col("tok") == "}", -1).otherwise(0)
+    t = events.withColumn("depth", F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    t = t.withColumn("lvl", F.when(F.col("tok") == "{", F.col("depth")).when((F.col("tok") == "}") | F.col("opens"), F.col("depth") + 1))
+    level = Window.partitionBy(*FILE, "lvl").orderBy("stmt", "pos")
+    nxt = F.struct("tok", "line")
+    ahead = F.when(F.col("opens"), F.lead(nxt, 2).over(level)).otherwise(F.lead(nxt).over(level))
+    end = F.when(ahead["tok"] == "}", ahead["line"]).otherwise(F.col("n_lines"))
+    return t.withColumn("end_line", F.when((F.col("tok") == "{") | F.col("opens"), end))
+
+
+def brace_tokens(lines: DataFrame) -> DataFrame:
+    """J3 over raw lines: every ``{``/``}`` with its matching partner."""
+    t = lines.select(*FILE, "line_no", "n_lines", F.posexplode(F.regexp_extract_all("line", F.lit(r"[{}]"), 0)).alias("pos", "tok"))
+    t = t.withColumn("stmt", F.col("line_no")).withColumn("line", F.col("line_no")).withColumn("opens", F.lit(False))
+    return match_braces(t).drop("stmt", "line", "opens", "n_lines")
+
+
+def scoped(stmts: DataFrame, kind: Column, scope: Column) -> DataFrame:
+    """Definitions with spans and scopes: the statements that have a ``kind``
+    and stand directly in the file or in scopes (E8: never inside a body), with
+    ``ckind``, ``line_end`` and ``scopes``, the open scopes as (kind, name)
+    from the outside in (J5).
+
+    ``scope`` is a struct (kind, name) for statements whose block is a scope,
+    null for others; one without a name is a scope that names nothing.  The
+    block of a definition is the one that its first ``{`` opens, unless a ``;``
+    stands before that.
     """
-    is_attr = F.col("stripped").startswith("[")
-    a = lines.filter(is_attr).withColumn(
-        "_isl", F.col("line_no") - F.row_number().over(Window.partitionBy(*FILE).orderBy("line_no")))
-    names = F.transform(F.split(F.regexp_extract("stripped", r"^\[([\w,\s\(\)]+)\]", 1), ","), lambda x: F.trim(x))
-    a = a.withColumn("_names", F.when(F.regexp_extract("stripped", r"^\[([\w,\s\(\)]+)\]", 1) != "", names)
-                     .otherwise(F.array().cast("array<string>")))
-    isl = (a.groupBy(*FILE, "_isl")
-            .agg(F.max("line_no").alias("_last"),
-                 F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_names"))),
-                                       lambda s: s["_names"])).alias("attributes")))
-    return isl.select(*FILE, (F.col("_last") + 1).alias("line_no"), "attributes")
+    first = F.get("braces", F.lit(0))["tok"]
+    s = stmts.withColumn("ckind", kind).withColumn("scope", scope).withColumn("is_open", F.coalesce(first == "{", F.lit(False)))
+    s = s.withColumn("braces", F.filter("braces", lambda b: b["tok"] != ";"))
+    s = s.filter(F.col("ckind").isNotNull() | (F.size("braces") > 0))
+    blank = F.lit(None).cast("string")
+    head = F.struct(F.col("line_no").alias("line"), F.lit(-1).alias("at"), blank.alias("tok"))
+    tail = F.transform("braces", lambda b: F.struct(b["line"].alias("line"), b["at"].alias("at"), b["tok"].alias("tok")))
+    s = s.withColumn("events", F.when(F.col("ckind").isNotNull(), F.concat(F.array(head), tail)).otherwise(F.concat(F.array(head.cast("struct<line:int,at:int,tok:string>")), tail)))
+    keep = ["line_no", "last", "n_lines", "text", "prefixes", "ckind"]
+    e = s.select(*FILE, "stmt", "n_lines", "scope", "is_open", F.struct(*keep).alias("def"), F.posexplode("events").alias("pos", "e"))
+    at_head = F.col("pos") == 0
+    e = e.select(*FILE, "stmt", "n_lines", "pos", F.col("e.tok").alias("tok"), F.col("e.line").alias("line"), (at_head & F.col("is_open")).alias("opens"),
+                 F.when(at_head & F.col("def.ckind").isNotNull(), F.col("def")).alias("def"),
+                 F.when(F.col("e.tok") == "{", F.struct(F.col("scope").isNotNull().alias("is_scope"), F.col("scope.kind").alias("kind"),
+                                                        F.when(F.col("pos") == 1, F.col("scope.name")).alias("name"))).alias("block"))
+    t = match_braces(e).filter(F.col("def").isNotNull() | F.col("block").isNotNull())
+    t = stage_parquet(t.select(*FILE, "stmt", "pos", "depth", "lvl", "opens", "end_line", "def", "block"), "blocks")
+    # the stack: for every level that any scope reaches, the last block opened there
+    deepest = t.filter("block.is_scope").agg(F.coalesce(F.max("lvl"), F.lit(0))).first()[0]
+    t = t.filter(F.col("def").isNotNull() | (F.col("lvl") <= deepest))
+    sofar = Window.partitionBy(*FILE).orderBy("stmt", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    stack = F.array(*(F.last(F.when(F.col("lvl") == k, F.col("block")), ignorenulls=True).over(sofar) for k in range(1, deepest + 1)))
+    t = t.withColumn("stack", F.slice(stack, 1, F.least(F.col("depth"), F.lit(deepest))) if deepest else F.array().cast("array<struct<is_scope:boolean,kind:string,name:string>>"))
+    # a level below the deepest scope is a body; so is any that no scope opened
+    inside = (F.col("depth") > deepest) | F.exists("stack", lambda b: ~b["is_scope"])
+    t = t.filter(F.col("def").isNotNull() & ~F.coalesce(inside, F.lit(True)))
+    return t.select(*FILE, "def.*", F.when(F.col("opens"), F.col("end_line")).otherwise(F.col("def.last")).alias("line_end"),
+                    F.filter("stack", lambda b: b["name"].isNotNull()).alias("scopes"))
+
+
+def scope_names(kind: str, sep: str) -> Column:
+    """The names of the open scopes of one kind, outermost first ('' if none)."""
+    return F.array_join(F.transform(F.filter("scopes", lambda b: b["kind"] == kind), lambda b: b["name"]), sep)

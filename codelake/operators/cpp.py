@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelake.functions import constants as K
@@ -13,6 +13,9 @@ from codelake.operators.blocks import FILE
 # --- FIXED VALUES: C++ line patterns (Java regex dialect)
 RX_NAMESPACE = r"^namespace\s+(\w+)\s*\{?"
 RX_TEMPLATE = r"^template\s*<(.+)>"
+RX_TEMPLATE_LINE = r"^template\s*<.*>$"
+RX_TEMPLATE_HEAD = r"^(template\s*<[^{};()]*>)\s*((?:class|struct)\s)"
+RX_LINKAGE = r'^extern\s*"[^"]*"\s*\{'
 RX_CLASS = r"^(class|struct)\s+(\w+)(?:\s*:\s*(.+))?"
 RX_FUNCTION = r"^(?:virtual\s+)?(?:static\s+)?([\w:~<>]+)\s+([\w:~]+)\s*\((.*?)\)(?:\s*const)?(?:\s*=\s*0)?"
 RX_VARIABLE = r"^(?:static\s+)?(?:const\s+)?([\w:]+)\s+(\w+)(?:\s*=\s*(.+))?;"
@@ -22,37 +25,35 @@ RX_ACCESS = r"(public|private|protected)\s+"
 CONTROL_WORDS = ["return", "else", "if", "while", "for", "switch", "case", "do", "goto", "throw", "delete", "new"]
 
 
-def cpp_scan(lines: DataFrame):
-    """Classify C/C++ lines and resolve spans; returns the accepted
-    candidate rows (one per definition line) with ``ckind`` in
-    include / namespace / class / function / variable."""
-    x = BL.by_file(lines.filter(F.col("language").isin(K.CPP_FAMILY)))
-    s = F.col("stripped")
-    prev = F.lag("stripped").over(Window.partitionBy(*FILE).orderBy("line_no"))
-    x = x.withColumn("_prev", prev)
-    tpl_prev = F.coalesce(F.col("_prev").rlike(RX_TEMPLATE), F.lit(False))
+def cpp_scan(lines: DataFrame) -> DataFrame:
+    """The C/C++ definitions of a corpus with spans and namespaces, one row
+    each, ``ckind`` in include / namespace / class / function / variable.
+    Statements run over lines, so a signature may too; namespaces (and language
+    linkage blocks) are scopes, and nothing inside another block is reported."""
+    s = F.col("text")
+    x = lines.filter(F.col("language").isin(K.CPP_FAMILY))
+    head = F.get("prefixes", F.size("prefixes") - 1)
     is_cls_line = s.rlike(RX_CLASS)
-    ckind = (F.when(s.startswith("#include"), F.lit("include"))
+    ckind = (F.when(is_cls_line & (F.size("prefixes") > 0), F.lit("class"))
+              .when(s.startswith("#include"), F.lit("include"))
               .when(s.startswith("namespace"), F.when(s.rlike(RX_NAMESPACE), F.lit("namespace")))
-              .when(s.startswith("template"), F.lit(None))  # the class on the next line carries it
+              .when(s.startswith("template"), F.lit(None))
               .when(s.startswith("class ") | s.startswith("struct "), F.when(is_cls_line, F.lit("class")))
               .when(s.rlike(RX_FUNCTION) & ~F.regexp_extract(s, RX_FUNCTION, 1).isin(CONTROL_WORDS),
                     F.lit("function"))
               .when(s.rlike(RX_VARIABLE), F.lit("variable")))
-    # a class line right after a template line is found through the template
-    ckind = F.when(is_cls_line & tpl_prev, F.lit("class")).otherwise(ckind)
-    c = x.withColumn("ckind", ckind).filter(F.col("ckind").isNotNull())
-    c = c.withColumn("template", F.when((F.col("ckind") == "class") & tpl_prev,
-                                        F.regexp_extract("_prev", RX_TEMPLATE, 1)))
-    tokens = BL.brace_tokens(x)
-    spanned = BL.attach_block(c, tokens, x)
+    linkage = s.rlike(RX_LINKAGE)
+    scope = F.when((F.col("ckind") == "namespace") | linkage, F.struct(
+        F.lit("namespace").alias("kind"), F.when(~linkage, F.regexp_extract(s, RX_NAMESPACE, 1)).alias("name")))
+    st = BL.statements(x, s.rlike(RX_TEMPLATE_LINE))
+    # a head that runs over lines, or shares the line of its class, is in the text
+    inline = F.regexp_extract(s, RX_TEMPLATE_HEAD, 1)
+    st = st.withColumn("prefixes", F.when(inline != "", F.array(inline)).otherwise(F.col("prefixes")))
+    d = BL.scoped(st.withColumn("text", F.regexp_replace(s, RX_TEMPLATE_HEAD, "$2")), ckind, scope)
     # includes and variables are one-line facts
-    spanned = spanned.withColumn("line_end", F.when(F.col("ckind").isin("include", "variable"), F.col("line_no"))
-                                 .otherwise(F.col("line_end")))
-    acc = BL.not_consumed(spanned, F.col("ckind").isin("class", "function"))
-    ns = acc.filter(F.col("ckind") == "namespace").withColumn("ns_name", F.regexp_extract("stripped", RX_NAMESPACE, 1))
-    acc = BL.enclosing(acc, ns, "ns_name", "::", "namespace")
-    return acc
+    end = F.when(F.col("ckind").isin("include", "variable"), F.col("line_no")).otherwise(F.col("line_end"))
+    return d.select(*FILE, "ckind", "line_no", F.col("text").alias("stripped"), end.alias("line_end"), BL.scope_names("namespace", "::").alias("namespace"),
+                    F.when(F.col("ckind") == "class", F.regexp_extract(head, RX_TEMPLATE, 1)).alias("template"))
 
 
 def _qualify(name):

@@ -19,7 +19,8 @@ RX_IS_METHOD = r"^(?:public |private |protected |internal |static |virtual |over
 RX_METHOD = r"^(?:[\w\s]+\s+)?([\w<>\[\],\s]+)\s+(\w+)\s*\((.*?)\)"
 RX_IS_MEMBER = r"^(?:public |private |protected |internal |static |readonly |const )*[\w<>\[\],\s]+\s+\w+\s*[{;=]"
 RX_MEMBER = r"^(?:[\w\s]+\s+)?([\w<>\[\],\s]+)\s+(\w+)\s*(?:=\s*(.+))?[;{]"
-
+RX_ATTRIBUTE_LINE = r"^\[.*\]$"
+RX_ATTRIBUTES = r"^\[([\w,\s\(\)]+)\]"
 RX_MODIFIER = r"^(?:ref|out|in)\s+"
 # statement keywords that the method and member patterns would otherwise take
 # as a type (ledger Q11)
@@ -29,33 +30,30 @@ STATEMENT_WORDS = ["return", "throw", "await", "yield", "new", "else", "if", "fo
 
 
 def cs_scan(lines: DataFrame) -> DataFrame:
-    """Classify C# lines, attach spans and attributes; methods and members
-    (properties) consume their bodies, type bodies are scanned so members and methods inside them are
-    reported with their owner type (ledger Q12)."""
-    x = BL.by_file(lines.filter(F.col("language") == "c#"))
-    s = F.col("stripped")
+    """The C# definitions of a corpus with spans, scopes and attributes.
+    Statements run over lines, so a signature may too; namespaces and types are
+    scopes, whose members and methods are reported with their owner (ledger
+    Q12); nothing inside a method's or a property's body is a definition."""
+    s = F.col("text")
+    x = lines.filter(F.col("language") == "c#")
     ckind = (F.when(s.startswith("using "), F.lit("using"))
               .when(s.startswith("namespace "), F.when(s.rlike(RX_NAMESPACE), F.lit("namespace")))
               .when(s.rlike(RX_IS_TYPE), F.lit("type"))
               .when(F.regexp_extract(s, r"^(\w+)", 1).isin(STATEMENT_WORDS), F.lit(None))
               .when(s.rlike(RX_IS_METHOD) & s.rlike(RX_METHOD), F.lit("method"))
               .when(s.rlike(RX_IS_MEMBER) & s.rlike(RX_MEMBER), F.lit("member")))
-    c = x.withColumn("ckind", ckind).filter(F.col("ckind").isNotNull())
-    tokens = BL.brace_tokens(x)
-    spanned = BL.attach_block(c, tokens, x)
-    # file-scoped namespace (`namespace X;`) covers the rest of the file
-    last = F.max("line_no").over(Window.partitionBy(*FILE))
-    spanned = (spanned.withColumn("_last", last)
-                      .withColumn("line_end", F.when((F.col("ckind") == "namespace") & s.endswith(";"), F.col("_last"))
-                                  .when(F.col("ckind") == "using", F.col("line_no"))
-                                  .otherwise(F.col("line_end"))).drop("_last"))
-    acc = BL.not_consumed(spanned, F.col("ckind").isin("method", "member"))
-    ns = acc.filter(F.col("ckind") == "namespace").withColumn("ns_name", F.regexp_extract("stripped", RX_NAMESPACE, 1))
-    acc = BL.enclosing(acc, ns, "ns_name", ".", "namespace")
-    types = acc.filter(F.col("ckind") == "type").withColumn("t_name", F.regexp_extract("stripped", RX_TYPE, 2))
-    acc = BL.enclosing(acc, types, "t_name", ".", "owner")
-    attrs = BL.attribute_lines(x)
-    return acc.join(attrs, FILE + ["line_no"], "left")
+    name = F.when(F.col("ckind") == "namespace", F.regexp_extract(s, RX_NAMESPACE, 1)).when(F.col("ckind") == "type", F.regexp_extract(s, RX_TYPE, 2))
+    scope = F.when(name.isNotNull(), F.struct(F.col("ckind").alias("kind"), name.alias("name")))
+    d = BL.scoped(BL.statements(x, s.rlike(RX_ATTRIBUTE_LINE)), ckind, scope)
+    # a file-scoped namespace (`namespace X;`) covers the rest of the file
+    whole = F.when((F.col("ckind") == "namespace") & s.endswith(";"), F.regexp_extract(s, RX_NAMESPACE, 1))
+    sofar = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("_whole", F.last(whole, ignorenulls=True).over(sofar))
+    names = F.flatten(F.transform("prefixes", lambda p: F.transform(F.filter(
+        F.split(F.regexp_extract(p, RX_ATTRIBUTES, 1), ","), lambda a: F.trim(a) != ""), lambda a: F.trim(a))))
+    return d.select(*FILE, "ckind", "line_no", F.col("text").alias("stripped"), F.when(whole.isNotNull(), F.col("n_lines")).otherwise(F.col("line_end")).alias("line_end"),
+                    F.concat_ws(".", "_whole", F.when(BL.scope_names("namespace", ".") != "", BL.scope_names("namespace", "."))).alias("namespace"),
+                    BL.scope_names("type", ".").alias("owner"), names.alias("attributes"))
 
 
 def _with_attrs(prefix):

@@ -9,7 +9,8 @@ from codelake.functions import text as T
 
 
 def src_lines(files: DataFrame, languages=None, splitlines: bool = False) -> DataFrame:
-    """Explode readable files into ``(repo, path, language, line_no, line, stripped)``.
+    """Explode readable files into ``(repo, path, language, line_no, line, stripped,
+    n_lines)``, the last of which counts the file's lines.
 
     ``split(content, '\\n', -1)`` keeps trailing empty strings like Python's
     ``str.split('\\n')``; line numbers are 1-based (ledger Q9).  With
@@ -21,7 +22,7 @@ def src_lines(files: DataFrame, languages=None, splitlines: bool = False) -> Dat
     f = files.filter(F.col("content").isNotNull())
     if languages is not None:
         f = f.filter(F.col("language").isin(list(languages)))
-    return (f.select("repo", "path", "language",
-                     F.posexplode(T.split_lines("content") if splitlines else F.split("content", "\n", -1)).alias("pos", "line"))
+    f = f.select("repo", "path", "language", (T.split_lines("content") if splitlines else F.split("content", "\n", -1)).alias("all"))
+    return (f.select("repo", "path", "language", F.size("all").alias("n_lines"), F.posexplode("all").alias("pos", "line"))
              .select("repo", "path", "language", (F.col("pos") + 1).cast("int").alias("line_no"), "line",
-                     T.py_strip("line").alias("stripped")))
+                     T.py_strip("line").alias("stripped"), "n_lines"))

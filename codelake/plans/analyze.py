@@ -88,11 +88,11 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["js_imports"] = J.js_imports(jl)
     js_deps = J.js_raw_dependencies(lines.filter(F.col("language").isin(K.JS_FAMILY)))
     out["js_raw_dependencies"] = js_deps
-    cpp = C.cpp_scan(lines)
+    cpp = stage_parquet(C.cpp_scan(lines), "cpp_definitions")
     out["cpp_includes"], out["cpp_classes"] = C.cpp_includes(cpp), C.cpp_classes(cpp)
     out["cpp_functions"], out["cpp_variables"] = C.cpp_functions(cpp), C.cpp_variables(cpp)
     out["cpp_namespaces"] = C.cpp_namespaces(cpp)
-    cs = CS.cs_scan(lines)
+    cs = stage_parquet(CS.cs_scan(lines), "cs_definitions")
     out["cs_usings"], out["cs_types"] = CS.cs_usings(cs), CS.cs_types(cs)
     out["cs_methods"], out["cs_members"] = CS.cs_methods(cs), CS.cs_members(cs)
     out["cs_raw_dependencies"] = CS.cs_raw_dependencies(lines)

@@ -210,6 +210,77 @@ def q_cs_members(spark, sf):
     return CS.cs_members(_cs(spark, sf))
 
 
+# ---------------------------------------------------------------- statements over several lines
+
+KNOBS_ST = """
+kt as (select cast(p_partkey as int) k, concat('r', cast(p_partkey as int) % 8) repo,
+        cast(13 + 2 * (p_partkey % 2) + p_partkey % 3 as int) body_end, concat('cs/D', cast(p_partkey as int), '.cs') cs,
+        concat('cpp/b_', cast(p_partkey as int), '.cpp') cpp from part)
+"""
+
+
+def _cs_st(spark, sf):
+    return CS.cs_scan(src_lines(files_of(spark, sf, "corpus_cs_statements")))
+
+
+def _cpp_st(spark, sf):
+    return C.cpp_scan(src_lines(files_of(spark, sf, "corpus_cpp_statements")))
+
+
+@register("cs_statement_methods", with_(KNOBS_ST) + """
+select repo, cs as path, concat('Go', k) as name, concat('D', k) as owner_class, 'a:int,b:string' as args, 'void' as returns,
+       cast(null as varchar) as docstring, 11 as line_start, body_end as line_end from kt
+""")
+def q_cs_statement_methods(spark, sf):
+    return CS.cs_methods(_cs_st(spark, sf)).select("repo", "path", "name", "owner_class", _args_text("args").alias("args"), "returns",
+                                                   "docstring", "line_start", "line_end")
+
+
+@register("cs_statement_members", with_(KNOBS_ST) + """
+select repo, cs as path, concat('P', k) as name, 'int' as type_hint, cast(null as varchar) as value, cast(null as varchar) as docstring,
+       'class' as scope, concat('D', k) as owner_class, 7 as line_start from kt
+union all select repo, cs, 's', 'string', '"a { b"', null, 'class', concat('D', k), body_end + 1 from kt
+""")
+def q_cs_statement_members(spark, sf):
+    return CS.cs_members(_cs_st(spark, sf))
+
+
+@register("cs_statement_types", with_(KNOBS_ST) + """
+select repo, cs as path, concat('M', k % 5, '.D', k) as name, concat('Base', k % 3, ',IThing') as base_classes,
+       'Class with attributes: Attr' as docstring, 4 as line_start, body_end + 2 as line_end from kt
+""")
+def q_cs_statement_types(spark, sf):
+    return CS.cs_types(_cs_st(spark, sf)).select("repo", "path", "name", F.array_join("base_classes", ",").alias("base_classes"),
+                                                 "docstring", "line_start", "line_end")
+
+
+@register("cpp_statement_functions", with_(KNOBS_ST) + """
+select repo, cpp as path, concat('n', k % 4, '::linked', k) as name, 'a:int,b:char' as args, 'int' as returns,
+       4 as line_start, 5 as line_end from kt
+union all select repo, cpp, concat('n', k % 4, '::pick', k), 'left:T,right:T', 'T', 13, 16 + k % 4 from kt
+""")
+def q_cpp_statement_functions(spark, sf):
+    return C.cpp_functions(_cpp_st(spark, sf)).select("repo", "path", "name", _args_text("args").alias("args"), "returns",
+                                                      "line_start", "line_end")
+
+
+@register("cpp_statement_classes", with_(KNOBS_ST) + """
+select repo, cpp as path, concat('n', k % 4, '::Box', k) as name, 'Base' as base_classes, 'Class' as docstring,
+       7 as line_start, 11 as line_end from kt
+""")
+def q_cpp_statement_classes(spark, sf):
+    return C.cpp_classes(_cpp_st(spark, sf)).select("repo", "path", "name", F.array_join("base_classes", ",").alias("base_classes"),
+                                                    "docstring", "line_start", "line_end")
+
+
+@register("cpp_statement_variables", with_(KNOBS_ST) + """
+select repo, cpp as path, 'LIM' as name, 'int' as type_hint, cast(k as varchar) as value, 'namespace' as scope,
+       17 + k % 4 as line_start from kt
+""")
+def q_cpp_statement_variables(spark, sf):
+    return C.cpp_variables(_cpp_st(spark, sf))
+
+
 # ---------------------------------------------------------------- Svelte
 
 RX_SCRIPT_DUCK = r'(?s)<script(\s+lang="(?:ts|typescript)")?\s*>(.*?)</script>'

@@ -151,7 +151,32 @@ select concat('r', k % 8) repo, concat('bad/b_', k, '.py') path,
 from (select cast(p_partkey as int) k from {part}) z
 """
 
+# definitions over several lines, attributes, locals in bodies, braces in strings and comments
+CORPUS_CS_STATEMENTS = """
+select concat('r', k % 8) repo, concat('cs/D', k, '.cs') path,
+  concat('namespace M', k % 5, chr(10), '{', chr(10), '[Attr]', chr(10), 'public class D', k, chr(10),
+    '    : Base', k % 3, ', IThing', chr(10), '{', chr(10), '    public int P', k, chr(10), '    {', chr(10),
+    '        get { return 1; }', chr(10), '    }', chr(10),
+    case when k % 2 = 0 then concat('    public void Go', k, '(int a, ref string b) {', chr(10))
+         else concat('    public void Go', k, '(int a,', chr(10), '        ref string b)', chr(10), '    {', chr(10)) end,
+    '        int local = 1;', chr(10), repeat(concat('        Call(1, "}");', chr(10)), k % 3), '    }', chr(10),
+    '    private string s = "a { b"; // }', chr(10), '}', chr(10), '}', chr(10)) content
+from (select cast(p_partkey as int) k from {part}) z
+"""
+
+CORPUS_CPP_STATEMENTS = """
+select concat('r', k % 8) repo, concat('cpp/b_', k, '.cpp') path,
+  concat('namespace n', k % 4, chr(10), '{', chr(10), 'extern "C" {', chr(10), 'int linked', k, '(int a,', chr(10),
+    '              char b);', chr(10), '}', chr(10), 'class Box', k, chr(10), '    : public Base', chr(10), '{', chr(10),
+    '    int inside;', chr(10), '};', chr(10), 'template <typename T>', chr(10), 'T pick', k, '(T left,', chr(10), '    T right)', chr(10),
+    '{', chr(10), repeat(concat('    int local = 1;', chr(10)), k % 4), '}', chr(10), 'static const int LIM =', chr(10), '    ', k, ';', chr(10),
+    '}', chr(10)) content
+from (select cast(p_partkey as int) k from {part}) z
+"""
+
 CORPORA = {
+    "corpus_cs_statements": (CORPUS_CS_STATEMENTS, ["part"]),
+    "corpus_cpp_statements": (CORPUS_CPP_STATEMENTS, ["part"]),
     "corpus_py": (CORPUS_PY, ["part"]),
     "corpus_bad": (CORPUS_BAD, ["part"]),
     "corpus_svelte_defs": (CORPUS_SVELTE_DEFS, ["customer"]),

@@ -147,19 +147,134 @@ def test_no_local_binding_is_a_global(spark):
 def test_cpp_declarations_nesting_and_open_blocks(spark):
     acc = cpp.cpp_scan(src_lines(files_df(spark, [("r", "a.cpp", CPP)])))
     f = {(r.name, r.line_start, r.line_end) for r in cpp.cpp_functions(acc).collect()}
-    assert ("real", 3, 5) in f and ("decl", 7, 7) in f and ("outer::inner::deep", 10, 13) in f
-    assert not any(n in ("", "proto") for n, _, _ in f)
+    assert f == {("proto", 1, 2), ("real", 3, 5), ("decl", 7, 7), ("outer::inner::deep", 10, 13)}
     c = {(r.name, r.line_start, r.line_end) for r in cpp.cpp_classes(acc).collect()}
     assert c == {("Fwd", 6, 6), ("Open", 16, CPP.count("\n") + 1)}
 
 
 def test_cs_statements_are_no_members(spark):
     acc = cs.cs_scan(src_lines(files_df(spark, [("r", "a.cs", CS)])))
-    assert {(r.name, r.owner_class) for r in cs.cs_methods(acc).collect()} == {("Three", "S")}
-    assert {(r.name, r.owner_class) for r in cs.cs_members(acc).collect()} == {("Plain", "S"), ("Prop", "S"), ("Name", "S.Inner")}
+    assert {(r.name, r.owner_class, r.line_start, r.line_end) for r in cs.cs_methods(acc).collect()} == {("Two", "S", 12, 14), ("Three", "S", 15, 18)}
+    assert {(r.name, r.owner_class, r.value) for r in cs.cs_members(acc).collect()} == {
+        ("Plain", "S", None), ("Prop", "S", None), ("Lazy", "S", "5"), ("Name", "S.Inner", None)}
     assert {r.name: r.line_end for r in cs.cs_types(acc).collect()} == {"N.S": 22, "N.S.Inner": 21}
 
 
+CS_STATEMENTS = """using System;
+namespace Flat.Name;
+// a brace in a comment { and "in a string {" do not count
+public class Box
+    : Base,
+      IThing
+{
+    [Key, Column("a;b")]
+    [Required]
+    public int Lazy
+    {
+        get { return y; }
+    }
+
+    [Detached]
+
+    private string text = "a { b; c";
+    public void M(int a,
+        int b)
+    { Foo(); int z = 1; }
+    public int Arrow(int x) => x + 1;
+    public Dictionary<string, int> Map(
+        string key,
+        ref int value
+    ) {
+        var local = new Dictionary<string, int> {
+            { "a", 1 },
+        };
+        int inner = 2;
+        for (int i = 0; i < 3; i++) {
+            int deep = i;
+        }
+        return local;
+    }
+    #region more
+    enum Kind { A, B }
+    struct Point {
+        public int X, Y;
+        public int Z;
+    }
+    #endregion
+}
+interface ITail { void Go(); }
+"""
+
+CPP_STATEMENTS = """#include "x.h" // "not this"
+extern "C" {
+int linked(int a);
+}
+namespace a {
+namespace b
+{
+Q_MACRO
+template <typename K,
+          typename V>
+class Map
+    : public Base<K>,
+      private Other
+{
+public:
+    int inside;
+    void method(int a,
+                int b) { int local = 1; }
+};
+template <class T>
+T pick(T left,
+       T right)
+{
+    if (left) {
+        int nested = 3;
+    }
+    return left;
+}
+static const int LIMIT =
+    3;
+}
+int middle = 2;
+}
+std::string text = "} {";
+int last(int x)
+{
+"""
+
+
+def test_statements_over_several_lines(spark):
+    acc = cs.cs_scan(src_lines(files_df(spark, [("r", "a.cs", CS_STATEMENTS)])))
+    acc.cache()
+    assert sorted((r.name, tuple(r.base_classes), r.line_start, r.line_end) for r in cs.cs_types(acc).collect()) == [
+        ("Flat.Name.Box", ("Base", "IThing"), 4, 42), ("Flat.Name.Box.Kind", (), 36, 36), ("Flat.Name.Box.Point", (), 37, 40),
+        ("Flat.Name.ITail", (), 43, 43)]
+    assert sorted((r.name, r.owner_class, [(a.name, a.type) for a in r.args], r.line_start, r.line_end) for r in cs.cs_methods(acc).collect()) == [
+        ("Arrow", "Box", [("x", "int")], 21, 21), ("M", "Box", [("a", "int"), ("b", "int")], 18, 20),
+        ("Map", "Box", [("key", "string"), ("value", "int")], 22, 34)]
+    members = {r.name: (r.owner_class, r.value, r.docstring) for r in cs.cs_members(acc).collect()}
+    assert members == {"Lazy": ("Box", None, "Member with attributes: Required"), "text": ("Box", '"a { b; c"', None),
+                       "Y": ("Box.Point", None, None), "Z": ("Box.Point", None, None)}
+    acc = cpp.cpp_scan(src_lines(files_df(spark, [("r", "a.cpp", CPP_STATEMENTS)])))
+    assert {(r.name, r.line_start, r.line_end) for r in cpp.cpp_functions(acc).collect()} == {
+        ("linked", 3, 3), ("a::b::pick", 21, 28), ("last", 35, CPP_STATEMENTS.count("\n") + 1)}
+    assert [(r.name, list(r.base_classes), r.line_start, r.line_end) for r in cpp.cpp_classes(acc).collect()] == [
+        ("a::b::Map<typename K,typename V>", ["Base<K>", "Other"], 9, 19)]
+    assert {(r.name, r.value, r.scope) for r in cpp.cpp_variables(acc).collect()} == {
+        ("LIMIT", "3", "namespace"), ("middle", "2", "namespace"), ("text", '"} {"', "global")}
+    assert {(r.name, r.line_start, r.line_end) for r in cpp.cpp_namespaces(acc).collect()} == {("a", 5, 33), ("a::b", 6, 31)}
+    assert [r.module for r in cpp.cpp_includes(acc).collect()] == ["x.h"]
+
+
+def test_scopes_of_any_depth(spark):
+    n = 12
+    src = "".join("    " * i + f"class C{i} {{\n" for i in range(n)) + "int x;\n" + "}\n" * n + "class Z { }\n"
+    acc = cs.cs_scan(src_lines(files_df(spark, [("r", "a.cs", src), ("r", "empty.cs", ""), ("q", "a.cs", "class Other {\n}\n")])))
+    assert [(r.name, r.owner_class) for r in cs.cs_members(acc).collect()] == [("x", ".".join(f"C{i}" for i in range(n)))]
+    assert {r.name for r in cs.cs_types(acc).collect()} == {".".join(f"C{i}" for i in range(k + 1)) for k in range(n)} | {"Z", "Other"}
+
+
 def test_same_named_classes_keep_their_own_methods(spark):
     src = "if A:\n    class K:\n        x = 1\n        def one(self):\n            pass\nelse:\n    class K:\n        y = 2\n        def two(self):\n            pass\n"
     nodes = py_nodes(files_df(spark, [("r", "k.py", src)]))
