@@ -5,208 +5,185 @@ ledger Q18).  Facts that the analysed tool gathers by walking the whole def
 subtree (generators, recursion, exit points) are credited to every enclosing
 def through ``defs``.
 
-Plan shape: the relevant node rows are hash-partitioned once on
-``(repo, path)``; every later group-by / window / join is keyed by a superset
-of that, so it runs without another exchange.
+Names are resolved as the language does (J4): in the def itself, then in the
+defs around it from the inside out, then in the module, then as builtins.  Class
+bodies, comprehensions and lambdas bind nothing for others.  A read asks each
+def around it by one row of its own, which meets the bindings of that def and
+name in the group it falls in, so nothing is joined or paired.
+
+Plan shape: one stream of narrow fact rows is hash-partitioned on
+``(repo, path)``; every later group-by and window is keyed by a superset of
+that, so there is one parse and one exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelake.functions import constants as K
+from codelake.operators.pyast import IN_CLASS, INNER
 from codelake.operators.pyfacts import DEF_KINDS, parent
 
-_S = "string"
+_FACT = "struct<def:int,var:string,tag:string,a:int,b:int,s:string>"
+MODULE = -1      # the def key of what a module binds
 
 
 def _rows(nodes: DataFrame) -> DataFrame:
-    """One stream of keyed facts: ``(repo, path, def, var, <fact structs>)``."""
-    kind, field, name, scope = F.col("kind"), F.col("field"), F.col("name"), F.col("scope")
+    """The fact rows ``(repo, path, def, var, tag, a, b, s)``, by file."""
+    kind, field, name, scope, pre, line = (F.col(c) for c in ("kind", "field", "name", "scope", "pre", "lineno"))
     p1, p2, p3 = parent(1), parent(2), parent(3)
-    defs_up = F.col("defs")
-    nul = F.lit(None)
-
-    name_ev = (kind == "Name") & scope.isNotNull()
-    comp_target = (p1.kind == "comprehension") & (field == "target")
-    param = (kind == "arg") & (p1.kind == "arguments") & p2.kind.isin(DEF_KINDS)
-    hint = (field == "annotation") & (p1.kind == "arg") & (p2.kind == "arguments") & p3.kind.isin(DEF_KINDS)
-    decl = kind.isin("Global", "Nonlocal") & scope.isNotNull()
-    call_name = (kind == "Name") & (field == "func") & (p1.kind == "Call")
-    se_call = call_name & name.isin(K.SIDE_EFFECT_CALLS) & scope.isNotNull()
-    exc = (kind == "Name") & scope.isNotNull() & (
-        ((p1.kind == "ExceptHandler") & (field == "type")) | ((p1.kind == "Tuple") & (p2.kind == "ExceptHandler")))
-    exit_pt = call_name & (p2.kind == "Return")
-    is_yield = kind == "Yield"
-    is_def = kind.isin(DEF_KINDS)
-    ctrl = kind.isin("Return", "If", "While", "For") & scope.isNotNull()
-    # module-level bindings that are not "global variable" reads (ledger Q13)
-    # -- at any depth outside defs and classes, e.g. an import under ``try:``
+    inside = scope.isNotNull()
     outside = F.col("n_scopes") == 0
-    mod_def = kind.isin(DEF_KINDS + ["ClassDef"]) & outside
-    mod_imp = (kind == "alias") & p1.kind.isin("Import", "ImportFrom") & outside
-    # local bindings that are no Name of a Store: except aliases, imports,
-    # nested defs and classes, lambda parameters, match captures
-    local_imp = (kind == "alias") & p1.kind.isin("Import", "ImportFrom") & scope.isNotNull()
-    local_name = scope.isNotNull() & name.isNotNull() & (
-        kind.isin(DEF_KINDS + ["ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping"])
-        | ((kind == "arg") & (p1.kind == "arguments") & (p2.kind == "Lambda")))
+    is_def = kind.isin(DEF_KINDS)
+    is_name = (kind == "Name") & inside
+    inner = F.coalesce(F.col("n_values") == INNER, F.lit(False))
+    in_class = F.coalesce(F.col("n_values") == IN_CLASS, F.lit(False))
+    call_name = (kind == "Name") & (field == "func") & (p1.kind == "Call")
+    imported = (kind == "alias") & p1.kind.isin("Import", "ImportFrom")
     bound = F.coalesce(F.col("attrs")["asname"],
                        F.when(p1.kind == "Import", F.split_part(name, F.lit("."), F.lit(1))).otherwise(name))
-
-    rel = (name_ev | param | hint | decl | se_call | exc | exit_pt | is_yield | is_def | ctrl |
-           mod_def | mod_imp | local_imp | local_name | call_name)
-    base = nodes.filter(rel)
-
-    def rec(def_key, var, **facts):
-        cols = {"def": def_key.cast("int"), "var": var.cast(_S)}
-        cols.update(facts)
-        return cols
-
-    ev = F.struct(F.col("pre").alias("pre"), F.col("ctx").alias("ctx"), F.col("lineno").alias("line"),
-                  F.when(comp_target, F.lit(-1)).otherwise(F.col("pre")).alias("okey"))
-    fields = ["ev", "param_line", "hint", "decl", "se", "exc", "exit", "yield_", "recur", "d", "cf", "modname", "bind"]
+    exc = is_name & (((p1.kind == "ExceptHandler") & (field == "type")) | ((p1.kind == "Tuple") & (p2.kind == "ExceptHandler")))
+    # local bindings that are no Name of a Store: except aliases, nested defs
+    # and classes, match captures
+    local_name = inside & name.isNotNull() & kind.isin(DEF_KINDS + ["ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping"])
+    null = F.lit(None)
+
+    def fact(key, var, tag, a=null, b=null, s=null):
+        return F.struct(key.cast("int").alias("def"), (var if isinstance(var, Column) else F.lit(var)).cast("string").alias("var"), F.lit(tag).alias("tag"),
+                        a.cast("int").alias("a"), b.cast("int").alias("b"), s.cast("string").alias("s"))
+
+    def one(cond, *args):
+        return F.when(cond, F.array(fact(*args)))
+
+    def each(cond, items, f):
+        return F.when(cond, F.transform(items, f))
+    up = F.col("defs")
     facts = [
-        (name_ev, rec(scope, name, ev=ev)),
-        (param, rec(p2.pre, name, param_line=p2.lineno)),
-        (hint, rec(p3.pre, p1["name"], hint=F.col("text"))),
-        (se_call, rec(scope, nul, se=F.struct(F.col("pre").alias("pre"),
-                                             F.concat(F.lit("Calls "), name).alias("msg")))),
-        (exc, rec(scope, nul, exc=name)),
-        (is_def, rec(F.col("pre"), nul, d=F.struct(name.alias("name"), (kind == "AsyncFunctionDef").alias("is_async"),
-                                                   F.col("lineno").alias("line")))),
-        (ctrl, rec(scope, nul, cf=F.struct(F.col("pre").alias("pre"), F.lower(kind).alias("node_type"),
-                                           F.col("lineno").alias("line")))),
-        (mod_def, rec(F.lit(-1), name, modname=F.lit(True))),
-        (mod_imp, rec(F.lit(-1), bound, modname=F.lit(True))),
-        (local_imp, rec(scope, bound, bind=F.lit(True))),
-        (local_name, rec(scope, name, bind=F.lit(True))),
-    ]
-    exploded = [
-        # Global/Nonlocal: one row per declared name
-        (decl, "decl", F.transform(F.split(name, ","), lambda n: F.struct(
-            scope.alias("def"), n.alias("var"),
-            F.struct(F.col("pre").alias("pre"), kind.alias("kind")).alias("v")))),
+        # a name of an enclosing comprehension or lambda stands for itself; one
+        # in a class body is reported, but binds nothing for nested defs
+        one(is_name, scope, name, "ev", pre, line, F.concat(F.when(inner, "i").when(in_class, "c").otherwise(""), F.col("ctx"))),
+        # a read asks the defs around its own
+        each(is_name & ~inner & (F.col("ctx") == "Load"), F.filter(up, lambda d: d["pre"] < scope), lambda d: fact(d["pre"], name, "ask", scope)),
+        one((kind == "arg") & (p1.kind == "arguments") & p2.kind.isin(DEF_KINDS), p2.pre, name, "param", p2.lineno),
+        one((kind == "arg") & (p1.kind == "arguments") & (p2.kind == "Lambda") & inside, scope, name, "inner"),
+        one((field == "annotation") & (p1.kind == "arg") & (p2.kind == "arguments") & p3.kind.isin(DEF_KINDS),
+            p3.pre, p1["name"], "hint", null, null, F.col("text")),
+        each(kind.isin("Global", "Nonlocal") & inside, F.split(name, ","), lambda n: fact(scope, n, "decl", pre, null, kind)),
+        one(imported & inside, scope, bound, "bind"),
+        one(local_name, scope, name, "bind"),
+        # module-level bindings that are not "global variable" reads (ledger
+        # Q13) -- at any depth outside defs and classes, e.g. under ``try:``
+        one(kind.isin(DEF_KINDS + ["ClassDef"]) & outside, F.lit(MODULE), name, "bind"),
+        one(imported & outside, F.lit(MODULE), bound, "bind"),
+        one(call_name & name.isin(K.SIDE_EFFECT_CALLS) & inside, scope, None, "call", pre, null, F.concat(F.lit("Calls "), name)),
+        one(exc, scope, None, "except", null, null, name),
+        one(is_def, pre, None, "def", line, (kind == "AsyncFunctionDef"), name),
         # facts credited to every enclosing def (the tool walks the subtree)
-        (exit_pt, "exit", F.transform(defs_up, lambda a: F.struct(
-            a.pre.alias("def"), F.lit(None).cast(_S).alias("var"),
-            F.struct(F.col("depth").alias("depth"), F.col("pre").alias("pre"), name.alias("name")).alias("v")))),
-        (is_yield, "yield_", F.transform(defs_up, lambda a: F.struct(
-            a.pre.alias("def"), F.lit(None).cast(_S).alias("var"), F.lit(True).alias("v")))),
-        (call_name, "recur", F.transform(F.filter(defs_up, lambda a: a["name"] == name), lambda a: F.struct(
-            a.pre.alias("def"), F.lit(None).cast(_S).alias("var"), F.lit(True).alias("v")))),
+        each(call_name & (p2.kind == "Return"), up, lambda d: fact(d["pre"], None, "exit", F.col("depth"), pre, name)),
+        each(kind == "Yield", up, lambda d: fact(d["pre"], None, "yield")),
+        each(call_name, F.filter(up, lambda d: d["name"] == name), lambda d: fact(d["pre"], None, "recur")),
     ]
-    types = {
-        "ev": "struct<pre:int,ctx:string,line:int,okey:int>", "param_line": "int", "hint": "string",
-        "decl": "struct<pre:int,kind:string>", "se": "struct<pre:int,msg:string>", "exc": "string",
-        "exit": "struct<depth:int,pre:int,name:string>", "yield_": "boolean", "recur": "boolean",
-        "d": "struct<name:string,is_async:boolean,line:int>", "cf": "struct<pre:int,node_type:string,line:int>",
-        "modname": "boolean", "bind": "boolean",
-    }
-    # one row per (node, fact): a single explode over an array of candidate facts
-    cands = []
-    for cond, cols in facts:
-        st = F.struct(cols["def"].alias("def"), cols["var"].alias("var"),
-                      *[(cols[f] if f in cols else F.lit(None)).cast(types[f]).alias(f) for f in fields])
-        cands.append(F.array(F.when(cond, st)))
-    def widen(fname):
-        return lambda x: F.struct(x["def"].cast("int").alias("def"), x["var"].alias("var"),
-                                  *[(x["v"] if f == fname else F.lit(None)).cast(types[f]).alias(f)
-                                    for f in fields])
-
-    for cond, fname, arr in exploded:
-        cands.append(F.when(cond, F.transform(arr, widen(fname))))
-    arr_t = "array<struct<def:int,var:string," + ",".join(f"{f}:{types[f]}" for f in fields) + ">>"
-    allf = F.filter(F.flatten(F.array(*[F.coalesce(c, F.array().cast(arr_t)) for c in cands])),
-                    lambda x: x.isNotNull())
-    return (base.select("repo", "path", F.explode(allf).alias("f"))
-                .select("repo", "path", "f.*")
-                .repartition("repo", "path"))
-
-
-def _var_level(rows: DataFrame) -> DataFrame:
-    """Per (def, variable): scope (J4), assignment/read lines (L24, I11),
-    and the side-effect messages the variable causes (L25)."""
-    v = rows.filter(F.col("var").isNotNull())
-    g = (v.groupBy("repo", "path", "def", "var")
-          .agg(F.max("param_line").alias("param_line"), F.max("hint").alias("hint"),
-               F.max_by("decl.kind", "decl.pre").alias("decl_kind"),
-               F.array_sort(F.collect_list("decl")).alias("decls"),
-               F.min_by("ev.ctx", "ev.okey").alias("first_ctx"),
-               F.min("ev.pre").alias("first_pre"),
-               F.array_sort(F.collect_list(F.when(F.col("ev.ctx") == "Store", F.struct("ev.pre", "ev.line"))))
-               .alias("stores"),
-               F.array_sort(F.collect_list(F.when(F.col("ev.ctx") == "Load", F.struct("ev.pre", "ev.line"))))
-               .alias("loads"),
-               F.bool_or(F.coalesce("modname", F.lit(False))).alias("is_mod"),
-               F.bool_or(F.coalesce("bind", F.lit(False))).alias("bound")))
-    # module-level bindings live under def = -1; spread them to the file's defs
-    w = Window.partitionBy("repo", "path", "var")
-    g = g.withColumn("module_bound", F.max("is_mod").over(w)).filter(F.col("def") >= 0)
-    # a bare binding is no variable of the flow
-    g = g.filter(F.col("first_ctx").isNotNull() | F.col("param_line").isNotNull() | (F.size("decls") > 0))
+    none = F.array().cast(f"array<{_FACT}>")
+    every = F.concat(*(F.coalesce(x, none) for x in facts))
+    some = nodes.filter(kind.isin("Name", "arg", "alias", "Global", "Nonlocal", "ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping", "Yield",
+                                  *DEF_KINDS) | (field == "annotation"))
+    return some.select("repo", "path", F.explode(every).alias("f")).select("repo", "path", "f.*").repartition("repo", "path")
+
+
+def _tagged(tag: str, value: Column | None = None) -> Column:
+    return F.when(F.col("tag") == tag, F.struct("a", "b", "s") if value is None else value)
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    """One row per (def, name) and, with ``var`` null, one per def, each with
+    its facts; of a name also ``at``, the def around it that binds what it
+    reads, and ``module_bound``."""
+    g = (rows.groupBy("repo", "path", "def", "var")
+         .agg(F.array_sort(F.collect_list(_tagged("ev"))).alias("ev"), F.array_sort(F.collect_list(_tagged("decl"))).alias("decls"),
+              F.collect_set(_tagged("ask", F.col("a"))).alias("asked"), F.max(_tagged("param", F.col("a"))).alias("param_line"),
+              F.max(_tagged("hint", F.col("s"))).alias("hint"), F.count_if(F.col("tag") == "bind").alias("n_bind"),
+              F.count_if(F.col("tag") == "inner").alias("n_inner"),
+              F.collect_list(F.when(F.col("var").isNull(), F.struct("tag", "a", "b", "s"))).alias("facts")))
+    stores = F.exists("ev", lambda e: e["s"] == "Store")
+    binds = (F.size("decls") == 0) & ((F.col("n_bind") > 0) | F.col("param_line").isNotNull() | stores)
+    g = g.withColumn("binds", binds)
+    # the answer goes back to the defs that asked
+    payload = ["ev", "decls", "param_line", "hint", "n_inner", "facts", "binds"]
+    mine = F.struct(F.col("def").alias("to"), F.lit(None).cast("int").alias("at"), F.struct(*payload).alias("own"))
+    answers = F.transform("asked", lambda d: F.struct(d.alias("to"), F.col("def").alias("at"), F.lit(None).alias("own")))
+    sent = g.select("repo", "path", "var", F.explode(F.concat(F.array(mine), F.when(F.col("binds"), answers).otherwise(F.array().cast(
+        "array<struct<to:int,at:int,own:void>>")))).alias("m")).select("repo", "path", "var", "m.*")
+    got = sent.groupBy("repo", "path", "var", F.col("to").alias("def")).agg(
+        F.first("own", ignorenulls=True).alias("own"), F.max("at").alias("at")).select("repo", "path", "var", "def", "at", "own.*")
+    name = Window.partitionBy("repo", "path", "var")
+    return got.withColumn("module_bound", F.max((F.col("def") == MODULE) & F.col("binds")).over(name)).filter(F.col("def") >= 0)
+
+
+def _resolved(names: DataFrame) -> DataFrame:
+    """Names with scope (J4), assignment and read lines (L24, I11), and the
+    side-effect messages they cause (L25)."""
+    own = lambda e: ~e["s"].startswith("i")
+    first = F.get(F.filter("ev", own), F.lit(0))["s"]
+    of = lambda what: F.transform(F.filter("ev", lambda e: e["s"].endswith(what)), lambda e: e["b"])
     is_param = F.col("param_line").isNotNull()
-    scope = (F.when(F.col("decl_kind") == "Global", F.lit("global"))
-              .when(F.col("decl_kind") == "Nonlocal", F.lit("nonlocal"))
-              .when(is_param, F.lit("parameter"))
-              .when((F.col("first_ctx") == "Load") & ~F.col("bound"), F.lit("global"))
-              .otherwise(F.lit("local")))
-    builtin = F.col("var").isin(K.PY_BUILTINS)
-    undeclared_read = ((~is_param) & (F.size("decls") == 0) & (F.col("first_ctx") == "Load") &
-                       ~builtin & ~F.col("module_bound") & ~F.col("bound"))
-    decl_msgs = F.transform("decls", lambda d: F.struct(d.pre.alias("pre"), F.concat(
-        F.when(d.kind == "Global", F.lit("Uses global variable ")).otherwise(F.lit("Uses nonlocal variable ")),
-        F.col("var")).alias("msg")))
-    se = F.concat(decl_msgs, F.when(undeclared_read, F.array(F.struct(
-        F.col("first_pre").alias("pre"), F.concat(F.lit("Uses global variable "), F.col("var")).alias("msg"))))
-        .otherwise(F.array().cast("array<struct<pre:int,msg:string>>")))
-    assigns = F.concat(F.when(is_param, F.array(F.col("param_line"))).otherwise(F.array().cast("array<int>")),
-                       F.transform("stores", lambda s: s["line"]))
-    return g.select("repo", "path", "def", F.col("var").alias("name"), scope.alias("scope"),
-                    assigns.alias("assignments"), F.transform("loads", lambda s: s["line"]).alias("reads"),
-                    F.col("hint").alias("type_hints"), se.alias("se"), "first_pre")
-
-
-def analyse(nodes: DataFrame):
-    """Return ``(behaviour, variable_flow, control_flow)`` DataFrames."""
-    # one exchange by file, reused by the three branches
-    rows = _rows(nodes)
-    vars_ = _var_level(rows)
-    per_def_vars = (vars_.groupBy("repo", "path", "def")
-                         .agg(F.flatten(F.collect_list("se")).alias("var_se"),
-                              F.count(F.lit(1)).alias("n_vars")))
-    d = (rows.filter(F.col("var").isNull())
-             .groupBy("repo", "path", "def")
-             .agg(F.first("d", ignorenulls=True).alias("d"),
-                  F.collect_list("se").alias("call_se"),
-                  F.array_sort(F.collect_set("exc")).alias("handled_exceptions"),
-                  F.transform(F.array_sort(F.collect_list("exit")), lambda e: e["name"]).alias("exit_points"),
-                  F.coalesce(F.bool_or("yield_"), F.lit(False)).alias("is_generator"),
-                  F.coalesce(F.bool_or("recur"), F.lit(False)).alias("is_recursive"))
-             .filter(F.col("d").isNotNull()))
-    b = d.join(per_def_vars, ["repo", "path", "def"], "left")
-    se = F.transform(F.array_sort(F.concat(F.coalesce("var_se", F.array().cast("array<struct<pre:int,msg:string>>")),
-                                           "call_se")), lambda s: s["msg"])
-    behaviour = b.select("repo", "path", F.col("def").alias("def_pre"), F.col("d.name").alias("name"),
-                         F.col("d.line").alias("line_start"), F.col("d.is_async").alias("is_async"),
-                         "is_generator", "is_recursive", se.alias("side_effects"),
-                         (F.size(se) == 0).alias("is_pure"), "handled_exceptions", "exit_points")
-    names = rows.filter(F.col("d").isNotNull()).select("repo", "path", "def", F.col("d.name").alias("function"))
-    flow = vars_.join(names, ["repo", "path", "def"]).select(
-        "repo", "path", F.col("def").alias("def_pre"), "function", "name", "scope", "assignments", "reads",
-        "type_hints")
-    cf = rows.filter(F.col("cf").isNotNull()).select("repo", "path", F.col("def").alias("def_pre"), "cf")
-    return behaviour, flow, cf
+    kind = F.get("decls", F.size("decls") - 1)["s"]
+    free = first.endswith("Load") & ~F.col("binds") & ~is_param
+    # a name that a class body reads may be one of its own
+    own_class = F.exists("ev", lambda e: e["s"] == "cStore") & first.startswith("c")
+    scope = (F.when(kind == "Global", "global").when(kind == "Nonlocal", "nonlocal").when(is_param, "parameter")
+              .when(free & F.col("at").isNotNull(), "nonlocal").when(free & ~own_class, "global").otherwise("local"))
+    reads_global = ((F.size("decls") == 0) & free & F.col("at").isNull() & ~own_class & ~F.col("module_bound") & ~F.col("var").isin(K.PY_BUILTINS))
+    msgs = F.transform("decls", lambda d: F.struct(d["a"].alias("pre"), F.concat(
+        F.when(d["s"] == "Global", "Uses global variable ").otherwise("Uses nonlocal variable "), F.col("var")).alias("msg")))
+    none = F.array().cast("array<struct<pre:int,msg:string>>")
+    read = F.array(F.struct(F.get(F.filter("ev", own), F.lit(0))["a"].alias("pre"), F.concat(F.lit("Uses global variable "), F.col("var")).alias("msg")))
+    assigned = F.concat(F.when(is_param, F.array("param_line")).otherwise(F.array().cast("array<int>")), of("Store"))
+    # a bare binding is no variable of the flow
+    used = (F.size("ev") > 0) | is_param | (F.size("decls") > 0)
+    return names.select("repo", "path", "def", "var", used.alias("used"), scope.alias("scope"), assigned.alias("assignments"), of("Load").alias("reads"),
+                        F.col("hint").alias("type_hints"), "facts",
+                        F.when(used & F.col("var").isNotNull(), F.concat(msgs, F.when(reads_global, read).otherwise(none))).otherwise(none).alias("se"))
 
 
-def function_behavior(nodes: DataFrame) -> DataFrame:
-    return analyse(nodes)[0]
+def variable_flow(nodes: DataFrame) -> DataFrame:
+    """Scope, assignment and read lines of every variable of a def."""
+    return _flow(_resolved(_names(_rows(nodes))))
 
 
-def variable_flow(nodes: DataFrame) -> DataFrame:
-    return analyse(nodes)[1]
+def _flow(names: DataFrame) -> DataFrame:
+    of_def = Window.partitionBy("repo", "path", "def")
+    here = F.get(F.filter("facts", lambda f: f["tag"] == "def"), F.lit(0))["s"]
+    v = names.withColumn("function", F.max(here).over(of_def))
+    return v.filter(F.col("var").isNotNull() & F.col("used") & F.col("function").isNotNull()).select(
+        "repo", "path", F.col("def").alias("def_pre"), "function", F.col("var").alias("name"), "scope", "assignments", "reads", "type_hints")
+
+
+def function_behavior(nodes: DataFrame) -> DataFrame:
+    """What a def does besides computing its result."""
+    return _behaviour(_resolved(_names(_rows(nodes))))
+
+
+def _behaviour(names: DataFrame) -> DataFrame:
+    d = (names.groupBy("repo", "path", "def")
+         .agg(F.flatten(F.collect_list("se")).alias("var_se"), F.flatten(F.collect_list("facts")).alias("facts")))
+    of = lambda tag, f: F.transform(F.filter("facts", lambda x: x["tag"] == tag), f)
+    has = lambda tag: F.exists("facts", lambda x: x["tag"] == tag)
+    d = d.withColumn("d", F.get(of("def", lambda x: x), F.lit(0))).filter(F.col("d").isNotNull())
+    se = F.transform(F.array_sort(F.concat("var_se", of("call", lambda x: F.struct(x["a"].alias("pre"), x["s"].alias("msg"))))), lambda x: x["msg"])
+    exits = F.transform(F.array_sort(of("exit", lambda x: F.struct(x["a"].alias("depth"), x["b"].alias("pre"), x["s"].alias("s")))), lambda x: x["s"])
+    d = d.withColumn("side_effects", se)
+    return d.select("repo", "path", F.col("def").alias("def_pre"), F.col("d.s").alias("name"), F.col("d.a").alias("line_start"),
+                    (F.col("d.b") == 1).alias("is_async"), has("yield").alias("is_generator"), has("recur").alias("is_recursive"),
+                    "side_effects", (F.size("side_effects") == 0).alias("is_pure"),
+                    F.array_sort(F.array_distinct(of("except", lambda x: x["s"]))).alias("handled_exceptions"), exits.alias("exit_points"))
+
+
+def analyse(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(behaviour, variable_flow)`` of a staged node table."""
+    names = _resolved(_names(_rows(nodes)))
+    return _behaviour(names), _flow(names)
 
 
 def control_flow(nodes: DataFrame) -> DataFrame:

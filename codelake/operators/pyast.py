@@ -80,10 +80,16 @@ FACTS = {
     "defs": (frozenset(_DEFS | {"arg"}), frozenset({"annotation", "returns", "decorator_list", "bases"}), False, True),
     "smells": (frozenset(_DEFS | {"arg", "If", "For", "While"}), frozenset(), False, False),
     "patterns": (frozenset(_DEFS), frozenset({"decorator_list", "bases", "target"}), False, False),
+    "behaviour": (frozenset(_DEFS | {"Name", "arg", "alias", "Global", "Nonlocal", "Yield", "Return", "If", "While", "For", "ExceptHandler",
+                                     "MatchAs", "MatchStar", "MatchMapping"}), frozenset({"annotation"}), True, True),
     "complexity": (frozenset(_DEFS | {"If", "For", "While", "Match", "ExceptHandler", "BoolOp"}), frozenset(), True, False),
 }
+_NOTHING = (frozenset(), None)
 _STMT_FIELDS = frozenset({"body", "orelse", "handlers", "finalbody"})
 _LOOP_KINDS = frozenset({"If", "For", "While"})
+_COMPREHENSIONS = frozenset({"ListComp", "SetComp", "DictComp", "GeneratorExp"})
+# how a Name meets the scopes inside its def (``n_values`` of Name rows)
+INNER, IN_CLASS = 1, 2
 _SCOPE_KINDS = frozenset({"FunctionDef", "AsyncFunctionDef", "ClassDef", "Lambda"})
 _NAME_ATTR = {"FunctionDef": "name", "AsyncFunctionDef": "name", "ClassDef": "name", "Name": "id",
               "Attribute": "attr", "alias": "name", "arg": "arg", "keyword": "arg", "ExceptHandler": "name",
@@ -100,6 +106,14 @@ def _unparse(node, content):
         return ast.get_source_segment(content, node) or type(node).__name__
 
 
+def _bound_inside(node, kind):
+    """Names that a comprehension or a lambda binds for itself."""
+    if kind == "Lambda":
+        a = node.args
+        return frozenset(x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x is not None)
+    return frozenset(x.id for g in node.generators for x in ast.walk(g.target) if isinstance(x, ast.Name))
+
+
 def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None):
     """Node tuples of one file in pre-order (``iter_child_nodes`` order).
 
@@ -108,7 +122,10 @@ def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None
     n_scopes, scope.  ``up`` holds the nearest three ancestors as
     (pre, kind, name, lineno), nearest last; ``defs`` the enclosing defs as
     (pre, name), outermost first; ``n_loops`` / ``n_scopes`` count enclosing
-    if/for/while and def/class/lambda nodes.
+    if/for/while and def/class/lambda nodes.  ``n_values`` counts the operands
+    of a BoolOp; of a Name it tells whether a comprehension or lambda within its
+    def binds it (``INNER``), or else whether it stands in a class body
+    (``IN_CLASS``).
 
     With ``facts`` only what that group of operators reads is emitted, and
     expressions that cannot hold any of it are not walked; positions then
@@ -121,15 +138,16 @@ def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None
     out = []
     append = out.append
     # stack items: (node, parent_pre, depth, field, ord, parent_kind, up, defs,
-    # n_loops, n_scopes, scope); scope = innermost def whose *body* (not
-    # signature) holds the node
-    stack = [(tree, None, 0, None, None, None, (), (), 0, 0, None)]
+    # n_loops, n_scopes, scope, inner, in_class); scope = innermost def whose
+    # *body* (not signature) holds the node; inner = (names bound by
+    # comprehensions and lambdas around it, the same outside of the nearest)
+    stack = [(tree, None, 0, None, None, None, (), (), 0, 0, None, _NOTHING, False)]
     pop, push = stack.pop, stack.append
     pre = 0
     imp_level = "0"
     skip = _SKIP
     while stack:
-        node, parent, depth, field, ordn, pkind, up, defs, n_loops, n_scopes, scope = pop()
+        node, parent, depth, field, ordn, pkind, up, defs, n_loops, n_scopes, scope, inner, in_class = pop()
         kind = type(node).__name__
         na = _NAME_ATTR.get(kind)
         if na is not None:
@@ -170,7 +188,8 @@ def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None
                     _CTX_NAME.get(type(ctx)) if ctx is not None else None,
                     lineno, getattr(node, "end_lineno", None),
                     getattr(node, "col_offset", None), getattr(node, "end_col_offset", None),
-                    text, len(node.values) if kind == "BoolOp" else None, attrs, up, defs, n_loops,
+                    text, len(node.values) if kind == "BoolOp" else None if kind != "Name" else
+                    INNER if name in inner[0] else IN_CLASS if in_class else None, attrs, up, defs, n_loops,
                     n_scopes, scope))
         my_up = (up + ((pre, kind, name, lineno),))[-3:]
         is_def = kind in _DEF_KINDS
@@ -192,9 +211,18 @@ def _flatten_one(content: str, all_nodes: bool = False, facts: str | None = None
             elif isinstance(value, ast.AST) and type(value) not in skip and (deep or fname in roles or not isinstance(value, expr)):
                 children.append((value, fname, 0))
         d1 = depth + 1
+        if kind in _COMPREHENSIONS or kind == "Lambda":
+            inner = (inner[0] | _bound_inside(node, kind), inner)
+            in_class = False
+        # what is evaluated outside: the first iterable, a lambda's defaults
+        first = kind == "comprehension" and ordn == 0
+        defaults = kind == "arguments" and pkind == "Lambda"
         for child, fname, i in reversed(children):
+            body = fname == "body"
+            outside = (first and fname == "iter") or (defaults and fname in ("defaults", "kw_defaults"))
             push((child, pre, d1, fname, i, kind, my_up, my_defs, my_loops, my_scopes,
-                  pre if is_def and fname == "body" else scope))
+                  pre if is_def and body else scope, _NOTHING if is_def and body else inner[1] if outside else inner,
+                  kind == "ClassDef" if body and (is_def or kind == "ClassDef") else in_class))
         pre += 1
     return out
 

@@ -69,7 +69,7 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["py_variables"] = P.py_variables(nodes)
     out["py_file_calls"] = calls = stage_parquet(P.py_file_calls(nodes), "file_calls")
     out["py_complexity"] = complexity = stage_parquet(P.py_complexity(nodes), "complexity")
-    behaviour, flow, control = B.analyse(nodes)
+    behaviour, flow = B.analyse(nodes)
     behaviour, flow = stage_parquet(behaviour, "behaviour"), stage_parquet(flow, "variable_flow")
     out["function_behavior"], out["variable_flow"] = behaviour, flow
     out["control_flow"] = stage_parquet(B.control_flow(nodes), "control_flow")

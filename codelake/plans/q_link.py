@@ -114,7 +114,7 @@ select repo, path, concat('helper_', k % 11), 8 + depth + pad, false, false, fal
 
 @register("function_behavior", BEHAVIOUR_SQL)
 def q_function_behavior(spark, sf):
-    b = B.function_behavior(nodes_of(spark, sf, "corpus_behaviour", "corpus_py"))
+    b = B.function_behavior(nodes_of(spark, sf, "corpus_behaviour", "corpus_py", facts="behaviour"))
     return b.select("repo", "path", "name", "line_start", "is_async", "is_generator", "is_recursive",
                     F.array_join("side_effects", ", ").alias("side_effects"), "is_pure",
                     F.array_join("handled_exceptions", ",").alias("handled_exceptions"),
@@ -139,7 +139,7 @@ from (
 
 @register("variable_flow", VARFLOW_SQL)
 def q_variable_flow(spark, sf):
-    f = B.variable_flow(nodes_of(spark, sf, "corpus_behaviour"))
+    f = B.variable_flow(nodes_of(spark, sf, "corpus_behaviour", facts="behaviour"))
     return f.select("repo", "path", "function", "name", "scope",
                     F.size("assignments").cast("bigint").alias("n_assignments"),
                     F.size("reads").cast("bigint").alias("n_reads"))

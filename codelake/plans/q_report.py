@@ -155,7 +155,7 @@ from kb join vs on vs.k = kb.k
 """)
 def q_function_flow(spark, sf):
     nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
-    beh, flow, _ = B.analyse(nodes)
+    beh, flow = B.analyse(nodes)
     return R.function_flow(P.py_functions(nodes), beh, flow, B.control_flow(nodes),
                            B.function_callers(nodes)).drop("def_pre")
 
@@ -188,7 +188,7 @@ select repo, 'functions' as section, key, line from lines
 """)
 def q_report_functions(spark, sf):
     nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
-    beh, flow, _ = B.analyse(nodes)
+    beh, flow = B.analyse(nodes)
     return R.report_functions(P.py_functions(nodes), beh, flow)
 
 
@@ -228,5 +228,5 @@ select repo, 'classes' as section, key, line from lines
 """)
 def q_report_classes(spark, sf):
     _, nodes = _py(spark, sf)
-    beh, flow, _ = B.analyse(nodes)
+    beh, flow = B.analyse(nodes)
     return R.report_classes(P.py_classes(nodes), P.py_functions(nodes), P.py_variables(nodes), beh, flow)

@@ -144,6 +144,82 @@ def test_no_local_binding_is_a_global(spark):
         ("re", "err", "inner", "Box", "item", "first", "one", "whole", "others", "more"), "local")
 
 
+SCOPES = """
+import os
+LIMIT = 3
+def outer(a):
+    x = 1
+    def inner():
+        return x + a + LIMIT
+    class Body:
+        y = x
+        z = y
+        def method(self):
+            return y, x
+    def writes():
+        nonlocal x
+        x = 2
+    def deep():
+        def deeper():
+            return x
+        return deeper
+    return inner
+def comps(rows):
+    one = [i for i in rows if i]
+    two = {k: v for k, v in rows}
+    three = [i for i in i]
+    pick = lambda q, d=q: q + d
+    def uses():
+        return k, one
+    return pick
+def late():
+    def g():
+        return later
+    later = 1
+    return g
+def hides():
+    global LIMIT
+    def h():
+        return LIMIT
+    return h
+def twice():
+    def same():
+        w = 1
+        return w
+    return same
+def shadow(os):
+    def s():
+        return os.sep
+    return s
+"""
+
+
+def test_names_resolve_through_the_enclosing_defs(spark):
+    files = files_df(spark, [("r", "m.py", SCOPES), ("r", "n.py", "def f():\n    def g():\n        return x\n    return g\nx = 1\n")])
+    for nodes in (py_nodes(files), py_nodes(files, facts="behaviour")):
+        got = {(r.path, r.name): list(r.side_effects) for r in B.function_behavior(nodes).collect()}
+        reads = lambda *names: [f"Uses global variable {n}" for n in names]
+        assert {k[1]: v for k, v in got.items() if k[0] == "m.py"} == {
+            "outer": [], "inner": reads("LIMIT"), "method": reads("y"), "writes": ["Uses nonlocal variable x"], "deep": [], "deeper": [],
+            "comps": reads("i", "q"), "uses": reads("k"), "late": [], "g": [], "hides": ["Uses global variable LIMIT"], "h": reads("LIMIT"),
+            "twice": [], "same": [], "shadow": [], "s": []}
+        assert got["n.py", "g"] == reads("x")
+        scope = {(r.function, r.name): r.scope for r in B.variable_flow(nodes).filter("path = 'm.py'").collect()}
+        assert {k: scope[k] for k in (("inner", "x"), ("inner", "a"), ("method", "x"), ("deeper", "x"), ("g", "later"), ("s", "os"), ("writes", "x"))} == dict.fromkeys(
+            (("inner", "x"), ("inner", "a"), ("method", "x"), ("deeper", "x"), ("g", "later"), ("s", "os"), ("writes", "x")), "nonlocal")
+        assert (scope["method", "y"], scope["uses", "k"], scope["h", "LIMIT"]) == ("global",) * 3
+        assert (scope["outer", "z"], scope["comps", "v"], scope["same", "w"], scope["shadow", "os"]) == ("local", "local", "local", "parameter")
+
+
+def test_behaviour_parses_once(spark):
+    from codelake.plans.catalog import QUERIES
+    for name in ("function_behavior", "variable_flow"):
+        df = QUERIES[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("MapInArrow") == 1, name
+
+
 def test_cpp_declarations_nesting_and_open_blocks(spark):
     acc = cpp.cpp_scan(src_lines(files_df(spark, [("r", "a.cpp", CPP)])))
     f = {(r.name, r.line_start, r.line_end) for r in cpp.cpp_functions(acc).collect()}

@@ -116,7 +116,7 @@ def test_behaviour_scopes(spark):
     src = ("import os\nCOUNT = 0\ndef f(p):\n    global COUNT\n    COUNT += 1\n    v = p + COUNT\n"
            "    def g():\n        nonlocal v\n        v = 2\n    print(os.sep, len(v))\n    return f(v)\n")
     nodes = py_nodes(files_df(spark, [("r", "b.py", src)]))
-    beh, flow, _ = B.analyse(nodes)
+    beh, flow = B.analyse(nodes)
     b = {r.name: r for r in beh.collect()}
     assert list(b["f"].side_effects) == ["Uses global variable COUNT", "Calls print"]
     assert b["f"].is_recursive and not b["f"].is_pure
