@@ -17,11 +17,11 @@ ids of sequences do not change when an executor is lost later.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,8 +35,7 @@ END_ID = 2            # closes every document
 VOCABULARY = "word_bpe_49k.json"
 _CACHED_WORD = 64
 _MARKS = "!#$%&*+,-./:;=?@|"  # not of special tokens, nor of "'s" and the like
-
-_SPLIT_MORE = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+_MOST_MARKS = 4       # with more, a word is encoded whole
 
 
 class WordIds:
@@ -50,40 +49,51 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words = Memo(self._one)
+        self.words = Memo(self._one, 500_000)
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Remember new words: letters with marks behind them are encoded
-        apart (the vocabulary never joins the two), ASCII letters in lower case."""
-        known, parts = self.words, {}
-        for w in words:
-            stem = w.rstrip(_MARKS)
-            if stem and stem.isalpha():
-                parts[w] = (stem.lower() if stem.isascii() else stem), w[len(stem):]
-            else:
-                parts[w] = "", w
-        new = [p for p in {p for both in parts.values() for p in both} if p and known.get(p) is None and p not in known.old]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known.put(p, np.array(e.ids, dtype="<u4").tobytes())
-        for w, (stem, rest) in parts.items():
-            if known.get(w) is None:
-                known.put(w, (known[stem] if stem else b"") + (known[rest] if rest else b""))
-
-    def encode(self, text: str) -> bytes:
-        # str.split() also parts at four control characters that are no white space here
-        odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
-        words = _SPLIT_MORE.findall(text) if odd else text.split()
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words; new ones are encoded together."""
         known = self.words
         found = list(map(known.get, words))
-        if None in found:
-            new = {w for w, v in zip(words, found, strict=True) if v is None}
-            self._learn({w for w in new if len(w) <= _CACHED_WORD and w not in known.old})
-            found = [(known[w] if len(w) <= _CACHED_WORD else self._one(w)) if v is None else v
-                     for w, v in zip(words, found, strict=True)]
-        return b"".join(found)
+        new = [w for w, v in zip(words, found, strict=True) if v is None and len(w) <= _CACHED_WORD and w not in known.old]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known.put(w, np.array(e.ids, dtype="<u4").tobytes())
+        return [(known[w] if len(w) <= _CACHED_WORD else self._one(w)) if v is None else v for w, v in zip(words, found, strict=True)]
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column, one after the other, and where each
+        one's begin.  Arrow cuts the column into words, parts letters from a
+        few marks behind them (the vocabulary never joins the two), puts A-Z in
+        lower case as the vocabulary does, and numbers what is left, so Python
+        sees each distinct part of the column once."""
+        cut = pc.ascii_split_whitespace(col.cast(pa.large_string()))
+        coded = cut.flatten().dictionary_encode()
+        whole = coded.dictionary
+        stem = pc.utf8_rtrim(whole, _MARKS)
+        behind = pc.subtract(pc.utf8_length(whole), pc.utf8_length(stem)).to_numpy(zero_copy_only=False)
+        parted = pc.utf8_is_alpha(stem).to_numpy(zero_copy_only=False) & (behind <= _MOST_MARKS)
+        head = pc.if_else(pa.array(parted), pc.ascii_lower(stem), whole).dictionary_encode()
+        behind = np.where(parted, behind, 0)
+        mark = np.zeros(len(whole), np.int64)      # 0: none
+        marks = [""]
+        for n in range(1, _MOST_MARKS + 1):
+            at = np.flatnonzero(behind == n)
+            if len(at):
+                some = pc.utf8_slice_codeunits(whole.take(pa.array(at)), -n).dictionary_encode()
+                mark[at] = some.indices.to_numpy() + len(marks)
+                marks += some.dictionary.to_pylist()
+        found = self._look_up(head.dictionary.to_pylist()) + self._look_up(marks)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        ids, starts = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        both = np.stack([head.indices.to_numpy(), mark + len(head.dictionary)], axis=1)
+        part = both[coded.indices.to_numpy()].ravel()
+        size = sizes[part]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        first = ends[2 * (np.asarray(cut.offsets) - cut.offsets[0].as_py())]
+        return ids[np.repeat(starts[part] - ends[:-1], size) + np.arange(ends[-1])], first
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -187,8 +197,9 @@ def _pack(path: str, window: int, n_open: int, with_ids: bool):
         packer, kind = Packer(part << 24, window, n_open), None
         for b in batches:
             kind = b.column(0).type
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            flat, first = encoder.encode(b.column(1))
+            for doc, lo, hi in zip(b.column(0).to_pylist(), first[:-1], first[1:], strict=True):
+                ids = flat[lo:hi].tobytes() + end
                 packer.add((doc, len(ids) // 4), ids)
             yield _batch(packer.out, [], part, kind, with_ids)
             packer.out = []

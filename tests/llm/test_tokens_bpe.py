@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import CLASHING, documents, frame
 
@@ -103,8 +104,12 @@ def test_packed_ids_are_given_on_request(spark):
 def test_word_ids_forget_and_learn_again():
     w, lib = packing.WordIds(tokens.tokenizer_path(packing.VOCABULARY)), library(packing.VOCABULARY)
     w.words.size = 20
-    for t in TEXTS:
-        assert np.frombuffer(w.encode(t or ""), "<u4").tolist() == lib.encode(t or "", add_special_tokens=False).ids
+    texts = [t or "" for t in TEXTS]
+    for part in (texts[:1], texts, [], ["", " "], *([t] for t in texts)):
+        ids, first = w.encode(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in part]
+    ids, first = w.encode(pa.array(texts).slice(3, 9))
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in texts[3:12]]
 
 
 def test_null_ids_repeats_empty_and_clashing(spark):
