@@ -10,9 +10,8 @@ evidence say nothing, however small the trusted set.
 Scale: a document's n-grams never leave its row but as bucket counts, combined
 before their shuffle (``BUCKETS`` rows a task at most).  Repeated windows
 are found by sorting packed hashes inside the row, whose bits get fewer as the
-text gets longer, and confirmed on their words.  All trusted ids count: they
-are joined by id, which Spark does by broadcast while they are few, and else by
-shuffling the texts once.
+text gets longer, and confirmed on their words.  All trusted ids count: texts
+and ids meet in one shuffle by id, at every size the same way.
 """
 
 from __future__ import annotations
@@ -56,10 +55,9 @@ def pair_buckets() -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """bucket, ratio: the log ratio of every bucket.  ``trusted`` has the ids
     of trusted documents in its column doc_id."""
-    # staged, so that its size is known when the join is planned
-    ids = stage(trusted.select("doc_id").filter("doc_id is not null").distinct(), "trusted").withColumn("trusted", F.lit(1))
-    # joined before the words are cut, so that a shuffle has the texts alone
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids, "doc_id", "left")
+    ids = trusted.select("doc_id").filter("doc_id is not null").distinct().withColumn("trusted", F.lit(1))
+    # joined before the words are cut, so that the shuffle has the texts alone
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(ids.hint("merge"), "doc_id", "left")
     flagged = words(rows, "doc_id", "text", "trusted")
     grams = flagged.select("trusted", F.explode(F.concat(single_buckets(), pair_buckets())).alias("bucket"))
     counted = stage(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target")), "buckets")
