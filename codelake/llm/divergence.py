@@ -217,8 +217,10 @@ def pair_distances(rows: DataFrame, groups: DataFrame) -> DataFrame:
         (F.col("m") * (F.abs(F.col("p") - F.col("y")) - F.abs(F.col("zero") - F.col("y")))).alias("value"))
     path = F.sort_array(F.collect_list(F.struct("s", "p", "zero"))).alias("path")
     paths = stage(rows.groupBy("lang", "term").agg(path).groupBy("lang", "path").agg(F.count(F.lit(1)).alias("times")), "paths")
-    grown = (paths.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path").select("lang", "path", "times")
-             .mapInArrow(_grow, _FIXES))
+    # ranges of the first nodes, and of a hash where very many rows share those:
+    # the keys that Spark samples stay short, however many sources there are
+    dealt = paths.repartitionByRange("lang", F.slice("path", 1, 4), F.xxhash64("path"))
+    grown = dealt.sortWithinPartitions("lang", "path").select("lang", "path", "times").mapInArrow(_grow, _FIXES)
     return base.union(own).union(grown).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
 
 
