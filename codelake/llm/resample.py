@@ -12,8 +12,9 @@ The crc32 of a window is put together from those of its words: one of a
 joined string is that of its left part, taken through as many zero bytes as
 the right part has, and the right part's own.
 
-Scale: texts are read twice, once for the histogram and once for the weights,
-and never shuffled; a task holds a block of one text or a slice of small ones.
+Scale: texts are cut once and never shuffled.  The buckets of their features,
+two bytes each, are staged, and read for the histogram and for the weights.  A
+task holds a batch of texts, or a long one by blocks, and 14 bytes a word of it.
 The order is that of a range-partitioned table whose parts are counted, so no
 task and no driver ever ranks all texts.
 """
@@ -24,14 +25,13 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelake.llm.common import Memo, read, small_batches, stage
+from codelake.llm.common import Memo, read, slices, small_batches, stage
 
 BUCKETS = 10_000
 LONGEST = 3             # words of a feature
@@ -41,15 +41,24 @@ SEED = 42
 _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 _BLOCK = 1 << 20        # characters that are pre-tokenised at once
-_SLICE = 1 << 17        # words whose windows are formed at once
-_TABLED = 64            # bytes of a word, and a space, whose zeros have a table
+_SLICE = 1 << 18        # words whose windows are formed at once
+_TABLED = 64            # zero bytes, up to which there is a table for each number
 
 
 # -------------------------------------------------------------------- crc32
 
-def _zeros() -> np.ndarray:
-    """For every number of zero bytes the change of a crc32 by them, as a
-    table by place and value of its bytes (the change is linear)."""
+def _after_zeros(crc: np.ndarray, table: np.ndarray, at=0) -> np.ndarray:
+    """What a table makes of crc32s: the change is linear, so it is the xor of
+    what it makes of their bytes."""
+    out = table[at + (crc & np.uint32(255))]
+    for k in (1, 2, 3):
+        out ^= table[at + (256 * k) + (crc >> np.uint32(8 * k) & np.uint32(255))]
+    return out
+
+
+def _zeros() -> tuple[np.ndarray, list[np.ndarray]]:
+    """Tables, by place and value of a byte, of the change of a crc32 by 0 to
+    ``_TABLED`` zero bytes, and by further powers of two of them."""
     byte = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         byte = np.where(byte & 1, (byte >> 1) ^ np.uint32(0xEDB88320), byte >> 1)
@@ -57,115 +66,101 @@ def _zeros() -> np.ndarray:
     out[0] = np.arange(256, dtype=np.uint32) << (8 * np.arange(4, dtype=np.uint32))[:, None]
     for n in range(1, _TABLED + 1):
         out[n] = (out[n - 1] >> 8) ^ byte[out[n - 1] & 0xFF]
-    return out.reshape(-1)
+    powers = [out[_TABLED].ravel()]
+    for _ in range(31):
+        powers.append(_after_zeros(powers[-1], powers[-1]))
+    return out.ravel(), powers
 
 
-_ZEROS = _zeros()
+_ZEROS, _POWERS = _zeros()
 
 
-def _append(left: np.ndarray, length: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """crc32 of strings joined: of the left ones, and of right ones of the
-    given lengths (at most ``_TABLED``)."""
-    at = length << 10
-    out = right.copy()
-    for k in range(4):
-        out ^= _ZEROS[at + (256 * k) + (left >> np.uint32(8 * k) & np.uint32(255))]
-    return out
+def append(left: np.ndarray, length: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """crc32 of joined strings, of the crc32 of the left ones, and the lengths
+    and the crc32 of the right ones."""
+    short = length % _TABLED
+    long = np.flatnonzero(length >= _TABLED)
+    if len(long):
+        left, times = left.copy(), length // _TABLED
+        for k, table in enumerate(_POWERS):
+            at = long[times[long] >> k & 1 == 1]
+            left[at] = _after_zeros(left[at], table)
+    return _after_zeros(left, _ZEROS, short << 10) ^ right
+
+
+_SPACE = np.uint32(zlib.crc32(b" "))
 
 
 # ----------------------------------------------------------------- features
 
 class Words:
-    """The words of texts with their offsets, and the crc32 of each."""
+    """The words of texts: their crc32 and lengths, and their offsets."""
 
     def __init__(self):
         from tokenizers import Regex, pre_tokenizers
         self.split = pre_tokenizers.Split(Regex(_WORDS), "removed", invert=True)
-        # crc32 of the word, above it that of a space and the word, and its bytes
-        self.known = Memo(self._one)
+        self.known = Memo(self._one, 500_000)
 
     @staticmethod
-    def _one(word: str) -> tuple[int, int, int]:
+    def _one(word: str) -> int:
         b = word.encode()
-        return zlib.crc32(b), zlib.crc32(b" " + b), len(b)
+        return len(b) << 32 | zlib.crc32(b)
 
-    def cut(self, text: str) -> Iterator[list[tuple[str, tuple[int, int]]]]:
-        """(word, (start, end)) by blocks that end between words; offsets are
-        characters of the text."""
+    def cut(self, text: str) -> Iterator[tuple[int, list[tuple[str, tuple[int, int]]]]]:
+        """Blocks that end between words: where they begin in the text, and their
+        words with offsets (start, end) in the block, in characters."""
         text, at = text.encode().lower().decode(), 0
         while at < len(text):
             end = at + _BLOCK
             if end < len(text):
                 gap = _GAP.search(text, end)
                 end = gap.start() if gap else len(text)
-            got = self.split.pre_tokenize_str(text[at:end])
-            yield [(w, (s + at, e + at)) for w, (s, e) in got] if at else got
+            yield at, self.split.pre_tokenize_str(text[at:end] if at or end < len(text) else text)
             at = end
 
-
-def windows(offsets: np.ndarray, k: int) -> np.ndarray:
-    """Offset pairs of the runs of k + 1 words: from the start of the first to
-    the end of the last."""
-    return np.stack([offsets[:len(offsets) - k, 0], offsets[k:, 1]], axis=1)
-
-
-def window_crc(words: list[str], known) -> list[np.ndarray]:
-    """crc32 of the windows of one, two, three words that begin at each word
-    (of the longer ones, those at the first words only)."""
-    got = np.array([known[w] for w in words], dtype=np.int64).reshape(-1, 3)
-    crc, spaced, length = got[:, 0].astype(np.uint32), got[:, 1].astype(np.uint32), got[:, 2] + 1
-    out = [crc]
-    long = np.flatnonzero(length > _TABLED)
-    tabled = np.minimum(length, _TABLED)
-    for k in range(1, LONGEST):
-        if len(words) <= k:
-            break
-        left = out[-1][:len(words) - k]
-        both = _append(left, tabled[k:], spaced[k:])
-        for i in long[long >= k] - k:
-            both[i] = zlib.crc32(b" " + words[i + k].encode(), int(left[i]))
-        out.append(both)
-    return out
-
-
-def _slices(texts: list[str], tool: Words) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-    """Words, rows and offset pairs of consecutive texts, by slices.  Where a
-    slice does not end its text, the next one begins with its last words."""
-    words: list[str] = []
-    rows: list[int] = []
-    pairs: list[tuple[int, int]] = []
-    flat = lambda: np.fromiter(chain.from_iterable(pairs), np.int64, 2 * len(pairs)).reshape(-1, 2)
-    for row, text in enumerate(texts):
-        for block in tool.cut(text):
-            for lo in range(0, len(block), _SLICE):
-                part = block[lo:lo + _SLICE]
-                w, o = zip(*part, strict=True)
-                words += w
-                pairs += o
-                rows += [row] * len(part)
-                if len(words) >= _SLICE:
-                    yield words, np.array(rows, np.int64), flat()
-                    kept = len([r for r in rows[1 - LONGEST:] if r == row])
-                    words, rows, pairs = words[-kept:], rows[-kept:], pairs[-kept:]
-    if words:
-        yield words, np.array(rows, np.int64), flat()
-
-
-def features(texts: list[str], tool: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Row, offset pair and bucket of every feature of the texts, and the rows
-    of their words, by slices."""
-    last, shown = -1, 0      # of the slice before: its last row, and that row's words that come again
-    for words, rows, offsets in _slices(texts, tool):
-        head = shown if last == rows[0] else 0
-        at, pairs, bucket = [], [], []
-        for k, crc in enumerate(window_crc(words, tool.known)):
-            whole = rows[:len(crc)] == rows[k:]
-            whole[:max(0, head - k)] = False       # all of it was in the slice before
-            at.append(rows[:len(crc)][whole])
-            pairs.append(windows(offsets, k)[whole])
-            bucket.append(crc[whole] % np.uint32(BUCKETS))
-        yield np.concatenate(at), np.concatenate(pairs), np.concatenate(bucket).astype(np.int64), rows[head:]
-        last, shown = int(rows[-1]), int((rows[1 - LONGEST:] == rows[-1]).sum())
+    def codes(self, text: str) -> np.ndarray:
+        """Length and crc32 of every word, in one number."""
+        look = self.known.__getitem__
+        parts = [np.fromiter([look(w) for w, _ in block], np.int64, len(block)) for _, block in self.cut(text)]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def offsets(self, text: str) -> np.ndarray:
+        """The offset pairs of the words."""
+        pairs = [np.array([o for _, o in block], np.int64).reshape(-1, 2) + at for at, block in self.cut(text)]
+        return np.concatenate([np.zeros((0, 2), np.int64), *pairs])
+
+
+def windows(offsets: np.ndarray) -> np.ndarray:
+    """Offset pairs of all features of a text, by its words' offset pairs: from
+    the start of their first word to the end of their last one."""
+    n = len(offsets)
+    ends = np.arange(n)[:, None] + np.arange(LONGEST)
+    start, end = np.nonzero(ends < n)
+    return np.stack([offsets[start, 0], offsets[start + end, 1]], axis=1)
+
+
+def buckets(codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all features of texts, those of one, two and three words by
+    their first word, and where each text's begin.  ``codes`` has the texts'
+    words one after the other, ``first`` where each text's begin."""
+    words = np.diff(first)
+    sizes = sum(np.maximum(words - k, 0) for k in range(LONGEST))
+    out = []
+    # words behind a word in its text
+    behind = np.repeat(first[1:], words) - np.arange(len(codes)) - 1
+    for lo in range(0, len(codes), _SLICE):
+        part = codes[lo:lo + _SLICE + LONGEST - 1]
+        n = min(_SLICE, len(codes) - lo)
+        crc, length = part.astype(np.uint32), part >> 32
+        spaced = append(np.full(len(part), _SPACE), length, crc)
+        got = np.zeros((n, LONGEST), np.uint16)
+        whole = behind[lo:lo + n, None] >= np.arange(LONGEST)
+        for k in range(LONGEST):
+            if k:
+                crc = append(crc[:-1], length[k:] + 1, spaced[k:])
+            got[:len(crc[:n]), k] = crc[:n] % np.uint32(BUCKETS)
+        out.append(got[whole])
+    return np.concatenate([np.zeros(0, np.uint16), *out]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
 _TOOL: list[Words] = []
@@ -177,39 +172,55 @@ def _tool() -> Words:
     return _TOOL[0]
 
 
-def _count(batches):
-    total = np.zeros(BUCKETS, np.int64)
+def _cut(batches):
     for b in batches:
-        for _, _, bucket, _ in features(b.column(0).to_pylist(), _tool()):
-            total += np.bincount(bucket, minlength=BUCKETS)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total)], names=["bucket", "n"])
+        tool = _tool()
+        for lo, hi in slices(b.column(1), 8 << 20):
+            codes = [tool.codes(t) for t in b.column(1).slice(lo, hi - lo).to_pylist()]
+            n_words = np.array([len(c) for c in codes], np.int64)
+            flat, at = buckets(np.concatenate(codes), np.concatenate([[0], np.cumsum(n_words)]))
+            packed = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(2 * at), pa.py_buffer(flat.astype("<u2"))])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n_words), packed.cast(pa.binary())],
+                                             names=["doc_id", "n_words", "buckets"])
+
+
+def feature_buckets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, buckets (of all features, two bytes each) of every text."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, buckets binary")
 
 
 def _spans(batches):
     for b in batches:
-        for row, pairs, bucket, _ in features(b.column(1).to_pylist(), _tool()):
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(bucket)],
-                                             names=["doc_id", "start", "end", "bucket"])
+        for doc, text in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+            codes = _tool().codes(text)
+            bucket, _ = buckets(codes, np.array([0, len(codes)]))
+            pairs = windows(_tool().offsets(text))
+            yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(bucket), b.column(0).type), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]),
+                                              pa.array(bucket.astype(np.int64))], names=["doc_id", "start", "end", "bucket"])
 
 
 def feature_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end (characters of the text), bucket: one row a feature,
     to see what a weight is made of."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_spans, f"doc_id {kind}, start long, end long, bucket long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(_spans, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, start long, end long, bucket long")
 
 
-def _text(c: str):
-    return F.coalesce(F.col(c).cast("string"), F.lit("")).alias("text")
+def _count(batches):
+    total = np.zeros(BUCKETS, np.int64)
+    for b in batches:
+        for one in b.column(0):
+            total += np.bincount(np.frombuffer(one.as_buffer(), "<u2"), minlength=BUCKETS)
+    if total.any():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total)], names=["bucket", "n"])
 
 
-def histogram(df: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Features of all texts by bucket."""
-    small_batches(df.sparkSession)
-    got = df.select(_text(text_col)).mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+def histogram(features: DataFrame) -> np.ndarray:
+    """Features (of ``feature_buckets``) by bucket."""
+    got = features.select("buckets").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(BUCKETS, np.int64)
     for r in got:       # BUCKETS rows at most
         out[r.bucket] = r.n
@@ -226,20 +237,16 @@ def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
 def _weigh(gain: np.ndarray):
     def run(batches):
         for b in batches:
-            n = b.num_rows
-            n_words, n_features, weight = np.zeros((3, n), np.int64)
-            for row, _, bucket, of_words in features(b.column(1).to_pylist(), _tool()):
-                n_words += np.bincount(of_words, minlength=n)
-                n_features += np.bincount(row, minlength=n)
-                np.add.at(weight, row, gain[bucket])
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, (n_words, n_features, weight))], names=["doc_id", "n_words", "n_features", "weight"])
+            got = [np.frombuffer(one.as_buffer(), "<u2") for one in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in got], pa.int64()),
+                                              pa.array([int(gain[x].sum()) for x in got], pa.int64())],
+                                             names=["doc_id", "n_words", "n_features", "weight"])
     return run
 
 
-def weights(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def weights(features: DataFrame, gain: np.ndarray) -> DataFrame:
     """doc_id, n_words, n_features, weight of every text."""
-    small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _text(text_col))
+    rows = features.select("doc_id", "n_words", "buckets")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_weigh(gain), f"doc_id {kind}, n_words long, n_features long, weight long")
 
@@ -277,8 +284,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = PERCENT, least_w
     target all gains fall with the corpus counts; an empty table gives no
     rows; other columns are not read.
     """
-    gain = gains(histogram(docs, text_col), histogram(target))
-    rows = weights(docs, gain, id_col, text_col).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
+    features = stage(feature_buckets(docs, id_col, text_col), "features")
+    gain = gains(histogram(features), histogram(feature_buckets(target.withColumn("doc_id", F.lit(0)))))
+    rows = weights(features, gain).withColumn("score", F.col("weight") + gumbel(F.col("doc_id"), seed))
     rows = stage(rows, "weights")
     enough = rows.filter(F.col("n_words") >= least_words)
     drawn = enough.count() * percent // 100
