@@ -86,7 +86,9 @@ def _rows(nodes: DataFrame) -> DataFrame:
         each(call_name, F.filter(up, lambda d: d["name"] == name), lambda d: fact(d["pre"], None, "recur")),
     ]
     none = F.array().cast(f"array<{_FACT}>")
-    every = F.concat(*(F.coalesce(x, none) for x in facts))
+    # most rows are names of which only the event is reported
+    plain = is_name & ((F.col("ctx") == "Store") | ((F.size(up) < 2) & (field != "func") & ~p1.kind.isin("ExceptHandler", "Tuple")))
+    every = F.when(plain, facts[0]).otherwise(F.concat(*(F.coalesce(x, none) for x in facts)))
     some = nodes.filter(kind.isin("Name", "arg", "alias", "Global", "Nonlocal", "ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping", "Yield",
                                   *DEF_KINDS) | (field == "annotation"))
     return some.select("repo", "path", F.explode(every).alias("f")).select("repo", "path", "f.*").repartition("repo", "path")
@@ -218,17 +220,25 @@ def control_flow(nodes: DataFrame) -> DataFrame:
                      .otherwise(F.array().cast("array<int>")).alias("false_branch"))
 
 
+def return_prefixes(nodes: DataFrame) -> DataFrame:
+    """Per def the lines of its control-flow nodes in visit order, stored
+    once, and its returns as (line_no, n): a return's path is the first n
+    lines.  As many values as there are control-flow nodes."""
+    ctrl = F.col("kind").isin("Return", "If", "While", "For") & F.col("scope").isNotNull()
+    c = nodes.filter(ctrl).groupBy("repo", "path", F.col("scope").alias("def_pre")).agg(
+        F.array_sort(F.collect_list(F.struct("pre", "lineno", (F.col("kind") == "Return").alias("ends")))).alias("c"))
+    numbered = F.transform("c", lambda x, i: F.struct(x["lineno"].alias("line_no"), (i + 1).alias("n"), x["ends"].alias("ends")))
+    returns = F.transform(F.filter(numbered, lambda x: x["ends"]), lambda x: F.struct(x["line_no"], x["n"]))
+    return c.select("repo", "path", "def_pre", F.transform("c", lambda x: x["lineno"]).alias("lines"),
+                    returns.cast("array<struct<line_no:int,n:int>>").alias("returns")).filter(F.size("returns") > 0)
+
+
 def return_paths(nodes: DataFrame) -> DataFrame:
-    """For each return, the lines of the control-flow nodes visited
-    before it in its function, then its own line (listed once, ledger Q14).
-    A running ``collect_list`` over the function's nodes in visit order."""
-    ctrl = (F.col("kind").isin("Return", "If", "While", "For") & F.col("scope").isNotNull())
-    c = nodes.filter(ctrl).select("repo", "path", F.col("scope").alias("def_pre"), "pre", "kind", "lineno")
-    w = (Window.partitionBy("repo", "path", "def_pre").orderBy("pre")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (c.withColumn("path_lines", F.collect_list("lineno").over(w))
-             .filter(F.col("kind") == "Return")
-             .select("repo", "path", "def_pre", F.col("lineno").alias("line_no"), "path_lines"))
+    """J2 in the analysed tool's shape: for each return, the lines of the
+    control-flow nodes visited before it in its function, then its own line
+    (listed once, ledger Q14).  A view of ``return_prefixes``."""
+    r = return_prefixes(nodes).select("repo", "path", "def_pre", "lines", F.explode("returns").alias("r"))
+    return r.select("repo", "path", "def_pre", F.col("r.line_no").alias("line_no"), F.expr("slice(lines, 1, r.n)").alias("path_lines"))
 
 
 def function_callers(nodes: DataFrame) -> DataFrame:

@@ -51,14 +51,13 @@ def resolve_first(cands: DataFrame, files: DataFrame, suffixes) -> DataFrame:
                      .alias("pos", "dst"))
     existing = files.select("repo", F.col("path").alias("dst"))
     hit = c.join(existing, ["repo", "dst"], "left_semi")
-    return (hit.groupBy("repo", "src", "imp").agg(F.min_by("dst", "pos").alias("dst"))
-               .select("repo", "src", "dst"))
+    return hit.groupBy("repo", "src", "imp").agg(F.min_by("dst", "pos").alias("dst"))
 
 
 def py_dependency_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """H1: Python file -> file edges (deduplicated, K4)."""
     m = py_module_paths(imports).withColumn("imp", F.struct("stmt_pre", "ord"))
-    return resolve_first(m, files, PY_SUFFIXES).distinct()
+    return resolve_first(m, files, PY_SUFFIXES).drop("imp").distinct()
 
 
 def js_module_paths(deps: DataFrame) -> DataFrame:
@@ -70,7 +69,7 @@ def js_module_paths(deps: DataFrame) -> DataFrame:
 
 def js_dependency_edges(deps: DataFrame, files: DataFrame) -> DataFrame:
     """H3: JS/TS file -> file edges over the six candidate suffixes."""
-    return resolve_first(js_module_paths(deps), files, JS_SUFFIXES).distinct()
+    return resolve_first(js_module_paths(deps), files, JS_SUFFIXES).drop("imp").distinct()
 
 
 def dependents(edges: DataFrame) -> DataFrame:

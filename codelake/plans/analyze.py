@@ -25,6 +25,7 @@ from codelake.operators import pyfacts as P
 from codelake.operators import report as R
 from codelake.operators import smells as S
 from codelake.operators import svelte as SV
+from codelake.operators.calls import call_edges
 from codelake.operators.lines import src_lines
 from codelake.operators.pyast import parse_errors, py_nodes
 from codelake.session import stage_parquet
@@ -73,7 +74,7 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     behaviour, flow = stage_parquet(behaviour, "behaviour"), stage_parquet(flow, "variable_flow")
     out["function_behavior"], out["variable_flow"] = behaviour, flow
     out["control_flow"] = stage_parquet(B.control_flow(nodes), "control_flow")
-    out["return_paths"] = B.return_paths(nodes)
+    out["return_prefixes"] = B.return_prefixes(nodes)
     out["function_callers"] = B.function_callers(nodes)
     out["py_functions"] = G.function_calls_attach(functions, calls).join(
         complexity.select("repo", "path", "def_pre", "complexity"), ["repo", "path", "def_pre"], "left")
@@ -81,6 +82,8 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["called_by"] = G.called_by_counts(functions.select("repo", "path", "def_pre", "name"), calls)
     out["file_definition_counts"] = P.file_definition_counts(files, nodes)
 
+    out["call_edges"] = call_edges(nodes, files)
+
     # line languages
     jl = J.js_lines(lines)
     js_fn, js_cls = J.js_definitions(jl)

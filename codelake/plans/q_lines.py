@@ -29,8 +29,8 @@ kcs as (select cast(s_suppkey as int) k, concat('r', cast(s_suppkey as int) % 8)
         concat('cs/S', cast(s_suppkey as int), '.cs') path from supplier)
 """
 KNOBS_SV = """
-ksv as (select n_nationkey k, concat('r', n_nationkey % 8) repo, concat('ui/N', n_nationkey, '.svelte') path
-        from nation)
+ksv as (select cast(c_custkey as int) k, concat('r', cast(c_custkey as int) % 8) repo,
+        concat('ui/N', cast(c_custkey as int), '.svelte') path from customer)
 """
 
 

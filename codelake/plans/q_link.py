@@ -188,6 +188,22 @@ def q_return_paths(spark, sf):
                     F.array_join(F.transform("path_lines", lambda x: x.cast("string")), ",").alias("path_lines"))
 
 
+PREFIXES_SQL = with_(KNOBS_PY, KNOBS_BEH) + f"""
+select repo, path, cast({RET_LINE} as varchar) as lines, cast(concat({RET_LINE}, '@', 1) as varchar) as returns from kb
+union all
+select repo, path, concat_ws(',', (select string_agg(cast(5 + j as varchar), ',' order by j) from range(1, depth + 1) t(j)),
+                             cast(7 + depth + pad as varchar)), concat(7 + depth + pad, '@', depth + 1) from kp
+union all select repo, path, cast(9 + depth + pad as varchar), concat(9 + depth + pad, '@', 1) from kp
+"""
+
+
+@register("return_prefixes", PREFIXES_SQL)
+def q_return_prefixes(spark, sf):
+    r = B.return_prefixes(nodes_of(spark, sf, "corpus_behaviour", "corpus_py"))
+    return r.select("repo", "path", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"),
+                    F.array_join(F.transform("returns", lambda x: F.concat_ws("@", x["line_no"], x["n"])), ",").alias("returns"))
+
+
 CALLERS_SQL = with_(KNOBS_PY, KNOBS_BEH) + """
 select repo, path, meth as caller, concat('helper_', k % 11) as callee from kp
 union all select repo, path, concat('fn_', k), 'print' from kb where k % 3 = 0
@@ -322,3 +338,26 @@ def q_file_smells(spark, sf):
     s = R.file_summary(files, nodes, PT.python_patterns(nodes), S.python_smells(nodes), G.py_dependency_edges(P.py_imports(nodes), files))
     text = F.array_join(F.transform("smells", lambda x: F.concat(x["type"], F.lit("@"), x["line"])), ",")
     return s.filter("n_smells > 0").select("repo", "path", "n_smells", text.alias("smells"))
+
+
+CALL_EDGES_SQL = """with kc as (select cast(s_suppkey as int) k, concat('r', cast(s_suppkey as int) % 8) repo,
+  concat('calls/c_', cast(s_suppkey as int), '.py') path from supplier),
+u as (select concat('r', r) repo, cast(n_nationkey as int) j, concat('calls/u_', n_nationkey, '.py') path
+  from (select n_nationkey, unnest(range(8)) r from nation)),
+n as (select repo, j % 3 m, count(*) n from u group by all)
+select repo, path, 'run' as caller, 'self' as base, 'step' as callee, path as callee_path, 8 as callee_line, 'method' as how, cast(null as bigint) as n_targets from kc
+union all select repo, path, 'run', '', 'h', concat('calls/u_', k % 25, '.py'), 1, 'import', null from kc
+union all select repo, path, 'step', 'util', 'helper', concat('calls/u_', k % 25, '.py'), 1, 'module', null from kc
+union all select repo, path, 'step', concat('u_', (k + 1) % 25), 'other', concat('calls/u_', (k + 1) % 25, '.py'), 3, 'module', null from kc
+union all select kc.repo, path, 'nested', '', concat('unknown_', k % 3), null, null, 'name', n.n from kc join n on n.repo = kc.repo and n.m = k % 3
+union all select repo, path, 'main', '', 'nested', path, 12, 'local', null from kc
+union all select repo, path, 'main', '', concat('local_', k), path, 16, 'local', null from kc
+union all select repo, path, 'other', '', 'helper', path, 1, 'local', null from u
+"""
+
+
+@register("call_edges", CALL_EDGES_SQL)
+def q_call_edges(spark, sf):
+    from codelake.operators.calls import call_edges
+    files = files_of(spark, sf, "corpus_calls", "corpus_called")
+    return call_edges(stage_parquet(py_nodes(files), "py_nodes"), files).drop("caller_pre", "callee_pre")

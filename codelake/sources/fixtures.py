@@ -37,7 +37,7 @@ CORPUS_NATIONS = """
 select concat('r', r) repo,
   concat('nations/n_', n_nationkey, case when n_nationkey % 2 = 0 then '.py' else '/__init__.py' end) path,
   concat('NAME = ', chr(39), n_name, chr(39), chr(10)) content
-from {nation} cross join (values (0),(1),(2),(3),(4),(5),(6),(7)) v(r)
+from (select n_nationkey, n_name, {eight} r from {nation}) z
 """
 
 CORPUS_REL = """
@@ -109,7 +109,7 @@ select concat('r', k % 8) repo, concat('ui/N', k, '.svelte') path,
     '$: twice = n * 2', chr(10), '{#each items as item}{/each}', chr(10),
     '<style>p{}</style>', chr(10),
     case when k % 3 = 0 then concat('<style>q{}</style>', chr(10)) else '' end) content
-from (select n_nationkey k from {nation}) z
+from (select cast(c_custkey as int) k from {customer}) z
 """
 
 # pages as a web tree: repo = top-level domain, path = host + URL path,
@@ -174,7 +174,27 @@ select concat('r', k % 8) repo, concat('cpp/b_', k, '.cpp') path,
 from (select cast(p_partkey as int) k from {part}) z
 """
 
+# modules whose functions call one another through imports, classes and nested defs
+CORPUS_CALLS = """
+select concat('r', k % 8) repo, concat('calls/c_', k, '.py') path,
+  concat('import calls.u_', k % 25, ' as util', chr(10), 'from .u_', k % 25, ' import helper as h', chr(10),
+    'from . import u_', (k + 1) % 25, chr(10), 'class K', k, ':', chr(10), '    def run(self):', chr(10), '        self.step()', chr(10),
+    '        return h(1)', chr(10), '    def step(self):', chr(10), '        util.helper(2)', chr(10), '        return u_', (k + 1) % 25, '.other()', chr(10),
+    'def main():', chr(10), '    def nested():', chr(10), '        return unknown_', k % 3, '()', chr(10), '    nested()', chr(10),
+    '    return local_', k, '()', chr(10), 'def local_', k, '():', chr(10), '    return len([])', chr(10)) content
+from (select cast(s_suppkey as int) k from {supplier}) z
+"""
+
+CORPUS_CALLED = """
+select concat('r', r) repo, concat('calls/u_', j, '.py') path,
+  concat('def helper(x):', chr(10), '    return x', chr(10), 'def other():', chr(10), '    return helper(0)', chr(10),
+    'def unknown_', j % 3, '():', chr(10), '    return 1', chr(10)) content
+from (select cast(n_nationkey as int) j, {eight} r from {nation}) z
+"""
+
 CORPORA = {
+    "corpus_calls": (CORPUS_CALLS, ["supplier"]),
+    "corpus_called": (CORPUS_CALLED, ["nation"]),
     "corpus_cs_statements": (CORPUS_CS_STATEMENTS, ["part"]),
     "corpus_cpp_statements": (CORPUS_CPP_STATEMENTS, ["part"]),
     "corpus_py": (CORPUS_PY, ["part"]),
@@ -186,7 +206,7 @@ CORPORA = {
     "corpus_js": (CORPUS_JS, ["customer"]),
     "corpus_cpp": (CORPUS_CPP, ["supplier"]),
     "corpus_cs": (CORPUS_CS, ["supplier"]),
-    "corpus_svelte": (CORPUS_SVELTE, ["nation"]),
+    "corpus_svelte": (CORPUS_SVELTE, ["customer"]),
     "pages_tree": (PAGES_TREE, ["pages"]),
     "documents_tree": (DOCUMENTS_TREE, ["documents"]),
 }
@@ -200,7 +220,9 @@ def _escape(text: str, tables) -> str:
     return out
 
 
-CORPORA = {k: (_escape(v[0], v[1]), v[1]) for k, v in CORPORA.items()}
+# eight rows of each: a generator, which the two engines write differently
+_EIGHT = "explode(sequence(0, 7))"
+CORPORA = {k: (_escape(v[0].replace("{eight}", _EIGHT), v[1]), v[1]) for k, v in CORPORA.items()}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -231,7 +253,7 @@ def render_many(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 def sql_text(name: str) -> str:
     """The corpus SQL for DuckDB, with plain table names."""
     text, tables = CORPORA[name]
-    return text.format(**{t: t for t in tables})
+    return text.replace(_EIGHT, "unnest(range(8))").format(**{t: t for t in tables})
 
 
 def cte(*names: str) -> str:
