@@ -97,15 +97,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 _SCRATCH: dict[str, str] = {}
 
 
-def stage_parquet(df, name: str = "table"):
+def stage_parquet(df, name: str = "table", partition_by: str | None = None):
     """Write ``df`` as a Parquet table under the shared checkpoint folder and
     read it back: lineage is cut, a lost executor re-reads files, and later
     scans get column pruning and row-group filtering on what they select.
-    Used for the syntax-node table, which every Python operator filters."""
+    Used for the syntax-node table, which every Python operator filters.
+    With ``partition_by`` a reader of one of that column's values reads only
+    its files."""
     import uuid
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
+    writer = df.write.mode("error")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _STAGED.append(path)
     return spark.read.parquet(path)
 

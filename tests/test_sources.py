@@ -79,3 +79,25 @@ def test_unreadable_files_are_reported(spark, tmp_path):
     df = read_tree(spark, str(root))
     assert [(r.path, r.error.split(":")[0]) for r in read_errors(df).collect()] == [("link.py", "FileNotFoundError")]
     assert {r.path: r.content is None for r in ingest(df).collect()} == {"ok.py": False, "link.py": True}
+
+
+def test_listing_goes_round_by_round(spark, tmp_path):
+    from codelake.sources.tree import list_tree
+    want = set()
+    for i in range(4):
+        for j in range(3):
+            d = tmp_path / "big" / f"d{i}" / f"_e{j}" / "f"
+            d.mkdir(parents=True)
+            for k in range(3):
+                (d / f"__x{k}.py").write_text("y" * k)
+                want.add((f"d{i}/_e{j}/f/__x{k}.py", k))
+    (tmp_path / "big" / "node_modules").mkdir()
+    (tmp_path / "big" / "node_modules" / "z.js").write_text("")
+    os.symlink(str(tmp_path / "big" / "d0"), str(tmp_path / "big" / "loop"))
+    (tmp_path / "other").mkdir()
+    for entries in (1, 5, 10_000):
+        got = list_tree(spark, str(tmp_path / "big"), str(tmp_path / "other"), str(tmp_path / "none"), entries_per_task=entries).collect()
+        assert {(r.path, r.size_bytes) for r in got if r.repo == "big"} == want and len(got) == len(want) + 1
+        assert [(r.repo, r.error.split(":")[0]) for r in got if r.error] == [("none", "FileNotFoundError")]
+    tree = read_tree(spark, str(tmp_path / "big"), files_per_partition=4, entries_per_task=2)
+    assert {(r.path, len(r.content)) for r in tree.collect()} == want and tree.rdd.getNumPartitions() == 9
