@@ -16,42 +16,33 @@ from pyspark.sql import functions as F
 from codelake.functions import constants as K
 from codelake.operators import behaviour as B
 from codelake.operators import classify as CL
-from codelake.operators import cpp as C
-from codelake.operators import cs as CS
 from codelake.operators import graph as G
-from codelake.operators import js as J
 from codelake.operators import patterns as PT
 from codelake.operators import pyfacts as P
 from codelake.operators import report as R
 from codelake.operators import smells as S
-from codelake.operators import svelte as SV
 from codelake.operators.calls import call_edges
+from codelake.operators.documents import file_documents
 from codelake.operators.lines import src_lines
-from codelake.operators.pyast import parse_errors, py_nodes
+from codelake.operators.pyast import file_status
+from codelake.plans.dispatch import definitions, extract
 from codelake.session import stage_parquet
 
 
-# Language plug-ins.  Each entry maps a name to a function
-# ``(code_files, lines) -> {table: DataFrame}`` run by ``analyze``; register
-# another language by adding an entry (its tables join the result).
-EXTRACTORS: dict = {}
-
-
-def register_extractor(name: str, fn) -> None:
-    EXTRACTORS[name] = fn
-
-
-def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataFrame]:
+def analyze(files: DataFrame, thresholds: dict | None = None, extractors: dict | None = None) -> dict[str, DataFrame]:
     """``files`` is an ingested corpus (``codelake.sources.corpus.ingest``);
-    ``thresholds`` overrides the smell limits (P3).
+    ``thresholds`` overrides the smell limits (P3), ``extractors`` adds,
+    replaces or disables language families (P1, see ``plans.dispatch``).
 
     Returns a dict of lazily defined DataFrames keyed by table name; only
     the node and line tables are materialised here.
     """
     code = files.filter(F.col("language").isin(K.ANALYSABLE_LANGUAGES) & F.col("content").isNotNull())
-    nodes = stage_parquet(py_nodes(code), "py_nodes")
-    lines = src_lines(code.filter(F.col("language") != "python"))
-    out: dict[str, DataFrame] = {"files": files.drop("content"), "parse_errors": parse_errors(nodes)}
+    families = extract(files, extractors)
+    nodes = families["py_nodes"]
+    out: dict[str, DataFrame] = {"files": files.drop("content")} | families
+    out["file_status"] = file_status(files, nodes)
+    out["definitions"] = definitions(families)
 
     # structure
     out["structure_nodes"] = CL.structure_nodes(files)
@@ -61,14 +52,8 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["entry_points"] = CL.entry_points(files)
 
     # Python
-    imports = P.py_imports(nodes)
-    # intermediates that several output tables read are written once
-    functions = stage_parquet(P.py_functions(nodes), "functions")
-    classes = stage_parquet(P.py_classes(nodes), "classes")
+    imports, functions, classes, calls = (families[t] for t in ("py_imports", "py_functions", "py_classes", "py_file_calls"))
     out["py_imports"] = imports.drop("stmt_pre", "ord")
-    out["py_raw_dependencies"] = P.py_raw_dependencies(imports)
-    out["py_variables"] = P.py_variables(nodes)
-    out["py_file_calls"] = calls = stage_parquet(P.py_file_calls(nodes), "file_calls")
     out["py_complexity"] = complexity = stage_parquet(P.py_complexity(nodes), "complexity")
     behaviour, flow = B.analyse(nodes)
     behaviour, flow = stage_parquet(behaviour, "behaviour"), stage_parquet(flow, "variable_flow")
@@ -78,35 +63,14 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["function_callers"] = B.function_callers(nodes)
     out["py_functions"] = G.function_calls_attach(functions, calls).join(
         complexity.select("repo", "path", "def_pre", "complexity"), ["repo", "path", "def_pre"], "left")
-    out["py_classes"] = classes
     out["called_by"] = G.called_by_counts(functions.select("repo", "path", "def_pre", "name"), calls)
     out["file_definition_counts"] = P.file_definition_counts(files, nodes)
 
     out["call_edges"] = call_edges(nodes, files)
 
-    # line languages
-    jl = J.js_lines(lines)
-    js_fn, js_cls = J.js_definitions(jl)
-    out["js_functions"], out["js_classes"] = js_fn, js_cls.unionByName(J.ts_types(jl))
-    out["js_imports"] = J.js_imports(jl)
-    js_deps = J.js_raw_dependencies(lines.filter(F.col("language").isin(K.JS_FAMILY)))
-    out["js_raw_dependencies"] = js_deps
-    cpp = stage_parquet(C.cpp_scan(lines), "cpp_definitions")
-    out["cpp_includes"], out["cpp_classes"] = C.cpp_includes(cpp), C.cpp_classes(cpp)
-    out["cpp_functions"], out["cpp_variables"] = C.cpp_functions(cpp), C.cpp_variables(cpp)
-    out["cpp_namespaces"] = C.cpp_namespaces(cpp)
-    cs = stage_parquet(CS.cs_scan(lines), "cs_definitions")
-    out["cs_usings"], out["cs_types"] = CS.cs_usings(cs), CS.cs_types(cs)
-    out["cs_methods"], out["cs_members"] = CS.cs_methods(cs), CS.cs_members(cs)
-    out["cs_raw_dependencies"] = CS.cs_raw_dependencies(lines)
-    sv = code.filter(F.col("language") == "svelte")
-    out["svelte_event_handlers"], out["svelte_variables"] = SV.svelte_facts(sv)
-    out["svelte_imports"] = SV.svelte_imports(sv)
-    out["svelte_raw_dependencies"] = SV.svelte_raw_dependencies(sv)
-
     # linking
     py_edges = G.py_dependency_edges(imports, files)
-    js_edges = G.js_dependency_edges(js_deps.withColumn("imp", F.col("line_no")), files)
+    js_edges = G.js_dependency_edges(families["js_raw_dependencies"].withColumn("imp", F.col("line_no")), files)
     out["dep_edges"] = edges = stage_parquet(py_edges.unionByName(js_edges).distinct(), "dep_edges")
     out["dependents"] = G.dependents(edges)
     out["dependency_adjacency"] = G.dependency_adjacency(code.select("repo", "path"), edges)
@@ -126,13 +90,11 @@ def analyze(files: DataFrame, thresholds: dict | None = None) -> dict[str, DataF
     out["report_patterns"] = R.report_patterns(patterns)
     out["report_functions"] = R.report_functions(functions, behaviour, flow)
     out["report_classes"] = R.report_classes(classes, functions, out["py_variables"], behaviour, flow)
+    out["file_documents"] = file_documents(files, functions, classes, out["py_variables"], imports)
     out["report_overview"] = R.report_overview(files, out["structure_nodes"])
     out["report_architecture"] = R.report_architecture(code.select("repo", "path", "language", "name"),
                                                        out["structure_nodes"], functions, classes, edges)
     out["file_summary"] = R.file_summary(code, nodes, patterns, smells, edges)
-    for name, fn in EXTRACTORS.items():
-        for table, df in fn(code, lines).items():
-            out[f"{name}_{table}"] = df
     out["function_flow"] = R.function_flow(functions, behaviour, flow, out["control_flow"],
                                            out["function_callers"])
     return out

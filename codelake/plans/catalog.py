@@ -80,3 +80,4 @@ from codelake.plans import q_link  # noqa: E402,F401
 from codelake.plans import q_lines  # noqa: E402,F401
 from codelake.plans import q_structure  # noqa: E402,F401
 from codelake.plans import q_report  # noqa: E402,F401
+from codelake.plans import q_dispatch  # noqa: E402,F401

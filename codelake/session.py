@@ -110,7 +110,8 @@ def stage_parquet(df, name: str = "table", partition_by: str | None = None):
     writer = df.write.mode("error")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     _STAGED.append(path)
-    return spark.read.parquet(path)
+    # a table without rows has no folders to tell the schema from
+    return (spark.read.schema(df.schema) if partition_by else spark.read).parquet(path)
 
 
 _STAGED: list[str] = []

@@ -192,7 +192,42 @@ select concat('r', r) repo, concat('calls/u_', j, '.py') path,
 from (select cast(n_nationkey as int) j, {eight} r from {nation}) z
 """
 
+CORPUS_JS_CLASSES = """
+select concat('r', k % 8) repo, concat('src/k_', k, case when k % 2 = 0 then '.jsx' else '.tsx' end) path,
+  concat('/** A box. */', chr(10), 'class Box_', k, case when k % 3 = 0 then ' extends Base' else '' end, ' {', chr(10), '}', chr(10)) content
+from (select cast(c_custkey as int) k from {customer}) z
+"""
+
+# annotations, returns, docstrings, decorators, bases, class attributes, aliases, every branch
+# kind, names defined twice, closures
+CORPUS_PY_MORE = """
+select concat('r', k % 8) repo, concat('more/p_', k, '.py') path,
+  concat('import os.path as op, sys', chr(10), 'from a.b import c as d, e', chr(10), 'TOTAL = ', k, chr(10),
+    '@deco(1)', chr(10), 'class Box_', k, '(Base, mixin.M):', chr(10), '    ', repeat(chr(34), 3), 'A box.', repeat(chr(34), 3), chr(10),
+    '    size = ', k % 5, chr(10), '    @property', chr(10), '    def area(self, w: int, h=2) -> float:', chr(10),
+    '        ', repeat(chr(34), 3), 'Area.', repeat(chr(34), 3), chr(10), '        while w and h or k:', chr(10), '            w = w - 1', chr(10),
+    '        for i in h:', chr(10), '            match i:', chr(10), '                case 1:', chr(10), '                    pass', chr(10),
+    '        return TOTAL', chr(10), 'async def same():', chr(10), '    x = 1', chr(10), '    def read():', chr(10), '        return x', chr(10),
+    '    return read', chr(10), 'def same(a: ', chr(39), 'Box', chr(39), ', *rest):', chr(10), '    return [a for a in rest if a]', chr(10)) content
+from (select cast(p_partkey as int) k from {part}) z
+"""
+
+# what ingest must sort out, as bytes: ignored paths, other line ends, no UTF-8, upper case,
+# entry points (the expression is Spark's; the oracle goes by the knobs)
+CORPUS_MIXED = """
+select concat('r', k % 8) repo,
+  concat(case k % 9 when 0 then concat('m', k, '/main.py') when 1 then concat('m', k, '/App.JS') when 2 then concat('m', k, '/node_modules/x.js')
+                    when 3 then concat('.hidden/y', k, '.py') when 4 then concat('m', k, '/a.py') when 5 then concat('m', k, '/b.py')
+                    when 6 then concat('m', k, '/c.TS') when 7 then concat('m', k, '/build/z.py') else concat('m', k, '/notes') end) path,
+  case k % 9 when 5 then unhex('fffe00') when 4 then encode(concat('x = 1', chr(13), chr(10), 'y = 2', chr(13), 'z = 3'), 'UTF-8')
+             else encode(concat('a', chr(10), chr(12), 'b', chr(10)), 'UTF-8') end content
+from (select cast(c_custkey as int) k from {customer}) z
+"""
+
 CORPORA = {
+    "corpus_js_classes": (CORPUS_JS_CLASSES, ["customer"]),
+    "corpus_py_more": (CORPUS_PY_MORE, ["part"]),
+    "corpus_mixed": (CORPUS_MIXED, ["customer"]),
     "corpus_calls": (CORPUS_CALLS, ["supplier"]),
     "corpus_called": (CORPUS_CALLED, ["nation"]),
     "corpus_cs_statements": (CORPUS_CS_STATEMENTS, ["part"]),
