@@ -90,7 +90,9 @@ def search(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     plans = stage(terms.groupBy("window", "length").agg(order.alias("terms")).filter(F.size("terms") == F.col("length")), "plans")
     rarest = plans.select("window", F.col("terms")[0]["term"].alias("term"), F.col("terms")[0]["at"].alias("at"),
                           F.slice("terms", 2, 1).alias("second"))
-    found = places.join(rarest, "term").select("row", "window", (F.col("pos") - F.col("at")).alias("start"), "second", F.lit(True).alias("exact"))
+    # of a frequent term no place travels unless a window has nothing rarer
+    firsts = places.join(rarest.select("term").distinct(), "term", "left_semi")
+    found = firsts.join(rarest, "term").select("row", "window", (F.col("pos") - F.col("at")).alias("start"), "second", F.lit(True).alias("exact"))
     seconds = plans.filter("length > 1").select(F.col("terms")[1]["term"].alias("term")).distinct()
     alone = found.filter(F.size("second") == 0).drop("second")
     two = _intersect(found.filter(F.size("second") > 0), F.col("second"), places.join(seconds, "term", "left_semi"), slop)
