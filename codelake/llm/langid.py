@@ -6,6 +6,9 @@ into pieces (forward algorithm), and a text's is the product over its words.
 The probabilities are learned by EM: expected piece counts from the forward
 and backward sums of the training words of each language.
 
+All pieces of the vocabulary count that lower-cased text can hold, and words are
+summed whole; long ones are rescaled on the way, so that no sum underflows.
+
 Scale: training goes over the table of distinct (language, word) pairs, which
 tasks combine before the shuffle; what comes back is bounded by languages x
 vocabulary.  Scoring is one pass; each worker remembers words it has summed.
@@ -14,11 +17,11 @@ vocabulary.  Scoring is one pass; each worker remembers words it has summed.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +30,19 @@ from codelake.llm.tokens import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-LONGEST_PIECE = 8
-BLOCK = 32            # longer words are summed in blocks of so many characters
+SAFE = 16             # characters whose product cannot underflow; longer words are rescaled
+AT_ONCE = 100_000     # words of an EM round that are summed together
+MOST_LANGUAGES = 2000 # a column of more values is no language column
 ROUNDS = 2            # of EM
 SMOOTHING = 0.01      # pseudo-count of every piece
 COUNTED_WORDS = 200_000
 KEPT_WORDS = 800_000
 UNDETERMINED = "und"
+RARE, MARGIN = 0.001, 0.5   # share of training texts, and nats a character, to be called foreign
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
-_STEP = stream64(301, LONGEST_PIECE) | _U(1)
+_STEP = stream64(301, 64) | _U(1)     # by place in a span, longer than any piece
 
 
 def _span_hashes(units: np.ndarray, k: int, held: np.ndarray | None) -> np.ndarray:
@@ -60,7 +65,7 @@ class Pieces:
     BITS = 20
 
     def __init__(self, names: list[str]):
-        self.names = names
+        self.names, self.longest = names, max(map(len, names))
         self.hashes = np.zeros(len(names), np.uint64)
         by_length: dict[int, list[int]] = {}
         for i, p in enumerate(names):
@@ -94,8 +99,9 @@ class Pieces:
         """Piece index of every start and length (units of one length)."""
         chars = _characters(units)
         w, n = chars.shape
-        out, h = np.full((w, n, LONGEST_PIECE + 1), -1, dtype=np.int32), None
-        for k in range(1, min(LONGEST_PIECE, n) + 1):
+        top = min(self.longest, n)
+        out, h = np.full((w, n, top + 1), -1, dtype=np.int32), None
+        for k in range(1, top + 1):
             h = _span_hashes(chars, k, h)
             found = self.find(h.ravel()).reshape(h.shape)
             out[:, :n - k + 1, k] = np.where(found < 0, len(self), found) if k == 1 else found
@@ -112,7 +118,7 @@ def pieces(path: str) -> Pieces:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         own = [m.id_to_piece(i) for i in range(m.vocab_size())
                if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
-        _PIECES[path] = Pieces([p for p in own if len(p) <= LONGEST_PIECE and p == p.lower()])
+        _PIECES[path] = Pieces([p for p in own if p == p.lower()])
     return _PIECES[path]
 
 
@@ -120,34 +126,45 @@ def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def blocks(word: str) -> list[str]:
-    marked = MARK + word
-    return [marked[i:i + BLOCK] for i in range(0, len(marked), BLOCK)]
-
-
-def forward(spans: np.ndarray, prob) -> list[np.ndarray]:
-    """Sums over the segmentations of every prefix.  ``prob(ids)`` gives the
-    probabilities of pieces, 0 for -1."""
-    n = spans.shape[1]
-    sums = [np.ones_like(prob(spans[:, 0, 1]))]
+def _by_length(words: list[str]):
+    """Lists of (row, marked word) of one length, of bounded size."""
+    lengths: dict[int, list] = {}
+    for i, w in enumerate(words):
+        u = MARK + w
+        lengths.setdefault(len(u), []).append((i, u))
+    for n, found in lengths.items():
+        step = max(1, (1 << 16) // n)
+        for lo in range(0, len(found), step):
+            yield found[lo:lo + step]
+
+
+def forward(spans: np.ndarray, prob) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Sums over the segmentations of every prefix, and the natural log of what
+    each was divided by.  ``prob(ids)`` gives the probabilities of pieces, 0
+    for -1.  Every ``SAFE`` characters the sums that still count are divided
+    by the last one."""
+    n, top = spans.shape[1], spans.shape[2] - 1
+    one = np.ones_like(prob(spans[:, 0, 1]))
+    sums, logs = [one], [np.zeros_like(one)]
     for e in range(1, n + 1):
-        sums.append(sum(sums[e - k] * prob(spans[:, e - k, k]) for k in range(1, min(LONGEST_PIECE, e) + 1)))
-    return sums
+        sums.append(sum(sums[e - k] * prob(spans[:, e - k, k]) for k in range(1, min(top, e) + 1)))
+        logs.append(logs[-1])
+        if e % SAFE == 0 and e < n:
+            # earlier sums are only read on this scale from here on
+            by, log = sums[e], np.log(sums[e])
+            for i in range(max(0, e - top + 1), e + 1):
+                sums[i] = sums[i] / by
+                logs[i] = logs[i] + log
+    return sums, logs
 
 
 def log_probabilities(words: list[str], vocab: Pieces, table: np.ndarray) -> np.ndarray:
     """words x languages; ``table`` is pieces x languages with a last row of
     zeros for -1."""
     out = np.zeros((len(words), table.shape[1]))
-    by_length: dict[int, list] = {}
-    for i, w in enumerate(words):
-        for u in blocks(w):
-            by_length.setdefault(len(u), []).append((i, u))
-    for found in by_length.values():
-        for lo in range(0, len(found), 4096):
-            part = found[lo:lo + 4096]
-            total = forward(vocab.spans([u for _, u in part]), lambda ids: table[ids])[-1]
-            np.add.at(out, [i for i, _ in part], np.log(total))
+    for part in _by_length(words):
+        sums, logs = forward(vocab.spans([u for _, u in part]), lambda ids: table[ids])
+        out[[i for i, _ in part]] = np.log(sums[-1]) + logs[-1]
     return out
 
 
@@ -155,32 +172,35 @@ def expected_counts(words: list[str], language: np.ndarray, weight: np.ndarray,
                     table: np.ndarray) -> np.ndarray:
     """Expected piece counts, pieces x languages, of weighted words."""
     out = np.zeros(table.shape)
-    by_length: dict[int, list] = {}
-    for i, w in enumerate(words):
-        for u in blocks(w):
-            by_length.setdefault(len(u), []).append((i, u))
-    for n, found in by_length.items():
-        for lo in range(0, len(found), 4096):
-            part = found[lo:lo + 4096]
-            row = np.array([i for i, _ in part])
-            lang, times = language[row], weight[row]
-            spans = vocab.spans([u for _, u in part])
-            prob = lambda ids: table[ids, lang]  # noqa: B023, E731
-            ahead = forward(spans, prob)
-            behind = [None] * n + [np.ones(len(part))]
-            ids, parts = [], []
-            for s in range(n - 1, -1, -1):
-                behind[s] = np.zeros(len(part))
-                for k in range(1, min(LONGEST_PIECE, n - s) + 1):
-                    p = prob(spans[:, s, k]) * behind[s + k]
-                    behind[s] += p
-                    ids.append(spans[:, s, k])
-                    parts.append(ahead[s] * p)
-            scale = times / ahead[n]
-            ids, parts = np.stack(ids), np.stack(parts) * scale
-            fine = ids >= 0
-            cell = ids * table.shape[1] + lang
-            out += np.bincount(cell[fine], parts[fine], out.size).reshape(out.shape)
+    for part in _by_length(words):
+        row = np.array([i for i, _ in part])
+        lang, times = language[row], weight[row]
+        spans = vocab.spans([u for _, u in part])
+        n, top = spans.shape[1], spans.shape[2] - 1
+        prob = lambda ids: table[ids, lang]  # noqa: B023, E731
+        ahead, logs = forward(spans, prob)
+        # what follows each place, divided by exp(log) of its own
+        behind, after = [None] * n + [np.ones(len(part))], [None] * n + [np.zeros(len(part))]
+        total = np.log(ahead[n]) + logs[n]
+        ids, parts = [], []
+        for s in range(n - 1, -1, -1):
+            scale = after[s + 1]
+            behind[s] = np.zeros(len(part))
+            for k in range(1, min(top, n - s) + 1):
+                p = prob(spans[:, s, k]) * behind[s + k]
+                if n > SAFE:
+                    p = p * np.exp(after[s + k] - scale)
+                behind[s] += p
+                ids.append(spans[:, s, k])
+                parts.append(ahead[s] * p * np.exp(logs[s] + scale - total) if n > SAFE else ahead[s] * p / ahead[n])
+            after[s] = scale
+            if n > SAFE and s % SAFE == 0:
+                after[s] = scale + np.log(behind[s])
+                behind[s] = np.ones(len(part))
+        ids, parts = np.stack(ids), np.stack(parts) * times
+        fine = ids >= 0
+        cell = ids * table.shape[1] + lang
+        out += np.bincount(cell[fine], parts[fine], out.size).reshape(out.shape)
     return out
 
 
@@ -216,16 +236,28 @@ def learn(train: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str],
     columns lang and text of ``train``."""
     counted = train.mapInArrow(_count_words, "lang string, word string, n long")
     table_df = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    langs = [r[0] for r in table_df.select("lang").distinct().orderBy("lang").collect()]
+    langs = [r[0] for r in table_df.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values in the language column")
     vocab = pieces(path)
     table = start_table(len(vocab), len(langs))
     order = {lang: i for i, lang in enumerate(langs)}
     for _ in range(rounds if langs else 0):
         def expect(batches, table=table):
             own, total = pieces(path), np.zeros(table.shape)
+            held: list[tuple[list, list, np.ndarray]] = []
+
+            def add():
+                langs_, words, n = zip(*held, strict=True)
+                lang = np.array([order[x] for part in langs_ for x in part], dtype=np.int64)
+                held.clear()
+                return expected_counts([w for part in words for w in part], lang, np.concatenate(n).astype(float), own, table)
             for b in batches:
-                lang = np.array([order[x] for x in b.column(0).to_pylist()], dtype=np.int64)
-                total += expected_counts(b.column(1).to_pylist(), lang, b.column(2).to_numpy().astype(float), own, table)
+                held.append((b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy()))
+                if sum(len(w) for _, w, _ in held) >= AT_ONCE:
+                    total += add()
+            if held:
+                total += add()
             piece, lang = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int64()), pa.array(lang, pa.int64()), pa.array(total[piece, lang])],
                                              names=["piece", "lang", "n"])
@@ -259,11 +291,11 @@ class _Scorer:
         rows = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))
         return self.known[rows].sum(axis=0)
 
-
-    def predict(self, col: pa.Array, langs: list[str]) -> tuple[list[str], list[float]]:
-        """Language and posterior of every text of a column."""
+    def predict(self, col: pa.Array, langs: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, posterior, and log probability a character in that
+        language, of every text of a column."""
         texts = [words_of(t) if langs and _LETTER.search(t) else [] for t in col.fill_null("").to_pylist()]
-        pred, score = [], []
+        pred, score, rate = [], [], []
         for lo in range(0, len(texts), 250):
             self.add(texts[lo:lo + 250])
             for t in texts[lo:lo + 250]:
@@ -272,10 +304,12 @@ class _Scorer:
                     best = int(s.argmax())
                     pred.append(langs[best])
                     score.append(float(1.0 / np.exp(s - s[best]).sum()))
+                    rate.append(float(s[best]) / sum(len(w) + 1 for w in t))
                 else:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
-        return pred, score
+                    rate.append(0.0)
+        return pred, score, rate
 
 
 _SCORERS: dict[tuple[str, bytes], _Scorer] = {}
@@ -293,7 +327,8 @@ def _scorer(path: str, table: np.ndarray) -> _Scorer:
 
 def train_languages(train: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """The model of the columns lang and text of ``train``; rows of null lang
-    or text are left out."""
+    or text are left out.  More than ``MOST_LANGUAGES`` languages are an error:
+    the model is a table of pieces x languages."""
     small_batches(train.sparkSession)
     train = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return learn(train.filter("lang is not null and text is not null"), path, rounds)
@@ -315,26 +350,47 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
     def run(batches):
         scorer = _scorer(path, table)
         for b in batches:
-            pred, score = scorer.predict(b.column(1), langs)
+            pred, score, _ = scorer.predict(b.column(1), langs)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
+def floors(train: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> dict[str, float]:
+    """By language, the log probability a character under which only ``RARE``
+    of its training texts lie, less ``MARGIN``: what is rarer was not written in
+    that language, whichever it is nearest to.  From the columns lang and text
+    of all of ``train``; rows of null lang or text are left out."""
+    small_batches(train.sparkSession)
+    langs, table = model
+
+    def run(batches):
+        scorer = _scorer(path, table)
+        for b in batches:
+            pred, _, rate = scorer.predict(b.column(1), langs)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(rate, pa.float64())], names=["lang", "pred", "rate"])
+    rows = train.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
+    rates = rows.mapInArrow(run, "lang string, pred string, rate double").filter("lang = pred")
+    got = rates.groupBy("lang").agg(F.percentile_approx("rate", RARE, 100_000).alias("least")).collect()  # one row a language
+    return {r.lang: r.least - MARGIN for r in got}
+
+
 def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, text_col: str = "text",
-                    least: float = 0.5) -> DataFrame:
+                    least: float = 0.5, least_rates: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs``, whole, whose language is determined with a
-    posterior of ``least`` or more."""
+    posterior of ``least`` or more, and whose log probability a character is
+    not under that of ``least_rates`` (see ``floors``)."""
     small_batches(docs.sparkSession)
     langs, table = model
     at = docs.columns.index(text_col)
+    under = least_rates or {}
 
     def run(batches):
         scorer = _scorer(path, table)
         for b in batches:
-            pred, score = scorer.predict(b.column(at), langs)
-            yield b.filter(pa.array([p != UNDETERMINED and s >= least for p, s in zip(pred, score, strict=True)], pa.bool_()))
+            yield b.filter(pa.array([p != UNDETERMINED and s >= least and r >= under.get(p, -np.inf)
+                                     for p, s, r in zip(*scorer.predict(b.column(at), langs), strict=True)], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)
 
 
