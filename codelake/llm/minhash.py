@@ -236,7 +236,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     A bucket's members are compared with its centre first.  While the pairs
     that are still in different components of a bucket are more than
     ``pairs_per_row`` times the bucket rows, up to ``star_rounds`` further
-    centres are tried; then all those pairs are compared.
+    centres are tried; then all those pairs are compared.  So the pairs of a
+    bucket of m members are bounded by m * ``pairs_per_row`` unless its members
+    stay in many components after that: the worst case, a bucket of texts that
+    share a band and are linked with none of the centres, has m * m / 2.
+
+    Ids are read as longs; text that is no number is an error of the cast.
 
     Defined cases: null or empty text, or text without words: an empty set,
     linked with nothing.  Under five words: the whole sequence is one shingle.
