@@ -4,12 +4,16 @@ Trusted positives and unlabelled web text train a linear model of the text
 that minimises the non-negative unbiased risk
 ``p * P[l(g)] + max(0, U[l(-g)] - p * P[l(-g)])``: P and U are means over the
 positives and the unlabelled texts, p is the estimated share of positives and
-l the logistic loss.  No negative label is used in the fit.
-
-Scale: features are one vectorised pass over the texts.  The model is fitted
-on at most ``POSITIVES`` and ``UNLABELLED`` documents, those of the least id
-hash, in one task; its weights are a few kilobytes.  The share of positives
-is an aggregate of all training labels.
+l the logistic loss.  Negative labels are not used in the fit; where training
+labels of both kinds are at hand, p is the share of positives among them.  With
+positives alone it is estimated from the two samples, as the least share of
+unlabelled texts, by share of positives, above any cut that keeps most positives
+(of scores by models that did not see the text).
+
+Scale: features are one vectorised pass over the texts.  The edges of the bins
+are quantiles of all training texts.  The model is fitted on at most
+``POSITIVES`` and ``UNLABELLED`` documents, those of the least id hash, in one
+task; its weights are a few kilobytes.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ POSITIVES = UNLABELLED = 8192   # bound of the training sample
 HASHED = 1024                   # buckets of words
 BINS = 10                       # of each statistic
 STATS = 12
-STEPS, RATE, DECAY = 300, 0.05, 1e-4
+STEPS, RATE, DECAY = 400, 0.05, 1e-4
+MOST = 0.8                      # positives that a cut must keep to tell the prior
+ACCURACY = 10_000               # of the approximate quantiles
 
 _UPPER, _DIGIT, _SYMBOL, _STOP = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = True
@@ -70,9 +76,19 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(stats), np.concatenate(hashed)
 
 
-def bin_edges(stats: np.ndarray) -> np.ndarray:
-    """Edges between the bins of each statistic: quantiles of the sample."""
-    return np.quantile(stats, np.arange(1, BINS) / BINS, axis=0)
+def _stat_rows(batches):
+    names = [f"s{j}" for j in range(STATS)]
+    for b in batches:
+        stats, _ = features(b.column(0))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in stats.T], names=names)
+
+
+def bin_edges(texts: DataFrame) -> np.ndarray:
+    """Edges between the bins of each statistic: quantiles over all ``texts``."""
+    stats = texts.select("text").mapInArrow(_stat_rows, ", ".join(f"s{j} double" for j in range(STATS)))
+    at = F.array(*(F.lit(q / BINS) for q in range(1, BINS)))
+    got = stats.agg(*(F.percentile_approx(f"s{j}", at, ACCURACY).alias(f"s{j}") for j in range(STATS))).first()
+    return np.array([got[j] or [0.0] * (BINS - 1) for j in range(STATS)], dtype=float).T
 
 
 def design(stats: np.ndarray, hashed: np.ndarray, edges: np.ndarray) -> np.ndarray:
@@ -106,6 +122,21 @@ def fit(x_pos: np.ndarray, x_any: np.ndarray, prior: float, steps: int = STEPS)
     return w
 
 
+def estimate_prior(x_pos: np.ndarray, x_any: np.ndarray, steps: int = STEPS) -> float:
+    """Share of positives among the unlabelled rows: two models tell positives
+    from unlabelled rows, each of one half and applied to the other; above a
+    cut that keeps the share k of the positives lie at least p * k of the
+    unlabelled rows, so the least ratio of the two bounds p."""
+    pos, rest = np.zeros(len(x_pos)), np.zeros(len(x_any))
+    for half in (0, 1):
+        w = fit(x_pos[1 - half::2], x_any[1 - half::2], 0.5, steps).astype(x_pos.dtype)
+        pos[half::2], rest[half::2] = x_pos[half::2] @ w, x_any[half::2] @ w
+    cuts = np.quantile(pos, 1 - np.linspace(MOST, 1, 50))
+    ratio = min((rest >= c).mean() / (pos >= c).mean() for c in cuts)
+    # away from 0 and 1, where the risk says nothing
+    return float(min(max(ratio, 0.02), 0.98))
+
+
 _ROW = pa.schema([("positive", pa.bool_()), ("stats", pa.binary()), ("hashed", pa.binary())])
 
 
@@ -117,7 +148,7 @@ def _feature_rows(batches):
              pa.array([h.astype(np.float16).tobytes() for h in hashed], pa.binary())], schema=_ROW)
 
 
-def _fit_task(prior: float):
+def _fit_task(edges: np.ndarray, prior: float | None):
     def run(batches):
         parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist(), b.column(2).to_pylist()) for b in batches]
         if not parts:
@@ -125,18 +156,18 @@ def _fit_task(prior: float):
         positive = np.concatenate([p[0] for p in parts]).astype(bool)
         stats = np.frombuffer(b"".join(s for p in parts for s in p[1]), np.float64).reshape(-1, STATS)
         hashed = np.frombuffer(b"".join(s for p in parts for s in p[2]), np.float16).reshape(-1, HASHED).astype(np.float32)
-        if positive.any() and not positive.all():
-            edges = bin_edges(stats[~positive])
+        if positive.sum() > 1 and (~positive).sum() > 1:
             x = design(stats, hashed, edges)
-            w = fit(x[positive], x[~positive], prior)
-            yield pa.RecordBatch.from_arrays([pa.array([edges.tobytes()], pa.binary()), pa.array([w.tobytes()], pa.binary())],
-                                             names=["edges", "weights"])
+            share = estimate_prior(x[positive], x[~positive]) if prior is None else prior
+            w = fit(x[positive], x[~positive], share)
+            yield pa.RecordBatch.from_arrays([pa.array([share]), pa.array([w.tobytes()], pa.binary())], names=["prior", "weights"])
     return run
 
 
-def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "doc_id", text_col: str = "text"):
-    """Bin edges and weights, or None without positives or texts.  ``docs``
-    are unlabelled training texts, ``positives`` has the trusted ids."""
+def learn(docs: DataFrame, positives: DataFrame, prior: float | None = None, id_col: str = "doc_id", text_col: str = "text"):
+    """Bin edges and weights, or None with fewer than two positives or texts.
+    ``docs`` are unlabelled training texts, ``positives`` has the trusted ids;
+    ``prior`` is the share of positives, estimated if not given."""
     t = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     t = t.filter("doc_id is not null")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
@@ -145,10 +176,9 @@ def learn(docs: DataFrame, positives: DataFrame, prior: float, id_col: str = "do
     chosen = stage(pos.unionByName(pool), "chosen")
     sample = stage(t.join(F.broadcast(chosen), "doc_id").select("positive", "text").mapInArrow(
         _feature_rows, "positive boolean, stats binary, hashed binary"), "sample")
-    got = sample.repartition(1).sortWithinPartitions("positive", "stats").mapInArrow(_fit_task(prior), "edges binary, weights binary").collect()
-    if not got:
-        return None
-    return np.frombuffer(got[0].edges, np.float64).reshape(BINS - 1, STATS), np.frombuffer(got[0].weights, np.float64)
+    edges = bin_edges(t)
+    got = sample.repartition(1).sortWithinPartitions("positive", "stats").mapInArrow(_fit_task(edges, prior), "prior double, weights binary").collect()
+    return (edges, np.frombuffer(got[0].weights, np.float64)) if got else None
 
 
 def text_scores(col: pa.Array, model) -> np.ndarray:
@@ -189,12 +219,13 @@ def keep_quality(docs: DataFrame, model, text_col: str = "text", least: float =
 
 
 def train(docs: DataFrame, labels: DataFrame):
-    """The model of the texts of ``docs`` (unlabelled) and the rows of
+    """The model of the texts of ``docs`` (unlabelled) and the trusted rows of
     ``labels`` (doc_id, quality) that may be learned from."""
     small_batches(docs.sparkSession)
-    share = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
+    n = labels.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count("quality").alias("all")).first()
     # away from 0 and 1, where the risk says nothing
-    return learn(docs, labels.filter("quality = 1"), min(max(share or 0.5, 0.02), 0.98))
+    prior = min(max(n.good / n.all, 0.02), 0.98) if 0 < n.good < n.all else None
+    return learn(docs, labels.filter("quality = 1"), prior)
 
 
 def training(rows: DataFrame) -> DataFrame:
