@@ -23,10 +23,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined: they have a letter, and one
-    language has at least half of the posterior."""
-    path = tokenizer_path(langid.VOCABULARY)
-    return langid.keep_identified(docs, langid.train_languages(langid.training(docs), path), path)
+    """Documents whose language is determined: they have a letter, one language
+    has at least half of the posterior, and they are no rarer in it, a
+    character, than what was learned as that language."""
+    path, learned = tokenizer_path(langid.VOCABULARY), langid.training(docs)
+    model = langid.train_languages(learned, path)
+    return langid.keep_identified(docs, model, path, least_rates=langid.floors(learned, model, path))
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
