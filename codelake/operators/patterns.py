@@ -83,10 +83,6 @@ def text_patterns(files: DataFrame) -> DataFrame:
     return _unpivot(flags, [lab for lab, _ in rules])
 
 
-def all_patterns(files: DataFrame, nodes: DataFrame) -> DataFrame:
-    return python_patterns(nodes).unionByName(text_patterns(files.filter(F.col("content").isNotNull())))
-
-
 def found_patterns(patterns: DataFrame) -> DataFrame:
     """Distinct pattern labels per repo (I8)."""
     return patterns.select("repo", "pattern").distinct()

@@ -151,10 +151,6 @@ def line_smells(files: DataFrame, lines: DataFrame) -> DataFrame:
             .unionByName(smell_nested_blocks(lines)).unionByName(smell_multiple_style_blocks(files)))
 
 
-def all_smells(files: DataFrame, lines: DataFrame, nodes: DataFrame) -> DataFrame:
-    return python_smells(nodes).unionByName(line_smells(files, lines))
-
-
 # ---------------------------------------------------------------- aggregates
 
 def smell_counts(smells: DataFrame) -> DataFrame:
