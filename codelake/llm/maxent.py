@@ -1,22 +1,27 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-Tokens are lower-cased words and one end per text.  The model predicts a
-token's class from its history and then the token within the class:
+Tokens are lower-cased words and one end per text.  The model predicts a token
+through a tree of classes, each split in two by a softmax:
 
-* the ``HEAD`` most frequent training tokens form classes of ``SLOTS`` by
-  frequency; within one, a second softmax gives the token;
-* every other token, seen or not, belongs to the class of its last two bytes;
-  within one, softmaxes give the digits of its hash (base ``SLOTS``, as many as
-  the distinct tokens ask for, ``DEPTH`` at most), and tokens of the same digits
-  (a leaf) have their smoothed shares of the training counts.
+* the ``HEAD`` most frequent training tokens and ``SUFFIX_CLASSES`` classes of
+  all other tokens, by their last two bytes, are the leaves of a binary tree
+  that is built from their counts (frequent ones near the root);
+* below the suffix classes, the bits of a token's hash split further, as many as
+  the distinct tokens ask for; tokens of the same bits (a leaf) have their
+  smoothed shares of the training counts.
 
-All softmaxes are linear in hashed features of the history: the last token,
-the last two together, and skips to the second and third last.  So the
-probabilities of all tokens, with one for everything unseen in a leaf, sum to 1.
+The log odds of every split are its odds in the training counts plus one weight
+for each feature of the history, hashed with the split: the last token, the last
+two together, and skips to the second and third last.  So the probabilities of
+all tokens, with one for everything unseen in a leaf, sum to 1.
 
-Training: learners, one per task, take gradient steps (AdaGrad, by rows of the
-tables) over all their training texts; their tables are averaged, each row
-weighted by the tokens that touched it.  Scoring runs in sparse numpy batches.
+A feature weighs in only once its context was seen often enough; how often
+follows from how full the table of weights is, so that what a small corpus can
+remember in full, a large one keeps for what recurs.
+
+Training: learners, one per task, take gradient steps (AdaGrad) over all their
+training texts; a weight is averaged over the learners that touched it.
+Scoring runs in sparse numpy batches.
 
 Scale: token counts are combined in tasks before the shuffle.  Tokens above a
 frequency that at most ``HEAVY`` tokens can have are broadcast; the counts of
@@ -26,6 +31,7 @@ the vocabulary fitting anywhere.  Models are of fixed size.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +41,20 @@ from pyspark.sql import functions as F
 
 from codelake.llm.common import LOWER, hash_spans, id_remainder, mix64, read, slices, small_batches, stage, stream64, text_buffer, word_spans
 
-HEAD_CLASSES, SLOTS, SUFFIX_CLASSES = 64, 64, 64
-HEAD = HEAD_CLASSES * SLOTS
-CLASSES = HEAD_CLASSES + SUFFIX_CLASSES
-DEPTH = 2                      # digits of the tokens outside the head, at most
-CLASS_ROWS, WORD_ROWS = 1 << 14, 1 << 16
+HEAD, SUFFIX_CLASSES = 4096, 64
+MOST_DIGITS = 1 << 12          # values of the hash bits below a suffix class, at most
+WEIGHTS = 24                   # log2 of the weights
+LEVELS = 3                     # of splits whose weights lie side by side
+CONTEXTS = 22                  # log2 of the contexts told apart, by feature
 FEATURES = 4
-BLOCK_ROWS = 128               # rows of a table that travel together
-BATCH = 8192                   # tokens of a gradient step
-RATE = 0.2
+BLOCK = 1 << 14                # weights that travel together
+BATCH, SCORE_BATCH = 512, 2048 # tokens of a gradient step, and of a scoring step
+RATE, DAMP = 0.5, 1.0          # AdaGrad's rate, and its sum of squares at first
+# how often a context must have been seen, by the touched share of the weights
+ADMIT = [(0.3, 0), (0.4, 1), (0.5, 2), (0.6, 4), (1.0, 8)]
 HEAVY = 1 << 20                # tokens whose counts are broadcast, at most
 SHARD_TOKENS = 1 << 22         # looked-up tokens of a shard, about
-LEARNER_TOKENS = 4_000_000     # training tokens that make another learner worth it
+LEARNER_TOKENS = 8_000_000     # training tokens that make another learner worth it
 COUNTED = 1 << 20              # distinct tokens that a task combines at once
 ADD = 0.1                      # of the smoothed counts
 
@@ -77,8 +85,9 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, suffix, ahead
 
 
-def history(t: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Feature hashes (tokens x FEATURES) of the history of every token."""
+def history(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the history of every token the features (tokens x FEATURES): a hash
+    that goes into the places of weights, and the place of its context."""
     at = np.arange(len(t)) - np.repeat(first[:-1], np.diff(first))
     before = []
     for k in (1, 2, 3):
@@ -86,7 +95,8 @@ def history(t: np.ndarray, first: np.ndarray) -> np.ndarray:
         p[k:] = np.where(at[k:] >= k, t[:-k], START) if len(t) > k else p[k:]
         before.append(p)
     p1, p2, p3 = before
-    return mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2), p3 * _KEY[4] + _U(3)], axis=1))
+    h = mix64(np.stack([p1 * _KEY[0], p1 * _KEY[1] + p2 * _KEY[2], p2 * _KEY[3] + _U(2), p3 * _KEY[4] + _U(3)], axis=1))
+    return (h >> _U(32)).astype(np.uint32), (h & _U((1 << CONTEXTS) - 1)).astype(np.int64)
 
 
 # ------------------------------------------------------------------ counts
@@ -126,40 +136,36 @@ class Counts:
     head: np.ndarray         # hashes of the head tokens, in order
     head_rank: np.ndarray    # their ranks by frequency
     rank_n: np.ndarray       # counts by rank
-    rest_n: np.ndarray       # by suffix class: training tokens outside the head
-    rest_v: np.ndarray       # and distinct ones
-    leaf_n: np.ndarray | None = None  # the same by leaf (none: no such tokens)
-    leaf_v: np.ndarray | None = None
+    leaf_n: np.ndarray | None = None  # by leaf, training tokens outside the head (none: no such tokens)
+    leaf_v: np.ndarray | None = None  # and distinct ones
+    _slots = None
 
     def __post_init__(self):
         if self.leaf_n is None:
-            self.leaf_n, self.leaf_v = np.zeros((2, SUFFIX_CLASSES * SLOTS))
+            self.leaf_n, self.leaf_v = np.zeros((2, SUFFIX_CLASSES))
 
     @property
     def digits(self) -> int:
-        """Values of the digits of a token outside the head."""
+        """Values of the hash bits of a token outside the head."""
         return len(self.leaf_n) // SUFFIX_CLASSES
 
     def leaf_share(self) -> np.ndarray:
         """By leaf, the smoothed count that its tokens share."""
         return self.leaf_n + ADD * (self.leaf_v + 1)
 
-    def rank(self, t: np.ndarray) -> np.ndarray:
-        """Rank of head tokens, -1 for others."""
-        return _lookup(self.head, self.head_rank, t, -1)
+    def find(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of heavy tokens, 0 for others, and ranks of head tokens, -1
+        for others, by a hash table of the process."""
+        if self._slots is None:
+            known = np.append(self.heavy, self.head[~np.isin(self.head, self.heavy)])
+            n = np.append(self.heavy_n, self.rank_n[self.head_rank[~np.isin(self.head, self.heavy)]])
+            self._values = np.append(n, 0), np.append(_lookup(self.head, self.head_rank, known, -1), -1)
+            self._slots = _hash_table(known)
+        at = _find(self._slots, t)
+        return self._values[0][at], self._values[1][at]
 
-    def bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """Log probabilities without a history: of classes, and of the slots of
-        classes and then of the second digits by class and first one."""
-        slots = np.zeros(HEAD)
-        slots[:len(self.rank_n)] = self.rank_n
-        slots = slots.reshape(HEAD_CLASSES, SLOTS)
-        classes = np.concatenate([slots.sum(axis=1), self.rest_n]) + ADD
-        leaves = self.leaf_share().reshape(SUFFIX_CLASSES, -1, SLOTS)  # class, second digit, first digit
-        slots = np.concatenate([slots + 1e-3, leaves.sum(axis=1)])
-        if leaves.shape[1] > 1:
-            slots = np.concatenate([slots, leaves.transpose(0, 2, 1).reshape(-1, SLOTS)])
-        return np.log(classes / classes.sum()).astype(np.float32), np.log(slots / slots.sum(axis=1, keepdims=True)).astype(np.float32)
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("_slots", "_values")} | {"_slots": None}
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, t: np.ndarray, other) -> np.ndarray:
@@ -170,15 +176,44 @@ def _lookup(keys: np.ndarray, values: np.ndarray, t: np.ndarray, other) -> np.nd
     return np.where(keys[at] == t, values[at], other)
 
 
+def _hash_table(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An open hash table of distinct 64-bit hashes: the keys and their index by
+    slot (-1: empty), about a quarter of the slots in use."""
+    bits = max(4, (4 * len(keys)).bit_length())
+    held, index = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+    at, left = (keys >> _U(64 - bits)).astype(np.int64), np.arange(len(keys))
+    while len(left):
+        free = left[index[at[left]] < 0]
+        index[at[free]] = free                # of several the last one stays
+        left = left[index[at[left]] != left]
+        at[left] = (at[left] + 1) % len(index)
+    some = index >= 0
+    held[some] = keys[index[some]]
+    return held, index
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], t: np.ndarray) -> np.ndarray:
+    """Index of the keys, -1 for hashes that are none."""
+    held, index = table
+    at = (t >> _U(65 - len(index).bit_length())).astype(np.int64)
+    out = index[at]
+    left = np.flatnonzero((out >= 0) & (held[at] != t))
+    while len(left):
+        at[left] = (at[left] + 1) % len(index)
+        out[left] = index[at[left]]
+        left = left[(out[left] >= 0) & (held[at[left]] != t[left])]
+    return out
+
+
 def count_tokens(train: DataFrame) -> tuple[DataFrame, Counts]:
     """The table of training counts (token, suffix, n), and its digest."""
     counted = train.select("text").mapInArrow(_count, "token long, suffix long, n long")
     table = stage(counted.groupBy("token").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n")), "counts")
     sums = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = sums.n, sums.v
-    digits = SLOTS
-    while digits < SLOTS ** DEPTH and digits * SUFFIX_CLASSES < distinct:
-        digits *= SLOTS
+    digits = 1
+    while digits < MOST_DIGITS and digits * SUFFIX_CLASSES < distinct:
+        digits *= 2
     leaf = F.col("suffix") * digits + F.col("token").bitwiseAND(F.lit(digits - 1))
     leaves = table.groupBy(leaf.alias("leaf")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toArrow()
     # at most total / least tokens can have so high a count
@@ -196,120 +231,171 @@ def count_tokens(train: DataFrame) -> tuple[DataFrame, Counts]:
     at = s[top] * digits + (t[top] % _U(digits)).astype(np.int64)
     np.subtract.at(leaf_n, at, n[top])
     np.subtract.at(leaf_v, at, 1)
-    rest_n, rest_v = (x.reshape(SUFFIX_CLASSES, -1).sum(axis=1) for x in (leaf_n, leaf_v))
-    return table, Counts(total, distinct, t, n, t[top][by_hash], by_hash, n[top], rest_n, rest_v, leaf_n, leaf_v)
+    return table, Counts(total, distinct, t, n, t[top][by_hash], by_hash, n[top], leaf_n, leaf_v)
 
 
 # ------------------------------------------------------------------- model
 
+class Tree:
+    """The splits on the way to every token, with the log odds that they have
+    in the training counts."""
+
+    def __init__(self, counts: Counts):
+        share = counts.leaf_share().reshape(SUFFIX_CLASSES, -1)
+        weight = np.concatenate([counts.rank_n + ADD, share.sum(axis=1)])
+        self.head, self.digits = len(counts.rank_n), share.shape[1]
+        self.bits = self.digits.bit_length() - 1
+        # join the two lightest until one is left
+        heap = [(w, i) for i, w in enumerate(weight.tolist())]
+        heapq.heapify(heap)
+        above: list[tuple[int, int]] = [(-1, 0)] * (2 * len(weight) - 1)
+        odds = []
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            made = len(weight) + len(odds)
+            above[left], above[right] = (made, 0), (made, 1)
+            odds.append(np.log(b / a))
+            heapq.heappush(heap, (a + b, made))
+        ways = []
+        for i in range(len(weight)):
+            way = []
+            while above[i][0] >= 0:
+                i, bit = above[i]
+                way.append((i - len(weight), bit))
+            ways.append(way[::-1])
+        # below a suffix class: the split by bit d of those with the same d bits before it
+        self.joined = len(odds)
+        below = np.zeros((SUFFIX_CLASSES, self.digits), np.float32)
+        mass = share
+        for d in reversed(range(self.bits)):
+            mass = mass.reshape(SUFFIX_CLASSES, 2, 1 << d)
+            below[:, 1 << d:2 << d] = np.log(mass[:, 1] / mass[:, 0])
+            mass = mass.sum(axis=1)
+        self.odds = np.concatenate([np.array(odds, np.float32), below.ravel()])
+        # the splits of ``LEVELS`` levels from one on lie side by side: which
+        # one is at the top, and the place within
+        top, self.within = np.arange(len(self.odds)), np.ones(len(self.odds), np.int64)
+        for way in ways:
+            for d, (n, _) in enumerate(way):
+                over = d - d % LEVELS
+                top[n] = way[over][0]
+                self.within[n] = int("1" + "".join(str(b) for _, b in way[over:d]), 2)
+        for d in range(self.bits):
+            over, low = d - d % LEVELS, np.arange(1 << d)
+            rows = self.joined + np.arange(SUFFIX_CLASSES)[:, None] * self.digits
+            top[rows + (1 << d) + low] = rows + (1 << over) + (low & (1 << over) - 1)
+            self.within[rows + (1 << d) + low] = (1 << d - over) | low >> over
+        key = mix64(top.astype(np.uint64) + _U(1)) >> _U(32)
+        self.key = (key >> _U(LEVELS) << _U(LEVELS) | self.within.astype(np.uint64)).astype(np.uint32)
+        # the way to every leaf: splits, with the side taken in the lowest bit
+        leaves = [np.array([n << 1 | b for n, b in w], np.int32) for w in ways[:self.head]]
+        low, d = np.arange(self.digits)[:, None], np.arange(self.bits)
+        for c, way in enumerate(ways[self.head:]):
+            node = self.joined + c * self.digits + (1 << d) + (low & (1 << d) - 1)
+            own = np.broadcast_to(np.array([n << 1 | b for n, b in way], np.int32), (self.digits, len(way)))
+            leaves += list(np.concatenate([own, (node << 1 | low >> d & 1).astype(np.int32)], axis=1))
+        self.size = np.array([len(x) for x in leaves], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.steps = np.concatenate(leaves) if leaves else np.zeros(0, np.int32)
+
+    def paths(self, symbol: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens one after the other: token, split and side of every step,
+        and where each token's begin."""
+        leaf = np.where(symbol < self.head, symbol, self.head + (symbol - self.head) * self.digits + digit)
+        size = self.size[leaf]
+        start = np.cumsum(size) - size
+        token = np.repeat(np.arange(len(symbol), dtype=np.int32), size)
+        step = self.steps[np.repeat(self.first[leaf] - start, size) + np.arange(len(token))]
+        return token, step >> 1, (step & 1).astype(np.float32), start
+
+
+_WITHIN = np.uint32((1 << LEVELS) - 1)
+
+
+def _places(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Place of the weight of each feature and split: a hash of the feature and
+    the split on top, and the split's place below that (low bits of its key)."""
+    x = (h + (keys | _WITHIN)) * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x = x * np.uint32(0x85EBCA77) >> np.uint32(32 - WEIGHTS + LEVELS)
+    return (x << np.uint32(LEVELS) | (keys & _WITHIN)).astype(np.int64)
+
+
 class Model:
-    """The two tables of weights: features x classes, and features of a class
-    x slots."""
-
-    def __init__(self, counts: Counts, classes: np.ndarray | None = None, words: np.ndarray | None = None):
-        self.class_bias, self.slot_bias = counts.bias()
-        self.classes = np.zeros((CLASS_ROWS, CLASSES), np.float32) if classes is None else classes
-        self.words = np.zeros((WORD_ROWS, SLOTS), np.float32) if words is None else words
-
-    @staticmethod
-    def class_rows(h: np.ndarray) -> np.ndarray:
-        return (h % _U(CLASS_ROWS)).astype(np.int64)
-
-    @staticmethod
-    def word_rows(h: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return (mix64(h + cls.astype(np.uint64)[:, None] * _KEY[5]) % _U(WORD_ROWS)).astype(np.int64)
-
-    def levels(self, cls: np.ndarray, slot: np.ndarray):
-        """The choices within the class: which tokens, their nodes, what they
-        choose."""
-        yield np.arange(len(cls)), cls, slot % SLOTS
-        deep = np.flatnonzero(cls >= HEAD_CLASSES) if len(self.slot_bias) > CLASSES else ()
-        if len(deep):
-            yield deep, CLASSES + (cls[deep] - HEAD_CLASSES) * SLOTS + slot[deep] % SLOTS, slot[deep] // SLOTS
-
-    @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    @staticmethod
-    def _sum(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        z = table[rows[:, 0]] + bias
-        for k in range(1, FEATURES):
-            z += table[rows[:, k]]
-        return z
-
-    def class_scores(self, rows: np.ndarray) -> np.ndarray:
-        return self._log_softmax(self._sum(self.classes, rows, self.class_bias))
-
-    def slot_scores(self, rows: np.ndarray, cls: np.ndarray) -> np.ndarray:
-        return self._log_softmax(self._sum(self.words, rows, self.slot_bias[cls]))
-
-    def log_probability(self, h: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-        """Natural log of the class and of the slot or the digits in it."""
-        out = np.empty(len(h))
-        for lo in range(0, len(h), BATCH):
-            part = slice(lo, lo + BATCH)
-            c, s, x = cls[part], slot[part], h[part]
-            got = self.class_scores(self.class_rows(x))[np.arange(len(c)), c].astype(float)
-            for at, node, digit in self.levels(c, s):
-                got[at] += self.slot_scores(self.word_rows(x[at], node), node)[np.arange(len(at)), digit]
-            out[part] = got
+    """Weights by place, and the contexts that weigh in."""
+
+    def __init__(self, counts: Counts, weights: np.ndarray | None = None, admitted: np.ndarray | None = None):
+        self.tree = Tree(counts)
+        self.weights = np.zeros(1 << WEIGHTS, np.float32) if weights is None else weights.astype(np.float32)
+        self.admitted = np.zeros((FEATURES, 1 << CONTEXTS), bool) if admitted is None else np.unpackbits(admitted).view(bool).reshape(FEATURES, -1)
+
+    def log_probability(self, features: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, digit: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each token's leaf."""
+        out = np.empty(len(symbol))
+        for lo in range(0, len(symbol), SCORE_BATCH):
+            part = slice(lo, lo + SCORE_BATCH)
+            h, context = (x[part] for x in features)
+            token, node, bit, start = self.tree.paths(symbol[part], digit[part])
+            z, keys = self.tree.odds[node], self.tree.key[node]
+            for k in range(FEATURES):
+                on = np.flatnonzero(self.admitted[k][context[:, k]][token])
+                z[on] += self.weights[_places(h[:, k][token[on]], keys[on])]
+            z[bit > 0] *= -1
+            lost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
+            out[part] = -np.add.reduceat(lost.astype(float), start) if len(lost) else 0.0
         return out
 
 
-class Learner(Model):
-    """A model that takes gradient steps; ``seen`` counts the tokens that
-    touched each row, ``power`` is AdaGrad's sum of squares by row."""
+class Learner:
+    """A model that takes gradient steps.  A weight and AdaGrad's sum of
+    squares lie side by side; ``seen`` counts contexts."""
 
     def __init__(self, counts: Counts):
-        super().__init__(counts)
-        self.seen = [np.zeros(CLASS_ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)]
-        self.power = [np.full(CLASS_ROWS, 1e-2, np.float32), np.full(WORD_ROWS, 1e-2, np.float32)]
-
-    def _step(self, which: int, table: np.ndarray, rows: np.ndarray, scores: np.ndarray, target: np.ndarray) -> None:
-        grad = np.exp(scores)
-        grad[np.arange(len(target)), target] -= 1
-        flat = rows.ravel()
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        row = ordered[begin]
-        times = np.diff(np.append(begin, len(flat)))
-        # sums of the runs, by halves: of a run's members those at even places
-        # take in their neighbours, then those at every fourth place, and so on
-        parts = grad[order // FEATURES]
-        place = np.arange(len(flat)) - np.repeat(begin, times)
-        left = np.repeat(times, times) - place
-        at, step = np.flatnonzero(left > 1), 1
-        while len(at):
-            at = at[place[at] % (2 * step) == 0]
-            parts[at] += parts[at + step]
-            step *= 2
-            at = at[left[at] > step]
-        total = parts[begin]
-        self.seen[which][row] += times.astype(np.float32)
-        self.power[which][row] += (total * total).mean(axis=1)
-        table[row] -= (RATE / np.sqrt(self.power[which][row]))[:, None] * total
-
-    def learn(self, h: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> None:
-        for lo in range(0, len(h), BATCH):
+        self.tree = Tree(counts)
+        self.table = np.zeros(2 << WEIGHTS, np.float32)
+        self.seen = np.zeros((FEATURES, 1 << CONTEXTS), np.uint8)
+        self.steps = self.need = 0
+
+    def learn(self, features: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, digit: np.ndarray) -> None:
+        table = self.table
+        for lo in range(0, len(symbol), BATCH):
+            if self.steps % 64 == 0:
+                touched = (table[1::2 * 97] > 0).mean()
+                self.need = next(n for share, n in ADMIT if touched <= share)
+            self.steps += 1
             part = slice(lo, lo + BATCH)
-            c, s, x = cls[part], slot[part], h[part]
-            rows = self.class_rows(x)
-            self._step(0, self.classes, rows, self.class_scores(rows), c)
-            for at, node, digit in self.levels(c, s):
-                rows = self.word_rows(x[at], node)
-                self._step(1, self.words, rows, self.slot_scores(rows, node), digit)
+            h, context = (x[part] for x in features)
+            token, node, bit, _ = self.tree.paths(symbol[part], digit[part])
+            z, keys = self.tree.odds[node], self.tree.key[node]
+            used = []
+            for k in range(FEATURES):
+                count = self.seen[k][context[:, k]]
+                on = np.flatnonzero((count >= self.need)[token])
+                at = 2 * _places(h[:, k][token[on]], keys[on])
+                z[on] += table[at]
+                used.append((on, at))
+                self.seen[k][context[:, k]] = np.minimum(count, 250) + 1
+            # steps beyond this range are certain either way
+            push = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            square = push * push
+            for on, at in used:
+                np.add.at(table, at + 1, square[on])
+                np.add.at(table, at, np.float32(RATE) * push[on] / np.sqrt(table[at + 1] + np.float32(DAMP)))
+
+    def result(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights in half precision (0: not touched), and the contexts seen as
+        often as is asked for now, in bits."""
+        return self.table[::2].astype(np.float16), np.packbits(self.seen >= max(self.need, 1))
 
 
 def _targets(counts: Counts, t: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    rank = counts.rank(t)
-    digits = (t % _U(counts.digits)).astype(np.int64)
-    return np.where(rank >= 0, rank // SLOTS, HEAD_CLASSES + suffix), np.where(rank >= 0, rank % SLOTS, digits)
+    """Leaf of the joined tree, and hash bits, of tokens."""
+    _, rank = counts.find(t)
+    return np.where(rank >= 0, rank, len(counts.rank_n) + suffix), (t & _U(counts.digits - 1)).astype(np.int64)
 
 
-_TABLE = "part int, block int, learner int, weights binary, seen binary"
+# rows of weights have part 0, rows of admitted contexts part 1
+_TABLE = "part int, block int, learner int, value binary, times binary"
 
 
 def _learn(shared):
@@ -320,50 +406,60 @@ def _learn(shared):
         for b in batches:
             for lo, hi in slices(b.column(0), 1 << 20):
                 t, suffix, first = tokens(b.column(0).slice(lo, hi - lo))
-                cls, slot = _targets(shared.value, t, suffix)
-                learner.learn(history(t, first), cls, slot)
+                learner.learn(history(t, first), *_targets(shared.value, t, suffix))
                 some = True
         if some:
-            for part, table in enumerate((learner.classes, learner.words)):
-                seen = learner.seen[part]
-                for block in range(0, len(table), BLOCK_ROWS):
-                    n = seen[block:block + BLOCK_ROWS]
-                    if n.any():
-                        yield _blocks([(part, block, TaskContext.get().partitionId(), table[block:block + BLOCK_ROWS] * n[:, None], n)])
+            weights, admitted = learner.result()
+            for part, values, size in ((0, weights, BLOCK), (1, admitted, 2 * BLOCK)):
+                for at in range(0, len(values), size):
+                    if values[at:at + size].any():
+                        yield _blocks([(part, at, TaskContext.get().partitionId(), values[at:at + size].tobytes(), None)])
     return run
 
 
 def _blocks(rows) -> pa.RecordBatch:
-    part, block, learner, weights, seen = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(block, pa.int32()), pa.array(learner, pa.int32()),
-         pa.array([np.asarray(w, np.float32).tobytes() for w in weights], pa.binary()),
-         pa.array([np.asarray(n, np.float32).tobytes() for n in seen], pa.binary())],
-        names=["part", "block", "learner", "weights", "seen"])
-
-
-def _add_blocks(key, table):
-    weights = sum(np.frombuffer(w, np.float32).astype(float) for w in table.column("weights").to_pylist())
-    seen = sum(np.frombuffer(n, np.float32).astype(float) for n in table.column("seen").to_pylist())
-    return pa.Table.from_batches([_blocks([(key[0].as_py(), key[1].as_py(), 0, weights, seen)])])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                      names=["part", "block", "learner", "value", "times"])
+
+
+def _add_blocks(last: bool):
+    """Sums of the weights of a block and the learners that touched each, or
+    their means in half precision at the last."""
+    def run(key, table):
+        part, block = key[0].as_py(), key[1].as_py()
+        value, times = table.column("value").to_pylist(), table.column("times").to_pylist()
+        if part == 1:
+            bits = np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in value])
+            return pa.Table.from_batches([_blocks([(part, block, 0, bits.tobytes(), None)])])
+        total, n = np.zeros((2, BLOCK), np.float32)
+        for v, t in zip(value, times, strict=True):
+            x = np.frombuffer(v, np.float16 if t is None else np.float32)
+            total += x
+            n += x != 0 if t is None else np.frombuffer(t, np.float32)
+        if last:
+            return pa.Table.from_batches([_blocks([(part, block, 0, (total / np.maximum(n, 1)).astype(np.float16).tobytes(), None)])])
+        return pa.Table.from_batches([_blocks([(part, block, 0, total.tobytes(), n.tobytes())])])
+    return run
 
 
-def train_model(train: DataFrame, counts: Counts) -> Model:
-    """One pass of all learners over all training texts, and their average.
-    The sums are formed in two levels, so that no task gets the blocks of
-    more than about the square root of the learners."""
+def train_model(train: DataFrame, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+    """One pass of all learners over all training texts, and their average:
+    weights in half precision, and the bits of the contexts that weigh in.  The
+    sums are formed in two levels, so that no task gets the blocks of more than
+    about the square root of the learners.  A lost learner runs again."""
     spark = train.sparkSession
     learners = max(1, counts.total // LEARNER_TOKENS)
     shared = spark.sparkContext.broadcast(counts)
-    learned = stage(train.select("text").coalesce(int(learners)).mapInArrow(_learn(shared), _TABLE), "learned")
+    learned = train.select("text").coalesce(int(learners)).mapInArrow(_learn(shared), _TABLE)
     fan = int(learners ** 0.5) + 1
-    half = learned.withColumn("learner", F.col("learner") % fan).groupBy("part", "block", "learner").applyInArrow(_add_blocks, _TABLE)
-    tables = [np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, SLOTS), np.float32)]
-    for r in half.groupBy("part", "block").applyInArrow(_add_blocks, _TABLE).collect():  # the model: of fixed size
-        n = np.frombuffer(r.seen, np.float32)[:, None]
-        w = np.frombuffer(r.weights, np.float32).reshape(BLOCK_ROWS, -1)
-        tables[r.part][r.block:r.block + BLOCK_ROWS] = w / np.maximum(n, 1)
-    return Model(counts, *tables)
+    half = learned.withColumn("learner", F.col("learner") % fan).groupBy("part", "block", "learner").applyInArrow(_add_blocks(False), _TABLE)
+    weights, admitted = np.zeros(1 << WEIGHTS, np.float16), np.zeros(FEATURES << CONTEXTS >> 3, np.uint8)
+    for r in half.groupBy("part", "block").applyInArrow(_add_blocks(True), _TABLE).toLocalIterator():  # the model: of fixed size
+        into, kind = (weights, np.float16) if r.part == 0 else (admitted, np.uint8)
+        got = np.frombuffer(r.value, kind)
+        into[r.block:r.block + len(got)] = got
+    return weights, admitted
 
 
 # ----------------------------------------------------------------- scoring
@@ -380,8 +476,8 @@ def _score(shared, n_shards: int, kind: pa.DataType):
 
     def run(batches):
         from pyspark import TaskContext
-        counts, classes, words = shared.value
-        model, row0 = Model(counts, classes, words), TaskContext.get().partitionId() << 32
+        counts, weights, admitted = shared.value
+        model, row0 = Model(counts, weights, admitted), TaskContext.get().partitionId() << 32
         scale = np.log10(counts.total + ADD * (counts.distinct + 1))
         rest = np.log10(counts.leaf_share())
         for b in batches:
@@ -389,12 +485,12 @@ def _score(shared, n_shards: int, kind: pa.DataType):
                 t, suffix, first = tokens(b.column(1).slice(lo, hi - lo))
                 rows = hi - lo
                 doc = np.repeat(np.arange(rows), np.diff(first))
-                cls, slot = _targets(counts, t, suffix)
-                n = _lookup(counts.heavy, counts.heavy_n, t, 0)
+                symbol, digit = _targets(counts, t, suffix)
+                n, _ = counts.find(t)
                 log_n = np.where(n > 0, np.log10(n + ADD), 0.0)  # of the others it comes from the shards
-                p = model.log_probability(history(t, first), cls, slot) / _LOG10
-                outside = np.flatnonzero(cls >= HEAD_CLASSES)
-                p[outside] += log_n[outside] - rest[suffix[outside] * counts.digits + slot[outside]]
+                p = model.log_probability(history(t, first), symbol, digit) / _LOG10
+                outside = np.flatnonzero(symbol >= len(counts.rank_n))
+                p[outside] += log_n[outside] - rest[suffix[outside] * counts.digits + digit[outside]]
                 by_row = lambda x: np.bincount(doc, x, rows)  # noqa: B023, E731
                 none = lambda m, k: pa.nulls(m, k)
                 yield pa.RecordBatch.from_arrays(
@@ -459,10 +555,10 @@ def lm_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_co
     text = lambda df, c: F.coalesce(df[c].cast("string"), F.lit("")).alias("text")
     train = train.select(text(train, "text"))
     table, counts = count_tokens(train)
-    model = train_model(train, counts)
+    weights, admitted = train_model(train, counts)
     n_light = counts.total - int(counts.heavy_n.sum())
     n_shards = max(1, -(-n_light // SHARD_TOKENS))
-    shared = spark.sparkContext.broadcast((counts, model.classes, model.words))
+    shared = spark.sparkContext.broadcast((counts, weights, admitted))
     rows = docs.select(F.col(id_col).alias("doc_id"), text(docs, text_col))
     field = rows.schema["doc_id"]
     kind = pa.string() if field.dataType.simpleString() == "string" else pa.int32() if field.dataType.simpleString() == "int" else pa.int64()

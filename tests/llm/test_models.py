@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -50,46 +51,150 @@ def test_counts_and_base_scores(spark, monkeypatch, heavy):
         assert r.score < 0
 
 
-def test_model_is_a_distribution_and_learns():
-    rnd = random.Random(0)
-    text = " ".join(rnd.choice(["a b", "c d", "e f g"]) for _ in range(4000))
-    t, suffix, first = maxent.tokens(pa.array([text]))
+def counted(texts, head):
+    """Tokens of the texts and their counts; the ``head`` most frequent ones have leaves of their own."""
+    t, suffix, first = maxent.tokens(pa.array(texts))
     u, at, n = np.unique(t, return_index=True, return_counts=True)
-    order = np.argsort(-n)
-    rank = np.empty(len(u), int)
-    rank[order] = np.arange(len(u))
-    counts = maxent.Counts(len(t), len(u), u, n, u, rank, n[order], np.zeros(maxent.SUFFIX_CLASSES), np.zeros(maxent.SUFFIX_CLASSES))
+    top = np.lexsort((u, -n))[:head]
+    by = np.argsort(u[top])
+    digits = 8
+    leaf = suffix[at] * digits + (u % np.uint64(digits)).astype(int)
+    rest = np.setdiff1d(np.arange(len(u)), top)
+    leaf_n, leaf_v = (np.bincount(leaf[rest], x, maxent.SUFFIX_CLASSES * digits) for x in (n[rest], np.ones(len(rest))))
+    return t, suffix, first, maxent.Counts(len(t), len(u), u, n, u[top][by], by, n[top], leaf_n, leaf_v)
+
+
+def small(monkeypatch):
+    monkeypatch.setattr(maxent, "WEIGHTS", 16)
+    monkeypatch.setattr(maxent, "CONTEXTS", 12)
+    monkeypatch.setattr(maxent, "BLOCK", 1 << 10)
+
+
+def test_probabilities_sum_to_one(monkeypatch):
+    small(monkeypatch)
+    rnd = random.Random(0)
+    t, suffix, first, counts = counted([" ".join(rnd.choice(["a b", "c d", "e f g", "une deux"]) for _ in range(2000))], 5)
+    learner, targets = maxent.Learner(counts), maxent._targets(counts, t, suffix)
+    h, context = maxent.history(t, first)
+    before = maxent.Model(counts).log_probability((h, context), *targets).mean()
+    learner.learn((h, context), *targets)
+    model = maxent.Model(counts, *learner.result())
+    assert model.log_probability((h, context), *targets).mean() > before + 0.5
+    symbols = np.concatenate([np.arange(5), np.repeat(5 + np.arange(maxent.SUFFIX_CLASSES), counts.digits)])
+    digits = np.concatenate([np.zeros(5, int), np.tile(np.arange(counts.digits), maxent.SUFFIX_CLASSES)])
+    for i in (0, 1, 2, 700):
+        same = np.full(len(symbols), i)
+        for m in (model, maxent.Model(counts)):
+            assert np.exp(m.log_probability((h[same], context[same]), symbols, digits)).sum() == pytest.approx(1, abs=1e-4)
+    # without a history the splits give the counts
+    share = np.concatenate([counts.rank_n + maxent.ADD, counts.leaf_share()])
+    p = np.exp(maxent.Model(counts).log_probability((h[np.zeros(len(symbols), int)], context[np.zeros(len(symbols), int)]), symbols, digits))
+    assert np.allclose(p, share / share.sum(), rtol=1e-3)
+
+
+def test_learning_equals_brute_force(monkeypatch):
+    small(monkeypatch)
+    monkeypatch.setattr(maxent, "BATCH", 7)
+    monkeypatch.setattr(maxent, "ADMIT", [(0.002, 0), (0.004, 1), (1.0, 2)])
+    rnd = random.Random(1)
+    t, suffix, first, counts = counted([sentence(rnd, 150, invent=0.2) for _ in range(3)], 9)
+    symbol, digit = maxent._targets(counts, t, suffix)
+    h, context = maxent.history(t, first)
     learner = maxent.Learner(counts)
-    cls, slot = maxent._targets(counts, t, suffix)
-    h = maxent.history(t, first)
-    before = learner.log_probability(h, cls, slot).mean()
-    learner.learn(h, cls, slot)
-    assert learner.log_probability(h, cls, slot).mean() > before + 0.5
-    some = h[:5]
-    classes = np.exp(learner.class_scores(learner.class_rows(some)).astype(float))
-    assert np.allclose(classes.sum(axis=1), 1, atol=1e-5)
-    c = np.zeros(5, int)
-    assert np.allclose(np.exp(learner.slot_scores(learner.word_rows(some, c), c).astype(float)).sum(axis=1), 1, atol=1e-5)
-
-
-def test_tokens_outside_the_head_depend_on_their_history():
-    t, suffix, first = maxent.tokens(pa.array(["one xa1zz", "two ya2zz"] * 2000))
-    none = np.zeros(0, np.int64)
-    n = np.bincount(suffix, minlength=maxent.SUFFIX_CLASSES).astype(float)
-    counts = maxent.Counts(len(t), 5, t[:0], none, t[:0], none, none, n, (n > 0).astype(float))
-    cls, slot = maxent._targets(counts, t, suffix)
+    learner.learn((h, context), symbol, digit)
+    tree, size = learner.tree, 1 << maxent.WEIGHTS
+
+    low = (1 << maxent.LEVELS) - 1
+
+    def place(x, node):
+        x = (int(x) + (int(tree.key[node]) | low)) * 0x9E3779B1 % 2**32
+        x ^= x >> 15
+        return (x * 0x85EBCA77 % 2**32 >> 32 - maxent.WEIGHTS + maxent.LEVELS) << maxent.LEVELS | int(tree.key[node]) & low
+
+    def steps(i):
+        leaf = symbol[i] if symbol[i] < tree.head else tree.head + (symbol[i] - tree.head) * tree.digits + digit[i]
+        return [(int(x) >> 1, int(x) & 1) for x in tree.steps[tree.first[leaf]:tree.first[leaf] + tree.size[leaf]]]
+    # hash bits split below the suffix class, from the lowest on
+    tail = next(i for i in range(len(t)) if symbol[i] >= tree.head)
+    assert [b for _, b in steps(tail)[-tree.bits:]] == [int(digit[tail]) >> d & 1 for d in range(tree.bits)]
+    w, power, seen = Counter(), Counter(), Counter()
+    for step, lo in enumerate(range(0, len(t), 7)):
+        if step % 64 == 0:
+            need = next(n for share, n in maxent.ADMIT if np.mean([power[x] > 0 for x in range(0, size, 97)]) <= share)
+        todo, now = [], dict(seen)
+        for i in range(lo, min(lo + 7, len(t))):
+            on = [k for k in range(4) if now.get((k, context[i, k]), 0) >= need]
+            for node, bit in steps(i):
+                z = float(tree.odds[node]) + sum(w[place(h[i, k], node)] for k in on)
+                todo.append((on, i, node, bit - 1 / (1 + math.exp(-z))))
+        for k in range(4):
+            for x in {context[i, k] for i in range(lo, min(lo + 7, len(t)))}:
+                seen[k, x] += 1
+            mine = [(place(h[i, k], node), g) for on, i, node, g in todo if k in on]
+            for x, g in mine:
+                power[x] += g * g
+            for x, g in mine:
+                w[x] += maxent.RATE * g / math.sqrt(power[x] + maxent.DAMP)
+    assert need > 0
+    assert np.allclose(learner.table[::2], [w[x] for x in range(size)], atol=1e-3)
+    assert np.allclose(learner.table[1::2], [power[x] for x in range(size)], atol=1e-3)
+    # and scoring: every step of every token, one after the other
+    weights, bits = learner.result()
+    admitted = np.unpackbits(bits).reshape(4, -1)
+    got = maxent.Model(counts, weights, bits).log_probability((h, context), symbol, digit)
+    for i in range(len(t)):
+        on = [k for k in range(4) if admitted[k, context[i, k]]]
+        want = 0.0
+        for node, bit in steps(i):
+            z = float(tree.odds[node]) + sum(float(weights[place(h[i, k], node)]) for k in on)
+            want -= math.log1p(math.exp(-z if bit else z))
+        assert got[i] == pytest.approx(want, abs=1e-3)
+
+
+def test_learners_are_averaged_where_they_touched(monkeypatch):
+    small(monkeypatch)
+    n = maxent.BLOCK
+    one, two = np.zeros((2, n), np.float16)
+    one[:3], two[1:4] = [1, 2, 3], [4, -2, 5]
+    table = lambda rows: pa.Table.from_batches([maxent._blocks(rows)])
+    key = (pa.scalar(0), pa.scalar(0))
+    half = [maxent._add_blocks(False)(key, table([(0, 0, i, x.tobytes(), None)])) for i, x in enumerate((one, two))]
+    got = maxent._add_blocks(True)(key, pa.concat_tables(half)).to_pylist()[0]
+    assert np.frombuffer(got["value"], np.float16)[:5].tolist() == [1, 3, 0.5, 5, 0]
+    bits = maxent._add_blocks(True)((pa.scalar(1), pa.scalar(0)), table([(1, 0, 0, b"\x05\x00", None), (1, 0, 1, b"\x01\x80", None)])).to_pylist()[0]
+    assert bits["value"] == b"\x05\x80"
+
+
+def test_counts_and_ranks_are_found_by_hash():
+    keys = common.mix64(np.arange(5000, dtype=np.uint64))
+    keys[:300] = np.arange(300, dtype=np.uint64)        # all in one slot
+    order = np.sort(keys)
+    n = np.arange(5000) + 1
+    counts = maxent.Counts(1, 1, order, n, order[::50], np.arange(100), n[::50])
+    count, rank = counts.find(np.concatenate([order, order + np.uint64(1)]))
+    known = dict(zip(order.tolist(), n.tolist(), strict=True))
+    assert count.tolist() == [known.get(int(k), 0) for k in np.concatenate([order, order + np.uint64(1)])]
+    assert rank[:5000].tolist() == [i // 50 if i % 50 == 0 else -1 for i in range(5000)]
+    assert counts.find(order[:0])[0].tolist() == [] and maxent.Counts(0, 0, order[:0], n[:0], order[:0], n[:0], n[:0]).find(order[:2])[1].tolist() == [-1, -1]
+
+
+def test_tokens_outside_the_head_depend_on_their_history(monkeypatch):
+    small(monkeypatch)
+    t, suffix, first, counts = counted(["one xa1zz", "two ya2zz"] * 2000, 1)
+    symbol, digit = maxent._targets(counts, t, suffix)
     assert suffix[1] == suffix[4] and t[1] != t[4]
-    learner, h = maxent.Learner(counts), maxent.history(t, first)
-    learner.learn(h, cls, slot)
+    learner, (h, context) = maxent.Learner(counts), maxent.history(t, first)
+    learner.learn((h, context), symbol, digit)
+    model = maxent.Model(counts, *learner.result())
     # the same token where it was learned, and after the word that has the other
-    here, there = learner.log_probability(h[[1, 4]], cls[[1, 1]], slot[[1, 1]])
+    here, there = model.log_probability((h[[1, 4]], context[[1, 4]]), symbol[[1, 1]], digit[[1, 1]])
     assert here > there + 0.5
 
 
 def test_held_out_scores_beat_the_base(spark):
     df = maxent.op4_lm_score(spark, SF)
-    r = df.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert r.s > r.b
+    r = df.filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (r.s - r.b) / r.n > 0.66
     assert df.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
@@ -111,16 +216,68 @@ def test_forward_sums_all_segmentations():
         if not u:
             return np.ones(3)
         total = np.zeros(3)
-        for k in range(1, min(langid.LONGEST_PIECE, len(u)) + 1):
+        for k in range(1, len(u) + 1):      # every piece, however long
             i = index.get(u[:k], len(v) if k == 1 else None)
             if i is not None:
                 total += table[i] * brute(u[k:])
         return total
-    some = ["the", "läßt", "x日本", "a\0b", "'s", "###", "zzz"]
+    some = ["the", "läßt", "x日本", "a\0b", "'s", "###", "zzz", "information", "_function", "differentially"]
+    assert v.longest > 8 and langid.MARK + "information" in index
     for w, got in zip(some, langid.log_probabilities(some, v, table), strict=True):
         assert np.allclose(np.log(brute(langid.MARK + w)), got)
 
 
+def test_long_words_are_summed_whole():
+    from decimal import Decimal
+    v = langid.pieces(tokens.tokenizer_path(langid.VOCABULARY))
+    index = {p: i for i, p in enumerate(v.names)}
+    table = langid.start_table(len(v), 2) * np.array([1.0, 1e-9])     # as small as in a huge corpus
+    for word in ("internationalization" * 5, "日本語の文章" * 20, "q" * 700):
+        u = langid.MARK + word
+        want = []
+        for lang in (0, 1):
+            sums = [Decimal(1)]
+            for e in range(1, len(u) + 1):
+                ids = ((k, index.get(u[e - k:e], len(v) if k == 1 else None)) for k in range(1, min(v.longest, e) + 1))
+                sums.append(sum(sums[e - k] * Decimal(float(table[i, lang])) for k, i in ids if i is not None))
+            want.append(float(sums[-1].ln()))
+        assert np.allclose(langid.log_probabilities([word], v, table)[0], want)
+        got = langid.expected_counts([word], np.array([1]), np.array([2.0]), v, table)
+        sizes = np.array([len(p) for p in v.names] + [1, 0])
+        assert (got.sum(axis=1) * sizes).sum() == pytest.approx(2 * len(u))
+
+
+def test_only_letters_make_a_language(spark):
+    model = langid.train_languages(spark.createDataFrame([("en", "the cat"), ("de", "die katze")], "lang string, text string"),
+                                   tokens.tokenizer_path(langid.VOCABULARY))
+    got = langid.identify(frame(spark, ["² ½ ①", "12 _ ٣", "die", None]), model, tokens.tokenizer_path(langid.VOCABULARY))
+    assert [r.lang_pred for r in got.orderBy("doc_id").collect()] == ["und", "und", "de", "und"]
+
+
+def test_foreign_and_gibberish_texts_are_rejected(spark):
+    path = tokens.tokenizer_path(langid.VOCABULARY)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    learned = langid.training(docs)
+    model = langid.train_languages(learned, path)
+    least = langid.floors(learned, model, path)
+    assert set(least) == set(model[0])
+    rnd = random.Random(5)
+    foreign = ["これは日本語で書かれた文章です。東京は日本の首都であり、多くの人が住んでいます。" * 3, "Это предложение написано на русском языке и его нельзя принять. " * 3,
+               "Αυτό το κείμενο είναι γραμμένο στα ελληνικά και όχι σε άλλη γλώσσα. " * 3,
+               " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(12)) for _ in range(60)), "qxzj" * 300]
+    planted = spark.createDataFrame([(-1 - i, "en", t) for i, t in enumerate(foreign)], docs.schema)
+    kept = {r.doc_id for r in langid.keep_identified(docs.unionByName(planted), model, path, least_rates=least).collect()}
+    assert not any(i < 0 for i in kept)
+    assert len(kept) >= 0.99 * docs.count()
+
+
+def test_a_column_of_too_many_languages_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    df = spark.createDataFrame([(f"l{i}", "a") for i in range(4)], "lang string, text string")
+    with pytest.raises(ValueError):
+        langid.train_languages(df, tokens.tokenizer_path(langid.VOCABULARY))
+
+
 def test_expected_counts_add_up():
     v = langid.pieces(tokens.tokenizer_path(langid.VOCABULARY))
     table = langid.start_table(len(v), 2)
@@ -227,6 +384,51 @@ def test_non_negative_risk_learns_without_negatives():
     assert ((add(unlabelled) @ w > 0) == (np.arange(800) < 600)).mean() > 0.95
 
 
+def test_prior_is_estimated_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    add = lambda x: np.concatenate([x, np.ones((len(x), 1))], axis=1).astype(np.float32)
+    for share in (0.3, 0.75, 0.95):
+        n = int(2000 * share)
+        unlabelled = rng.permutation(np.concatenate([rng.normal(1.5, 1, (n, 2)), rng.normal(-1.5, 1, (2000 - n, 2))]))
+        assert classifier.estimate_prior(add(rng.normal(1.5, 1, (1000, 2))), add(unlabelled), 100) == pytest.approx(share, abs=0.04)
+
+
+def test_scores_equal_brute_force():
+    texts = [t or "" for t in documents(8, 12)] + ["HELLO World!! aa aa aa x1.", "# * $ ;", "a b a b a b"]
+    rng = np.random.default_rng(3)
+    edges = np.sort(rng.random((classifier.BINS - 1, classifier.STATS)), axis=0)
+    w = rng.normal(size=classifier.STATS * classifier.BINS + classifier.HASHED + 1)
+    symbols = {chr(b) for b in range(33, 127) if not chr(b).isalnum()} - set(".,;:'\"?-()")
+    got = classifier.text_scores(pa.array(texts), (edges, w))
+    for text, score in zip(texts, got, strict=True):
+        raw = re.findall("[^\x20\x09-\x0d]+", text)
+        low, n = words(text), max(1, len(raw))
+        data = text.encode()
+        per_byte = lambda f: sum(f(b) for b in data) / max(1, len(data))  # noqa: B023, E731
+        mean = lambda f: sum(map(f, raw)) / n  # noqa: B023, E731
+        size = lambda x: len(x.encode())
+        again = sum((i > 0 and low[i - 1] == x) + (i > 1 and low[i - 2] == x) for i, x in enumerate(low))
+        counts = Counter(low)
+        stats = [math.log1p(len(raw)), mean(size), mean(lambda x: size(x) > 15), per_byte(lambda b: 65 <= b <= 90), per_byte(lambda b: 48 <= b <= 57),
+                 per_byte(lambda b: chr(b) in symbols), mean(lambda x: x[-1] in symbols), mean(lambda x: x[-1] in ".,;:?"),
+                 mean(lambda x: sum("A" <= c <= "Z" for c in x) >= 2), again / n, len(counts) / n / max(1, math.log10(max(n, 10))),
+                 max(counts.values(), default=0) / n]
+        z = w[-1] + sum(w[j * classifier.BINS + sum(e < x for e in edges[:, j])] for j, x in enumerate(stats))
+        h, _ = common.word_hashes(pa.array([text]))
+        z += sum(4 * w[classifier.STATS * classifier.BINS + int(x) % classifier.HASHED] for x in h) / n
+        assert score == pytest.approx(1 / (1 + math.exp(-min(35, max(-35, z)))), abs=1e-4)
+
+
+def test_prior_is_near_the_share_of_labels(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    edges = classifier.bin_edges(texts)
+    at = lambda ids: classifier.design(*classifier.features(pa.array([r.text for r in texts.join(ids, "doc_id").orderBy("doc_id").collect()])), edges)
+    got = classifier.estimate_prior(at(labels.filter("quality = 1").select("doc_id")), at(texts.select("doc_id")))
+    assert got == pytest.approx(labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0], abs=0.06)
+
+
 def test_quality_query_on_held_out_labels(spark):
     df = classifier.op7_quality_classifier(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").filter("held_out")
     r = df.groupBy("quality").agg(F.avg("predicted").alias("p"), F.avg("score").alias("s")).collect()

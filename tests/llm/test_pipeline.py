@@ -63,5 +63,5 @@ class _Piece:
 
 def test_registered(spark):
     q = __spark_entry__.queries()
-    assert q["pipeline"] is corpus_pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in q) == 10
+    assert q["pipeline"] is corpus_pipeline.run and sum(n.startswith("op") and n[2].isdigit() for n in q) == 13
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
