@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelake.llm.common import read, small_batches
+from codelake.llm.common import read, small_batches, stage
 
 TILE = 2048          # vectors in a tile
 QUERY_TILE = 512
 TILES_PER_GROUP = 16  # tiles of either side in a cell of the block matrix
 SURVIVORS = 1 << 16  # pairs recomputed at once
+SMALL, LARGE = 1e-140, 1e140  # magnitudes whose squares are safe
 
 _TILE_DDL = "tile long, dim int, ids binary, vectors binary, codes binary, stats binary"
 _TILE_SCHEMA = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()),
@@ -36,11 +37,16 @@ _TILE_SCHEMA = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("ids", pa.
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """int8 codes of the rows of ``x`` and, per row: scale, norm of the coded
     row, norm of the row, norm of the coding error (rounded up)."""
-    scale = np.abs(x).max(axis=1) / 127.0
+    most = np.abs(x).max(axis=1)
+    # of squares that may over- or underflow nothing is known: the error is inf
+    wild = (most > LARGE) | (most < SMALL)
+    x = np.where(wild[:, None], 0.0, x)
+    scale = np.where(wild, 1.0, most / 127.0)
     codes = np.rint(x / scale[:, None])
     coded = codes * scale[:, None]
     stats = np.stack([scale, np.linalg.norm(coded, axis=1), np.linalg.norm(x, axis=1),
                       np.linalg.norm(x - coded, axis=1) * (1 + 1e-9) + 1e-300], axis=1)
+    stats[wild, 3] = np.inf
     return codes.astype(np.int8), stats
 
 
@@ -91,23 +97,40 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def exact_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of paired rows, summed in component order."""
-    total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        d = a[:, j] - b[:, j]
-        total += d * d
-    return np.sqrt(total)
+    """Euclidean distances of paired rows, summed in component order.  Where
+    the squares over- or underflow, differences are first divided by a power
+    of two, which changes no digit."""
+    def root(d):
+        total = np.zeros(len(d))
+        for j in range(d.shape[1]):
+            total += d[:, j] * d[:, j]
+        return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore"):
+        d = a - b
+        out = root(d)
+        far = np.flatnonzero(~((out > SMALL) & (out < LARGE)))
+        if len(far):
+            d = np.ldexp(a[far], -2) - np.ldexp(b[far], -2)      # differences of large components may overflow
+            small = np.abs(d).max(axis=1) < SMALL
+            d = np.where(small[:, None], a[far] - b[far], d)
+            power = np.frexp(np.abs(d).max(axis=1))[1]
+            out[far] = np.ldexp(root(np.ldexp(d, -power[:, None])), power + np.where(small, 0, 2))
+    return out
 
 
 def tile_best(q_ids, q, q_codes, q_stats, ids, x, codes, stats, best: list, k: int) -> None:
     """Merge a tile's candidates into ``best``, one heap of (-distance, -id)
     per query row.  ``best`` heaps hold the k nearest found so far."""
+    q_wild, wild = np.isinf(q_stats[:, 3]), np.isinf(stats[:, 3])
+    q_stats, stats = (np.where(np.isinf(x), 0.0, x) for x in (q_stats, stats))
     kind = np.float32 if q.shape[1] <= 1024 else np.float64  # integer products stay exact
     dots = (q_codes.astype(kind) @ codes.astype(kind).T) * q_stats[:, :1] * stats[:, 0]
     norms = q_stats[:, 2:3] ** 2 + stats[:, 2] ** 2
     bound = q_stats[:, 3:4] * stats[:, 2] + q_stats[:, 1:2] * stats[:, 3]  # |x.y - coded product|
     bound += 1e-6 * (norms + np.abs(dots)) if kind is np.float32 else 1e-12 * (norms + np.abs(dots))
     low, high = norms - 2 * (dots + bound), norms - 2 * (dots - bound)
+    wild = q_wild[:, None] | wild
+    low[wild], high[wild] = -np.inf, np.inf
     own = q_ids[:, None] == ids
     high[own] = np.inf
     limit = np.full(len(q), np.inf)
@@ -115,7 +138,7 @@ def tile_best(q_ids, q, q_codes, q_stats, ids, x, codes, stats, best: list, k: i
         limit = np.partition(high, k - 1, axis=1)[:, k - 1]
     for i, h in enumerate(best):
         if len(h) == k:
-            limit[i] = min(limit[i], h[0][0] ** 2 * (1 + 1e-12))
+            limit[i] = min(limit[i], h[0][0] * h[0][0] * (1 + 1e-12))
     rows, cols = np.nonzero((low <= limit[:, None]) & ~own)
     for at in range(0, len(rows), SURVIVORS):
         r, c = rows[at:at + SURVIVORS], cols[at:at + SURVIVORS]
@@ -168,6 +191,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     ``vectors`` nearest to each row of ``queries`` by Euclidean distance in
     double precision, nearest first, ties to the smaller vec_id.
 
+    Ids are read as longs; text that is no number is an error of the cast.
+
     Defined cases: rows with a null id, and vectors that are null, empty, zero
     or hold a null or non-finite component, take no part.  A row of the
     query's own vec_id is no candidate.  Vectors of another length have no
@@ -177,9 +202,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    tiles = usable(vectors, id_col, vector_col).mapInArrow(_tiles(TILE), _TILE_DDL)
+    # staged: a tile that were cut anew might hold other rows, and its vectors
+    # would meet some cells twice and others never
+    tiles = stage(usable(vectors, id_col, vector_col).mapInArrow(_tiles(TILE), _TILE_DDL), "tiles")
     asked = usable(queries, id_col, vector_col).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    q = asked.mapInArrow(_tiles(QUERY_TILE), _TILE_DDL)
+    q = stage(asked.mapInArrow(_tiles(QUERY_TILE), _TILE_DDL), "query-tiles")
     q = q.select("dim", *(F.col(c).alias(f"q_{c}") for c in ("tile", "ids", "vectors", "codes", "stats")))
     # cells of the block matrix: each holds a bounded number of tiles of either
     # side, and a tile is sent once per cell and not once per tile it meets

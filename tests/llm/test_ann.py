@@ -49,3 +49,18 @@ def test_matches_sql(spark):
     con.sql(f"create view embeddings as select * from read_parquet('{sf}/embeddings.parquet')")
     want = con.sql(f"select query_id, rank, vec_id, score from ({ann.OP10_SQL}) order by all").fetchall()
     assert sorted(tuple(r) for r in ann.op10_ann(spark, sf).collect()) == want
+
+
+def test_whole_range_of_doubles(spark):
+    import math
+    rng = np.random.default_rng(2)
+    some = [10.0 ** e * rng.normal(size=8) for e in (160, 160, 160, 200, 300, -160, -160, -200, -300, -310, 0, 0, 5, 140, -140)]
+    rows = [(100 * i, v.tolist()) for i, v in enumerate(some)] + [(1, [5e-324] + [0.0] * 7), (2, [1e-323] + [0.0] * 7), (3, some[0].tolist()), (4, [1.7e308] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ann.nearest(df, df.filter(F.col("vec_id") % 100 == 0), k=50).collect()}
+    want = {(q, i): math.dist(x, y) for q, x in rows for i, y in rows if q % 100 == 0 and i != q}
+    assert set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], rel=1e-12, abs=0) or (math.isinf(got[k]) and want[k] > 1e308) for k in want)
+    few = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df.filter("vec_id = 500"), k=3).collect())
+    near = sorted((d, i) for (q, i), d in want.items() if q == 500)[:3]
+    assert [i for _, _, i in few] == [i for _, i in near]
