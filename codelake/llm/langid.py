@@ -38,7 +38,9 @@ SMOOTHING = 0.01      # pseudo-count of every piece
 COUNTED_WORDS = 200_000
 KEPT_WORDS = 800_000
 UNDETERMINED = "und"
-RARE, MARGIN = 0.001, 0.5   # share of training texts, and nats a character, to be called foreign
+# to be called foreign: share of training texts, nats a character, and more of
+# them by the root of the length, as short texts vary
+RARE, MARGIN, SHORT = 0.001, 0.5, 10.0
 
 _LETTER = regex.compile(r"\p{L}")
 _U = np.uint64
@@ -293,7 +295,7 @@ class _Scorer:
 
     def predict(self, col: pa.Array, langs: list[str]) -> tuple[list[str], list[float], list[float]]:
         """Language, posterior, and log probability a character in that
-        language, of every text of a column."""
+        language (with an allowance for short texts), of every text of a column."""
         texts = [words_of(t) if langs and _LETTER.search(t) else [] for t in col.fill_null("").to_pylist()]
         pred, score, rate = [], [], []
         for lo in range(0, len(texts), 250):
@@ -304,7 +306,8 @@ class _Scorer:
                     best = int(s.argmax())
                     pred.append(langs[best])
                     score.append(float(1.0 / np.exp(s - s[best]).sum()))
-                    rate.append(float(s[best]) / sum(len(w) + 1 for w in t))
+                    n = sum(len(w) + 1 for w in t)
+                    rate.append(float(s[best]) / n + SHORT / n ** 0.5)
                 else:
                     pred.append(UNDETERMINED)
                     score.append(0.0)
@@ -358,8 +361,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, id
 
 
 def floors(train: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> dict[str, float]:
-    """By language, the log probability a character under which only ``RARE``
-    of its training texts lie, less ``MARGIN``: what is rarer was not written in
+    """By language, the log probability a character (see ``predict``) under which
+    only ``RARE`` of its training texts lie, less ``MARGIN``: what is rarer was not written in
     that language, whichever it is nearest to.  From the columns lang and text
     of all of ``train``; rows of null lang or text are left out."""
     small_batches(train.sparkSession)

@@ -9,6 +9,7 @@ from test_tokens_bpe import check_packing
 
 import __spark_entry__
 from codelake.llm import classifier, langid
+from codelake.llm.tokens import tokenizer_path
 
 
 def table(spark, folder):
@@ -46,7 +47,22 @@ def test_stages(spark, tmp_path):
     clean = {r[0] for r in rows if r[2] and "!!" not in r[1]}
     assert len(clean & {r.doc_id for r in a}) >= 0.9 * len(clean)
     b, a = kept["language_id"]
-    assert {r.doc_id for r in b} - {r.doc_id for r in a} == {r.doc_id for r in b if not langid._LETTER.search(r.text or "")}
+    # without a letter, or rarer a character than what was learned
+    path = tokenizer_path(langid.VOCABULARY)
+    learned = langid.training(spark.read.parquet(f"{sf}/quality_classifier"))
+    langs, table_of = model = langid.train_languages(learned, path)
+    least = langid.floors(learned, model, path)
+
+    def stays(text):
+        low = (text or "").lower().split()
+        if not langid._LETTER.search(text or ""):
+            return False
+        sums = langid.log_probabilities(low, langid.pieces(path), table_of).sum(axis=0)
+        n = sum(len(w) + 1 for w in low)
+        return sums.max() / n + langid.SHORT / n ** 0.5 >= least[langs[int(sums.argmax())]]
+    assert {r.doc_id for r in a} == {r.doc_id for r in b if stays(r.text)}
+    assert clean & {r.doc_id for r in b} <= {r.doc_id for r in a}
+    assert not any("日本" in (r.text or "") for r in a)
     b, a = kept["minhash_dedup"]
     known = sorted({(r.doc_id, r.text) for r in b if r.doc_id is not None})
     want = [i for i, _, _, stays in brute(known, 80) if stays]
