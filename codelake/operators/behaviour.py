@@ -23,15 +23,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from codelake.functions import constants as K
-from codelake.operators.pyast import IN_CLASS, INNER
+from codelake.operators.pyast import IN_CLASS, INNER, USES
 from codelake.operators.pyfacts import DEF_KINDS, parent
+from codelake.session import stage_parquet
 
-_FACT = "struct<def:int,var:string,tag:string,a:int,b:int,s:string>"
+_EVENTS = "array<struct<a:int,b:int,s:string>>"
+_FACT = f"struct<def:int,var:string,tag:string,a:int,b:int,s:string,ev:{_EVENTS}>"
 MODULE = -1      # the def key of what a module binds
 
 
 def _rows(nodes: DataFrame) -> DataFrame:
-    """The fact rows ``(repo, path, def, var, tag, a, b, s)``, by file."""
+    """The fact rows ``(repo, path, def, var, tag, a, b, s, ev)``, by file; ``ev``
+    holds the uses of a name, as (position, line, context)."""
     kind, field, name, scope, pre, line = (F.col(c) for c in ("kind", "field", "name", "scope", "pre", "lineno"))
     p1, p2, p3 = parent(1), parent(2), parent(3)
     inside = scope.isNotNull()
@@ -50,9 +53,9 @@ def _rows(nodes: DataFrame) -> DataFrame:
     local_name = inside & name.isNotNull() & kind.isin(DEF_KINDS + ["ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping"])
     null = F.lit(None)
 
-    def fact(key, var, tag, a=null, b=null, s=null):
+    def fact(key, var, tag, a=null, b=null, s=null, ev=null):
         return F.struct(key.cast("int").alias("def"), (var if isinstance(var, Column) else F.lit(var)).cast("string").alias("var"), F.lit(tag).alias("tag"),
-                        a.cast("int").alias("a"), b.cast("int").alias("b"), s.cast("string").alias("s"))
+                        a.cast("int").alias("a"), b.cast("int").alias("b"), s.cast("string").alias("s"), ev.cast(_EVENTS).alias("ev"))
 
     def one(cond, *args):
         return F.when(cond, F.array(fact(*args)))
@@ -63,7 +66,8 @@ def _rows(nodes: DataFrame) -> DataFrame:
     facts = [
         # a name of an enclosing comprehension or lambda stands for itself; one
         # in a class body is reported, but binds nothing for nested defs
-        one(is_name, scope, name, "ev", pre, line, F.concat(F.when(inner, "i").when(in_class, "c").otherwise(""), F.col("ctx"))),
+        one(is_name, scope, name, "ev", null, null, null, F.array(F.struct(pre.alias("a"), line.alias("b"), F.concat(
+            F.when(inner, "i").when(in_class, "c").otherwise(""), F.col("ctx")).alias("s")))),
         # a read asks the defs around its own
         each(is_name & ~inner & (F.col("ctx") == "Load"), F.filter(up, lambda d: d["pre"] < scope), lambda d: fact(d["pre"], name, "ask", scope)),
         one((kind == "arg") & (p1.kind == "arguments") & p2.kind.isin(DEF_KINDS), p2.pre, name, "param", p2.lineno),
@@ -88,9 +92,11 @@ def _rows(nodes: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{_FACT}>")
     # most rows are names of which only the event is reported
     plain = is_name & ((F.col("ctx") == "Store") | ((F.size(up) < 2) & (field != "func") & ~p1.kind.isin("ExceptHandler", "Tuple")))
-    every = F.when(plain, facts[0]).otherwise(F.concat(*(F.coalesce(x, none) for x in facts)))
+    part = lambda u, i: F.split_part(u, F.lit(" "), F.lit(i))
+    used = F.transform(F.split("text", ","), lambda u: F.struct(part(u, 1).cast("int").alias("a"), part(u, 2).cast("int").alias("b"), part(u, 3).alias("s")))
+    every = F.when(kind == USES, one(kind == USES, scope, name, "ev", null, null, null, used)).when(plain, facts[0]).otherwise(F.concat(*(F.coalesce(x, none) for x in facts)))
     some = nodes.filter(kind.isin("Name", "arg", "alias", "Global", "Nonlocal", "ClassDef", "ExceptHandler", "MatchAs", "MatchStar", "MatchMapping", "Yield",
-                                  *DEF_KINDS) | (field == "annotation"))
+                                  USES, *DEF_KINDS) | (field == "annotation"))
     return some.select("repo", "path", F.explode(every).alias("f")).select("repo", "path", "f.*").repartition("repo", "path")
 
 
@@ -103,7 +109,7 @@ def _names(rows: DataFrame) -> DataFrame:
     its facts; of a name also ``at``, the def around it that binds what it
     reads, and ``module_bound``."""
     g = (rows.groupBy("repo", "path", "def", "var")
-         .agg(F.array_sort(F.collect_list(_tagged("ev"))).alias("ev"), F.array_sort(F.collect_list(_tagged("decl"))).alias("decls"),
+         .agg(F.array_sort(F.flatten(F.collect_list("ev"))).alias("ev"), F.array_sort(F.collect_list(_tagged("decl"))).alias("decls"),
               F.collect_set(_tagged("ask", F.col("a"))).alias("asked"), F.max(_tagged("param", F.col("a"))).alias("param_line"),
               F.max(_tagged("hint", F.col("s"))).alias("hint"), F.count_if(F.col("tag") == "bind").alias("n_bind"),
               F.count_if(F.col("tag") == "inner").alias("n_inner"),
@@ -183,8 +189,9 @@ def _behaviour(names: DataFrame) -> DataFrame:
 
 
 def analyse(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(behaviour, variable_flow)`` of a staged node table."""
-    names = _resolved(_names(_rows(nodes)))
+    """``(behaviour, variable_flow)`` of a staged node table; what both are made
+    of is staged."""
+    names = stage_parquet(_resolved(_names(_rows(nodes))), "names")
     return _behaviour(names), _flow(names)
 
 

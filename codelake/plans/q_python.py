@@ -160,7 +160,7 @@ union all select repo, path, 'LIMIT', '3', 'module', 1 from kb
 
 @register("py_variables", ORACLE_VARIABLES)
 def q_py_variables(spark, sf):
-    return P.py_variables(nodes_of(spark, sf, "corpus_nations", "corpus_behaviour", "corpus_py")).select(
+    return P.py_variables(nodes_of(spark, sf, "corpus_nations", "corpus_behaviour", "corpus_py", facts="variables")).select(
         "repo", "path", "name", "value", "scope", "line_start")
 
 
@@ -173,7 +173,7 @@ union all select repo, path, concat('fn_', k) from kb where k % 6 = 0
 
 @register("py_file_calls", ORACLE_CALLS)
 def q_py_file_calls(spark, sf):
-    return P.py_file_calls(nodes_of(spark, sf, "corpus_py", "corpus_behaviour"))
+    return P.py_file_calls(nodes_of(spark, sf, "corpus_py", "corpus_behaviour", facts="calls"))
 
 
 ORACLE_COMPLEXITY = with_(KNOBS_PY, KNOBS_BEH) + """
@@ -209,7 +209,7 @@ union all select repo, path, 0, 0 from kn
 def q_file_definition_counts(spark, sf):
     files = files_of(spark, sf, "corpus_py", "corpus_nations")
     from codelake.operators.pyast import py_nodes
-    nodes = py_nodes(files)
+    nodes = py_nodes(files, facts="counts")
     return P.file_definition_counts(files, nodes)
 
 
@@ -250,7 +250,7 @@ def q_isolated_functions(spark, sf):
 select repo, path, meth as name, cast(1 as bigint) as n_return_calls, false as creates_objects from kp
 """)
 def q_distinct_return_calls(spark, sf):
-    return P.distinct_return_calls(nodes_of(spark, sf, "corpus_py")).drop("def_pre")
+    return P.distinct_return_calls(nodes_of(spark, sf, "corpus_py", facts="calls")).drop("def_pre")
 
 
 @register("functions_by_name", ORACLE_FUNCTIONS)

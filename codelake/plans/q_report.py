@@ -27,15 +27,15 @@ SMELLS_K = """
 """
 
 
-def _py(spark, sf):
+def _py(spark, sf, facts, exact=False):
     files = files_of(spark, sf, "corpus_py")
-    nodes = stage_parquet(py_nodes(files), "py_nodes")
+    nodes = stage_parquet(py_nodes(files, facts=facts, exact=exact), "py_nodes")
     return files, nodes
 
 
 @register("found_patterns", with_(KNOBS_PY) + f"select distinct repo, {PAT_OF_K} as pattern from kp where k % 7 <> 6")
 def q_found_patterns(spark, sf):
-    return PT.found_patterns(PT.python_patterns(py_nodes(files_of(spark, sf, "corpus_py"))))
+    return PT.found_patterns(PT.python_patterns(py_nodes(files_of(spark, sf, "corpus_py"), facts="patterns")))
 
 
 @register("missing_patterns", with_(KNOBS_PY) + f""",
@@ -45,7 +45,7 @@ dim as (select distinct kp.repo, p.pattern from kp,
 select repo, pattern from dim where not exists (select 1 from found f where f.repo = dim.repo and f.pattern = dim.pattern)
 """)
 def q_missing_patterns(spark, sf):
-    files, nodes = _py(spark, sf)
+    files, nodes = _py(spark, sf, "patterns")
     return PT.missing_patterns(files, PT.python_patterns(nodes)).select("repo", "pattern")
 
 
@@ -54,7 +54,7 @@ select distinct repo, true as has_functions, false as functions_documented, true
        false as classes_documented from kp
 """)
 def q_repo_flags(spark, sf):
-    files, nodes = _py(spark, sf)
+    files, nodes = _py(spark, sf, "defs")
     return R.repo_flags(files, P.py_functions(nodes), P.py_classes(nodes))
 
 
@@ -85,7 +85,7 @@ union all select distinct repo, 'suggestions', '00a', 'Suggestions for Improveme
 union all select distinct repo, 'suggestions', '00b', '-------------------------' from body
 """)
 def q_report_suggestions(spark, sf):
-    files, nodes = _py(spark, sf)
+    files, nodes = _py(spark, sf, ("defs", "smells", "patterns"))
     return R.report_suggestions(files, P.py_functions(nodes), P.py_classes(nodes), S.python_smells(nodes),
                                 PT.python_patterns(nodes))
 
@@ -101,7 +101,7 @@ select repo, 'code_smells', concat(path, chr(1), lpad(cast(line as varchar), 10,
        concat('    ', message) from s
 """)
 def q_report_smells(spark, sf):
-    return R.report_smells(S.python_smells(_py(spark, sf)[1]))
+    return R.report_smells(S.python_smells(_py(spark, sf, "smells")[1]))
 
 
 @register("function_metrics", with_(KNOBS_PY) + """
@@ -110,7 +110,7 @@ select repo, path, concat(cls, k, '.', meth) as function, 1 + depth as complexit
 union all select repo, path, concat('helper_', k % 11), 1, true, '', '' from kp
 """)
 def q_function_metrics(spark, sf):
-    _, nodes = _py(spark, sf)
+    _, nodes = _py(spark, sf, ("defs", "complexity", "behaviour"))
     m = R.function_metrics(P.py_functions(nodes), P.py_complexity(nodes), B.function_behavior(nodes))
     return m.select("repo", "path", "function", "complexity", "is_pure",
                     F.array_join("side_effects", ", ").alias("side_effects"),
@@ -127,7 +127,7 @@ union all select repo, 'design_patterns',
        concat('  - ', {PAT_OF_K}) from kp where k % 7 <> 6
 """)
 def q_report_patterns(spark, sf):
-    _, nodes = _py(spark, sf)
+    _, nodes = _py(spark, sf, "patterns")
     return R.report_patterns(PT.python_patterns(nodes))
 
 
@@ -154,7 +154,7 @@ select kb.repo, kb.path, concat('fn_', kb.k) as function,
 from kb join vs on vs.k = kb.k
 """)
 def q_function_flow(spark, sf):
-    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
+    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour"), facts=("defs", "behaviour", "flow", "calls")), "py_nodes")
     beh, flow = B.analyse(nodes)
     return R.function_flow(P.py_functions(nodes), beh, flow, B.control_flow(nodes),
                            B.function_callers(nodes)).drop("def_pre")
@@ -187,7 +187,7 @@ lines as (
 select repo, 'functions' as section, key, line from lines
 """)
 def q_report_functions(spark, sf):
-    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour")), "py_nodes")
+    nodes = stage_parquet(py_nodes(files_of(spark, sf, "corpus_behaviour"), facts=("defs", "behaviour"), exact=True), "py_nodes")
     beh, flow = B.analyse(nodes)
     return R.report_functions(P.py_functions(nodes), beh, flow)
 
@@ -227,6 +227,7 @@ lines as (
 select repo, 'classes' as section, key, line from lines
 """)
 def q_report_classes(spark, sf):
-    _, nodes = _py(spark, sf)
+    _, nodes = _py(spark, sf, ("defs", "variables", "behaviour"), exact=True)
     beh, flow = B.analyse(nodes)
-    return R.report_classes(P.py_classes(nodes), P.py_functions(nodes), P.py_variables(nodes), beh, flow)
+    classes, functions = stage_parquet(P.py_classes(nodes), "classes"), stage_parquet(P.py_functions(nodes), "functions")
+    return R.report_classes(classes, functions, P.py_variables(nodes), beh, flow)
