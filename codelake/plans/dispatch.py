@@ -34,6 +34,8 @@ Tables = dict[str, DataFrame]
 class Family:
     languages: tuple[str, ...]
     extract: Callable[[DataFrame], Tables]
+    # the functions and classes alone, where that reads less
+    define: Callable[[DataFrame], Tables] | None = None
 
 
 def python_tables(files: DataFrame) -> Tables:
@@ -44,6 +46,11 @@ def python_tables(files: DataFrame) -> Tables:
             "py_variables": P.py_variables(nodes), "py_file_calls": stage_parquet(P.py_file_calls(nodes), "file_calls")}
 
 
+def python_definitions(files: DataFrame) -> Tables:
+    nodes = stage_parquet(py_nodes(files, facts="defs"), "py_nodes")
+    return {"py_functions": P.py_functions(nodes), "py_classes": P.py_classes(nodes)}
+
+
 def js_tables(files: DataFrame) -> Tables:
     lines = src_lines(files)
     jl = J.js_lines(lines)
@@ -73,7 +80,7 @@ def svelte_tables(files: DataFrame) -> Tables:
 
 
 FAMILIES: dict[str, Family] = {
-    "python": Family(("python",), python_tables),
+    "python": Family(("python",), python_tables, python_definitions),
     "javascript": Family(tuple(K.JS_FAMILY), js_tables),
     "cpp": Family(tuple(K.CPP_FAMILY), cpp_tables),
     "csharp": Family(("c#",), cs_tables),
@@ -91,8 +98,10 @@ def by_family(files: DataFrame, families: dict[str, Family | None]) -> DataFrame
     return stage_parquet(code, "by_family", partition_by="family")
 
 
-def extract(files: DataFrame, extractors: dict[str, Family | None] | None = None, only: Iterable[str] | None = None) -> Tables:
-    """The tables of all families (or ``only`` some) over an ingested corpus."""
+def extract(files: DataFrame, extractors: dict[str, Family | None] | None = None, only: Iterable[str] | None = None,
+            defining: bool = False) -> Tables:
+    """The tables of all families (or ``only`` some) over an ingested corpus;
+    if ``defining``, those of functions and classes at least."""
     families: dict[str, Family | None] = FAMILIES | (extractors or {})
     if only is not None:
         families = {name: families[name] for name in only}
@@ -104,7 +113,7 @@ def extract(files: DataFrame, extractors: dict[str, Family | None] | None = None
         if built_in and family is not built_in:
             out |= built_in.extract(mine.filter(F.lit(False)))
         if family:
-            out |= family.extract(mine)
+            out |= (defining and family.define or family.extract)(mine)
     return out
 
 

@@ -46,7 +46,7 @@ KNOBS = with_(KNOBS_PY, KNOBS_JS, KNOBS_CPP, KNOBS_CS, KNOBS_KD)
 
 def _family(name):
     def run(spark, sf):
-        return definitions(extract(files_of(spark, sf, *FAMILY_CORPORA), only=[name]))
+        return definitions(extract(files_of(spark, sf, *FAMILY_CORPORA), only=[name], defining=True))
     return run
 
 
@@ -56,7 +56,7 @@ for _name in FAMILIES:
 
 @register("definitions", KNOBS + " union all ".join(f"select * from ({x}) t_{n}" for n, x in DEFINITIONS.items()))
 def q_definitions(spark, sf):
-    return definitions(extract(files_of(spark, sf, *FAMILY_CORPORA)))
+    return definitions(extract(files_of(spark, sf, *FAMILY_CORPORA), defining=True))
 
 
 @register("js_classes", with_(KNOBS_JS) + """
