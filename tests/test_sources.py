@@ -101,3 +101,15 @@ def test_listing_goes_round_by_round(spark, tmp_path):
         assert [(r.repo, r.error.split(":")[0]) for r in got if r.error] == [("none", "FileNotFoundError")]
     tree = read_tree(spark, str(tmp_path / "big"), files_per_partition=4, entries_per_task=2)
     assert {(r.path, len(r.content)) for r in tree.collect()} == want and tree.rdd.getNumPartitions() == 9
+
+
+def test_files_are_rendered_and_filtered_after_the_input_rows_are_spread(spark, tmp_path):
+    from codelake.sources import fixtures as X
+    part = spark.createDataFrame([(k, k % 50, "x") for k in range(1, 40)] + [(7, 7, "y"), (None, 3, "z")], "p_partkey bigint, p_size int, p_comment string")
+    part.write.parquet(str(tmp_path / "part.parquet"))
+    files = ingest(X.render_many(spark, str(tmp_path), "corpus_py")).filter((F.col("language") == "python") & F.col("content").isNotNull())
+    above, below = files._jdf.queryExecution().optimizedPlan().toString().split("Repartition")
+    assert "Filter" in above and "Filter" not in below and "p_comment" not in above
+    text, _ = X.CORPORA["corpus_py"]
+    plain = ingest(spark.sql(text, part=X.table(spark, str(tmp_path), "part"))).filter("content is not null")
+    assert sorted(map(str, files.collect())) == sorted(map(str, plain.collect())) and files.count() == 40
