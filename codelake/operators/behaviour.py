@@ -197,26 +197,17 @@ def analyse(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def control_flow(nodes: DataFrame) -> DataFrame:
     """Return / if / while / for rows per function with condition text
-    and branch start lines."""
-    kind = F.col("kind")
+    and branch start lines, which the node rows carry as ``attrs``: the
+    statements of a branch are no rows of their own here."""
+    kind, attrs = F.col("kind"), F.col("attrs")
     ctrl = kind.isin("Return", "If", "While", "For") & F.col("scope").isNotNull()
-    kid = (F.col("field").isin("body", "orelse", "test", "target", "iter") &
-           parent().kind.isin("If", "While", "For"))
-    # a nested if is both a node of its own and a branch line of its parent
-    roles = F.filter(F.array(
-        F.when(ctrl, F.struct(F.col("pre").alias("k"), F.lit("self").alias("role"))),
-        F.when(kid, F.struct(parent().pre.alias("k"), F.col("field").alias("role")))), lambda x: x.isNotNull())
-    rows = nodes.filter(ctrl | kid).select("*", F.explode(roles).alias("r"))
-    role = F.col("r.role")
-    g = (rows.groupBy("repo", "path", F.col("r.k").alias("pre"))
-             .agg(F.first(F.when(role == "self", F.struct("scope", "kind", "lineno")), ignorenulls=True).alias("n"),
-                  F.max(F.when(role == "test", F.col("text"))).alias("test"),
-                  F.max(F.when(role == "target", F.col("text"))).alias("target"),
-                  F.max(F.when(role == "iter", F.col("text"))).alias("iter"),
-                  F.array_sort(F.collect_list(F.when(role == "body", F.struct("ord", "lineno")))).alias("body"),
-                  F.array_sort(F.collect_list(F.when(role == "orelse", F.struct("ord", "lineno"))))
-                  .alias("orelse"))
-             .filter(F.col("n").isNotNull()))
+
+    def lines(branch):
+        at = F.transform(F.split(attrs[branch], ","), lambda x, i: F.struct(i.alias("ord"), x.cast("int").alias("lineno")))
+        return F.array_sort(F.flatten(F.collect_list(at)))
+    g = (nodes.filter(ctrl).groupBy("repo", "path", "pre")
+              .agg(F.first(F.struct("scope", "kind", "lineno")).alias("n"), *[F.max(attrs[h]).alias(h) for h in ("test", "target", "iter")],
+                   lines("body").alias("body"), lines("orelse").alias("orelse")))
     k = F.col("n.kind")
     cond = (F.when(k.isin("If", "While"), F.col("test"))
              .when(k == "For", F.concat(F.lit("for "), F.col("target"), F.lit(" in "), F.col("iter"))))

@@ -98,3 +98,25 @@ def test_rows_do_not_grow_with_statements_that_hold_no_fact():
     for facts in ("defs", "smells", "patterns", "complexity", "counts", "calls", "returns", "behaviour", "variables"):
         few, many = (len(_flatten_one("class A:\n    def f(self):\n" + "        x = 1\n" * n + "        return g(x)\n", False, facts)) for n in (2, 200))
         assert few == many, facts
+
+
+def test_branches_are_no_rows():
+    few, many = (_flatten_one("def f(x):\n    for i in x:\n" + "        x = 1\n" * n + "        return x\n", False, "flow") for n in (2, 200))
+    assert len(few) == len(many) == 2
+    assert many[0][14] == {"target": "i", "iter": "x", "body": ",".join(map(str, range(3, 204)))}
+
+
+def test_branch_lines_of_files_given_twice(spark):
+    one = ("r", "a.py", "def f(x):\n    if x:\n        y = 1\n        return y\n")
+    for facts in ("flow", None):
+        got = B.control_flow(py_nodes(files_df(spark, [one, one]), facts=facts)).orderBy("line_no").collect()
+        assert [(r.line_no, r.condition, r.true_branch, r.false_branch) for r in got] == [(2, "x", [3, 3, 4, 4], []), (4, None, [], [])], facts
+
+
+@pytest.mark.parametrize("facts", ["calls", "complexity", "variables", ("calls", "complexity")])
+def test_plain_assignments_are_not_walked(facts):
+    last = [max(r[0] for r in _flatten_one("T = 1\ndef f(x):\n" + "    x = 1\n" * n + "    if x:\n        return g(x)\nclass A:\n    b = 2\n", False, facts))
+            for n in (2, 200)]
+    assert last[0] == last[1]
+    deep = _flatten_one("def f(x):\n    x = y[g(1)]\n    y[g(2)] = x\n    x = a and b\n", False, ("calls", "complexity"))
+    assert [r[6] for r in deep if r[3] == "func"] == ["g", "g"] and [r[5] for r in deep].count("BoolOp") == 1
