@@ -113,3 +113,14 @@ def test_files_are_rendered_and_filtered_after_the_input_rows_are_spread(spark,
     text, _ = X.CORPORA["corpus_py"]
     plain = ingest(spark.sql(text, part=X.table(spark, str(tmp_path), "part"))).filter("content is not null")
     assert sorted(map(str, files.collect())) == sorted(map(str, plain.collect())) and files.count() == 40
+
+
+def test_tasks_that_render_files_grow_with_the_input_rows(spark, tmp_path):
+    from codelake.sources import fixtures as X
+    rows = 60_000
+    spark.range(rows).selectExpr("id as s_suppkey", "id % 25 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    files = X.render(spark, str(tmp_path), "corpus_rel")
+    sizes = files.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in sizes) == rows and max(r["count"] for r in sizes) <= 4500
+    few = X.render(spark, "/root/testdata/sf0.001", "corpus_rel")
+    assert few.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
