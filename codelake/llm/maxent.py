@@ -298,27 +298,50 @@ class Tree:
         self.first = np.cumsum(self.size) - self.size
         self.steps = np.concatenate(leaves) if leaves else np.zeros(0, np.int32)
 
-    def paths(self, symbol: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of tokens one after the other: token, split and side of every step,
-        and where each token's begin."""
+    def paths(self, symbol: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of tokens one after the other: split and side of every step, and the
+        number of each token's steps."""
         leaf = np.where(symbol < self.head, symbol, self.head + (symbol - self.head) * self.digits + digit)
-        size = self.size[leaf]
-        start = np.cumsum(size) - size
-        token = np.repeat(np.arange(len(symbol), dtype=np.int32), size)
-        step = self.steps[np.repeat(self.first[leaf] - start, size) + np.arange(len(token))]
-        return token, step >> 1, (step & 1).astype(np.float32), start
+        size = self.size.take(leaf)
+        end = np.cumsum(size)
+        at = np.repeat(self.first.take(leaf) - (end - size), size)
+        at += np.arange(len(at))
+        step = self.steps.take(at)
+        return (step >> 1).astype(np.int64), (step & 1).astype(np.float32), size
 
 
 _WITHIN = np.uint32((1 << LEVELS) - 1)
 
 
 def _places(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Place of the weight of each feature and split: a hash of the feature and
-    the split on top, and the split's place below that (low bits of its key)."""
-    x = (h + (keys | _WITHIN)) * np.uint32(0x9E3779B1)
-    x ^= x >> np.uint32(15)
-    x = x * np.uint32(0x85EBCA77) >> np.uint32(32 - WEIGHTS + LEVELS)
-    return (x << np.uint32(LEVELS) | (keys & _WITHIN)).astype(np.int64)
+    """Place of the weight of each feature and split: a hash of the feature
+    (``h``, which is overwritten) and the split on top, and the split's place
+    below that (low bits of its key)."""
+    h += keys | _WITHIN
+    h *= np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA77)
+    h >>= np.uint32(32 - WEIGHTS + LEVELS)
+    h <<= np.uint32(LEVELS)
+    h |= keys & _WITHIN
+    return h.astype(np.int64)
+
+
+def _weighed(admitted: np.ndarray, h: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the steps of the tokens (feature by feature, one after the other)
+    those whose context weighs in, and the places of their weights."""
+    some, size = admitted.ravel(), np.tile(size, FEATURES)
+    on = np.flatnonzero(np.repeat(some, size))
+    keys = np.tile(keys, FEATURES).take(on)
+    return on, _places(np.repeat(h.ravel()[some], size[some]), keys)
+
+
+def _add_weights(z: np.ndarray, on: np.ndarray, weights: np.ndarray) -> None:
+    """Adds to the log odds of every step the weights of all features."""
+    all_weights = np.zeros(FEATURES * len(z), np.float32)
+    all_weights[on] = weights
+    for w in all_weights.reshape(FEATURES, -1):
+        z += w
 
 
 class Model:
@@ -332,17 +355,17 @@ class Model:
     def log_probability(self, features: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, digit: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each token's leaf."""
         out = np.empty(len(symbol))
+        h, context = (np.ascontiguousarray(x.T) for x in features)
         for lo in range(0, len(symbol), SCORE_BATCH):
             part = slice(lo, lo + SCORE_BATCH)
-            h, context = (x[part] for x in features)
-            token, node, bit, start = self.tree.paths(symbol[part], digit[part])
-            z, keys = self.tree.odds[node], self.tree.key[node]
-            for k in range(FEATURES):
-                on = np.flatnonzero(self.admitted[k][context[:, k]][token])
-                z[on] += self.weights[_places(h[:, k][token[on]], keys[on])]
-            z[bit > 0] *= -1
+            node, bit, size = self.tree.paths(symbol[part], digit[part])
+            z, keys = self.tree.odds.take(node), self.tree.key.take(node)
+            admitted = np.stack([self.admitted[k].take(context[k, part]) for k in range(FEATURES)])
+            on, at = _weighed(admitted, h[:, part], size, keys)
+            _add_weights(z, on, self.weights.take(at))
+            z *= 1 - 2 * bit
             lost = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
-            out[part] = -np.add.reduceat(lost.astype(float), start) if len(lost) else 0.0
+            out[part] = -np.add.reduceat(lost.astype(float), np.cumsum(size) - size) if len(lost) else 0.0
         return out
 
 
@@ -358,29 +381,32 @@ class Learner:
 
     def learn(self, features: tuple[np.ndarray, np.ndarray], symbol: np.ndarray, digit: np.ndarray) -> None:
         table = self.table
+        h, context = (np.ascontiguousarray(x.T) for x in features)
         for lo in range(0, len(symbol), BATCH):
             if self.steps % 64 == 0:
                 touched = (table[1::2 * 97] > 0).mean()
                 self.need = next(n for share, n in ADMIT if touched <= share)
             self.steps += 1
             part = slice(lo, lo + BATCH)
-            h, context = (x[part] for x in features)
-            token, node, bit, _ = self.tree.paths(symbol[part], digit[part])
-            z, keys = self.tree.odds[node], self.tree.key[node]
-            used = []
-            for k in range(FEATURES):
-                count = self.seen[k][context[:, k]]
-                on = np.flatnonzero((count >= self.need)[token])
-                at = 2 * _places(h[:, k][token[on]], keys[on])
-                z[on] += table[at]
-                used.append((on, at))
-                self.seen[k][context[:, k]] = np.minimum(count, 250) + 1
+            node, bit, size = self.tree.paths(symbol[part], digit[part])
+            z, keys = self.tree.odds.take(node), self.tree.key.take(node)
+            counts = np.stack([self.seen[k].take(context[k, part]) for k in range(FEATURES)])
+            admitted = counts >= self.need
+            on, at = _weighed(admitted, h[:, part], size, keys)
+            at *= 2
+            _add_weights(z, on, table.take(at))
+            for k, n in enumerate(np.minimum(counts, 250) + 1):
+                self.seen[k][context[k, part]] = n
             # steps beyond this range are certain either way
-            push = bit - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            square = push * push
-            for on, at in used:
-                np.add.at(table, at + 1, square[on])
-                np.add.at(table, at, np.float32(RATE) * push[on] / np.sqrt(table[at + 1] + np.float32(DAMP)))
+            push = bit - 1 / (1 + np.exp(-np.minimum(np.maximum(z, -30), 30)))
+            push = np.tile(push, FEATURES).take(on)
+            squares = push * push
+            push *= np.float32(RATE)
+            beside, to = at + 1, np.cumsum(admitted @ size)
+            for start, end in zip(np.append(0, to), to):
+                own = slice(start, end)
+                np.add.at(table, beside[own], squares[own])
+                np.add.at(table, at[own], push[own] / np.sqrt(table.take(beside[own]) + np.float32(DAMP)))
 
     def result(self) -> tuple[np.ndarray, np.ndarray]:
         """Weights in half precision (0: not touched), and the contexts seen as
@@ -390,7 +416,10 @@ class Learner:
 
 def _targets(counts: Counts, t: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaf of the joined tree, and hash bits, of tokens."""
-    _, rank = counts.find(t)
+    return _leaves(counts, counts.find(t)[1], t, suffix)
+
+
+def _leaves(counts: Counts, rank: np.ndarray, t: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(rank >= 0, rank, len(counts.rank_n) + suffix), (t & _U(counts.digits - 1)).astype(np.int64)
 
 
@@ -485,8 +514,8 @@ def _score(shared, n_shards: int, kind: pa.DataType):
                 t, suffix, first = tokens(b.column(1).slice(lo, hi - lo))
                 rows = hi - lo
                 doc = np.repeat(np.arange(rows), np.diff(first))
-                symbol, digit = _targets(counts, t, suffix)
-                n, _ = counts.find(t)
+                n, rank = counts.find(t)
+                symbol, digit = _leaves(counts, rank, t, suffix)
                 log_n = np.where(n > 0, np.log10(n + ADD), 0.0)  # of the others it comes from the shards
                 p = model.log_probability(history(t, first), symbol, digit) / _LOG10
                 outside = np.flatnonzero(symbol >= len(counts.rank_n))
